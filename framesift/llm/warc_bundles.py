@@ -5,8 +5,8 @@ seek table (compressed and decompressed size of each frame).  An index maps a re
 the record's place in the decompressed frame, so one record costs one ranged read and one frame's decompression.
 
 Of pages with equal payloads of at least REVISIT_BYTES, the smallest page_id is a response and the others are revisits
-that refer to it.  Null html is an empty payload.  A null page_id comes after all others.  Repeated rows: of equal rows
-(page_id and payload) one is the response and the rest are revisits of it, if the payload is large enough.
+that refer to it.  Null html is an empty payload.  A null page_id comes after all others.  Rows that repeat the smallest page_id are
+all responses.
 
 Bundles go to a folder that all executors share, by way of pyarrow's file systems.  A task writes under a name of
 its own attempt, so a task that runs again harms nothing: the index of the attempt that ended names its own files.
@@ -31,8 +31,8 @@ FRAME_BYTES, BUNDLE_BYTES = 1 << 18, 1 << 26
 SKIPPABLE, SEEKABLE = 0x184D2A5E, 0x8F92EAB1
 
 
-def _record(page_id: int | None, row: int, url: str | None, payload: bytes, digest: str, refers: int | None, revisit: bool) -> bytes:
-    name = f"urn:page:{'' if page_id is None else page_id}:{row}"
+def _record(page_id: int | None, url: str | None, payload: bytes, digest: str, refers: int | None, revisit: bool) -> bytes:
+    name = f"urn:page:{'' if page_id is None else page_id}"
     head = [
         "WARC/1.1", f"WARC-Type: {'revisit' if revisit else 'response'}", f"WARC-Record-ID: <{name}>", "WARC-Date: 1970-01-01T00:00:00Z",
         f"WARC-Target-URI: {''.join((url or '').split())}", f"WARC-Payload-Digest: sha256:{digest}", f"X-Payload-Length: {len(payload)}",
@@ -122,29 +122,28 @@ class BundleReader:
 
 
 def roles(pages: DataFrame) -> DataFrame:
-    """row, page_id, url, html and the row's role: first (the response's row) and refers_to."""
-    rows = pages.select(F.monotonically_increasing_id().alias("row"), F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html"))
-    keys = rows.select("row", "page_id", F.sha2(F.encode("html", "UTF-8"), 256).alias("digest"), F.octet_length("html").alias("bytes")).where(f"bytes >= {REVISIT_BYTES}")
+    """page_id, url, html, revisit and refers_to of each row."""
+    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html"))
+    rows = rows.withColumn("digest", F.when(F.octet_length("html") >= REVISIT_BYTES, F.sha2(F.encode("html", "UTF-8"), 256)))
     # aggregated before its shuffle: a group of copies is one row a task
-    first = keys.groupBy("digest").agg(F.count("*").alias("n"), F.min(F.struct(F.col("page_id").isNull().alias("none"), "page_id", "row")).alias("first")).where("n > 1")
-    copies = keys.join(first, "digest").where("row <> first.row").select("row", F.lit(True).alias("revisit"), F.col("first.page_id").alias("refers_to"))
-    return rows.join(copies, "row", "left").withColumn("revisit", F.coalesce("revisit", F.lit(False)))
+    first = rows.where("digest is not null").groupBy("digest").agg(F.count("*").alias("n"), F.min("page_id").alias("first")).where("n > 1").select("digest", "first")
+    return rows.join(first, "digest", "left").select("page_id", "url", "html", (F.col("first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first"))).alias("revisit"), F.when(~F.col("page_id").eqNullSafe(F.col("first")), F.col("first")).alias("refers_to"))
 
 
 def write_bundles(pages: DataFrame, folder: str) -> DataFrame:
-    """Writes the bundles; returns the index: row, page_id, bundle, frame, frame_offset, length."""
+    """Writes the bundles; returns the index: page_id, bundle, frame, frame_offset, length."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         writer: BundleWriter | None = None
-        names = ["row", "page_id", "bundle", "frame", "frame_offset", "length"]
-        kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.int64()]
+        names = ["page_id", "bundle", "frame", "frame_offset", "length"]
+        kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.int64()]
         for b in batches:
             out: list[tuple] = []
-            for row, page, url, html, revisit, refers in zip(*(b.column(i).to_pylist() for i in range(6)), strict=True):
+            for page, url, html, revisit, refers in zip(*(b.column(i).to_pylist() for i in range(5)), strict=True):
                 if writer is None:
                     writer = BundleWriter(folder, f"{uuid.uuid4().hex}.warc.zst")
                 payload = html.encode("utf-8", "replace")
-                out.append((row, page, writer.name, *writer.add(_record(page, row, url, payload, hashlib.sha256(payload).hexdigest(), refers, revisit))))
+                out.append((page, writer.name, *writer.add(_record(page, url, payload, hashlib.sha256(payload).hexdigest(), refers, revisit))))
                 if writer.at > BUNDLE_BYTES:
                     writer.close()
                     writer = None
@@ -153,8 +152,8 @@ def write_bundles(pages: DataFrame, folder: str) -> DataFrame:
         if writer is not None:
             writer.close()
 
-    schema = "row long, page_id long, bundle string, frame long, frame_offset long, length long"
-    return durable(roles(pages).select("row", "page_id", "url", "html", "revisit", "refers_to").mapInArrow(run, schema), "warc-index")
+    schema = "page_id long, bundle string, frame long, frame_offset long, length long"
+    return durable(roles(pages).mapInArrow(run, schema), "warc-index")
 
 
 def read_records(index: DataFrame, folder: str) -> DataFrame:
