@@ -4,8 +4,8 @@ Token counts of the cells source x language x topic are raked until their sums a
 weights; documents are then sampled with the cells' calibrated probabilities.  DataFrame functions only.
 
 The cells are aggregated before their shuffle and held as one row a source with a LANGS x TOPICS matrix, so a round of
-fitting is one small aggregation over sources; the driver sees the matrix of factors alone.  Where a probability would
-pass 1 it is held there, and the fit goes on with the rest, so the targets hold over the kept tokens.
+fitting is one small aggregation over sources; the driver sees the matrix of factors alone.  The fitted ratios of
+wanted weight to tokens are scaled to probabilities so that all but HELD of the weight stays below 1, where the rest is held.
 
 Nulls in source or lang are values of their own.  A null or empty text has no tokens, is in no cell's weight and is kept.
 Repeated rows are sampled alike when their doc_id is the same.  Other columns pass through, whatever their names.
@@ -23,8 +23,10 @@ LANGS = 64
 #: Sources up to which their probabilities are broadcast.
 FEW = 5_000
 TOPICS = ("table", "list", "prose", "note")
-#: Share of all tokens to keep, and the power by which a margin's own shares are smoothed to its targets.
-KEEP, SMOOTH, ROUNDS, CLOSE = 0.8, 0.7, 30, 1e-4
+#: The power by which a margin's own shares are smoothed to its targets; rounds at most; error at which they end.
+SMOOTH, ROUNDS, CLOSE = 0.7, 30, 1e-4
+#: Share of the wanted weight that may lie in cells whose probability is held at 1.
+HELD = 0.02
 
 
 def topic_of(text: Column) -> Column:
@@ -51,69 +53,68 @@ def smoothed(sizes: dict, power: float = SMOOTH) -> dict:
     return {k: (x**power / total if x > 0 else 0.0) for k, x in sizes.items()}
 
 
-def fit(cells: DataFrame, keep: float = KEEP, power: float = SMOOTH, targets: dict[str, dict[str, float]] | None = None) -> tuple[DataFrame, list[str]]:
+def fit(cells: DataFrame, power: float = SMOOTH, targets: dict[str, dict[str, float]] | None = None) -> tuple[DataFrame, list[str]]:
     """(source, probabilities by cell) and the names of the cells (lang, topic) in their order.
 
-    cells: __source, __lang, __topic, tokens.  targets may give weights for lang and topic by name, and for source; what is
-    not given is the margin's own share, smoothed by power.
+    cells: __source, __lang, __topic, tokens.  targets may give weights for source, lang and topic by name; what is not
+    given is the margin's own share, smoothed by power.
     """
     targets = targets or {}
     langs = [r["__lang"] for r in cells.groupBy("__lang").agg(F.sum("tokens").alias("t")).orderBy(F.desc("t"), "__lang").limit(LANGS).collect()]
     lang = F.when(F.col("__lang").isin(langs), F.col("__lang")).otherwise(F.lit("\0other")) if langs else F.lit("\0other")
     names = [f"{x}\t{t}" for x in [*langs, "\0other"] for t in TOPICS]
+    every = range(len(names))
     wide = cells.withColumn("cell", F.concat_ws("\t", lang, "__topic")).groupBy("__source").agg(*(F.sum(F.when(F.col("cell") == n, F.col("tokens")).otherwise(0)).cast("double").alias(f"c{i}") for i, n in enumerate(names)))
-    wide = durable(wide.select("__source", F.array(*(f"c{i}" for i in range(len(names)))).alias("w")), "cells")
-    sums = wide.agg(*(F.sum(F.col("w")[i]).alias(f"c{i}") for i in range(len(names)))).first()
-    cell = [float(x or 0.0) for x in sums]
-    total = sum(cell)
-    lang_of, topic_at = [n.split("\t")[0] for n in names], [n.split("\t")[1] for n in names]
-    margin = lambda keys: {k: sum(c for c, x in zip(cell, keys, strict=True) if x == k) for k in dict.fromkeys(keys)}
-    want_lang = targets.get("lang") or smoothed(margin(lang_of), power)
-    want_topic = targets.get("topic") or smoothed(margin(topic_at), power)
     size = F.aggregate("w", F.lit(0.0), lambda a, x: a + x)
+    wide = durable(wide.select("__source", F.array(*(f"c{i}" for i in every)).alias("w")).withColumn("size", size), "cells")
     if "source" in targets:
         given = [F.lit(x) for kv in targets["source"].items() for x in kv]
-        wide = wide.withColumn("goal", F.coalesce(F.create_map(*given)[F.col("__source")], F.lit(0.0)) * keep * total)
+        goal = F.coalesce(F.create_map(*given)[F.col("__source")], F.lit(0.0))
     else:
-        whole = wide.agg(F.sum(F.pow(size, power)).alias("s")).first()["s"] or 1.0
-        wide = wide.withColumn("goal", F.when(size > 0, F.pow(size, power) / F.lit(float(whole)) * keep * total).otherwise(0.0))
-    # no more than there is: what a source can't give is not asked for
+        goal = F.when(F.col("size") > 0, F.pow("size", F.lit(power))).otherwise(0.0)
+    first = wide.agg(*(F.sum(F.col("w")[i]).alias(f"c{i}") for i in every), F.sum(goal).alias("goal")).first()
+    cell, whole = [float(first[f"c{i}"] or 0.0) for i in every], float(first["goal"] or 1.0)
+    lang_of, topic_at = [n.split("\t")[0] for n in names], [n.split("\t")[1] for n in names]
+    margins = [(keys, targets.get(name) or smoothed({k: sum(c for c, x in zip(cell, keys, strict=True) if x == k) for k in dict.fromkeys(keys)}, power)) for name, keys in (("lang", lang_of), ("topic", topic_at))]
     factors = [1.0] * len(names)
 
-    def fitted(factors: list[float]) -> DataFrame:
-        """Probabilities of each source's cells: the factors times the source's own, held at 1.
-
-        The source's factor is found in a few steps: what is held at 1 is taken off its goal and the rest scaled.
-        """
-        scale = F.array(*(F.lit(float(x)) for x in factors))
-        out = wide.withColumn("f", scale).withColumn("p", F.transform("f", lambda x: F.lit(0.0) * x)).withColumn("a", F.lit(0.0))
-        out = out.withColumn("a", F.try_divide("goal", F.aggregate(F.zip_with("w", "f", lambda w, f: w * f), F.lit(0.0), lambda a, x: a + x)))
-        for _ in range(4):
-            held = F.aggregate(F.zip_with("w", "f", lambda w, f: F.when(F.col("a") * f >= 1, w).otherwise(0.0)), F.lit(0.0), lambda a, x: a + x)
-            free = F.aggregate(F.zip_with("w", "f", lambda w, f: F.when(F.col("a") * f >= 1, F.lit(0.0)).otherwise(w * f)), F.lit(0.0), lambda a, x: a + x)
-            out = out.withColumn("held", held).withColumn("free", free).withColumn("a", F.when(F.col("free") > 0, F.greatest(F.col("a"), (F.col("goal") - F.col("held")) / F.col("free"))).otherwise(F.col("a"))).drop("held", "free")
-        return out.withColumn("p", F.transform("f", lambda f: F.least(F.lit(1.0), F.coalesce(F.col("a"), F.lit(0.0)) * f)))
-
-    for _ in range(ROUNDS if total else 0):
-        now = fitted(factors).agg(*(F.sum(F.col("w")[i] * F.col("p")[i]).alias(f"c{i}") for i in range(len(names)))).first()
+    def raked() -> DataFrame:
+        """wide with ratio: of each source's cells, weight wanted over tokens there."""
+        f = F.array(*(F.lit(x) for x in factors))
+        own = F.coalesce(F.try_divide(goal / F.lit(whole), F.aggregate(F.zip_with("w", f, lambda w, f: w * f), F.lit(0.0), lambda a, x: a + x)), F.lit(0.0))
+        return wide.withColumn("own", own).withColumn("ratio", F.transform(f, lambda x: x * F.col("own")))
+
+    for _ in range(ROUNDS if sum(cell) else 0):
+        now = raked().agg(*(F.sum(F.col("w")[i] * F.col("ratio")[i]).alias(f"c{i}") for i in every)).first()
         got, off = [float(x or 0.0) for x in now], 0.0
-        for keys, want in ((lang_of, want_lang), (topic_at, want_topic)):
-            have, all_of = {}, sum(got)
+        for keys, want in margins:
+            total, have = sum(got), dict.fromkeys(keys, 0.0)
             for k, x in zip(keys, got, strict=True):
-                have[k] = have.get(k, 0.0) + x
-            ratio = {k: (want.get(k, 0.0) * all_of / h if h > 0 else 1.0) for k, h in have.items()}
-            off = max(off, *(abs(have[k] / all_of - want.get(k, 0.0)) for k in have)) if all_of else 0.0
-            got, factors = [x * ratio[k] for k, x in zip(keys, got, strict=True)], [f * ratio[k] for k, f in zip(keys, factors, strict=True)]
+                have[k] += x
+            if not total:
+                break
+            off = max(off, *(abs(have[k] / total - want.get(k, 0.0)) for k in have))
+            by = {k: want.get(k, 0.0) * total / h if h > 0 else 1.0 for k, h in have.items()}
+            got, factors = [x * by[k] for k, x in zip(keys, got, strict=True)], [f * by[k] for k, f in zip(keys, factors, strict=True)]
         if off < CLOSE:
             break
-    return durable(fitted(factors).select("__source", "p"), "probabilities"), names
+    # as many tokens as can be kept with the ratios: all but HELD of the wanted weight stay below probability 1
+    spread = raked().select(F.explode(F.arrays_zip("w", "ratio")).alias("x")).select((F.col("x.w") * F.col("x.ratio")).alias("m"), "x.ratio").where("m > 0")
+    bins = sorted((r["b"], r["m"]) for r in spread.groupBy(F.floor(F.log2("ratio") * 16).alias("b")).agg(F.sum("m").alias("m")).collect())  # a bin for each sixteenth of a power of two
+    total, over, scale = sum(m for _, m in bins), 0.0, 1.0
+    for b, m in reversed(bins):
+        over += m
+        if over > HELD * total:
+            scale = 2.0 ** (-(b + 1) / 16)
+            break
+    return durable(raked().select("__source", F.transform("ratio", lambda r: F.least(F.lit(1.0), r * F.lit(scale))).alias("p")), "probabilities"), names
 
 
-def calibrated(documents: DataFrame, keep: float = KEEP, power: float = SMOOTH, targets: dict | None = None) -> DataFrame:
+def calibrated(documents: DataFrame, power: float = SMOOTH, targets: dict | None = None) -> DataFrame:
     """measured documents with __probability and __kept."""
     rows = measured(documents)
     cells = durable(rows.groupBy("__source", "__lang", "__topic").agg(F.sum("__tokens").alias("tokens")), "cells")
-    probabilities, names = fit(cells, keep, power, targets)
+    probabilities, names = fit(cells, power, targets)
     langs = list(dict.fromkeys(n.split("\t")[0] for n in names))
     lang = F.when(F.col("__lang").isin(langs), F.col("__lang")).otherwise(F.lit("\0other"))
     # one row a cell: broadcast below a checked number of sources, shuffled beyond it
