@@ -243,8 +243,8 @@ def fingerprint_edits(documents: DataFrame) -> DataFrame:
 def near_links(marked: DataFrame, bands: int = 16, width: int = 8, least: float = 0.8) -> DataFrame:
     """(a, b, likeness) of documents (doc_id, fingerprint) whose fingerprints share a band and are verified as alike.
 
-    Rows of one fingerprint form a class, named by its smallest doc_id.  In a band's bucket each class is compared with
-    the bucket's smallest one, so a large bucket gives as many pairs as members, not their square.
+    Rows of one fingerprint form a class, named by its smallest doc_id, to which each is linked.  In a band's bucket each
+    class is compared with the bucket's smallest one, so a large bucket gives as many pairs as members, not their square.
     """
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -252,7 +252,9 @@ def near_links(marked: DataFrame, bands: int = 16, width: int = 8, least: float
             rows = [(i, f, k, f[:2] + ":" + f[2 + k * width : 2 + (k + 1) * width]) for i, f in zip(*(b.column(c).to_pylist() for c in (0, 1)), strict=True) for k in range(bands) if len(f) >= 2 + (k + 1) * width]
             yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.string()), pa.array([r[2] for r in rows], pa.int32()), pa.array([r[3] for r in rows], pa.string())], ["a", "f", "band", "key"])
 
-    named = marked.where("doc_id is not null").groupBy("fingerprint").agg(F.min("doc_id").alias("doc_id")).select("doc_id", "fingerprint")
+    marked = marked.where("doc_id is not null")
+    named = marked.groupBy("fingerprint").agg(F.min("doc_id").alias("doc_id")).select("doc_id", "fingerprint")
+    members = marked.join(named.withColumnRenamed("doc_id", "a"), "fingerprint").where("a <> doc_id").select("a", F.col("doc_id").alias("b"), F.lit(1.0).alias("likeness")).distinct()
     banded = named.mapInArrow(cut, "a long, f string, band int, key string")
     lead = banded.groupBy("band", "key").agg(F.min(F.struct("a", "f")).alias("lead"), F.count("*").alias("n")).where("n > 1")
     pairs = banded.join(lead, ["band", "key"]).where("a <> lead.a").select(F.col("lead.a").alias("a"), F.col("a").alias("b"), F.col("lead.f").alias("f"), F.col("f").alias("g")).dropDuplicates(["a", "b"])
@@ -262,4 +264,4 @@ def near_links(marked: DataFrame, bands: int = 16, width: int = 8, least: float
             near = pa.array([likeness(x, y) for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True)], pa.float64())
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), near], ["a", "b", "likeness"]).filter(pa.array([x >= least for x in near.to_pylist()], pa.bool_()))
 
-    return pairs.mapInArrow(verify, "a long, b long, likeness double")
+    return pairs.mapInArrow(verify, "a long, b long, likeness double").unionByName(members)
