@@ -178,8 +178,10 @@ def read_records(index: DataFrame, folder: str) -> DataFrame:
             kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64()]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"])
 
-    # all of a bundle's records together, in their order: each frame is decompressed once
-    placed = index.repartition("bundle").sortWithinPartitions("bundle", "frame", "frame_offset").select("page_id", "bundle", "frame", "frame_offset", "length")
+    # all of a bundle's records together, in their order: each frame is decompressed once.  The index is small for the
+    # work behind it, so its partitions are not left to their size.
+    parts = int(index.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    placed = index.repartition(parts, "bundle").sortWithinPartitions("bundle", "frame", "frame_offset").select("page_id", "bundle", "frame", "frame_offset", "length")
     return placed.mapInArrow(run, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long")
 
 
