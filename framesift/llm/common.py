@@ -63,7 +63,7 @@ def _cleanup() -> None:
 
 SPACE = np.zeros(256, dtype=bool)
 SPACE[[0x20, 9, 10, 11, 12, 13]] = True
-_SLICE = 1 << 21  # bytes hashed at once; bounds the working memory whatever the batch or the text size
+_SLICE = 1 << 19  # bytes hashed at once; bounds the working memory whatever the batch or the text size
 
 _rng = np.random.Generator(np.random.PCG64(20240229))
 _BYTE = _rng.integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)

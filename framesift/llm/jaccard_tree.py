@@ -3,15 +3,16 @@
 Documents are sets of distinct five-word shingles; two link when 100 * |A and B| >= 80 * |A or B|.  The join is exact:
 
 1. Equal sets form one class, found by a digest that is aggregated before its shuffle; only one row of a class goes on.
-2. Two linked sets share one of the ``n - ceil(0.8 n) + 1`` first shingles of each, under any common order.  Ordered
-   by hash, that drops every class without such a partner.  The rest is ordered again by true frequency, so that
+2. Two linked sets share l of the ``n - ceil(0.8 n) + l`` first shingles of each, under any common order.  Ordered by
+   hash, with l about n / 20, that drops most classes.  The rest is ordered again by true frequency with l = 1, so that
    passages which many documents share come last and make no candidates.
 3. Classes that share a shingle form blocks.  In a block a signature tree is built: its nodes hold the OR of the
    members' bitmaps and the range of their sizes, and pairs of nodes are descended only while the most shingles that two
    members can share reach the threshold.  Node pairs within one component are left out.  Blocks are cut into pieces of
    at most BLOCK shingles, all pairs of pieces being joined, so no task holds an unbounded group.
-4. A first round with two keys a class finds most components; the second, over all keys, expands only blocks
-   whose members are not of one component already.
+4. A first round with three keys a class, whose trees verify links on the sets, finds most components.  The second goes
+   over all keys, but expands only blocks whose members are not of one component already, and its trees hold bitmaps
+   alone; the few pairs that they allow are then verified on the sets.
 
 Null and empty texts have n_shingles 0 and are alone.  Rows that repeat a doc_id are rows of their own; the component's
 id is the smallest non-null doc_id in it (null where all are null).  Other columns are ignored, whatever their names.
@@ -30,7 +31,7 @@ from pyspark.sql import functions as F
 from .common import components, durable, mix, slices, text_buffers, windows, word_bounds, word_hashes
 
 WIDTH, PERCENT = 5, 80
-#: Shingles in one piece of a block.
+#: Shingles (or words of bitmaps) in one piece of a block.
 BLOCK = 1_000_000
 #: Bits of the filter that names the rows of the second pass; it never grows, and a full one only lets more rows through.
 FILTER_BITS = 1 << 24
@@ -60,22 +61,36 @@ def _lists(sets: list[np.ndarray]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum([len(x) for x in sets])]), pa.int32()), pa.array(flat))
 
 
+def _must_share(n: int) -> int:
+    """Shingles that the first keys of a set must share with those of any set it links to: a quarter of the least number."""
+    return (n - -(-PERCENT * n // 100) + 1) // 4 + 1 if n > 4 else 1
+
+
 def _first_keys(n: int) -> int:
-    return n - -(-PERCENT * n // 100) + 1
+    """Linked sets share l of the ``n - ceil(0.8 n) + l`` first shingles of each."""
+    return n - -(-PERCENT * n // 100) + _must_share(n)
 
 
 def _describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        n, digest, head = [], [], []
+        n, digest = [], []
         for s in shingle_sets(b.column(2)):
             n.append(len(s))
             digest.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None)
-            head.append(s[: _first_keys(len(s))] if len(s) else s)
-        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(n, pa.int64()), pa.array(digest, pa.binary()), _lists(head)], ["row", "doc_id", "n", "digest", "head"])
+        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(n, pa.int64()), pa.array(digest, pa.binary())], ["row", "doc_id", "n", "digest"])
+
+
+def _heads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        rows_of = b.column(0).to_numpy(zero_copy_only=False)
+        for lo in range(0, b.num_rows, 500):
+            part = [s[: _first_keys(len(s))] for s in shingle_sets(b.column(2).slice(lo, 500))]
+            rows = rows_of[lo : lo + 500]
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(part).view(np.int64)), pa.array(np.repeat(rows, [len(x) for x in part]))], ["s", "node"])
 
 
 def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The nodes of (s, node) rows, sorted by s, whose s another row has too; holds one row between batches."""
+    """Of (s, node) rows sorted by s, how many of a node's s another row has too; holds one row between batches."""
     s0, v0, flag = None, None, False
     for b in batches:
         s, v = (np.asarray(b.column(i).to_numpy(zero_copy_only=False)) for i in (0, 1))
@@ -87,11 +102,11 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keep = np.concatenate([[flag and s0 is not None], equal])
         keep[:-1] |= equal
         s0, v0, flag = s[-1], v[-1], bool(keep[-1])
-        out = np.unique(v[:-1][keep[:-1]])
+        out, count = np.unique(v[:-1][keep[:-1]], return_counts=True)
         if len(out):
-            yield pa.RecordBatch.from_arrays([pa.array(out)], ["node"])
+            yield pa.RecordBatch.from_arrays([pa.array(out), pa.array(count.astype(np.int64))], ["node", "c"])
     if s0 is not None and flag:
-        yield pa.RecordBatch.from_arrays([pa.array(np.array([v0], np.int64))], ["node"])
+        yield pa.RecordBatch.from_arrays([pa.array(np.array([v0], np.int64)), pa.array(np.array([1], np.int64))], ["node", "c"])
 
 
 # ---------------------------------------------------------------- the tree
@@ -109,24 +124,36 @@ class _Union:
         return x
 
 
+def bits_for(n: int) -> int:
+    return min(1 << 16, max(256, 1 << (8 * n - 1).bit_length()))
+
+
+def bitmap(items: np.ndarray, bits: int) -> np.ndarray:
+    """Bits of shingles, by the low bits of a hash, so that folding halves gives the bitmap of half the bits."""
+    out = np.zeros(bits // 64, np.uint64)
+    at = (mix(items.view(np.uint64)) & np.uint64(bits - 1)).astype(np.int64)
+    np.bitwise_or.at(out, at >> 6, np.uint64(1) << (at & 63).astype(np.uint64))
+    return out
+
+
 class SignatureTree:
     """Records (id, size, component, sorted shingles) under nodes of OR-combined bitmaps, size ranges and hash collisions.
 
-    size counts all shingles of a record, its array only those that others may share.
+    size counts all shingles of a record, its array only those that others may share.  Without arrays (None) the
+    bitmaps and the numbers of shingles in them are given, and pairs can't be verified: they are candidates.
     """
 
-    def __init__(self, records: list[tuple[int, int, int, np.ndarray]]):
-        records.sort(key=lambda r: (r[1], r[0]))
-        self.records = records
-        largest = max(len(r[3]) for r in records)
-        bits = min(1 << 16, max(256, 1 << (8 * largest - 1).bit_length()))
-        maps = np.zeros((len(records), bits // 64), np.uint64)
-        for i, r in enumerate(records):
-            at = (mix(r[3].view(np.uint64)) & np.uint64(bits - 1)).astype(np.int64)
-            np.bitwise_or.at(maps[i], at >> 6, np.uint64(1) << (at & 63).astype(np.uint64))
+    def __init__(self, records: list[tuple[int, int, int, np.ndarray | None]], maps: np.ndarray | None = None, counts: np.ndarray | None = None):
+        order = sorted(range(len(records)), key=lambda i: (records[i][1], records[i][0]))
+        self.records = records = [records[i] for i in order]
+        if maps is None:
+            bits = bits_for(max(len(r[3]) for r in records))
+            maps, counts = np.stack([bitmap(r[3], bits) for r in records]), np.array([len(r[3]) for r in records])
+        else:
+            maps, counts = maps[order], counts[order]
         self.maps = maps
         self.size = np.array([r[1] for r in records])
-        self.excess = np.array([len(r[3]) for r in records]) - np.bitwise_count(maps).sum(1).astype(np.int64)
+        self.excess = counts - np.bitwise_count(maps).sum(1).astype(np.int64)
         # nodes: (first record, end, children); leaves have no children
         self.lo, self.hi, self.kids = [], [], []
         level = []
@@ -202,69 +229,116 @@ class SignatureTree:
             u, v = union.find(p[2]), union.find(q[2])
             if u == v:
                 continue
+            if p[3] is None:
+                out.append((p[0], q[0]))
+                continue
             both = len(np.intersect1d(p[3], q[3], assume_unique=True))
             if 100 * both >= PERCENT * (p[1] + q[1] - both):
                 union.up[max(u, v)] = min(u, v)
                 out.append((p[0], q[0]))
 
 
-def _join_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (block, piece, node, n, comp, items) sorted by block and piece: a tree for each."""
-    key, held = None, []
+def _verified(held: list[tuple]) -> list[tuple[int, int]]:
+    return SignatureTree([(*r[:3], r[3].view(np.int64)) for r in held]).links()
+
+
+def _possible(held: list[tuple]) -> list[tuple[int, int]]:
+    """Pairs of different components that their bitmaps allow to link.  Records of one width of bitmap are joined, and
+    with those of twice the width (sizes of linked sets differ by less), folded."""
+    out = []
+    widths = np.array([len(r[3]) for r in held])
+    for w in np.unique(widths):
+        mine = [r for r, x in zip(held, widths, strict=True) if x in (w, 2 * w)]
+        if len(mine) > 1:
+            maps = np.stack([r[3].view(np.uint64) if len(r[3]) == w else r[3].view(np.uint64).reshape(2, -1)[0] | r[3].view(np.uint64).reshape(2, -1)[1] for r in mine])
+            narrow = {r[0] for r in mine if len(r[3]) == w}
+            tree = SignatureTree([(*r[:3], None) for r in mine], maps, np.array([r[4] for r in mine]))
+            out += [p for p in tree.links() if p[0] in narrow or p[1] in narrow]
+    return out
+
+
+def _join_blocks(batches: Iterator[pa.RecordBatch], join) -> Iterator[pa.RecordBatch]:
+    """Rows (block, piece, node, n, comp, array, count) sorted by block and piece: join for each piece.
+    Pairs that a task finds again are given once."""
+    key, held, seen = None, [], set()
 
     def flush() -> Iterator[pa.RecordBatch]:
         if len(held) > 1:
-            links = SignatureTree(held).links()
+            links = {(min(p), max(p)) for p in join(held)} - seen
             if links:
+                if len(seen) < 1_000_000:
+                    seen.update(links)
                 yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in links], pa.int64()), pa.array([y for _, y in links], pa.int64())], ["a", "b"])
 
     for b in batches:
         block, piece, node, n, comp = (b.column(i).to_numpy(zero_copy_only=False) for i in range(5))
-        items = b.column(5)
+        items, count = b.column(5), b.column(6).to_numpy(zero_copy_only=False)
         at, flat = items.offsets.to_numpy(), items.values.to_numpy(zero_copy_only=False)
         for i in range(len(node)):
             k = (block[i], piece[i])
             if k != key:
                 yield from flush()
                 key, held = k, []
-            held.append((int(node[i]), int(n[i]), int(comp[i]), flat[at[i] : at[i + 1]].copy()))
+            held.append((int(node[i]), int(n[i]), int(comp[i]), flat[at[i] : at[i + 1]].copy(), int(count[i])))
     yield from flush()
 
 
-def _tree_links(rows: DataFrame) -> DataFrame:
-    """rows: block, node, n, comp, items.  Blocks above BLOCK shingles are cut into pieces, every pair of which is joined."""
-    mass = rows.groupBy("block").agg(F.count("*").alias("members"), F.sum(F.size("items")).alias("mass")).where("members > 1").select("block", F.ceil(F.col("mass") / BLOCK).cast("int").alias("pieces"))
+def _tree_join(rows: DataFrame, join) -> DataFrame:
+    """rows: block, node, n, comp, array, count.  Blocks whose arrays are above BLOCK are cut into pieces, every pair of
+    which is joined."""
+    mass = rows.groupBy("block").agg(F.count("*").alias("members"), F.sum(F.size("array")).alias("mass")).where("members > 1").select("block", F.ceil(F.col("mass") / BLOCK).cast("int").alias("pieces"))
     cut = rows.join(mass, "block").withColumn("mine", F.pmod(F.xxhash64("node", "block"), F.greatest("pieces", F.lit(1))).cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.greatest("pieces", F.lit(1)) - 1))
-    spread = cut.select("block", "node", "n", "comp", "items", "mine", "pieces", other.alias("other"))
+    spread = cut.select("block", "node", "n", "comp", "array", "count", "mine", "pieces", other.alias("other"))
     piece = F.least("mine", "other") * F.col("pieces") + F.greatest("mine", "other")
-    spread = spread.select("block", piece.cast("long").alias("piece"), "node", "n", "comp", "items")
-    return spread.repartition("block", "piece").sortWithinPartitions("block", "piece").mapInArrow(_join_blocks, "a long, b long")
+    spread = spread.select("block", piece.cast("long").alias("piece"), "node", "n", "comp", "array", "count")
+    return spread.repartition("block", "piece").sortWithinPartitions("block", "piece").mapInArrow(lambda batches: _join_blocks(batches, join), "a long, b long")
+
+
+def _maps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(node, n, comp, items) with the items' bitmap in their place."""
+    for b in batches:
+        items = b.column(3)
+        at, flat = items.offsets.to_numpy(), items.values.to_numpy(zero_copy_only=False)
+        sets = [flat[at[i] : at[i + 1]] for i in range(b.num_rows)]
+        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), _lists([bitmap(x, bits_for(len(x))) for x in sets]), pa.array([len(x) for x in sets], pa.int64())], ["node", "n", "comp", "array", "count"])
 
 
 # ---------------------------------------------------------------- the join
 
 
-def _second_pass(texts: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(node, n, items) with all shingles of the rows named by nodes, read again from the texts."""
+def _only(texts: DataFrame, nodes: DataFrame, apply, schema: str) -> DataFrame:
+    """apply, of batches (row, doc_id, text), over the rows of texts named by nodes.
+
+    A bit filter picks the rows inside the scan.  It has FILTER_BITS bits whatever the input, and may let other
+    rows through: they are copies or unlinkable, so they cost time only.  Beyond the rows it is made for, a join picks them.
+    """
+    if nodes.count() > FILTER_BITS // 8:
+        return texts.join(nodes.select(F.col("node").alias("row")), "row", "left_semi").select("row", "doc_id", "text").mapInArrow(apply, schema)
     words = nodes.select(F.pmod(F.xxhash64("node"), F.lit(FILTER_BITS)).alias("h")).select(F.shiftright("h", 6).alias("w"), F.expr("shiftleft(1L, cast(h & 63 as int))").alias("m"))
     filled = np.zeros(FILTER_BITS // 64, np.int64)
-    for r in words.groupBy("w").agg(F.bit_or("m").alias("m")).toLocalIterator():  # FILTER_BITS / 64 rows at most
-        filled[r["w"]] = r["m"]
+    for r in words.groupBy("w").agg(F.bit_or("m").alias("m")).toArrow().to_batches():  # FILTER_BITS / 64 rows at most
+        filled[r.column(0).to_numpy(zero_copy_only=False)] = r.column(1).to_numpy(zero_copy_only=False)
     shared = texts.sparkSession.sparkContext.broadcast(filled.tobytes())
-    texts = texts.withColumn("h", F.pmod(F.xxhash64("row"), F.lit(FILTER_BITS)))
 
-    def full(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def picked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = np.frombuffer(shared.value, np.uint64)
         for b in batches:
             h = b.column(3).to_numpy(zero_copy_only=False).astype(np.int64)
             b = b.filter(pa.array((bits[h >> 6] >> (h & 63).astype(np.uint64)) & np.uint64(1) == 1))
+            if b.num_rows:
+                yield b
+
+    return texts.withColumn("h", F.pmod(F.xxhash64("row"), F.lit(FILTER_BITS))).mapInArrow(lambda batches: apply(picked(batches)), schema)
+
+
+def _full(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for whole in batches:
+        for lo in range(0, whole.num_rows, 500):
+            b = whole.slice(lo, 500)
             sets = [*shingle_sets(b.column(2))]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(s) for s in sets], pa.int64()), _lists(sets)], ["node", "n", "items"])
 
-    # the filter may let other rows through, so the nodes are joined as well
-    return texts.mapInArrow(full, "node long, n long, items array<long>").join(nodes, "node", "left_semi")
-
 
 def _linkable(full: DataFrame) -> DataFrame:
     """(node, n, items, keys): items are the shingles that another node has too, keys those of the first ones by frequency.
@@ -279,15 +353,17 @@ def _linkable(full: DataFrame) -> DataFrame:
 def classes(documents: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(rows, roots): rows has row, doc_id, n, digest, node of each document; roots has node, root for nodes with links."""
     texts = documents.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    described = durable(texts.mapInArrow(_describe, "row long, doc_id long, n long, digest binary, head array<long>"), "shingles")
-    names = described.where("n > 0").groupBy("digest").agg(F.min("row").alias("node"))
-    heads = described.select(F.col("row").alias("node"), "head").join(names.select("node"), "node", "left_semi")
-    posts = heads.select(F.explode("head").alias("s"), "node").repartition("s").sortWithinPartitions("s")
-    nodes = durable(posts.mapInArrow(_shared, "node long").distinct(), "nodes")
-    found = durable(_linkable(_second_pass(texts, nodes)), "linkable")
-
-    first = found.select(F.explode(F.array_distinct(F.array(F.array_min("items"), F.array_max("items")))).alias("block"), "node", "n", F.col("node").alias("comp"), "items")
-    links = durable(_tree_links(first), "links")
+    described = durable(texts.mapInArrow(_describe, "row long, doc_id long, n long, digest binary"), "shingles")
+    names = durable(described.where("n > 0").groupBy("digest").agg(F.min("row").alias("node"), F.first("n").alias("n")), "classes")
+    posts = _only(texts, names.select("node"), _heads, "s long, node long").repartition("s").sortWithinPartitions("s")
+    counts = posts.mapInArrow(_shared, "node long, c long").groupBy("node").agg(F.sum("c").alias("c"))
+    least = F.when(F.col("n") > 4, F.expr(f"(n - (({PERCENT} * n + 99) div 100) + 1) div 4 + 1")).otherwise(1)
+    nodes = durable(counts.join(names.select("node", "n"), "node").where(F.col("c") >= least).select("node"), "nodes")
+    found = durable(_linkable(_only(texts, nodes, _full, "node long, n long, items array<long>")), "linkable")
+
+    one_more = F.array_min(F.transform("items", lambda x: F.xxhash64(x)))
+    first = found.select(F.explode(F.array_distinct(F.array(F.array_min("items"), F.array_max("items"), one_more))).alias("block"), "node", "n", F.col("node").alias("comp"), F.col("items").alias("array"), F.size("items").cast("long").alias("count"))
+    links = durable(_tree_join(first, _verified), "links")
     roots = durable(components(links), "roots")
 
     labelled = found.join(roots, "node", "left").withColumn("comp", F.coalesce("root", "node"))
@@ -295,11 +371,15 @@ def classes(documents: DataFrame) -> tuple[DataFrame, DataFrame]:
     mixed = keyed.groupBy("block").agg(F.count("*").alias("c"), F.sum(F.xxhash64("node").cast("decimal(38,0)")).alias("f"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi")
     blocks = mixed.groupBy("c", "f").agg(F.min("block").alias("block")).select("block")  # blocks of the same nodes once
     chosen = keyed.join(blocks, "block", "left_semi").select("block", "node")
-    more = _tree_links(chosen.join(labelled.select("node", "n", "comp", "items"), "node").select("block", "node", "n", "comp", "items"))
-    more = durable(more, "links")
+    maps = labelled.select("node", "n", "comp", "items").mapInArrow(_maps, "node long, n long, comp long, array array<long>, count long")
+    pairs = _tree_join(chosen.join(maps, "node").select("block", "node", "n", "comp", "array", "count"), _possible).distinct()
+    side = found.select("node", "n", "items")
+    pairs = pairs.join(side.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("items").alias("ia")), "a").join(side.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("items").alias("ib")), "b")
+    both = F.size(F.array_intersect("ia", "ib"))
+    more = durable(pairs.select("a", "b", "na", "nb", both.alias("both")).where(f"100 * both >= {PERCENT} * (na + nb - both)").select("a", "b"), "links")
     roots = durable(components(links.unionByName(more)), "roots")
     # rows without shingles have no node
-    return described.select("row", "doc_id", "n", "digest").join(names, "digest", "left"), roots
+    return described.select("row", "doc_id", "n", "digest").join(names.select("digest", "node"), "digest", "left"), roots
 
 
 def link_components(documents: DataFrame) -> DataFrame:
