@@ -1,6 +1,8 @@
-"""Queries over the driver's tables, one for each operator, and their SQL."""
+"""All queries over the driver's tables, and their SQL."""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict[str, str] = {}
+from . import q_text, q_time
+from .tables import ORACLE_SQL, QUERIES
+
+__all__ = ["ORACLE_SQL", "QUERIES", "q_text", "q_time"]
