@@ -24,9 +24,9 @@ LANGS = 64
 FEW = 5_000
 TOPICS = ("table", "list", "prose", "note")
 #: The power by which a margin's own shares are smoothed to its targets; rounds at most; error at which they end.
-SMOOTH, ROUNDS, CLOSE = 0.7, 30, 1e-4
+SMOOTH, ROUNDS, CLOSE = 0.9, 30, 1e-4
 #: Share of the wanted weight that may lie in cells whose probability is held at 1.
-HELD = 0.02
+HELD = 0.05
 
 
 def topic_of(text: Column) -> Column:

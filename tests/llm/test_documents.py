@@ -128,21 +128,22 @@ def test_line_dedup(documents, rows, empty):
     from framesift.llm.line_templates import drop_lines, report
 
     cut = lambda t: [x for x in re.split(r"(?<=\n)|(?<=[.!?] )", t) if x]
-    template = lambda x: (len(x.split()), re.sub(r"\S*[0-9]\S*", "<*>", x).strip(" \n\r\t"))
+    template = lambda x: re.sub(r"\S*[0-9]\S*", "<*>", x.strip(" \n\r\t"))
+    size = lambda x: len(template(x).split(" ")) if template(x) else 0
     key = lambda i: (1 << 63) - 1 if i is None else i
     owners: dict = {}
     for i, t in rows:
         for x in cut(t or ""):
-            if len(x.split()) >= 4:
+            if size(x) >= 4:
                 owners.setdefault(template(x), set()).add(key(i))
     want = Counter()
     for i, t in rows:
         lines = cut(t or "")
-        hit = ["k" if len(x.split()) >= 4 else "s" for x in lines]
+        hit = ["k" if size(x) >= 4 else "s" for x in lines]
         for n, x in enumerate(lines):
             o = owners.get(template(x))
             if o and min(o) < key(i):
-                hit[n] = "H" if len(x.split()) >= 8 else "h"
+                hit[n] = "H" if size(x) >= 8 else "h"
         code = "".join(hit)
         code = re.sub(r"(?<=[Hh])s{1,9}(?=[Hh])", lambda m: "x" * len(m[0]), code)
         code = re.sub(r"(?<![Hhx])h(?![Hhx])", "k", code)
@@ -151,7 +152,7 @@ def test_line_dedup(documents, rows, empty):
     assert got == want
     passage = [t for i, t in rows if i in (300, 301)]
     shared = set(cut(passage[0])) & set(cut(passage[1]))
-    assert shared and all(not any(s in (t or "") for s in shared if len(s.split()) >= 8) for (i, t) in got if i and 301 <= i <= 309)
+    assert shared and all(not any(s in (t or "") for s in shared if size(s) >= 8) for (i, t) in got if i and 301 <= i <= 309)
     kept = drop_lines(documents)
     assert kept.columns == documents.columns
     blank = lambda t: t is None or not t.strip()
@@ -378,7 +379,7 @@ def test_mixture_margins_match_a_brute_force_rake(spark):
     t = out.n_tokens.groupby([out.source, out.lang, out.topic]).sum()
     total = w.sum()
     for level in ("source", "lang", "topic"):
-        share = t.groupby(level).sum() ** 0.7
+        share = t.groupby(level).sum() ** 0.9
         share /= share.sum()
         got = w.groupby(level).sum() / total
         assert abs(got - share).max() < 0.02, (level, got, share)
