@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -20,8 +21,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 WINDOW, END = 2048, 1
+#: Stands between words that are encoded together; one token.
+MARK = "\x01"
 #: Words whose ids a worker remembers.
-REMEMBERED = 600_000
+REMEMBERED = 1_200_000
 _loaded: dict[str, WordIds] = {}
 
 
@@ -29,49 +32,63 @@ class WordIds:
     """Ids of texts from a tokenizers file whose pre-tokens never hold white space; remembers the ids of words."""
 
     def __init__(self, path: str):
+        import os
+
         from tokenizers import Tokenizer
 
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
         self.model = Tokenizer.from_file(path)
+        (self.mark,) = self.model.encode(MARK, add_special_tokens=False).ids
         self.clear()
 
     def clear(self) -> None:
+        # number 0 is the empty word, number 1 the end of a text
         self.known: dict[str, int] = {"": 0}
-        self.at, self.size, self.flat, self.used, self.n = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64), np.zeros(1 << 18, np.uint32), 0, 1
+        self.at, self.size, self.flat, self.used, self.n = np.zeros(1 << 16, np.int32), np.zeros(1 << 16, np.int32), np.zeros(1 << 18, np.uint32), 1, 2
+        self.flat[0], self.size[1] = END, 1
 
     def _learn(self, words: list[str]) -> None:
-        for lo in range(0, len(words), 10_000):
-            part = words[lo : lo + 10_000]
-            ids = [e.ids for e in self.model.encode_batch_fast(part, add_special_tokens=False)]
-            size = np.array([len(x) for x in ids], np.int64)
-            total = int(size.sum())
+        """The words stand in a few long lines with a mark between, whose id parts the ids."""
+        for lo in range(0, len(words), 100_000):
+            part = words[lo : lo + 100_000]
+            lines = [part[i : i + 2000] for i in range(0, len(part), 2000)]
+            flat = np.concatenate([np.array(e.ids, np.uint32) for e in self.model.encode_batch_fast([f" {MARK} ".join([*x, ""]) for x in lines], add_special_tokens=False)])
+            ends = np.flatnonzero(flat == self.mark)
+            if len(ends) != len(part):  # a word holds the mark, or gives its id
+                ids = [e.ids for e in self.model.encode_batch_fast(part, add_special_tokens=False)]
+                size, flat = np.array([len(x) for x in ids]), np.array([y for x in ids for y in x], np.uint32)
+            else:
+                size, flat = np.diff(ends, prepend=-1) - 1, flat[flat != self.mark]
             while self.n + len(part) > len(self.at):
                 self.at, self.size = np.concatenate([self.at, self.at]), np.concatenate([self.size, self.size])
-            while self.used + total > len(self.flat):
+            while self.used + len(flat) > len(self.flat):
                 self.flat = np.concatenate([self.flat, self.flat])
-            self.flat[self.used : self.used + total] = np.fromiter((y for x in ids for y in x), np.uint32, total)
+            self.flat[self.used : self.used + len(flat)] = flat
             self.at[self.n : self.n + len(part)] = self.used + np.concatenate([[0], np.cumsum(size)[:-1]])
             self.size[self.n : self.n + len(part)] = size
             self.known.update(zip(part, range(self.n, self.n + len(part)), strict=True))
-            self.n, self.used = self.n + len(part), self.used + total
+            self.n, self.used = self.n + len(part), self.used + len(flat)
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All ids in one array, with END after each text, and each text's end in it."""
-        lists = [t.replace("\n", " ").split(" ") for t in texts]
-        known = self.known
-        new = list({w for x in lists for w in x if w not in known})
-        if len(known) + len(new) > REMEMBERED:
-            self.clear()
-            known = self.known
-            new = list({w for x in lists for w in x if w})
-        self._learn(new)
-        get = known.__getitem__
-        number = np.fromiter((i for x in lists for i in map(get, x)), np.int64, sum(map(len, lists)))
+        if not texts:
+            return self.flat[:0], np.zeros(0, np.int64)
+        texts = [t.replace("\n", " ") for t in texts]
+        words, counts = " ".join(texts).split(" "), [t.count(" ") + 1 for t in texts]
+        number = np.fromiter(map(self.known.get, words, repeat(-1)), np.int32, len(words))
+        if len(missing := np.flatnonzero(number < 0)):
+            new = {words[i] for i in missing.tolist()}
+            if len(self.known) + len(new) > REMEMBERED:
+                self.clear()
+                new = {w for w in words if w}
+                missing = np.arange(len(words))
+            self._learn(list(new))
+            number[missing] = np.fromiter((self.known[words[i]] for i in missing.tolist()), np.int32, len(missing))
+        number = np.insert(number, np.cumsum(counts), 1)
         size = self.size[number]
-        ends = np.concatenate([[0], np.cumsum(size)])
-        texts_at = np.cumsum([len(x) for x in lists])
-        place = np.repeat(self.at[number] - ends[:-1], size) + np.arange(ends[-1])
-        ids = np.insert(self.flat[place], ends[texts_at], np.uint32(END)) if len(texts) else self.flat[:0]
-        return ids, ends[texts_at] + np.arange(1, len(texts) + 1)
+        ends = np.cumsum(size, dtype=np.int32)
+        place = np.repeat(self.at[number] - (ends - size), size) + np.arange(ends[-1], dtype=np.int32)
+        return self.flat[place], ends[np.cumsum(np.array(counts) + 1) - 1].astype(np.int64)
 
 
 def word_ids(path: str) -> WordIds:
