@@ -1,8 +1,8 @@
 """Line dedup by a log-template tree.  DataFrame functions only.
 
 A text is parsed into lines: its line-end-terminated lines, cut further after sentence ends.  A line walks down a tree of
-fixed depth, by its number of tokens and then its leading tokens, to a leaf that holds templates: the line with
-its variable fields (tokens with a digit) generalised.  A template that recurs across documents stays in the
+fixed depth, by its number of tokens (parts between spaces) and then its leading tokens, to a leaf that holds templates: the
+line with its variable fields (tokens with a digit) generalised.  A template that recurs across documents stays in the
 document with the smallest doc_id and is dropped from the others.  Lines below LEAST tokens are no templates of their own
 (short phrases recur by chance); they go with the dropped lines around them, and a lone line goes only from ALONE
 tokens on.
@@ -16,25 +16,37 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import durable
+
 LEAST, ALONE, DEPTH = 4, 8, 2
 LINE_ENDS = r"(?<=\n)|(?<=[.!?] )"
 FIELD = r"\S*[0-9]\S*"
+_CUT = "\x01"
 _LAST = (1 << 63) - 1
 
 
 def lines_of(text: Column) -> Column:
-    return F.split(text, LINE_ENDS, -1)
+    """Lines and sentences, each with what ends it.  A mark that the text doesn't hold is put after each end, which is much
+    cheaper than a pattern; texts with the mark go by the pattern."""
+    marked = text
+    for end in ("\n", ". ", "! ", "? "):
+        marked = F.replace(marked, F.lit(end), F.lit(end + _CUT))
+    return F.when(text.contains(_CUT), F.split(text, LINE_ENDS, -1)).otherwise(F.split(marked, _CUT, -1))
+
 
+def trimmed(line: Column) -> Column:
+    """Without the spaces and the line end around it."""
+    return F.trim(F.replace(line, F.lit("\n"), F.lit(" ")))
 
-def tokens_in(line: Column) -> Column:
-    return F.regexp_count(line, F.lit(r"\S+"))
 
+def is_short(template: Column) -> Column:
+    """Whether a trimmed line has fewer than LEAST tokens, which are the parts between spaces."""
+    return F.substring_index(template, " ", LEAST - 1) == template
 
-def leaf_of(line: Column, tokens: Column) -> Column:
+
+def leaf_of(template: Column, tokens: Column) -> Column:
     """The tree's path (token count, leading tokens) and the template, as one hash."""
-    template = F.trim(F.when(line.rlike("[0-9]"), F.regexp_replace(line, FIELD, "<*>")).otherwise(line), F.lit(" \n\r\t"))
-    lead = F.substring_index(template, " ", DEPTH)
-    return F.xxhash64(tokens, lead, template)
+    return F.xxhash64(tokens, F.substring_index(template, " ", DEPTH), template)
 
 
 def _numbered(documents: DataFrame) -> DataFrame:
@@ -42,34 +54,37 @@ def _numbered(documents: DataFrame) -> DataFrame:
 
 
 def marked(documents: DataFrame) -> DataFrame:
-    """__row, doc, __text and __hits: positions and codes of the recurring lines that a row loses (null without any)."""
+    """doc, __text and __hits: positions and codes of the recurring lines that a row loses (null without any).
+
+    documents must be a plain read of stored files: rows are named by their place in the scan.
+    """
     rows = _numbered(documents)
-    lines = rows.select("__row", "__key", F.posexplode(lines_of(F.col("__text"))).alias("pos", "line")).withColumn("n", tokens_in(F.col("line"))).where(F.col("n") >= LEAST)
-    lines = lines.select("__row", "__key", "pos", (F.col("n") >= ALONE).alias("long"), leaf_of(F.col("line"), F.col("n")).alias("leaf"))
-    # aggregated before its shuffle; the join's hot leaves are split by adaptive execution
+    lines = rows.select("__row", "__key", F.posexplode(lines_of(F.col("__text"))).alias("pos", "line")).withColumn("line", trimmed(F.col("line"))).where(~is_short(F.col("line")))
+    lines = lines.withColumn("line", F.when(F.col("line").rlike("[0-9]"), F.regexp_replace("line", FIELD, "<*>")).otherwise(F.col("line"))).withColumn("n", F.length("line") - F.length(F.replace("line", F.lit(" "), F.lit(""))) + 1)
+    lines = durable(lines.select("__row", "__key", "pos", "n", leaf_of(F.col("line"), F.col("n")).alias("leaf")), "lines")
+    # aggregated before its shuffle; the joins' streamed sides are not sorted, and hot leaves are split by adaptive execution
     recurring = lines.groupBy("leaf").agg(F.min("__key").alias("owner"), F.max("__key").alias("last")).where("owner < last").select("leaf", "owner")
-    hits = lines.join(recurring, "leaf").where("__key > owner").groupBy("__row").agg(F.collect_list(F.struct("pos", F.when(F.col("long"), "H").otherwise("h").alias("code"))).alias("__hits"))
-    return rows.join(hits, "__row", "left")
+    hits = lines.join(recurring.hint("shuffle_hash"), "leaf").where("__key > owner").groupBy("__row").agg(F.collect_list(F.struct("pos", F.when(F.col("n") >= ALONE, "H").otherwise("h").alias("code"))).alias("__hits"))
+    return rows.join(hits.hint("shuffle_hash"), "__row", "left")
 
 
 def rebuilt(text: Column, hits: Column) -> Column:
-    """(kept text, lines, dropped lines) of a text with hits."""
+    """(kept text, dropped lines) of a text with hits."""
     lines = lines_of(text)
-    base = F.transform(lines, lambda x, i: F.struct(i.alias("pos"), F.when(tokens_in(x) < LEAST, "s").otherwise("k").alias("code")))
+    base = F.transform(lines, lambda x, i: F.struct(i.alias("pos"), F.when(is_short(trimmed(x)), "s").otherwise("k").alias("code")))
     # H and h sort before the line's own k
     codes = F.regexp_replace(F.array_join(F.transform(F.array_sort(F.concat(base, hits)), lambda x: x["code"]), ""), "([Hh])k", "$1")
     codes = F.regexp_replace(codes, "(?<=[Hh]s{0,8})s(?=s{0,8}[Hh])", "x")
     codes = F.regexp_replace(codes, "(?<![Hhx])h(?![Hhx])", "k")
     pairs = F.zip_with(lines, F.split(codes, ""), lambda line, code: F.struct(line.alias("line"), code.alias("code")))
     kept = F.filter(pairs, lambda p: p["code"].isin("k", "s"))
-    return F.struct(F.array_join(F.transform(kept, lambda p: p["line"]), "").alias("text"), F.size(pairs).alias("lines"), (F.size(pairs) - F.size(kept)).alias("dropped"))
+    return F.struct(F.array_join(F.transform(kept, lambda p: p["line"]), "").alias("text"), (F.size(pairs) - F.size(kept)).alias("dropped"))
 
 
 def report(documents: DataFrame) -> DataFrame:
-    """doc_id, n_lines, n_dropped and the text that stays, for each row of documents."""
+    """doc_id, n_dropped and the text that stays, for each row of documents."""
     out = marked(documents).withColumn("r", F.when(F.col("__hits").isNotNull(), rebuilt(F.col("__text"), F.col("__hits"))))
-    whole = F.when(F.length("__text") > 0, F.size(lines_of(F.col("__text")))).otherwise(0)
-    return out.select(F.col("doc.doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("r.lines"), whole).cast("long").alias("n_lines"), F.coalesce(F.col("r.dropped"), F.lit(0)).cast("long").alias("n_dropped"), F.coalesce("r.text", "__text").alias("text"))
+    return out.select(F.col("doc.doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("r.dropped"), F.lit(0)).cast("long").alias("n_dropped"), F.coalesce("r.text", "__text").alias("text"))
 
 
 def drop_lines(documents: DataFrame) -> DataFrame:

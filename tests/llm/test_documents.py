@@ -128,7 +128,7 @@ def test_line_dedup(documents, rows, empty):
     from framesift.llm.line_templates import drop_lines, report
 
     cut = lambda t: [x for x in re.split(r"(?<=\n)|(?<=[.!?] )", t) if x]
-    template = lambda x: re.sub(r"\S*[0-9]\S*", "<*>", x.strip(" \n\r\t"))
+    template = lambda x: re.sub(r"\S*[0-9]\S*", "<*>", x.replace("\n", " ").strip(" "))
     size = lambda x: len(template(x).split(" ")) if template(x) else 0
     key = lambda i: (1 << 63) - 1 if i is None else i
     owners: dict = {}
