@@ -387,8 +387,9 @@ def link_components(documents: DataFrame) -> DataFrame:
     rows, roots = classes(documents)
     rows = rows.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node", "row"))
     rows = durable(rows.select("row", "doc_id", "n", "root"), "rows")
-    # the smallest doc_id, then the smallest row; nulls last
+    # the smallest doc_id, then the smallest row; nulls last.  Written, so that the join's hot roots can be split.
     least = rows.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("empty"), "doc_id", "row")).alias("least"))
+    least = durable(least, "least")
     return rows.join(least, "root").select("row", "doc_id", F.col("n").alias("n_shingles"), F.col("least.doc_id").alias("component_id"), (F.col("least.row") == F.col("row")).alias("is_first"))
 
 
