@@ -92,7 +92,7 @@ def youtube_id(x: Column) -> Column:
 def tags(x: Column) -> Column:
     """Tags from a JSON list or from a string cut at , ; or |."""
     parts = F.when(F.trim(x).startswith("["), F.from_json(x, "array<string>")).otherwise(F.split(x, r"[,;|]"))
-    return F.filter(F.transform(parts, F.trim), lambda t: t != "")
+    return F.filter(F.transform(parts, lambda t: F.trim(t)), lambda t: t != "")
 
 
 def alias_variants(x: Column) -> Column:

@@ -110,7 +110,7 @@ def field_tokens(field: Column, value: Column) -> Column:
 
 def quoted_phrases(x: Column) -> Column:
     """Phrases between straight or curly double quotes."""
-    return F.filter(F.transform(F.regexp_extract_all(x, F.lit('["“”]([^"“”]+)["“”]'), F.lit(1)), F.trim), lambda p: p != "")
+    return F.filter(F.transform(F.regexp_extract_all(x, F.lit('["“”]([^"“”]+)["“”]'), F.lit(1)), lambda p: F.trim(p)), lambda p: p != "")
 
 
 def has_phrase(text_tokens: Column, phrase: Column) -> Column:

@@ -84,20 +84,24 @@ def run_state(modules: DataFrame) -> DataFrame:
 
 
 def replay(events: DataFrame, most: int = MAX_EVENTS) -> DataFrame:
-    """Sessions after their events (session_id, seq, kind, payload): start, refine (at most `most` active), undo, reset, confirm.
+    """Sessions after their events (session_id, seq, kind, payload): start, refine, undo, reset, confirm.
 
-    State is the list of active refinements and the revision, which each accepted event raises.  A refine beyond the
-    limit, and an undo or reset of nothing, are refused.
+    State is the list of active refinements and the revision, which starts at 0 and each refine, undo and reset raises; undo
+    and reset of nothing do so too.  A refine beyond `most` active ones is refused, as is, where events have the column
+    expected_revision, one that doesn't name the current revision.  The first confirmation stands.
     """
-    ordered = F.array_sort(F.collect_list(F.struct("seq", "kind", "payload")))
-    start = F.struct(F.array().cast("array<string>").alias("active"), F.lit(0).alias("revision"), F.lit(0).alias("refused"), F.lit(None).cast("string").alias("confirmed"))
+    checked = "expected_revision" in events.columns
+    expected = F.col("expected_revision").cast("int") if checked else F.lit(None).cast("int")
+    ordered = F.array_sort(F.collect_list(F.struct("seq", "kind", "payload", expected.alias("expected"))))
+    none = F.array().cast("array<string>")
+    start = F.struct(none.alias("active"), F.lit(0).alias("revision"), F.lit(0).alias("refused"), F.lit(None).cast("string").alias("confirmed"))
 
     def step(s: Column, e: Column) -> Column:
         n = F.size(s["active"])
-        ok = F.when(e["kind"] == "refine", n < most).when(e["kind"].isin("undo", "reset"), n > 0).otherwise(e["kind"].isin("start", "confirm"))
-        active = F.when(~ok, s["active"]).when(e["kind"] == "refine", F.concat(s["active"], F.array(e["payload"]))).when(e["kind"] == "undo", F.slice(s["active"], F.lit(1), F.greatest(n - 1, F.lit(0)))).when(e["kind"].isin("reset", "start"), F.array().cast("array<string>")).otherwise(s["active"])
-        raised = ok & (e["kind"] != "confirm")
-        return F.struct(active.alias("active"), (s["revision"] + F.when(raised, 1).otherwise(0)).alias("revision"), (s["refused"] + F.when(ok, 0).otherwise(1)).alias("refused"), F.when(e["kind"] == "confirm", F.coalesce(s["confirmed"], e["payload"])).otherwise(s["confirmed"]).alias("confirmed"))
+        ok = ~((e["kind"] == "refine") & (n >= most)) & (e["expected"].isNull() | (e["expected"] == s["revision"]))
+        active = F.when(~ok, s["active"]).when(e["kind"] == "refine", F.concat(s["active"], F.array(e["payload"]))).when(e["kind"] == "undo", F.slice(s["active"], F.lit(1), F.greatest(n - 1, F.lit(0)))).when(e["kind"].isin("reset", "start"), none).otherwise(s["active"])
+        raised = ok & e["kind"].isin("refine", "undo", "reset")
+        return F.struct(active.alias("active"), (s["revision"] + F.when(raised, 1).otherwise(0)).alias("revision"), (s["refused"] + F.when(ok, 0).otherwise(1)).alias("refused"), F.when(ok & (e["kind"] == "confirm"), F.coalesce(s["confirmed"], e["payload"])).otherwise(s["confirmed"]).alias("confirmed"))
 
     return events.groupBy("session_id").agg(ordered.alias("e")).select("session_id", F.aggregate("e", start, step).alias("s")).select("session_id", "s.*")
 

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-#: Width of the time buckets of interval joins (ms).
+#: Width of the time buckets of interval joins (ms); near the length of most intervals, so that few buckets hold each.
 BUCKET = 60_000
 
 
@@ -108,10 +108,10 @@ def frame_segments(frames: DataFrame, segments: DataFrame) -> DataFrame:
     return line.join(linked, ["video_id", "frame_id"], "left").withColumn("segments", F.coalesce("segments", F.array().cast("array<string>")))
 
 
-def overlapping_shots(segments: DataFrame, shots: DataFrame) -> DataFrame:
+def overlapping_shots(segments: DataFrame, shots: DataFrame, width: int = BUCKET) -> DataFrame:
     """segments with the shots they overlap, by start."""
     s = shots.select("video_id", F.col("shot_id").alias("__shot"), F.col("start_timestamp_ms").alias("__a"), F.col("end_timestamp_ms").alias("__b"))
-    met = interval_join(segments, s, ("start_ms", "end_ms"), ("__a", "__b"))
+    met = interval_join(segments, s, ("start_ms", "end_ms"), ("__a", "__b"), width=width)
     out = met.groupBy("segment_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("__a", "__shot"))), lambda x: x["__shot"]).alias("shots"))
     return segments.join(out, "segment_id", "left").withColumn("shots", F.coalesce("shots", F.array().cast("array<string>")))
 
@@ -122,7 +122,7 @@ def context(segments: DataFrame, target_ids: list[str], radius: int) -> DataFram
     return interval_join(segments, F.broadcast(target), ("start_ms", "end_ms"), ("__a", "__b")).drop("__a", "__b").orderBy("target_id", "start_ms", "end_ms")
 
 
-def segment_links(segments: DataFrame, frames: DataFrame, shots: DataFrame, media: DataFrame) -> DataFrame:
+def segment_links(segments: DataFrame, frames: DataFrame, shots: DataFrame, media: DataFrame, width: int = BUCKET) -> DataFrame:
     """The link row of each segment: representative (nearest to the middle), frame before its start and after its end,
     frames inside and shots overlapped.  Ends are clamped to the duration; a start beyond it is an error."""
     s = segments.join(media.select("video_id", "duration_ms"), "video_id")
@@ -131,7 +131,7 @@ def segment_links(segments: DataFrame, frames: DataFrame, shots: DataFrame, medi
     middle = as_of(probe(F.floor((F.col("start_ms") + F.col("end_ms")) / 2)), frames).select(F.col("probe_id").alias("segment_id"), F.col("nearest.frame_id").alias("representative_frame_id"))
     before = as_of(probe(F.col("start_ms")), frames).select(F.col("probe_id").alias("segment_id"), F.col("before.frame_id").alias("before_frame_id"))
     after = as_of(probe(F.col("end_ms")), frames).select(F.col("probe_id").alias("segment_id"), F.col("after.frame_id").alias("after_frame_id"))
-    return contained_frames(s, frames).join(overlapping_shots(s, shots).select("segment_id", "shots"), "segment_id").join(middle, "segment_id").join(before, "segment_id").join(after, "segment_id")
+    return contained_frames(s, frames).join(overlapping_shots(s, shots, width).select("segment_id", "shots"), "segment_id").join(middle, "segment_id").join(before, "segment_id").join(after, "segment_id")
 
 
 def interval_keyframes(requests: DataFrame, frames: DataFrame) -> DataFrame:
@@ -144,7 +144,7 @@ def interval_keyframes(requests: DataFrame, frames: DataFrame) -> DataFrame:
     return out.withColumn("frames", F.when(F.size("frames") > 0, F.col("frames")).otherwise(F.array_distinct(F.array("__a", "__b")))).drop("__a", "__b")
 
 
-def window_by_radius(requests: DataFrame, frames: DataFrame, shots: DataFrame, segments: DataFrame, media: DataFrame) -> DataFrame:
+def window_by_radius(requests: DataFrame, frames: DataFrame, shots: DataFrame, segments: DataFrame, media: DataFrame, width: int = BUCKET) -> DataFrame:
     """requests (segment_id, video_id, t, radius) as windows clamped to the media: representative, keyframes, shots in the
     order of the frames, overlapping segments, and whether the window was clamped."""
     r = requests.join(media.select("video_id", "duration_ms"), "video_id")
@@ -152,9 +152,9 @@ def window_by_radius(requests: DataFrame, frames: DataFrame, shots: DataFrame, s
     r = r.withColumn("clamped", (F.col("t") - F.col("radius") < 0) | (F.col("t") + F.col("radius") > F.col("duration_ms"))).drop("duration_ms")
     keyed = interval_keyframes(r, frames)
     near = as_of(r.select(F.col("segment_id").alias("probe_id"), "video_id", "t"), frames).select(F.col("probe_id").alias("segment_id"), F.col("nearest.frame_id").alias("representative_frame_id"))
-    seen = overlapping_shots(r, shots).select("segment_id", "shots")
+    seen = overlapping_shots(r, shots, width).select("segment_id", "shots")
     said = segments.select("video_id", F.col("segment_id").alias("__segment"), F.col("start_ms").alias("__a"), F.col("end_ms").alias("__b"))
-    spoken = interval_join(r, said, ("start_ms", "end_ms"), ("__a", "__b")).groupBy("segment_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("__a", "__segment"))), lambda x: x["__segment"]).alias("asr"))
+    spoken = interval_join(r, said, ("start_ms", "end_ms"), ("__a", "__b"), width=width).groupBy("segment_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("__a", "__segment"))), lambda x: x["__segment"]).alias("asr"))
     return keyed.join(near, "segment_id").join(seen, "segment_id").join(spoken, "segment_id", "left").withColumn("asr", F.coalesce("asr", F.array().cast("array<string>")))
 
 

@@ -9,6 +9,8 @@ from ..functions import scalars as S
 from ..operators import policies, sequences, temporal
 from .tables import EVENTS, FRAMES, PROBES, SEGMENTS, SHOTS, events, frames, media, probes, query, segments, shots
 
+#: Shots last days here.
+DAY = 86_400_000
 _FT = "select video_id, timestamp_ms, min(frame_id) as first, max(frame_id) as last from fr group by all"
 
 
@@ -57,7 +59,7 @@ def frame_segments(spark, sf_dir):
 def segment_shots(spark, sf_dir):
     """Shots that each segment overlaps."""
     s = shots(spark, sf_dir)
-    out = temporal.overlapping_shots(segments(spark, sf_dir), s).select("segment_id", F.col("shots"))
+    out = temporal.overlapping_shots(segments(spark, sf_dir), s, DAY).select("segment_id", F.col("shots"))
     first = out.select("segment_id", F.get("shots", F.lit(0)).alias("shot_id")).join(s.select("shot_id", "start_timestamp_ms"), "shot_id", "left")
     return out.join(first.select("segment_id", F.col("start_timestamp_ms").alias("first_start")), "segment_id").select("segment_id", F.size("shots").cast("long").alias("n_shots"), "first_start")
 
@@ -90,7 +92,7 @@ select cast(w.probe_id as varchar) as segment_id, start_ms, end_ms, clamped, (se
 def window_by_radius(spark, sf_dir):
     """An hour around each probe, clamped to the media, with what lies in it."""
     r = probes(spark, sf_dir).select(F.col("probe_id").cast("string").alias("segment_id"), "video_id", "t", F.lit(3600000).alias("radius"))
-    out = temporal.window_by_radius(r, frames(spark, sf_dir), shots(spark, sf_dir), segments(spark, sf_dir), media(spark, sf_dir))
+    out = temporal.window_by_radius(r, frames(spark, sf_dir), shots(spark, sf_dir), segments(spark, sf_dir), media(spark, sf_dir), DAY)
     return out.select("segment_id", F.col("start_ms").cast("long").alias("start_ms"), F.col("end_ms").cast("long").alias("end_ms"), "clamped", F.size("asr").cast("long").alias("n_asr"), F.size("shots").cast("long").alias("n_shots"))
 
 
@@ -125,7 +127,7 @@ def near_in_time(spark, sf_dir):
 def segment_links(spark, sf_dir):
     """Link rows of all segments."""
     s = segments(spark, sf_dir).join(media(spark, sf_dir), "video_id").where("start_ms <= duration_ms").drop("duration_ms")
-    out = temporal.segment_links(s, frames(spark, sf_dir), shots(spark, sf_dir), media(spark, sf_dir))
+    out = temporal.segment_links(s, frames(spark, sf_dir), shots(spark, sf_dir), media(spark, sf_dir), DAY)
     return out.select("segment_id", "representative_frame_id", "before_frame_id", "after_frame_id", F.size("frames").alias("n_frames"), F.size("shots").alias("n_shots"))
 
 
@@ -231,7 +233,7 @@ def audit_sample(spark, sf_dir):
 @query(f"with {SHOTS}, u as (select sh.shot_id, f.timestamp_ms as t from sh join fr f on f.video_id = sh.video_id and f.timestamp_ms between sh.start_timestamp_ms and sh.end_timestamp_ms union all select shot_id, start_timestamp_ms from sh union all select shot_id, end_timestamp_ms from sh), g as (select shot_id, lead(t) over (partition by shot_id order by t) - t as gap from u) select shot_id, cast(coalesce(max(gap), 0) as bigint) as largest_gap_ms from g group by shot_id")
 def largest_gap(spark, sf_dir):
     s = shots(spark, sf_dir).select("video_id", "shot_id", F.col("start_timestamp_ms").alias("start_ms"), F.col("end_timestamp_ms").alias("end_ms"))
-    f = temporal.interval_join(frames(spark, sf_dir).select("video_id", "frame_id", "timestamp_ms"), s, ("timestamp_ms", "timestamp_ms"), ("start_ms", "end_ms"), width=86400000)
+    f = temporal.interval_join(frames(spark, sf_dir).select("video_id", "frame_id", "timestamp_ms"), s, ("timestamp_ms", "timestamp_ms"), ("start_ms", "end_ms"), width=DAY)
     return sequences.largest_gap(f.select("video_id", "shot_id", "timestamp_ms"), s).select("shot_id", "largest_gap_ms")
 
 
@@ -269,7 +271,7 @@ def perceptual_dedup(spark, sf_dir):
 @query()
 def gap_filling(spark, sf_dir):
     s = shots(spark, sf_dir).select("video_id", "shot_id", F.col("start_timestamp_ms").alias("start_ms"), F.col("end_timestamp_ms").alias("end_ms"))
-    f = temporal.interval_join(frames(spark, sf_dir).select("video_id", "frame_id", "timestamp_ms"), s, ("timestamp_ms", "timestamp_ms"), ("start_ms", "end_ms"), width=86400000).select("video_id", "shot_id", "frame_id", "timestamp_ms")
+    f = temporal.interval_join(frames(spark, sf_dir).select("video_id", "frame_id", "timestamp_ms"), s, ("timestamp_ms", "timestamp_ms"), ("start_ms", "end_ms"), width=DAY).select("video_id", "shot_id", "frame_id", "timestamp_ms")
     first = f.groupBy("video_id", "shot_id").agg(F.min_by(F.struct("frame_id", "timestamp_ms"), F.struct("timestamp_ms", "frame_id")).alias("f")).select("video_id", "shot_id", "f.*")
     return sequences.fill_gaps(first, f, s, 86400000)
 

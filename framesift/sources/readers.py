@@ -27,8 +27,9 @@ def json_lines(spark: SparkSession, path: str, schema: T.StructType) -> DataFram
 def json_faults(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
     """(file, line text) of rows that don't parse."""
     wide = T.StructType([*schema.fields, T.StructField("__bad", T.StringType())])
-    rows = spark.read.schema(wide).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "__bad").json(path)
-    return rows.withColumn("file", F.input_file_name()).where("__bad is not null").select("file", F.col("__bad").alias("line"), F.col(schema.fields[0].name).alias("first_field"))
+    rows = spark.read.text(path).withColumn("file", F.input_file_name()).where(F.trim("value") != "")
+    parsed = F.from_json("value", wide, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "__bad"})
+    return rows.withColumn("r", parsed).where("r.__bad is not null").select("file", F.col("value").alias("line"))
 
 
 def table(spark: SparkSession, path: str, schema: T.StructType | None = None) -> DataFrame:

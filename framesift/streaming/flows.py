@@ -52,10 +52,10 @@ def sessions(events: DataFrame, time: str, expire_ms: int = 24 * 3600 * 1000, mo
         active = list(active)
         rows = pd.concat([*batches])
         for kind, payload in rows.sort_values(time)[["kind", "payload"]].itertuples(index=False):
-            ok = len(active) < most if kind == "refine" else bool(active) if kind in ("undo", "reset") else kind == "start"
-            if ok:
-                active = [*active, payload] if kind == "refine" else active[:-1] if kind == "undo" else []
-                revision += 1
+            if kind == "refine" and len(active) >= most:
+                continue
+            active = [*active, payload] if kind == "refine" else active[:-1] if kind == "undo" else active if kind == "confirm" else []
+            revision += kind in ("refine", "undo", "reset")
         state.update((revision, active))
         state.setTimeoutDuration(expire_ms)
         yield pd.DataFrame({"session_id": [key[0]], "revision": [revision], "active": [active]})
