@@ -34,11 +34,13 @@ class Index:
     stats: DataFrame
     vocabulary: DataFrame
     weights: dict[str, float] = field(default_factory=dict)
+    tokens: DataFrame | None = None
 
     def persisted(self) -> Index:
         """The tables kept for several passes of a search; lost parts are made anew."""
         for t in (self.postings, self.lengths):
             t.persist()
+        self.tokens = None
         self.stats, self.vocabulary = field_statistics(self.lengths).persist(), document_frequency(self.postings).persist()
         return self
 
@@ -55,7 +57,17 @@ def build(documents: DataFrame, fields: dict[str, object], weights: dict[str, fl
     tokens = values.select("doc_id", "field", T.field_tokens(F.col("field"), F.col("value")).alias("tokens"))
     lengths = tokens.select("doc_id", "field", F.size("tokens").cast("long").alias("length"))
     postings = tokens.select("doc_id", "field", F.explode("tokens").alias("term")).groupBy("doc_id", "field", "term").agg(F.count("*").alias("tf"))
-    return Index(documents, values, postings, lengths, field_statistics(lengths), document_frequency(postings), weights or {})
+    return Index(documents, values, postings, lengths, field_statistics(lengths), document_frequency(postings), weights or {}, tokens)
+
+
+def met_postings(index: Index, terms: DataFrame) -> DataFrame:
+    """The postings of terms (field, term, ...), with the terms' other columns and the field's length.  Of an index that isn't stored, only the
+    tokens that the terms meet are counted."""
+    if index.tokens is None:
+        return index.postings.join(terms, ["field", "term"]).join(index.lengths, ["doc_id", "field"])
+    others = [c for c in terms.columns if c not in ("field", "term")]
+    met = index.tokens.select("doc_id", "field", F.size("tokens").cast("long").alias("length"), F.explode("tokens").alias("term")).join(terms, ["field", "term"])
+    return met.groupBy("doc_id", "field", "term", *others).agg(F.count("*").alias("tf"), F.first("length").alias("length"))
 
 
 def document_frequency(postings: DataFrame) -> DataFrame:
@@ -99,9 +111,9 @@ def weight(index: Index):
 def contributions(index: Index, terms: DataFrame, k1: float = K1, b: float = B) -> DataFrame:
     """(doc_id, field, term, mode, value) of the postings that terms meet."""
     terms = F.broadcast(terms)  # a query's own terms
-    met = index.postings.join(terms, ["field", "term"])
+    met = met_postings(index, terms)
     df = met.groupBy("field", "term").agg(F.countDistinct("doc_id").alias("df"))
-    met = met.join(df, ["field", "term"]).join(F.broadcast(index.stats), "field").join(index.lengths, ["doc_id", "field"])
+    met = met.join(df, ["field", "term"]).join(F.broadcast(index.stats), "field")
     value = bm25(F.col("tf"), F.col("df"), F.col("n_docs"), F.col("length"), F.col("avg_length"), k1, b) * F.col("boost") * weight(index)
     return met.select("doc_id", "field", "term", "mode", value.alias("value"))
 
@@ -113,8 +125,13 @@ def phrase_hits(index: Index, query: str) -> DataFrame:
     phrases = spark.range(1).select(F.explode(F.when(F.size(quoted) > 0, F.transform(quoted, T.token_string)).otherwise(F.when(F.size(T.tokens(F.lit(query))) >= 2, F.array(T.token_string(F.lit(query)))).otherwise(F.array().cast("array<string>")))).alias("phrase")).distinct()
     # the first token is met in the postings before the phrase is looked for
     first = phrases.select(F.split("phrase", " ")[0].alias("term"), "phrase")
-    near = index.postings.where(~F.col("field").endswith("char_ngrams")).join(F.broadcast(first), "term").select("doc_id", "field", "phrase").distinct()
-    met = near.join(index.values, ["doc_id", "field"]).where(T.has_phrase(T.token_string(F.col("value")), F.col("phrase")))
+    near = F.broadcast(first.distinct())
+    words = index.values.where(~F.col("field").endswith("char_ngrams"))
+    if index.tokens is None:
+        met = index.postings.where(~F.col("field").endswith("char_ngrams")).join(near, "term").select("doc_id", "field", "phrase").distinct().join(words, ["doc_id", "field"])
+    else:
+        met = words.join(near.select("phrase"), F.lit(True))  # a query's own phrases, met in the scan
+    met = met.where(T.has_phrase(T.token_string(F.col("value")), F.col("phrase")))
     return met.select("doc_id", "field", F.col("phrase").alias("term"), F.lit("exact_phrase").alias("mode"), (F.lit(PHRASE_BOOST) * weight(index)).alias("value"))
 
 
