@@ -29,7 +29,7 @@ MOST = 128
 #: Bits of a character's class by which the shared table is read; steps after which the table repeats.
 _CLASS, _PERIOD = 64, 1 << 16
 _BITS = mix(np.arange(1, _PERIOD + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-_WIDE = 1 << 22  # characters walked through together
+_WIDE = 1 << 21  # characters walked through together
 
 
 def _level(j: np.ndarray) -> np.ndarray:
@@ -170,6 +170,13 @@ def _coarsen(f: str, r: int) -> str:
 # ---------------------------------------------------------------- documents
 
 
+def _cut(batches: Iterator[pa.RecordBatch], rows: int = 500) -> Iterator[pa.RecordBatch]:
+    """Smaller batches, as texts are held as Python strings."""
+    for b in batches:
+        for lo in range(0, b.num_rows, rows):
+            yield b.slice(lo, rows)
+
+
 def with_next(documents: DataFrame) -> DataFrame:
     """doc_id, text, and the next document's text by falling doc_id (after the last: the first).
 
@@ -197,7 +204,7 @@ def with_next(documents: DataFrame) -> DataFrame:
 
     def pair(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = None  # the row before
-        for b in batches:
+        for b in _cut(batches):
             bucket, ids, texts, extra = (b.column(b.schema.get_field_index(c)).to_pylist() for c in ("bucket", "doc_id", "text", "extra"))
             out: list[tuple] = []
             for k, i, t, e in zip(bucket, ids, texts, extra, strict=True):
@@ -214,7 +221,7 @@ def fingerprint_edits(documents: DataFrame) -> DataFrame:
     """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next of each row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in _cut(batches):
             lo, n = 0, b.num_rows
             texts, nexts = b.column(1).to_pylist(), b.column(2).to_pylist()
             while lo < n:

@@ -337,7 +337,7 @@ def test_near_links(spark):
     rng = random.Random(9)
     letters = "abcdefghijklmnopqrstuvwxyz "
     texts = ["".join(rng.choice(letters) for _ in range(1500)) for _ in range(30)]
-    texts += [t[:900] + "".join(rng.choice(letters) for _ in range(25)) + t[900:] for t in texts[:10]] + [texts[0]] * 5
+    texts += [t[:400] + rng.choice(letters) + t[401:900] + "xyz" + t[900:] for t in texts[:10]] + [texts[0]] * 5
     data = list(enumerate(fingerprints([codes(t) for t in texts])))
     got = {(r["a"], r["b"]) for r in near_links(spark.createDataFrame(data, "doc_id long, fingerprint string")).collect()}
     near, copies = {(i, 30 + i) for i in range(10)}, {(0, 40 + i) for i in range(5)}
