@@ -183,7 +183,8 @@ def search(index: Index, query: str, limit: int = 20, sources: list[str] | None
     ranked = ranked.join(index.documents.select("doc_id", "source", "pos"), "doc_id")
     if sources:
         ranked = ranked.where(F.col("source").isin(sources))
-    return ranked.orderBy(F.desc("score"), "pos").limit(limit)
+    # rounded, so that equal texts tie whatever the order of their sums
+    return ranked.withColumn("score", F.round("score", 9)).orderBy(F.desc("score"), "pos").limit(limit)
 
 
 def ranks(hits: DataFrame) -> DataFrame:
@@ -212,7 +213,7 @@ def lean_search(documents: DataFrame, query: str, limit: int = 10) -> DataFrame:
     query_tokens = documents.sparkSession.range(1).select(T.tokens(asked).alias("q")).first()["q"]
     ranked = plain_bm25(rows, query_tokens, LEAN_K1, distinct=True)
     score = F.when(F.col("t").contains(asked), 4.0).otherwise(0.0) + F.coalesce("score", F.lit(0.0)) + T.sequence_ratio(asked, F.col("t")) + trigram_jaccard(F.col("t"), asked)
-    return rows.join(ranked, "doc_id", "left").select("doc_id", score.alias("score")).orderBy(F.desc("score"), "doc_id").limit(limit)
+    return rows.join(ranked, "doc_id", "left").select("doc_id", F.round(score, 9).alias("score")).orderBy(F.desc("score"), "doc_id").limit(limit)
 
 
 def trigram_jaccard(a, b):

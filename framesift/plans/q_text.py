@@ -21,7 +21,7 @@ def _bm25(tf, df, n, dl, avg, k1=1.5):
 
 _TEXT_RANK = f"""{_POST}, st as (select count(*) as n, avg(length) as a from lens), q as (select unnest(['the','oned','reble']) as term),
 met as (select p.doc_id, p.term, p.tf from post p join q using (term)), df as (select term, count(*) as df from met group by term),
-sc as (select m.doc_id, sum({_bm25('m.tf', 'd.df', 'st.n', 'l.length', 'st.a')}) as score from met m join df d using (term) join lens l using (doc_id) cross join st group by m.doc_id)"""
+sc as (select m.doc_id, round(sum({_bm25('m.tf', 'd.df', 'st.n', 'l.length', 'st.a')}), 9) as score from met m join df d using (term) join lens l using (doc_id) cross join st group by m.doc_id)"""
 
 
 def _index(spark, sf_dir, fields=None, weights=None):
@@ -32,7 +32,8 @@ def _index(spark, sf_dir, fields=None, weights=None):
 def _ranked(index, limit):
     terms = text_index._query_terms(index.values.sparkSession, ASKED, sorted({"text"}), False)
     scores = text_index.contributions(index, terms).groupBy("doc_id").agg(F.sum("value").alias("score"))
-    return scores.orderBy(F.desc("score"), "doc_id").limit(limit)
+    # copies of a text have one score whatever the order of their sums
+    return scores.withColumn("score", F.round("score", 9)).orderBy(F.desc("score"), "doc_id").limit(limit)
 
 
 @query(f"with {_TEXT_RANK} select doc_id, round(score, 6) as score from sc order by score desc, doc_id limit 50")

@@ -23,10 +23,9 @@ SCHEMAS: dict[str, str] = {
     "text_documents": "doc_id string, source string, text string, fields map<string,string>, metadata string",
     "search_candidate": "query_id string, event_index long, video_id string, frame_id long, representative_frame_id long, timestamp_ms long, window_start_ms long, window_end_ms long, source string, raw_score double, score double, rank long, model_scores map<string,double>, model_ranks map<string,long>, matched_filters array<string>, evidence_refs array<string>, provenance_sources array<string>, provenance string, confidence double, preprocess_run_id string",
     "labelled_queries": "query_id string, query_text string, query_type string, language string, relevant_video_ids array<string>, relevant_frame_intervals array<struct<video_id:string,start_ms:long,end_ms:long>>",
-    "sessions": "session_id string, wp03_run_id string, created_at string, expires_at string, revision long, state string",
+    "sessions": "session_id string, artifact_run_id string, created_at string, expires_at string, revision long, state string",
     "module_status": f"run_id string, video_id string, module string, status string, fingerprint string, checksum_ok boolean, details string, {_AUDIT}",
 }
-SCHEMAS["sessions"] = "session_id string, artifact_run_id string, created_at string, expires_at string, revision long, state string"
 
 # Names that a column may hold.
 VALUES = {
