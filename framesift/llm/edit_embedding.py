@@ -26,10 +26,14 @@ from .common import durable, mix
 
 #: Sampled positions of a fingerprint, at most.
 MOST = 128
+#: Texts that are left over below which each is walked through on its own.
+FEW = 30
 #: Bits of a character's class by which the shared table is read; steps after which the table repeats.
 _CLASS, _PERIOD = 64, 1 << 16
 _BITS = mix(np.arange(1, _PERIOD + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-_WIDE = 1 << 21  # characters walked through together
+_folded = mix(np.arange(0x110000, dtype=np.uint64) + np.uint64(0x1234567))
+_KIND, _SYMBOL = (_folded % np.uint64(_CLASS)).astype(np.uint8), ((_folded >> np.uint64(32)) & np.uint64(15)).astype(np.uint8)
+_WIDE = 1 << 22  # characters walked through together
 
 
 def _level(j: np.ndarray) -> np.ndarray:
@@ -73,8 +77,7 @@ def _walk(texts: list[np.ndarray]) -> list[str]:
     """texts by falling length."""
     size = np.array([len(t) for t in texts], np.int64)
     flat = np.concatenate([*texts, np.zeros(1, np.uint32)])
-    folded = mix(flat.astype(np.uint64) + np.uint64(0x1234567))
-    kind, symbol = (folded % np.uint64(_CLASS)).astype(np.uint8), ((folded >> np.uint64(32)) & np.uint64(15)).astype(np.uint8)
+    kind, symbol = _KIND[flat], _SYMBOL[flat]
     first = np.concatenate([[0], np.cumsum(size)[:-1]])
     stop = first + size
     steps = 3 * int(size[0]) if len(size) else 0
@@ -88,7 +91,7 @@ def _walk(texts: list[np.ndarray]) -> list[str]:
     got: list[list[np.ndarray]] = []  # texts, step and symbols of sampled steps
     coarsest = int(finest[-1]) if len(finest) else 0
     j = 0
-    while len(alive) > 12:
+    while len(alive) > FEW:
         k = kind[pos]
         if level[j] >= coarsest:
             got.append([alive, np.int64(j), symbol[pos]])
@@ -170,7 +173,7 @@ def _coarsen(f: str, r: int) -> str:
 # ---------------------------------------------------------------- documents
 
 
-def _cut(batches: Iterator[pa.RecordBatch], rows: int = 500) -> Iterator[pa.RecordBatch]:
+def _cut(batches: Iterator[pa.RecordBatch], rows: int = 1000) -> Iterator[pa.RecordBatch]:
     """Smaller batches, as texts are held as Python strings."""
     for b in batches:
         for lo in range(0, b.num_rows, rows):
@@ -178,7 +181,12 @@ def _cut(batches: Iterator[pa.RecordBatch], rows: int = 500) -> Iterator[pa.Reco
 
 
 def with_next(documents: DataFrame) -> DataFrame:
-    """doc_id, text, and the next document's text by falling doc_id (after the last: the first).
+    """doc_id, text, next_text: the next document's text by falling doc_id (after the last: the first)."""
+    return _placed(documents).mapInArrow(_pairs, "doc_id long, text string, next_text string")
+
+
+def _placed(documents: DataFrame) -> DataFrame:
+    """Documents in ranges of falling doc_id, in their order, so that each one's next is behind it in its task.
 
     Texts go through one shuffle, by ranges of doc_id; each range also gets the first document of the range after it,
     of which there are as many as ranges.  Nulls in doc_id come last; ties go by text.
@@ -200,28 +208,27 @@ def with_next(documents: DataFrame) -> DataFrame:
     goes = F.create_map(*[F.lit(x) for kv in before.items() for x in kv]) if before else None
     moved = heads.withColumn("bucket", goes[F.col("bucket")]) if before else heads
     both = rows.withColumn("extra", F.lit(False)).unionByName(moved.withColumn("extra", F.lit(True)))
-    placed = both.repartition(max(1, len(cuts) + 1), "bucket").sortWithinPartitions("bucket", "extra", F.col("doc_id").desc_nulls_last(), F.col("text").desc())
+    return both.repartition(max(1, len(cuts) + 1), "bucket").sortWithinPartitions("bucket", "extra", F.col("doc_id").desc_nulls_last(), F.col("text").desc())
 
-    def pair(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = None  # the row before
-        for b in _cut(batches):
-            bucket, ids, texts, extra = (b.column(b.schema.get_field_index(c)).to_pylist() for c in ("bucket", "doc_id", "text", "extra"))
-            out: list[tuple] = []
-            for k, i, t, e in zip(bucket, ids, texts, extra, strict=True):
-                if held is not None and held[0] == k:
-                    out.append((held[1], held[2], t))
-                held = None if e else (k, i, t)
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.string()), pa.array([x[2] for x in out], pa.string())], ["doc_id", "text", "next_text"])
 
-    return placed.mapInArrow(pair, "doc_id long, text string, next_text string")
+def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    held = None  # the row before
+    for b in _cut(batches):
+        bucket, ids, texts, extra = (b.column(b.schema.get_field_index(c)).to_pylist() for c in ("bucket", "doc_id", "text", "extra"))
+        out: list[tuple] = []
+        for k, i, t, e in zip(bucket, ids, texts, extra, strict=True):
+            if held is not None and held[0] == k:
+                out.append((held[1], held[2], t))
+            held = None if e else (k, i, t)
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.string()), pa.array([x[2] for x in out], pa.string())], ["doc_id", "text", "next_text"])
 
 
 def fingerprint_edits(documents: DataFrame) -> DataFrame:
     """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next of each row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in _cut(batches):
+        for b in _pairs(batches):
             lo, n = 0, b.num_rows
             texts, nexts = b.column(1).to_pylist(), b.column(2).to_pylist()
             while lo < n:
@@ -244,7 +251,7 @@ def fingerprint_edits(documents: DataFrame) -> DataFrame:
                 lo = hi
 
     schema = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
-    return with_next(documents).mapInArrow(run, schema)
+    return _placed(documents).mapInArrow(run, schema)
 
 
 def near_links(marked: DataFrame, bands: int = 16, width: int = 8, least: float = 0.8) -> DataFrame:
