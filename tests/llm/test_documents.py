@@ -441,3 +441,32 @@ def test_forest_on_held_out_rows(spark):
     r = held.groupBy("quality").agg(F.avg(F.col("kept").cast("double")).alias("kept")).collect()
     share = {x["quality"]: x["kept"] for x in r}
     assert share[1] > 0.97 and share[0] < 0.3, share
+
+
+def test_forest_reads_every_word():
+    """What follows the first 200 words shows in the features and in the score."""
+    import random
+
+    import pyarrow as pa
+
+    from framesift.llm.quality_forest import Forest, statistics
+
+    rng = random.Random(3)
+    vocabulary = ["".join(rng.choice("abcdefghij") for _ in range(6)) for _ in range(3000)]
+    clean = lambda n: [rng.choice(vocabulary) for _ in range(n)]
+    salad = [rng.choice(vocabulary[:12]) for _ in range(1300)]
+    texts = [clean(rng.randint(30, 1500)) for _ in range(300)]
+    x = statistics(pa.array([" ".join(t) for t in texts]))[1]
+    whole, late, last = clean(1500), clean(200) + salad, clean(1499) + salad[:101]
+    counts, odd = statistics(pa.array([" ".join(t) for t in (whole, late, last)]))
+    assert not counts[:, 4].any()
+
+    def shares(t):
+        parts = [t[i : i + 200] for i in range(0, len(t) - 199, 200)]
+        parts += [t[-200:]] if len(t) % 200 else []
+        got = [len(set(p)) / 200 for p in parts]
+        return [sum(got) / len(got), min(got)]
+
+    assert np.allclose(odd[:, 7:], [shares(t) for t in (whole, late, last)])
+    score = Forest(x, np.minimum(x.min(0), odd.min(0)), np.maximum(x.max(0), odd.max(0))).score(odd)
+    assert score[1] > score[0] and score[2] > score[0], score
