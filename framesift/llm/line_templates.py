@@ -7,6 +7,10 @@ document with the smallest doc_id and is dropped from the others.  Lines below L
 (short phrases recur by chance); they go with the dropped lines around them, and a lone line goes only from ALONE
 tokens on.
 
+With generalise, as the query and the pipeline have it, lines of ALONE tokens or more under one path are also generalised in
+one word after the leading tokens: a line with a token taken out is a template too, where it recurs across documents.
+Without it, templates are lines with their digits masked alone.
+
 Null texts stay null.  Rows that repeat a doc_id are one document here; rows without a doc_id come last, as one
 document.  Whole texts are read; the rest of a text keeps its bytes.  Other columns pass through, whatever their names.
 """
@@ -53,7 +57,7 @@ def _numbered(documents: DataFrame) -> DataFrame:
     return documents.select(F.monotonically_increasing_id().alias("__row"), F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)).alias("__key"), F.col("text").cast("string").alias("__text"), F.struct(*(F.col(f"`{c}`") for c in documents.columns)).alias("doc"))
 
 
-def marked(documents: DataFrame) -> DataFrame:
+def marked(documents: DataFrame, generalise: bool = False) -> DataFrame:
     """doc, __text and __hits: positions and codes of the recurring lines that a row loses (null without any).
 
     documents must be a plain read of stored files: rows are named by their place in the scan.
@@ -61,13 +65,46 @@ def marked(documents: DataFrame) -> DataFrame:
     rows = _numbered(documents)
     lines = rows.select("__row", "__key", F.posexplode(lines_of(F.col("__text"))).alias("pos", "line")).withColumn("line", trimmed(F.col("line"))).where(~is_short(F.col("line")))
     lines = lines.withColumn("line", F.when(F.col("line").rlike("[0-9]"), F.regexp_replace("line", FIELD, "<*>")).otherwise(F.col("line"))).withColumn("n", F.length("line") - F.length(F.replace("line", F.lit(" "), F.lit(""))) + 1)
-    lines = durable(lines.select("__row", "__key", "pos", "n", leaf_of(F.col("line"), F.col("n")).alias("leaf")), "lines")
+    w, half = F.split("line", " "), F.floor(F.col("n") / 2).cast("int")
+    halves = [F.when(F.col("n") >= ALONE, h).alias(c) for c, h in (("front", F.xxhash64("n", F.slice(w, F.lit(1), half))), ("back", F.xxhash64("n", F.slice(w, 1, DEPTH), F.slice(w, half + 1, F.col("n")))))] if generalise else []
+    lines = durable(lines.select("__row", "__key", "pos", "n", leaf_of(F.col("line"), F.col("n")).alias("leaf"), *halves), "lines")
     # aggregated before its shuffle; the joins' streamed sides are not sorted, and hot leaves are split by adaptive execution
     recurring = lines.groupBy("leaf").agg(F.min("__key").alias("owner"), F.max("__key").alias("last")).where("owner < last").select("leaf", "owner")
-    hits = lines.join(recurring.hint("shuffle_hash"), "leaf").where("__key > owner").groupBy("__row").agg(F.collect_list(F.struct("pos", F.when(F.col("n") >= ALONE, "H").otherwise("h").alias("code"))).alias("__hits"))
+    hits = lines.join(recurring.hint("shuffle_hash"), "leaf").where("__key > owner").select("__row", "pos", F.when(F.col("n") >= ALONE, "H").otherwise("h").alias("code"))
+    if generalise:
+        hits = hits.unionByName(generalised(lines, rows).withColumn("code", F.lit("H")))
+    hits = hits.groupBy("__row").agg((F.collect_set if generalise else F.collect_list)(F.struct("pos", "code")).alias("__hits"))
     return rows.join(hits.hint("shuffle_hash"), "__row", "left")
 
 
+def generalised(lines: DataFrame, rows: DataFrame) -> DataFrame:
+    """__row and pos of lines that equal one of a document with a smaller id but for a token after the leading ones.
+
+    Two such lines share the tokens of the first half, or the leading ones and those of the second half; only lines that share
+    a half with another template of another document are read again, with each token of the other half taken out.
+    """
+    met = []
+    for half in ("front", "back"):
+        shared = lines.where(f"{half} is not null").groupBy(half).agg(F.min("leaf").alias("l0"), F.max("leaf").alias("l1"), F.min("__key").alias("k0"), F.max("__key").alias("k1")).where("l0 < l1 and k0 < k1").select(half)
+        met.append(lines.join(shared.hint("shuffle_hash"), half).select("__row", "pos", F.lit(half).alias("half")))
+    halves = met[0].unionByName(met[1]).groupBy("__row", "pos").agg(F.max(F.col("half") == "back").alias("early"), F.max(F.col("half") == "front").alias("late"))
+    wanted = halves.groupBy("__row").agg(F.map_from_entries(F.collect_list(F.struct("pos", F.struct("early", "late")))).alias("at"))
+    again = rows.select("__row", "__key", "__text").join(wanted.hint("shuffle_hash"), "__row").select("__row", "__key", "at", F.posexplode(lines_of(F.col("__text"))).alias("pos", "line"))
+    again = again.withColumn("at", F.try_element_at("at", F.col("pos"))).where("at is not null").withColumn("w", F.split(template_of(F.col("line")), " "))
+    n, half = F.size("w"), F.floor(F.size("w") / 2).cast("int")
+    places = F.sequence(F.when(F.col("at.early"), F.lit(DEPTH + 1)).otherwise(half + 1), F.when(F.col("at.late"), n).otherwise(half))
+    masks = again.select("__row", "__key", "pos", "w", F.explode(places).alias("p")).select("__row", "__key", "pos", F.xxhash64(F.size("w"), "p", F.slice("w", F.lit(1), F.col("p") - 1), F.slice("w", F.col("p") + 1, F.size("w"))).alias("mask"))
+    masks = durable(masks, "masks")
+    recurring = masks.groupBy("mask").agg(F.min("__key").alias("owner"), F.max("__key").alias("last")).where("owner < last").select("mask", "owner")
+    return masks.join(recurring.hint("shuffle_hash"), "mask").where("__key > owner").select("__row", "pos")
+
+
+def template_of(line: Column) -> Column:
+    """A line trimmed, with its tokens with a digit masked."""
+    line = trimmed(line)
+    return F.when(line.rlike("[0-9]"), F.regexp_replace(line, FIELD, "<*>")).otherwise(line)
+
+
 def rebuilt(text: Column, hits: Column) -> Column:
     """(kept text, dropped lines) of a text with hits."""
     lines = lines_of(text)
@@ -81,15 +118,15 @@ def rebuilt(text: Column, hits: Column) -> Column:
     return F.struct(F.array_join(F.transform(kept, lambda p: p["line"]), "").alias("text"), (F.size(pairs) - F.size(kept)).alias("dropped"))
 
 
-def report(documents: DataFrame) -> DataFrame:
+def report(documents: DataFrame, generalise: bool = False) -> DataFrame:
     """doc_id, n_dropped and the text that stays, for each row of documents."""
-    out = marked(documents).withColumn("r", F.when(F.col("__hits").isNotNull(), rebuilt(F.col("__text"), F.col("__hits"))))
+    out = marked(documents, generalise).withColumn("r", F.when(F.col("__hits").isNotNull(), rebuilt(F.col("__text"), F.col("__hits"))))
     return out.select(F.col("doc.doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("r.dropped"), F.lit(0)).cast("long").alias("n_dropped"), F.coalesce("r.text", "__text").alias("text"))
 
 
-def drop_lines(documents: DataFrame) -> DataFrame:
+def drop_lines(documents: DataFrame, generalise: bool = False) -> DataFrame:
     """documents without their recurring lines; rows whose every word went are left out.  n_chars follows the text."""
-    out = marked(documents).withColumn("r", F.when(F.col("__hits").isNotNull(), rebuilt(F.col("__text"), F.col("__hits"))))
+    out = marked(documents, generalise).withColumn("r", F.when(F.col("__hits").isNotNull(), rebuilt(F.col("__text"), F.col("__hits"))))
     out = out.where(F.col("r").isNull() | F.col("r.text").rlike(r"\S"))
     text = F.coalesce("r.text", "__text")
     made = {"text": text, "n_chars": F.length(text).cast("long")}

@@ -30,7 +30,7 @@ def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .line_templates import report
 
-    return report(_table(spark, sf_dir, "documents"))
+    return report(_table(spark, sf_dir, "documents"), generalise=True)
 
 
 def op4_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -162,6 +162,36 @@ def test_line_dedup(documents, rows, empty):
     assert drop_lines(empty).count() == 0 and report(empty).count() == 0
 
 
+def test_line_dedup_generalises_a_word(spark, documents, empty, tmp_path):
+    """Lines of 8 tokens or more that equal one of an earlier document but for a token go, by brute force over pairs."""
+    import random
+
+    from framesift.llm.line_templates import drop_lines, report
+
+    rng = random.Random(4)
+    sample = lambda: [rng.choice("red blue tree stone lamp river cloud bird".split()) for _ in range(rng.randint(7, 11))]
+    lines = ["Posted by Anna in Sports at noon today", "Posted by Ben in Sports at noon today", "Posted by Anna in Sports at dusk maybe", "Sent by Anna in Sports at noon today", "Seen by Cy in room 7 at noon today", "Seen by Di in room 9 at noon today"]
+    lines += [" ".join(sample()) for _ in range(150)]
+    for x in lines[6:40]:
+        w = x.split(" ")
+        w[rng.randrange(len(w))] = "other"
+        lines.append(" ".join(w))
+    path = str(tmp_path / "d.parquet")
+    spark.createDataFrame([(i, x) for i, x in enumerate(lines)], "doc_id long, text string").repartition(2).write.parquet(path)
+    template = [re.sub(r"\S*[0-9]\S*", "<*>", x).split(" ") for x in lines]
+
+    def same(a, b):
+        off = [k for k, (x, y) in enumerate(zip(a, b, strict=False)) if x != y]
+        return len(a) == len(b) >= 8 and (not off or len(off) == 1 and off[0] >= 2)
+
+    want = {i for i, a in enumerate(template) if any(same(a, b) for b in template[:i])}
+    got = {r["doc_id"] for r in report(spark.read.parquet(path), generalise=True).collect() if r["n_dropped"]}
+    assert got == want and {1, 5} <= want and not {2, 3} & want and len(want) > 15
+    kept = drop_lines(documents, generalise=True)
+    assert kept.columns == documents.columns and kept.count() <= drop_lines(documents).count()
+    assert report(empty, generalise=True).count() == 0
+
+
 # ---------------------------------------------------------------- op4
 
 
