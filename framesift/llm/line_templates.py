@@ -9,7 +9,9 @@ tokens on.
 
 With generalise, as the query and the pipeline have it, lines of ALONE tokens or more under one path are also generalised in
 one word after the leading tokens: a line with a token taken out is a template too, where it recurs across documents.
-Without it, templates are lines with their digits masked alone.
+Every line that isn't blank is then a template, tokens are parted by any white space, and a lone line goes if it has
+ALONE tokens or LONG characters, or recurs in MANY documents (COMMON, if it is below LEAST tokens too); other recurring
+lines go with dropped ones next to them.  Without it, templates are lines with their digits masked alone.
 
 Null texts stay null.  Rows that repeat a doc_id are one document here; rows without a doc_id come last, as one
 document.  Whole texts are read; the rest of a text keeps its bytes.  Other columns pass through, whatever their names.
@@ -23,6 +25,8 @@ from pyspark.sql import functions as F
 from .common import durable
 
 LEAST, ALONE, DEPTH = 4, 8, 2
+#: Characters from which a line is no chance repeat, however few tokens it has; documents that show the same of a shorter line.
+LONG, MANY, COMMON = 40, 10, 100
 LINE_ENDS = r"(?<=\n)|(?<=[.!?] )"
 FIELD = r"\S*[0-9]\S*"
 _CUT = "\x01"
@@ -43,6 +47,11 @@ def trimmed(line: Column) -> Column:
     return F.trim(F.replace(line, F.lit("\n"), F.lit(" ")))
 
 
+def squeezed(line: Column) -> Column:
+    """Without the white space around it, and with one space for any inside it."""
+    return F.trim(F.regexp_replace(line, r"\s+", " "))
+
+
 def is_short(template: Column) -> Column:
     """Whether a trimmed line has fewer than LEAST tokens, which are the parts between spaces."""
     return F.substring_index(template, " ", LEAST - 1) == template
@@ -63,14 +72,24 @@ def marked(documents: DataFrame, generalise: bool = False) -> DataFrame:
     documents must be a plain read of stored files: rows are named by their place in the scan.
     """
     rows = _numbered(documents)
-    lines = rows.select("__row", "__key", F.posexplode(lines_of(F.col("__text"))).alias("pos", "line")).withColumn("line", trimmed(F.col("line"))).where(~is_short(F.col("line")))
+    lines = rows.select("__row", "__key", F.posexplode(lines_of(F.col("__text"))).alias("pos", "line"))
+    if generalise:
+        lines = lines.withColumn("line", squeezed(F.col("line"))).where("line <> ''")
+    else:
+        lines = lines.withColumn("line", trimmed(F.col("line"))).where(~is_short(F.col("line")))
+    long = ((F.col("n") >= ALONE) | (F.length("line") >= LONG)).alias("long") if generalise else (F.col("n") >= ALONE).alias("long")
     lines = lines.withColumn("line", F.when(F.col("line").rlike("[0-9]"), F.regexp_replace("line", FIELD, "<*>")).otherwise(F.col("line"))).withColumn("n", F.length("line") - F.length(F.replace("line", F.lit(" "), F.lit(""))) + 1)
     w, half = F.split("line", " "), F.floor(F.col("n") / 2).cast("int")
     halves = [F.when(F.col("n") >= ALONE, h).alias(c) for c, h in (("front", F.xxhash64("n", F.slice(w, F.lit(1), half))), ("back", F.xxhash64("n", F.slice(w, 1, DEPTH), F.slice(w, half + 1, F.col("n")))))] if generalise else []
-    lines = durable(lines.select("__row", "__key", "pos", "n", leaf_of(F.col("line"), F.col("n")).alias("leaf"), *halves), "lines")
+    lines = durable(lines.select("__row", "__key", "pos", "n", long, leaf_of(F.col("line"), F.col("n")).alias("leaf"), *halves), "lines")
     # aggregated before its shuffle; the joins' streamed sides are not sorted, and hot leaves are split by adaptive execution
     recurring = lines.groupBy("leaf").agg(F.min("__key").alias("owner"), F.max("__key").alias("last")).where("owner < last").select("leaf", "owner")
-    hits = lines.join(recurring.hint("shuffle_hash"), "leaf").where("__key > owner").select("__row", "pos", F.when(F.col("n") >= ALONE, "H").otherwise("h").alias("code"))
+    hits = lines.join(recurring.hint("shuffle_hash"), "leaf").where("__key > owner").select("__row", "pos", "n", "leaf", F.when(F.col("long"), "H").otherwise("h").alias("code"))
+    if generalise:
+        held = lines.where("not long").groupBy("leaf", "__key").agg(F.first("n").alias("n")).groupBy("leaf").agg(F.count("*").alias("held"), F.first("n").alias("n"))
+        common = held.where(F.col("held") >= F.when(F.col("n") < LEAST, COMMON).otherwise(MANY)).select("leaf", F.lit(True).alias("common"))
+        hits = hits.join(common.hint("shuffle_hash"), "leaf", "left").withColumn("code", F.when(F.col("common"), "H").otherwise(F.col("code")))
+    hits = hits.select("__row", "pos", "code")
     if generalise:
         hits = hits.unionByName(generalised(lines, rows).withColumn("code", F.lit("H")))
     hits = hits.groupBy("__row").agg((F.collect_set if generalise else F.collect_list)(F.struct("pos", "code")).alias("__hits"))
@@ -100,17 +119,18 @@ def generalised(lines: DataFrame, rows: DataFrame) -> DataFrame:
 
 
 def template_of(line: Column) -> Column:
-    """A line trimmed, with its tokens with a digit masked."""
-    line = trimmed(line)
+    """A squeezed line with its tokens with a digit masked."""
+    line = squeezed(line)
     return F.when(line.rlike("[0-9]"), F.regexp_replace(line, FIELD, "<*>")).otherwise(line)
 
 
-def rebuilt(text: Column, hits: Column) -> Column:
-    """(kept text, dropped lines) of a text with hits."""
+def rebuilt(text: Column, hits: Column, generalise: bool = False) -> Column:
+    """(kept text, dropped lines) of a text with hits.  Short lines, or with generalise only blank ones, go between dropped ones."""
     lines = lines_of(text)
-    base = F.transform(lines, lambda x, i: F.struct(i.alias("pos"), F.when(is_short(trimmed(x)), "s").otherwise("k").alias("code")))
-    # H and h sort before the line's own k
-    codes = F.regexp_replace(F.array_join(F.transform(F.array_sort(F.concat(base, hits)), lambda x: x["code"]), ""), "([Hh])k", "$1")
+    follows = (lambda x: ~x.rlike(r"\S")) if generalise else (lambda x: is_short(trimmed(x)))
+    base = F.transform(lines, lambda x, i: F.struct(i.alias("pos"), F.when(follows(x), "s").otherwise("k").alias("code")))
+    # H and h sort before the line's own k or s
+    codes = F.regexp_replace(F.array_join(F.transform(F.array_sort(F.concat(base, hits)), lambda x: x["code"]), ""), "([Hh])[ks]", "$1")
     codes = F.regexp_replace(codes, "(?<=[Hh]s{0,8})s(?=s{0,8}[Hh])", "x")
     codes = F.regexp_replace(codes, "(?<![Hhx])h(?![Hhx])", "k")
     pairs = F.zip_with(lines, F.split(codes, ""), lambda line, code: F.struct(line.alias("line"), code.alias("code")))
@@ -120,13 +140,13 @@ def rebuilt(text: Column, hits: Column) -> Column:
 
 def report(documents: DataFrame, generalise: bool = False) -> DataFrame:
     """doc_id, n_dropped and the text that stays, for each row of documents."""
-    out = marked(documents, generalise).withColumn("r", F.when(F.col("__hits").isNotNull(), rebuilt(F.col("__text"), F.col("__hits"))))
+    out = marked(documents, generalise).withColumn("r", F.when(F.col("__hits").isNotNull(), rebuilt(F.col("__text"), F.col("__hits"), generalise)))
     return out.select(F.col("doc.doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("r.dropped"), F.lit(0)).cast("long").alias("n_dropped"), F.coalesce("r.text", "__text").alias("text"))
 
 
 def drop_lines(documents: DataFrame, generalise: bool = False) -> DataFrame:
     """documents without their recurring lines; rows whose every word went are left out.  n_chars follows the text."""
-    out = marked(documents, generalise).withColumn("r", F.when(F.col("__hits").isNotNull(), rebuilt(F.col("__text"), F.col("__hits"))))
+    out = marked(documents, generalise).withColumn("r", F.when(F.col("__hits").isNotNull(), rebuilt(F.col("__text"), F.col("__hits"), generalise)))
     out = out.where(F.col("r").isNull() | F.col("r.text").rlike(r"\S"))
     text = F.coalesce("r.text", "__text")
     made = {"text": text, "n_chars": F.length(text).cast("long")}

@@ -192,6 +192,25 @@ def test_line_dedup_generalises_a_word(spark, documents, empty, tmp_path):
     assert report(empty, generalise=True).count() == 0
 
 
+def test_line_dedup_of_short_lines(spark, tmp_path):
+    """Short, tabbed and unspaced lines that recur go by length, by the documents that hold them, or with their neighbours."""
+    from framesift.llm.line_templates import report
+
+    notice, rights, script = "Licensed under the Apache License, Version 2.0.\n", "All rights are reserved\n", "天地玄黄宇宙洪荒日月盈昃辰宿列张" * 3 + "\n"
+    own = lambda i, k: "".join(chr(97 + (i * 31 + k * 7 + j * j) % 26) for j in range(9)) + f" {'x' * (i + 1)}\n"
+    texts = [own(i, 0) + (notice + own(i, 1) if i < 3 else "") + (rights if i < 12 else "") + own(i, 2) + "yes\n" * (i < 5) + own(i, 3) for i in range(14)]
+    texts += [own(i, 0) + script + own(i, 1) + "see\tbelow for the next page of this\tlist\n" + own(i, 2) + "one two three\nten men\n" * (i < 16) for i in range(14, 18)]
+    texts += [own(50, 0) + "top of the page\n" + own(50, 1), own(51, 0) + "top of the page\n" + own(51, 1)]
+    path = str(tmp_path / "d.parquet")
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(2).write.parquet(path)
+    got = {r["doc_id"]: r["text"] for r in report(spark.read.parquet(path), generalise=True).collect()}
+    want = [t.replace(notice, "").replace(rights, "") if i else t for i, t in enumerate(texts)]
+    for i in range(15, 18):
+        want[i] = texts[i].replace(script, "").replace("see\tbelow for the next page of this\tlist\n", "").replace("one two three\nten men\n", "")
+    assert [got[i] for i in range(len(texts))] == want
+    assert want[5] != texts[5] and "yes" in want[4] and "top of" in want[19]
+
+
 # ---------------------------------------------------------------- op4
 
 
