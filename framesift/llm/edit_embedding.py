@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import durable, mix
+from .common import durable, mix, release
 
 #: Sampled positions of a fingerprint, at most.
 MOST = 128
@@ -257,25 +257,42 @@ def fingerprint_edits(documents: DataFrame) -> DataFrame:
 def near_links(marked: DataFrame, bands: int = 16, width: int = 8, least: float = 0.8) -> DataFrame:
     """(a, b, likeness) of documents (doc_id, fingerprint) whose fingerprints share a band and are verified as alike.
 
-    Rows of one fingerprint form a class, named by its smallest doc_id, to which each is linked.  In a band's bucket each
-    class is compared with the bucket's smallest one, so a large bucket gives as many pairs as members, not their square.
+    Rows of one fingerprint form a class, named by its smallest doc_id, to which each is linked.  A class has bands at its own
+    level and at the next coarser one, so that texts on both sides of a step in level meet.  A band's bucket is resolved in
+    rounds: each class is compared with the bucket's smallest one, and those that aren't like it go on to the next round
+    without it, until none is left.  A bucket of members that are alike gives as many pairs as members, not their square.
     """
 
+    def keys(f: str) -> list[tuple[int, str]]:
+        own = int(f[:2], 16)
+        return [(k, f"{r:02x}:{body[k * width : (k + 1) * width]}") for r, body in ((own, f[2:]), (own + 1, _coarsen(f, own + 1))) for k in range(bands) if len(body) >= (k + 1) * width]
+
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows = [(i, f, k, f[:2] + ":" + f[2 + k * width : 2 + (k + 1) * width]) for i, f in zip(*(b.column(c).to_pylist() for c in (0, 1)), strict=True) for k in range(bands) if len(f) >= 2 + (k + 1) * width]
+            rows = [(i, f, k, key) for i, f in zip(*(b.column(c).to_pylist() for c in (0, 1)), strict=True) for k, key in keys(f)]
             yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.string()), pa.array([r[2] for r in rows], pa.int32()), pa.array([r[3] for r in rows], pa.string())], ["a", "f", "band", "key"])
 
     marked = marked.where("doc_id is not null")
     named = marked.groupBy("fingerprint").agg(F.min("doc_id").alias("doc_id")).select("doc_id", "fingerprint")
     members = marked.join(named.withColumnRenamed("doc_id", "a"), "fingerprint").where("a <> doc_id").select("a", F.col("doc_id").alias("b"), F.lit(1.0).alias("likeness")).distinct()
-    banded = named.mapInArrow(cut, "a long, f string, band int, key string")
-    lead = banded.groupBy("band", "key").agg(F.min(F.struct("a", "f")).alias("lead"), F.count("*").alias("n")).where("n > 1")
-    pairs = banded.join(lead, ["band", "key"]).where("a <> lead.a").select(F.col("lead.a").alias("a"), F.col("a").alias("b"), F.col("lead.f").alias("f"), F.col("f").alias("g")).dropDuplicates(["a", "b"])
+    left = durable(named.mapInArrow(cut, "a long, f string, band int, key string"), "bands")
+    links = []
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            near = pa.array([likeness(x, y) for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True)], pa.float64())
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), near], ["a", "b", "likeness"]).filter(pa.array([x >= least for x in near.to_pylist()], pa.bool_()))
-
-    return pairs.mapInArrow(verify, "a long, b long, likeness double").unionByName(members)
+            near = pa.array([likeness(x, y) for x, y in zip(b.column(3).to_pylist(), b.column(5).to_pylist(), strict=True)], pa.float64())
+            yield pa.RecordBatch.from_arrays([*b.columns, near], [*b.schema.names, "likeness"])
+
+    while True:
+        lead = left.groupBy("band", "key").agg(F.min(F.struct("a", "f")).alias("lead"), F.count("*").alias("n")).where("n > 1")
+        pairs = left.join(lead, ["band", "key"]).where("a <> lead.a").select("band", "key", F.col("lead.a").alias("a"), F.col("lead.f").alias("f"), F.col("a").alias("b"), F.col("f").alias("g"))
+        met = durable(pairs.mapInArrow(verify, "band int, key string, a long, f string, b long, g string, likeness double"), "pairs")
+        release(left)
+        if met.isEmpty():
+            break
+        links.append(met.where(F.col("likeness") >= least).select("a", "b", "likeness"))
+        left = durable(met.where(F.col("likeness") < least).select(F.col("b").alias("a"), F.col("g").alias("f"), "band", "key"), "bands")
+    out = members
+    for found in links:
+        out = out.unionByName(found)
+    return out.dropDuplicates(["a", "b"])

@@ -393,6 +393,36 @@ def test_near_links(spark):
     assert copies <= got <= near | copies and len(got & near) >= 7
 
 
+def test_near_links_over_levels_and_hot_buckets(spark):
+    """Near copies across a step in level are linked, and every pair that shares a bucket with unlike texts is reached."""
+    import random
+
+    from framesift.llm.edit_embedding import codes, fingerprints, likeness, near_links
+
+    rng = random.Random(10)
+    letters = "abcdefghijklmnopqrstuvwxyz "
+    one = lambda n: "".join(rng.choice(letters) for _ in range(n))
+    link = lambda rows: {(r["a"], r["b"]) for r in near_links(spark.createDataFrame(rows, "doc_id long, fingerprint string")).collect()}
+    sizes = [64 << k for k in range(1, 7)] + [rng.randint(200, 6000) for _ in range(24)]
+    texts = [one(n) for n in sizes]
+    texts += [t + "x" for t in texts[:6]] + [t[: len(t) // 2] + "q" + t[len(t) // 2 + 1 :] for t in texts[6:]]
+    marks = fingerprints([codes(t) for t in texts])
+    assert any(marks[i][:2] != marks[30 + i][:2] for i in range(6))
+    brute = {(i, j) for j in range(len(marks)) for i in range(j) if likeness(marks[i], marks[j]) >= 0.8}
+    got = link(list(enumerate(marks)))
+    assert {(i, 30 + i) for i in range(6)} <= brute and got <= brute and len(got) >= 0.9 * len(brute), (len(got), len(brute))
+    steps = {(i, j) for i, j in brute if marks[i][:2] != marks[j][:2]}
+    assert steps and steps <= got
+    # the only band that B and C share at their own level is led by A, which is unlike both
+    body = [rng.choice("0123456789abcdef") for _ in range(128)]
+    shift = lambda w, at: [format((int(c, 16) + 5) % 16, "x") if k in at else c for k, c in enumerate(w)]
+    b, c = body, shift(body, {8 * k for k in range(1, 16)})
+    a = b[:8] + [format((int(x, 16) + 3) % 16, "x") for x in b[8:]]
+    hot = [(i, "04" + "".join(w)) for i, w in enumerate((a, b, c))]
+    assert likeness(hot[1][1], hot[2][1]) >= 0.8 > likeness(hot[0][1], hot[1][1])
+    assert (1, 2) in link(hot)
+
+
 # ---------------------------------------------------------------- op9
 
 
