@@ -282,3 +282,20 @@ def test_scalars(spark):
     assert one(x, S.pts_to_ms(F.lit(5), F.lit("1/2000")), S.pts_to_ms(F.lit(5), F.lit("1/2000"), True)) == (2, 2)
     assert one(x, S.tags(F.lit('["a", "b"]')), S.tags(F.lit("a; b|c"))) == (["a", "b"], ["a", "b", "c"])
     assert one(x, routing.split_events(F.lit("Sequence of events: (1) a; b\nc")), routing.branches(F.lit("a sign says"))) == (["a", "b", "c"], ["visual", "ocr", "asr", "metadata"])
+
+
+def test_word_error_rate_reads_whole_texts(spark):
+    """The query against brute force over the whole benchmark texts."""
+    from framesift.plans.q_rank import word_error_rate
+
+    d = "/root/testdata/sf0.001"
+    edits = length = 0
+    for (text,) in spark.read.parquet(f"{d}/benchmark.parquet").select("text").collect():
+        a, b = text.split(), text[8:].split()
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            last, row = row, [i]
+            for j, y in enumerate(b, 1):
+                row.append(min(last[j] + 1, row[-1] + 1, last[j - 1] + (x != y)))
+        edits, length = edits + row[-1], length + max(1, len(a))
+    assert abs(word_error_rate(spark, d).first()[0] - edits / length) < 2e-6
