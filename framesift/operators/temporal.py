@@ -116,10 +116,11 @@ def overlapping_shots(segments: DataFrame, shots: DataFrame, width: int = BUCKET
     return segments.join(out, "segment_id", "left").withColumn("shots", F.coalesce("shots", F.array().cast("array<string>")))
 
 
-def context(segments: DataFrame, target_ids: list[str], radius: int) -> DataFrame:
-    """Segments of the same video that overlap a target's interval widened by radius, by start and end."""
-    target = segments.where(F.col("segment_id").isin(target_ids)).select("video_id", F.col("segment_id").alias("target_id"), F.greatest(F.lit(0), F.col("start_ms") - radius).alias("__a"), (F.col("end_ms") + radius).alias("__b"))
-    return interval_join(segments, F.broadcast(target), ("start_ms", "end_ms"), ("__a", "__b")).drop("__a", "__b").orderBy("target_id", "start_ms", "end_ms")
+def context(segments: DataFrame, targets: DataFrame, radius: int) -> DataFrame:
+    """Segments of the same video that overlap the interval of a target (segment_id, video_id, start_ms, end_ms) widened by
+    radius, by start and end."""
+    target = targets.select("video_id", F.col("segment_id").alias("target_id"), F.greatest(F.lit(0), F.col("start_ms") - radius).alias("__a"), (F.col("end_ms") + radius).alias("__b"))
+    return interval_join(segments, target, ("start_ms", "end_ms"), ("__a", "__b")).drop("__a", "__b").orderBy("target_id", "start_ms", "end_ms")
 
 
 def segment_links(segments: DataFrame, frames: DataFrame, shots: DataFrame, media: DataFrame, width: int = BUCKET) -> DataFrame:

@@ -68,8 +68,14 @@ def segment_shots(spark, sf_dir):
 def context_window(spark, sf_dir):
     """Segments around target segments, ten minutes to each side."""
     s = segments(spark, sf_dir)
-    ids = [r[0] for r in s.where("video_id % 10 = 3").select("segment_id").collect()]
-    return temporal.context(s, ids, 600000).select("target_id", "segment_id")
+    return temporal.context(s, s.where("video_id % 10 = 3"), 600000).select("target_id", "segment_id")
+
+
+@query(f"with {SEGMENTS} select t.segment_id as target_id, s.segment_id from sg t join sg s on s.video_id = t.video_id and s.end_ms >= greatest(0, t.start_ms - 600000) and s.start_ms <= t.end_ms + 600000")
+def context_window_all(spark, sf_dir):
+    """Segments around every segment, ten minutes to each side."""
+    s = segments(spark, sf_dir)
+    return temporal.context(s, s, 600000).select("target_id", "segment_id")
 
 
 @query(f"with {FRAMES} select frame_id, lag(frame_id) over w as prev_frame_id, lead(frame_id) over w as next_frame_id, lag(timestamp_ms) over w as prev_timestamp_ms, lead(timestamp_ms) over w as next_timestamp_ms from fr window w as (partition by video_id order by timestamp_ms, frame_id)")

@@ -299,3 +299,13 @@ def test_word_error_rate_reads_whole_texts(spark):
                 row.append(min(last[j] + 1, row[-1] + 1, last[j - 1] + (x != y)))
         edits, length = edits + row[-1], length + max(1, len(a))
     assert abs(word_error_rate(spark, d).first()[0] - edits / length) < 2e-6
+
+
+def test_context_of_every_segment(spark):
+    """Targets are a table: each segment of each video has its window, the widened one included."""
+    from framesift.operators import temporal
+
+    rows = [(f"{v}:{i}", v, i * 50_000, i * 50_000 + 20_000) for v in range(12) for i in range(6)]
+    s = spark.createDataFrame(rows, "segment_id string, video_id long, start_ms long, end_ms long")
+    want = {(t[0], x[0]) for t in rows for x in rows if t[1] == x[1] and x[3] >= max(0, t[2] - 60_000) and x[2] <= t[3] + 60_000}
+    assert {(r["target_id"], r["segment_id"]) for r in temporal.context(s, s, 60_000).collect()} == want
