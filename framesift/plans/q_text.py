@@ -153,6 +153,11 @@ def term_frequency(spark, sf_dir):
     return _index(spark, sf_dir).postings.where("tf >= 10").select("doc_id", "term", "tf")
 
 
+@query(f"with {_POST} select doc_id, term, tf from post")
+def term_frequency_all(spark, sf_dir):
+    return _index(spark, sf_dir).postings.select("doc_id", "term", "tf")
+
+
 @query("select source, lang, count(*) as n from documents group by all")
 def counts_by_source(spark, sf_dir):
     return read(spark, sf_dir, "documents").groupBy("source", "lang").agg(F.count("*").alias("n"))
