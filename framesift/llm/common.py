@@ -8,7 +8,8 @@ import uuid
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # ---------------------------------------------------------------- durable tables
@@ -48,6 +49,42 @@ def _remove(spark: SparkSession, path: str) -> None:
     hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop, True)
 
 
+def named_rows(documents: DataFrame) -> tuple[DataFrame, Column, Column]:
+    """documents, and two numbers that name a row however a scan is split and whatever executors are alive: a hash of its
+    file and its place in it.  What isn't a plain read of Parquet files is written as such first."""
+    for written in (False, True):
+        try:
+            meta = documents.metadataColumn("_metadata")
+            file, place = F.xxhash64(meta["file_path"]), meta["row_index"]
+            documents.select(file, place)  # not analysed before
+            return documents, file, place
+        except AnalysisException:
+            if written:
+                raise
+            documents = durable(documents, "rows")
+
+
+#: Bits of a filter over hashes.  It never grows, so its FILTER_BITS / 64 rows can be broadcast; a full one lets more rows through.
+FILTER_BITS = 1 << 24
+
+
+def bit_filter(keys: DataFrame, hashed: str) -> DataFrame:
+    """(__word, __bits): a bit for each hash in keys, to be joined by same_word and has_bit."""
+    at = F.pmod(F.col(hashed), F.lit(FILTER_BITS))
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(F.col(hashed), F.lit(64)).cast("int"))
+    words = keys.select(F.shiftright(at, 6).alias("__word"), bit.alias("__bits"))
+    return F.broadcast(words.groupBy("__word").agg(F.bit_or("__bits").alias("__bits")))
+
+
+def same_word(hashed: str) -> Column:
+    return F.shiftright(F.pmod(F.col(hashed), F.lit(FILTER_BITS)), 6) == F.col("__word")
+
+
+def has_bit(hashed: str) -> Column:
+    """Whether a row joined with its word of a filter (null where there is none) may be among the filter's keys."""
+    return F.coalesce(F.getbit(F.col("__bits"), F.pmod(F.col(hashed), F.lit(64)).cast("int")), F.lit(0)) == 1
+
+
 @atexit.register
 def _cleanup() -> None:
     for spark, path in _written:

@@ -1,20 +1,23 @@
 """Line dedup by a log-template tree.  DataFrame functions only.
 
-A text is parsed into lines: its line-end-terminated lines, cut further after sentence ends.  A line walks down a tree of
-fixed depth, by its number of tokens (parts between spaces) and then its leading tokens, to a leaf that holds templates: the
-line with its variable fields (tokens with a digit) generalised.  A template that recurs across documents stays in the
-document with the smallest doc_id and is dropped from the others.  Lines below LEAST tokens are no templates of their own
-(short phrases recur by chance); they go with the dropped lines around them, and a lone line goes only from ALONE
-tokens on.
-
-With generalise, as the query and the pipeline have it, lines of ALONE tokens or more under one path are also generalised in
-one word after the leading tokens: a line with a token taken out is a template too, where it recurs across documents.
-Every line that isn't blank is then a template, tokens are parted by any white space, and a lone line goes if it has
-ALONE tokens or LONG characters, or recurs in MANY documents (COMMON, if it is below LEAST tokens too); other recurring
-lines go with dropped ones next to them.  Without it, templates are lines with their digits masked alone.
-
-Null texts stay null.  Rows that repeat a doc_id are one document here; rows without a doc_id come last, as one
-document.  Whole texts are read; the rest of a text keeps its bytes.  Other columns pass through, whatever their names.
+A text is parsed into lines: its line-end-terminated lines, cut further after sentence ends; empty lines belong to the
+line before them.  A line's tokens are its parts between white space, and a token with a digit is a variable field.
+A line walks down a tree of fixed depth, by its number of tokens and its DEPTH leading tokens, to a leaf.  In a leaf,
+lines of ALONE tokens or more are one template when, of the PARTS equal stretches of their other tokens, all but one at
+most agree: the stretch that differs is generalised.  So any one token, and any run of them inside a stretch, may vary.
+
+A template that recurs across documents stays in the document with the smallest doc_id and is dropped from the others.
+Lines of fewer than ALONE tokens are templates as they stand.  One of LONG characters goes like any other.  A
+shorter one recurs by chance too, so it needs evidence: MANY documents that hold it (COMMON, below LEAST tokens), or a
+neighbouring line with which it recurs as a pair.
+
+Leaves that only one document reaches, which are most, are put aside by one aggregation; the rest of the work is on
+lines whose leaf several documents reach.  What is broadcast is a filter of FILTER_BITS bits, whatever the input; a
+full one only lets more rows through to the joins behind it.
+
+Null texts stay null, an empty text stays empty.  Rows that repeat a doc_id are one document here; rows without a doc_id come
+last, as one document.  Texts of any length are read whole, in time in proportion to their length; the rest of a text
+keeps its bytes.  Other columns pass through, whatever their names.  Empty tables give empty ones.
 """
 
 from __future__ import annotations
@@ -22,132 +25,151 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import durable
+from .common import bit_filter, durable, has_bit, named_rows, release, same_word
 
-LEAST, ALONE, DEPTH = 4, 8, 2
+LEAST, ALONE, DEPTH, PARTS = 4, 8, 2, 4
 #: Characters from which a line is no chance repeat, however few tokens it has; documents that show the same of a shorter line.
 LONG, MANY, COMMON = 40, 10, 100
-LINE_ENDS = r"(?<=\n)|(?<=[.!?] )"
+LINE_ENDS = r"(?<=\n)(?!\n)|(?<=[.!?] )(?!\n)"
 FIELD = r"\S*[0-9]\S*"
+#: Kinds of lines: below LEAST tokens, below ALONE, as short but of LONG characters, of ALONE tokens or more.
+TINY, SHORT, WIDE, FULL = 0, 1, 2, 3
 _CUT = "\x01"
 _LAST = (1 << 63) - 1
+_LOW = (1 << 32) - 1
+ROW = ["__file", "__place"]
 
 
 def lines_of(text: Column) -> Column:
     """Lines and sentences, each with what ends it.  A mark that the text doesn't hold is put after each end, which is much
     cheaper than a pattern; texts with the mark go by the pattern."""
     marked = text
-    for end in ("\n", ". ", "! ", "? "):
+    for end in (". ", "! ", "? ", "\n"):
         marked = F.replace(marked, F.lit(end), F.lit(end + _CUT))
+    marked = F.replace(marked, F.lit(_CUT + "\n"), F.lit("\n"))
     return F.when(text.contains(_CUT), F.split(text, LINE_ENDS, -1)).otherwise(F.split(marked, _CUT, -1))
 
 
-def trimmed(line: Column) -> Column:
-    """Without the spaces and the line end around it."""
-    return F.trim(F.replace(line, F.lit("\n"), F.lit(" ")))
-
-
 def squeezed(line: Column) -> Column:
     """Without the white space around it, and with one space for any inside it."""
-    return F.trim(F.regexp_replace(line, r"\s+", " "))
-
-
-def is_short(template: Column) -> Column:
-    """Whether a trimmed line has fewer than LEAST tokens, which are the parts between spaces."""
-    return F.substring_index(template, " ", LEAST - 1) == template
-
-
-def leaf_of(template: Column, tokens: Column) -> Column:
-    """The tree's path (token count, leading tokens) and the template, as one hash."""
-    return F.xxhash64(tokens, F.substring_index(template, " ", DEPTH), template)
-
-
-def _numbered(documents: DataFrame) -> DataFrame:
-    return documents.select(F.monotonically_increasing_id().alias("__row"), F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)).alias("__key"), F.col("text").cast("string").alias("__text"), F.struct(*(F.col(f"`{c}`") for c in documents.columns)).alias("doc"))
-
-
-def marked(documents: DataFrame, generalise: bool = False) -> DataFrame:
-    """doc, __text and __hits: positions and codes of the recurring lines that a row loses (null without any).
-
-    documents must be a plain read of stored files: rows are named by their place in the scan.
-    """
-    rows = _numbered(documents)
-    lines = rows.select("__row", "__key", F.posexplode(lines_of(F.col("__text"))).alias("pos", "line"))
-    if generalise:
-        lines = lines.withColumn("line", squeezed(F.col("line"))).where("line <> ''")
-    else:
-        lines = lines.withColumn("line", trimmed(F.col("line"))).where(~is_short(F.col("line")))
-    long = ((F.col("n") >= ALONE) | (F.length("line") >= LONG)).alias("long") if generalise else (F.col("n") >= ALONE).alias("long")
-    lines = lines.withColumn("line", F.when(F.col("line").rlike("[0-9]"), F.regexp_replace("line", FIELD, "<*>")).otherwise(F.col("line"))).withColumn("n", F.length("line") - F.length(F.replace("line", F.lit(" "), F.lit(""))) + 1)
-    w, half = F.split("line", " "), F.floor(F.col("n") / 2).cast("int")
-    halves = [F.when(F.col("n") >= ALONE, h).alias(c) for c, h in (("front", F.xxhash64("n", F.slice(w, F.lit(1), half))), ("back", F.xxhash64("n", F.slice(w, 1, DEPTH), F.slice(w, half + 1, F.col("n")))))] if generalise else []
-    lines = durable(lines.select("__row", "__key", "pos", "n", long, leaf_of(F.col("line"), F.col("n")).alias("leaf"), *halves), "lines")
-    # aggregated before its shuffle; the joins' streamed sides are not sorted, and hot leaves are split by adaptive execution
-    recurring = lines.groupBy("leaf").agg(F.min("__key").alias("owner"), F.max("__key").alias("last")).where("owner < last").select("leaf", "owner")
-    hits = lines.join(recurring.hint("shuffle_hash"), "leaf").where("__key > owner").select("__row", "pos", "n", "leaf", F.when(F.col("long"), "H").otherwise("h").alias("code"))
-    if generalise:
-        held = lines.where("not long").groupBy("leaf", "__key").agg(F.first("n").alias("n")).groupBy("leaf").agg(F.count("*").alias("held"), F.first("n").alias("n"))
-        common = held.where(F.col("held") >= F.when(F.col("n") < LEAST, COMMON).otherwise(MANY)).select("leaf", F.lit(True).alias("common"))
-        hits = hits.join(common.hint("shuffle_hash"), "leaf", "left").withColumn("code", F.when(F.col("common"), "H").otherwise(F.col("code")))
-    hits = hits.select("__row", "pos", "code")
-    if generalise:
-        hits = hits.unionByName(generalised(lines, rows).withColumn("code", F.lit("H")))
-    hits = hits.groupBy("__row").agg((F.collect_set if generalise else F.collect_list)(F.struct("pos", "code")).alias("__hits"))
-    return rows.join(hits.hint("shuffle_hash"), "__row", "left")
-
-
-def generalised(lines: DataFrame, rows: DataFrame) -> DataFrame:
-    """__row and pos of lines that equal one of a document with a smaller id but for a token after the leading ones.
-
-    Two such lines share the tokens of the first half, or the leading ones and those of the second half; only lines that share
-    a half with another template of another document are read again, with each token of the other half taken out.
-    """
-    met = []
-    for half in ("front", "back"):
-        shared = lines.where(f"{half} is not null").groupBy(half).agg(F.min("leaf").alias("l0"), F.max("leaf").alias("l1"), F.min("__key").alias("k0"), F.max("__key").alias("k1")).where("l0 < l1 and k0 < k1").select(half)
-        met.append(lines.join(shared.hint("shuffle_hash"), half).select("__row", "pos", F.lit(half).alias("half")))
-    halves = met[0].unionByName(met[1]).groupBy("__row", "pos").agg(F.max(F.col("half") == "back").alias("early"), F.max(F.col("half") == "front").alias("late"))
-    wanted = halves.groupBy("__row").agg(F.map_from_entries(F.collect_list(F.struct("pos", F.struct("early", "late")))).alias("at"))
-    again = rows.select("__row", "__key", "__text").join(wanted.hint("shuffle_hash"), "__row").select("__row", "__key", "at", F.posexplode(lines_of(F.col("__text"))).alias("pos", "line"))
-    again = again.withColumn("at", F.try_element_at("at", F.col("pos"))).where("at is not null").withColumn("w", F.split(template_of(F.col("line")), " "))
-    n, half = F.size("w"), F.floor(F.size("w") / 2).cast("int")
-    places = F.sequence(F.when(F.col("at.early"), F.lit(DEPTH + 1)).otherwise(half + 1), F.when(F.col("at.late"), n).otherwise(half))
-    masks = again.select("__row", "__key", "pos", "w", F.explode(places).alias("p")).select("__row", "__key", "pos", F.xxhash64(F.size("w"), "p", F.slice("w", F.lit(1), F.col("p") - 1), F.slice("w", F.col("p") + 1, F.size("w"))).alias("mask"))
-    masks = durable(masks, "masks")
-    recurring = masks.groupBy("mask").agg(F.min("__key").alias("owner"), F.max("__key").alias("last")).where("owner < last").select("mask", "owner")
-    return masks.join(recurring.hint("shuffle_hash"), "mask").where("__key > owner").select("__row", "pos")
-
-
-def template_of(line: Column) -> Column:
-    """A squeezed line with its tokens with a digit masked."""
-    line = squeezed(line)
-    return F.when(line.rlike("[0-9]"), F.regexp_replace(line, FIELD, "<*>")).otherwise(line)
-
-
-def rebuilt(text: Column, hits: Column, generalise: bool = False) -> Column:
-    """(kept text, dropped lines) of a text with hits.  Short lines, or with generalise only blank ones, go between dropped ones."""
+    plain = F.trim(F.replace(line, F.lit("\n"), F.lit(" ")))
+    odd = plain.contains("  ") | plain.contains("\t") | plain.contains("\r") | plain.contains("\x0b") | plain.contains("\x0c")
+    return F.when(odd, F.trim(F.regexp_replace(plain, r"\s+", " "))).otherwise(plain)
+
+
+def _upto(line: Column, n: Column | int) -> Column:
+    """The first n tokens; the last -n for a negative n."""
+    return F.call_function("substring_index", line, F.lit(" "), F.lit(n) if isinstance(n, int) else n)
+
+
+def _pair(a: Column, b: Column) -> Column:
+    """Two 32-bit hashes as one number."""
+    return F.shiftleft(a.cast("long"), 32).bitwiseOR(b.cast("long").bitwiseAND(F.lit(_LOW)))
+
+
+def parsed(rows: DataFrame) -> DataFrame:
+    """Row, __key, pos, kind, leaf, and the hashes (a, b) of the stretches of lines of ALONE tokens, for each line that isn't blank.
+
+    check is a second hash of a short line, so that nothing is dropped on 64 bits alone; longer ones have their stretches."""
+    lines = rows.select(*ROW, "__key", F.posexplode(lines_of(F.col("__text"))).alias("pos", "line")).withColumn("line", squeezed(F.col("line"))).where("line <> ''")
+    lines = lines.withColumn("line", F.when(F.col("line").rlike("[0-9]"), F.regexp_replace("line", FIELD, "<*>")).otherwise(F.col("line")))
+    n, line = F.col("n"), F.col("line")
+    lines = lines.withColumn("n", F.octet_length(line) - F.octet_length(F.replace(line, F.lit(" "), F.lit(""))) + 1)
+    ends = [F.expr(f"cast({DEPTH} + (n - {DEPTH}) * {k} div {PARTS} as int)") for k in range(PARTS + 1)]
+    stretch = [F.hash(_upto(_upto(line, ends[k + 1]), ends[k] - ends[k + 1])) for k in range(PARTS)]
+    full = n >= ALONE
+    kind = F.when(full, FULL).when(F.length(line) >= LONG, WIDE).when(n >= LEAST, SHORT).otherwise(TINY).cast("byte")
+    leaf = F.when(full, F.xxhash64(n, _upto(line, DEPTH))).otherwise(F.xxhash64(line))
+    a, b = (F.when(full, _pair(*stretch[k : k + 2])) for k in (0, 2))
+    return lines.select(*ROW, "__key", "pos", kind.alias("kind"), leaf.alias("leaf"), F.when(full, 0).otherwise(F.hash(line)).alias("check"), a.alias("a"), b.alias("b"))
+
+
+def _recurring(rows: DataFrame, *by: str) -> DataFrame:
+    """Groups that several documents share, with the owner; aggregated before its shuffle."""
+    return rows.groupBy(*by).agg(F.min("__key").alias("owner"), F.max("__key").alias("last"), F.count("*").alias("lines")).where("owner < last").drop("last")
+
+
+def _alike(met: DataFrame) -> DataFrame:
+    """Lines of ALONE tokens whose template an earlier document has too: the stretches but for each one in turn are compared."""
+    a, b, high = F.col("a"), F.col("b"), F.lit(-1 - _LOW)
+    masks = [(a.bitwiseAND(F.lit(_LOW)), b), (a.bitwiseAND(high), b), (a, b.bitwiseAND(F.lit(_LOW))), (a, b.bitwiseAND(high))]
+    each = F.explode(F.array(*(F.struct(F.lit(i).alias("i"), x.alias("a"), y.alias("b")) for i, (x, y) in enumerate(masks))))
+    rows = met.where(F.col("kind") == FULL).select(*ROW, "__key", "pos", "leaf", each.alias("m")).select(*ROW, "__key", "pos", F.xxhash64("leaf", "m.i", "m.a", "m.b").alias("mask"), F.hash("m.b", "m.a", "leaf").alias("check"))
+    return rows.join(_recurring(rows, "mask", "check").drop("lines").hint("shuffle_hash"), ["mask", "check"]).where("__key > owner").select(*ROW, "pos")
+
+
+def _common(met: DataFrame) -> DataFrame:
+    """Short lines that many documents hold, but for the first of these."""
+    many = F.when(F.col("kind") == TINY, COMMON).otherwise(MANY)
+    often = met.where((F.col("kind") <= SHORT) & (F.col("lines") >= many))
+    # documents are counted, not lines: one row a document, aggregated before its shuffle
+    held = often.groupBy("leaf", "check", "__key").agg(F.first("kind").alias("kind")).groupBy("leaf", "check").agg(F.count("*").alias("held"), F.min("__key").alias("first"), F.first("kind").alias("kind"))
+    return often.join(held.where(F.col("held") >= many).select("leaf", "check", "first").hint("shuffle_hash"), ["leaf", "check"]).where("__key > first").select(*ROW, "pos")
+
+
+def _pairs(met: DataFrame) -> DataFrame:
+    """Row, __key, pos, kind, kind2, pair and check of neighbouring lines, one of them short."""
+    by_row = met.groupBy(*ROW, "__key").agg(F.array_sort(F.collect_list(F.struct("pos", "leaf", "kind"))).alias("x"))
+    n = F.greatest(F.size("x") - 1, F.lit(0))
+    two = F.zip_with(F.slice("x", F.lit(1), n), F.slice("x", F.lit(2), n), lambda p, q: F.struct(p["pos"].alias("pos"), q["pos"].alias("next"), p["kind"].alias("kind"), q["kind"].alias("kind2"), p["leaf"].alias("leaf"), q["leaf"].alias("leaf2")))
+    two = F.filter(two, lambda t: (t["next"] == t["pos"] + 1) & (F.least(t["kind"], t["kind2"]) <= SHORT))
+    return by_row.select(*ROW, "__key", F.explode(two).alias("t")).select(*ROW, "__key", "t.pos", "t.kind", "t.kind2", F.xxhash64("t.leaf", "t.leaf2").alias("pair"), F.hash("t.leaf2", "t.leaf").alias("check"))
+
+
+def _paired(pairs: DataFrame) -> DataFrame:
+    """Short lines that recur together with the line before or after them."""
+    hits = pairs.join(_recurring(pairs, "pair", "check").drop("lines").hint("shuffle_hash"), ["pair", "check"]).where("__key > owner")
+    members = F.filter(F.array(F.when(F.col("kind") <= SHORT, F.col("pos")), F.when(F.col("kind2") <= SHORT, F.col("pos") + 1)), lambda p: p.isNotNull())
+    return hits.select(*ROW, F.explode(members).alias("pos"))
+
+
+def dropped_lines(rows: DataFrame) -> DataFrame:
+    """Row and the sorted positions of the lines that it loses, for rows that lose any."""
+    lines = durable(parsed(rows), "lines")
+    leaves = durable(_recurring(lines, "leaf", "check"), "leaves")
+    several = lines.join(bit_filter(leaves, "leaf"), same_word("leaf") & has_bit("leaf")).join(leaves.hint("shuffle_hash"), ["leaf", "check"])
+    met = durable(several.select(*ROW, "__key", "pos", "kind", "leaf", "check", "a", "b", "owner", "lines"), "met")
+    release(lines)
+    pairs = durable(_pairs(met), "pairs")
+    wide = met.where((F.col("kind") == WIDE) & (F.col("__key") > F.col("owner"))).select(*ROW, "pos")
+    hits = wide.unionByName(_alike(met)).unionByName(_common(met)).unionByName(_paired(pairs))
+    hits = durable(hits.groupBy(*ROW).agg(F.array_sort(F.collect_set("pos")).alias("__hits")), "hits")
+    for used in (leaves, met, pairs):
+        release(used)
+    return hits
+
+
+def rebuilt(text: Column, hits: Column) -> Column:
+    """The text without the lines at the sorted positions in hits."""
     lines = lines_of(text)
-    follows = (lambda x: ~x.rlike(r"\S")) if generalise else (lambda x: is_short(trimmed(x)))
-    base = F.transform(lines, lambda x, i: F.struct(i.alias("pos"), F.when(follows(x), "s").otherwise("k").alias("code")))
-    # H and h sort before the line's own k or s
-    codes = F.regexp_replace(F.array_join(F.transform(F.array_sort(F.concat(base, hits)), lambda x: x["code"]), ""), "([Hh])[ks]", "$1")
-    codes = F.regexp_replace(codes, "(?<=[Hh]s{0,8})s(?=s{0,8}[Hh])", "x")
-    codes = F.regexp_replace(codes, "(?<![Hhx])h(?![Hhx])", "k")
+    before = F.concat(F.array(F.lit(-1)), F.slice(hits, F.lit(1), F.size(hits) - 1))
+    codes = F.rpad(F.array_join(F.zip_with(before, hits, lambda p, q: F.concat(F.repeat(F.lit("k"), q - p - 1), F.lit("d"))), ""), F.size(lines), F.lit("k"))
     pairs = F.zip_with(lines, F.split(codes, ""), lambda line, code: F.struct(line.alias("line"), code.alias("code")))
-    kept = F.filter(pairs, lambda p: p["code"].isin("k", "s"))
-    return F.struct(F.array_join(F.transform(kept, lambda p: p["line"]), "").alias("text"), (F.size(pairs) - F.size(kept)).alias("dropped"))
+    return F.array_join(F.transform(F.filter(pairs, lambda p: p["code"] == "k"), lambda p: p["line"]), "")
+
+
+def marked(documents: DataFrame, carried: list[str]) -> DataFrame:
+    """The columns carried as struct doc, __hits (null without any) and __kept, the text that stays, of each row."""
+    documents, file, place = named_rows(documents)
+    others = F.struct(F.lit(0).alias(""), *(F.col(f"`{c}`") for c in carried))
+    rows = documents.select(file.alias("__file"), place.alias("__place"), F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)).alias("__key"), F.col("text").cast("string").alias("__text"), others.alias("doc"))
+    hits = dropped_lines(rows)
+    # texts without a hit are not shuffled, but for those that the filter lets through
+    own, name = F.col("__text"), F.xxhash64(*ROW)
+    tested = rows.drop("__key").withColumn("__name", name).join(bit_filter(hits.select(name.alias("__name")), "__name"), same_word("__name"), "left")
+    apart = tested.where(~has_bit("__name")).select("doc", F.lit(None).cast("array<int>").alias("__hits"), own.alias("__kept"))
+    met = tested.where(has_bit("__name")).select(*ROW, "doc", "__text").join(hits.hint("shuffle_hash"), ROW, "left")
+    return apart.unionByName(met.select("doc", "__hits", F.when(F.col("__hits").isNotNull(), rebuilt(own, F.col("__hits"))).otherwise(own).alias("__kept")))
 
 
-def report(documents: DataFrame, generalise: bool = False) -> DataFrame:
+def report(documents: DataFrame) -> DataFrame:
     """doc_id, n_dropped and the text that stays, for each row of documents."""
-    out = marked(documents, generalise).withColumn("r", F.when(F.col("__hits").isNotNull(), rebuilt(F.col("__text"), F.col("__hits"), generalise)))
-    return out.select(F.col("doc.doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("r.dropped"), F.lit(0)).cast("long").alias("n_dropped"), F.coalesce("r.text", "__text").alias("text"))
+    return marked(documents, ["doc_id"]).select(F.col("doc.doc_id").cast("long").alias("doc_id"), F.coalesce(F.size("__hits"), F.lit(0)).cast("long").alias("n_dropped"), F.col("__kept").alias("text"))
 
 
-def drop_lines(documents: DataFrame, generalise: bool = False) -> DataFrame:
+def drop_lines(documents: DataFrame) -> DataFrame:
     """documents without their recurring lines; rows whose every word went are left out.  n_chars follows the text."""
-    out = marked(documents, generalise).withColumn("r", F.when(F.col("__hits").isNotNull(), rebuilt(F.col("__text"), F.col("__hits"), generalise)))
-    out = out.where(F.col("r").isNull() | F.col("r.text").rlike(r"\S"))
-    text = F.coalesce("r.text", "__text")
-    made = {"text": text, "n_chars": F.length(text).cast("long")}
-    return out.select(*((made[c] if c == "text" else F.when(F.col("r").isNotNull(), made[c]).otherwise(F.col(f"doc.`{c}`"))).alias(c) if c in made else F.col(f"doc.`{c}`") for c in documents.columns))
+    lost = F.col("__hits").isNotNull()
+    out = marked(documents, [c for c in documents.columns if c != "text"]).where(~lost | F.col("__kept").rlike(r"\S"))
+    n_chars = F.when(lost, F.length("__kept").cast("long")).otherwise(F.col("doc.n_chars")) if "n_chars" in documents.columns else None
+    return out.select(*(F.col("__kept").alias(c) if c == "text" else n_chars.alias(c) if c == "n_chars" else F.col(f"doc.`{c}`") for c in documents.columns))
