@@ -3,8 +3,12 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
+import ctypes
+import gc
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -37,6 +41,12 @@ def durable(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
+def temporary(spark: SparkSession, path: str) -> str:
+    """path, which is deleted when the interpreter ends."""
+    _written.append((spark, path))
+    return path
+
+
 def release(df: DataFrame | None) -> None:
     """Delete a durable table that no later plan reads."""
     path = getattr(df, "_framesift_path", None)
@@ -96,6 +106,24 @@ def _cleanup() -> None:
             return
 
 
+# ---------------------------------------------------------------- workers
+
+
+def lean(run: Callable) -> Callable:
+    """run, a function of batches, which gives its memory back when its task ends: Spark keeps the worker for later tasks."""
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+            with contextlib.suppress(OSError, AttributeError):  # a C library without it
+                ctypes.CDLL(None).malloc_trim(0)
+
+    return task
+
+
 # ---------------------------------------------------------------- words of a batch of texts
 
 SPACE = np.zeros(256, dtype=bool)

@@ -2,11 +2,17 @@
 
 A bundle is a file of independent Zstandard frames, each holding whole records, and a footer: a skippable frame with the
 seek table (compressed and decompressed size of each frame).  An index maps a record's id to the bundle, the frame and
-the record's place in the decompressed frame, so one record costs one ranged read and one frame's decompression.
+the record's place in the decompressed frame, so one record costs one ranged read and one frame's decompression.  A
+bundle begins with a warcinfo record; the others are HTTP responses whose body is the payload, or revisits with the
+headers of such a response alone.
 
 Of pages with equal payloads of at least REVISIT_BYTES, the smallest page_id is a response and the others are revisits
-that refer to it.  Null html is an empty payload.  A null page_id comes after all others.  Rows that repeat the smallest page_id are
-all responses.
+that refer to it.  Null html is an empty payload, and payloads of any length are one record.  A null page_id comes after all others.  Rows that
+repeat the smallest page_id are all responses.  Other columns are ignored, whatever their names; an empty table writes no bundle.
+
+Payloads are not shuffled: one scan takes digests and sizes, from which the revisits follow, and a second one writes each
+task's responses where it reads them.  It leaves out the revisits by a bit filter over their rows; the few responses that
+the filter takes for revisits are written by a join.
 
 Bundles go to a folder that all executors share, by way of pyarrow's file systems.  A task writes under a name of
 its own attempt, so a task that runs again harms nothing: the index of the attempt that ended names its own files.
@@ -23,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import durable, shared_dir
+from .common import bit_filter, durable, has_bit, lean, named_rows, release, same_word, shared_dir, temporary
 
 REVISIT_BYTES = 100
 FRAME_BYTES, BUNDLE_BYTES = 1 << 18, 1 << 26
@@ -31,30 +37,43 @@ FRAME_BYTES, BUNDLE_BYTES = 1 << 18, 1 << 26
 SKIPPABLE, SEEKABLE = 0x184D2A5E, 0x8F92EAB1
 
 
-def _record(page_id: int | None, url: str | None, payload: bytes, digest: str, refers: int | None, revisit: bool) -> bytes:
-    name = f"urn:page:{'' if page_id is None else page_id}"
-    head = [
-        "WARC/1.1", f"WARC-Type: {'revisit' if revisit else 'response'}", f"WARC-Record-ID: <{name}>", "WARC-Date: 1970-01-01T00:00:00Z",
-        f"WARC-Target-URI: {''.join((url or '').split())}", f"WARC-Payload-Digest: sha256:{digest}", f"X-Payload-Length: {len(payload)}",
-    ]
+RECORD = "page_id long, url string, html string, digest string, bytes long, revisit boolean, refers_to long"
+#: Records made at once.
+_SLICE = 256
+
+
+def _record(kind: str, name: str, headers: list[str], block: bytes, mime: str) -> bytes:
+    head = ["WARC/1.1", f"WARC-Type: {kind}", f"WARC-Record-ID: <{name}>", "WARC-Date: 1970-01-01T00:00:00Z", *headers, f"Content-Type: {mime}", f"Content-Length: {len(block)}"]
+    return "\r\n".join(head).encode("utf-8", "replace") + b"\r\n\r\n" + block + b"\r\n\r\n"
+
+
+def _page(page_id: int | None, url: str | None, payload: bytes, digest: str, size: int, revisit: bool, refers: int | None) -> bytes:
+    headers = [f"WARC-Target-URI: {''.join((url or '').split())}", f"WARC-Payload-Digest: sha256:{digest}"]
     if revisit:
-        head += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"WARC-Refers-To: <urn:page:{'' if refers is None else refers}>"]
-    body = b"" if revisit else payload
-    head += ["Content-Type: text/html; charset=utf-8", f"Content-Length: {len(body)}"]
-    return "\r\n".join(head).encode("utf-8", "replace") + b"\r\n\r\n" + body + b"\r\n\r\n"
+        headers += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"WARC-Refers-To: <urn:page:{'' if refers is None else refers}>"]
+    http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {size}\r\n\r\n".encode()
+    return _record("revisit" if revisit else "response", f"urn:page:{'' if page_id is None else page_id}", headers, http + payload, "application/http; msgtype=response")
+
+
+def _headers(head: bytes) -> tuple[str, dict[str, str]]:
+    first, *lines = head.decode("utf-8").split("\r\n")
+    return first, dict(x.split(": ", 1) if ": " in x else (x.rstrip(":"), "") for x in lines)
 
 
 def parse(record: bytes) -> tuple[dict[str, str], bytes]:
-    """Headers and payload of one record."""
+    """Headers and payload of one record; X-Payload-Length is the length that the HTTP headers state."""
     head, _, rest = record.partition(b"\r\n\r\n")
-    lines = head.decode("utf-8").split("\r\n")
-    if lines[0] != "WARC/1.1":
+    version, headers = _headers(head)
+    if version != "WARC/1.1":
         raise ValueError("not a WARC record")
-    headers = dict(x.split(": ", 1) if ": " in x else (x.rstrip(":"), "") for x in lines[1:])
     n = int(headers["Content-Length"])
     if rest[n:] != b"\r\n\r\n":
         raise ValueError("a record's length is wrong")
-    return headers, rest[:n]
+    if headers["WARC-Type"] not in ("response", "revisit"):
+        return headers, rest[:n]
+    http, _, payload = rest[:n].partition(b"\r\n\r\n")
+    headers["X-Payload-Length"] = _headers(http)[1]["Content-Length"]
+    return headers, payload
 
 
 class BundleWriter:
@@ -121,13 +140,28 @@ class BundleReader:
         return self.frame(frame)[offset : offset + length]
 
 
-def roles(pages: DataFrame) -> DataFrame:
-    """page_id, url, html, revisit and refers_to of each row."""
-    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html"))
-    rows = rows.withColumn("digest", F.when(F.octet_length("html") >= REVISIT_BYTES, F.sha2(F.encode("html", "UTF-8"), 256)))
+def records(pages: DataFrame) -> DataFrame:
+    """A row for each record to be written (RECORD); html is null in revisits."""
+    pages, file, place = named_rows(pages)
+    html = F.coalesce(F.col("html").cast("string"), F.lit(""))
+    own = [F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url")]
+    row = F.xxhash64(file, place).alias("row")
+    measured = pages.select(file.alias("file"), place.alias("place"), *own, F.sha2(F.encode(html, "UTF-8"), 256).alias("digest"), F.octet_length(html).cast("long").alias("bytes"))
+    measured = durable(measured, "digests")
     # aggregated before its shuffle: a group of copies is one row a task
-    first = rows.where("digest is not null").groupBy("digest").agg(F.count("*").alias("n"), F.min("page_id").alias("first")).where("n > 1").select("digest", "first")
-    return rows.join(first, "digest", "left").select("page_id", "url", "html", (F.col("first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first"))).alias("revisit"), F.when(~F.col("page_id").eqNullSafe(F.col("first")), F.col("first")).alias("refers_to"))
+    long = measured.where(F.col("bytes") >= REVISIT_BYTES)
+    first = long.groupBy("digest").agg(F.count("*").alias("n"), F.min("page_id").alias("first")).where("n > 1").select("digest", "first")
+    revisits = durable(long.join(first.hint("shuffle_hash"), "digest").where(~F.col("page_id").eqNullSafe(F.col("first"))), "revisits")
+    filtered = bit_filter(revisits.select(F.xxhash64("file", "place").alias("row")), "row")
+    taken = durable(measured.withColumn("row", F.xxhash64("file", "place")).join(filtered, same_word("row") & has_bit("row")).select("file", "place", "row").join(revisits.select("file", "place").hint("shuffle_hash"), ["file", "place"], "left_anti"), "taken")
+    release(measured)
+
+    scan = pages.select(*own, html.alias("html"), F.sha2(F.encode(html, "UTF-8"), 256).alias("digest"), F.octet_length(html).cast("long").alias("bytes"), row, file.alias("file"), place.alias("place"))
+    plain = scan.join(filtered, same_word("row"), "left").where(~has_bit("row"))
+    late = scan.join(bit_filter(taken, "row"), same_word("row") & has_bit("row")).join(taken.select("file", "place").hint("shuffle_hash"), ["file", "place"], "left_semi")
+    responses = plain.select("page_id", "url", "html", "digest", "bytes").unionByName(late.select("page_id", "url", "html", "digest", "bytes"))
+    none = F.lit(None)
+    return responses.select("*", F.lit(False).alias("revisit"), none.cast("long").alias("refers_to")).unionByName(revisits.select("page_id", "url", none.cast("string").alias("html"), "digest", "bytes", F.lit(True).alias("revisit"), F.col("first").alias("refers_to")))
 
 
 def write_bundles(pages: DataFrame, folder: str) -> DataFrame:
@@ -137,23 +171,24 @@ def write_bundles(pages: DataFrame, folder: str) -> DataFrame:
         writer: BundleWriter | None = None
         names = ["page_id", "bundle", "frame", "frame_offset", "length"]
         kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.int64()]
-        for b in batches:
-            out: list[tuple] = []
-            for page, url, html, revisit, refers in zip(*(b.column(i).to_pylist() for i in range(5)), strict=True):
-                if writer is None:
-                    writer = BundleWriter(folder, f"{uuid.uuid4().hex}.warc.zst")
-                payload = html.encode("utf-8", "replace")
-                out.append((page, writer.name, *writer.add(_record(page, url, payload, hashlib.sha256(payload).hexdigest(), refers, revisit))))
-                if writer.at > BUNDLE_BYTES:
-                    writer.close()
-                    writer = None
-            if out:
+        for whole in batches:
+            for lo in range(0, whole.num_rows, _SLICE):
+                b = whole.slice(lo, _SLICE)
+                out: list[tuple] = []
+                for page, url, html, *about in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                    if writer is None:
+                        writer = BundleWriter(folder, f"{uuid.uuid4().hex}.warc.zst")
+                        writer.add(_record("warcinfo", f"urn:bundle:{writer.name}", [], b"software: framesift\r\nformat: WARC File Format 1.1\r\n", "application/warc-fields"))
+                    out.append((page, writer.name, *writer.add(_page(page, url, (html or "").encode("utf-8", "replace"), *about))))
+                    if writer.at > BUNDLE_BYTES:
+                        writer.close()
+                        writer = None
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names)
         if writer is not None:
             writer.close()
 
     schema = "page_id long, bundle string, frame long, frame_offset long, length long"
-    return durable(roles(pages).mapInArrow(run, schema), "warc-index")
+    return durable(records(pages).mapInArrow(lean(run), schema), "warc-index")
 
 
 def read_records(index: DataFrame, folder: str) -> DataFrame:
@@ -161,7 +196,7 @@ def read_records(index: DataFrame, folder: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         reader, name = None, None
-        for b in batches:
+        for b in (whole.slice(lo, _SLICE) for whole in batches for lo in range(0, whole.num_rows, _SLICE)):
             out: list[tuple] = []
             for page, bundle, frame, offset, length in zip(*(b.column(i).to_pylist() for i in range(5)), strict=True):
                 if bundle != name:
@@ -169,8 +204,7 @@ def read_records(index: DataFrame, folder: str) -> DataFrame:
                 headers, payload = parse(reader.record(frame, offset, length))
                 size, digest = int(headers["X-Payload-Length"]), headers["WARC-Payload-Digest"].removeprefix("sha256:")
                 if headers["WARC-Type"] == "response":
-                    size, found = len(payload), hashlib.sha256(payload).hexdigest()
-                    if found != digest:
+                    if len(payload) != size or hashlib.sha256(payload).hexdigest() != digest:
                         raise ValueError(f"the payload of {headers['WARC-Record-ID']} has changed")
                 refers = headers.get("WARC-Refers-To", "").removeprefix("<urn:page:").removesuffix(">")
                 out.append((page, size, digest, headers["WARC-Type"], int(refers) if refers else None))
@@ -182,12 +216,12 @@ def read_records(index: DataFrame, folder: str) -> DataFrame:
     # work behind it, so its partitions are not left to their size.
     parts = int(index.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     placed = index.repartition(parts, "bundle").sortWithinPartitions("bundle", "frame", "frame_offset").select("page_id", "bundle", "frame", "frame_offset", "length")
-    return placed.mapInArrow(run, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long")
+    return placed.mapInArrow(lean(run), "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long")
 
 
 def archive(pages: DataFrame, folder: str | None = None) -> DataFrame:
     """Writes pages to bundles in folder (one of its own in the shared folder if not given) and reads them back."""
-    folder = folder or f"{shared_dir(pages.sparkSession)}/warc-{uuid.uuid4().hex}"
+    folder = folder or temporary(pages.sparkSession, f"{shared_dir(pages.sparkSession)}/warc-{uuid.uuid4().hex}")
     if ":" not in folder.split("/")[0]:
         folder = "file://" + folder
     return read_records(write_bundles(pages, folder), folder)

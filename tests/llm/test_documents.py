@@ -244,6 +244,13 @@ def test_line_dedup_does_not_depend_on_the_splits(spark, documents, rows):
     assert scans > 1
 
 
+def test_line_dedup_with_a_full_filter(documents, rows, monkeypatch):
+    from framesift.llm import common, line_templates
+
+    monkeypatch.setattr(common, "FILTER_BITS", 64)
+    assert found(line_templates.report(documents), "doc_id", "text", "n_dropped") == brute_dedup(rows)
+
+
 def test_line_dedup_of_short_lines(spark, tmp_path):
     """Short, tabbed and unspaced lines that recur go by length, by the documents that hold them, or with their neighbours."""
     from framesift.llm.line_templates import report
