@@ -32,29 +32,30 @@ LEAST, ALONE, DEPTH, PARTS = 4, 8, 2, 4
 LONG, MANY, COMMON = 40, 10, 100
 LINE_ENDS = r"(?<=\n)(?!\n)|(?<=[.!?] )(?!\n)"
 FIELD = r"\S*[0-9]\S*"
-#: Kinds of lines: below LEAST tokens, below ALONE, as short but of LONG characters, of ALONE tokens or more.
-TINY, SHORT, WIDE, FULL = 0, 1, 2, 3
+#: Kinds of lines: without a token, below LEAST tokens, below ALONE, as short but of LONG characters, of ALONE tokens or more.
+BLANK, TINY, SHORT, WIDE, FULL = -1, 0, 1, 2, 3
 _CUT = "\x01"
 _LAST = (1 << 63) - 1
 _LOW = (1 << 32) - 1
 ROW = ["__file", "__place"]
 
 
-def lines_of(text: Column) -> Column:
-    """Lines and sentences, each with what ends it.  A mark that the text doesn't hold is put after each end, which is much
-    cheaper than a pattern; texts with the mark go by the pattern."""
+def _marked(text: Column) -> Column:
     marked = text
     for end in (". ", "! ", "? ", "\n"):
         marked = F.replace(marked, F.lit(end), F.lit(end + _CUT))
-    marked = F.replace(marked, F.lit(_CUT + "\n"), F.lit("\n"))
-    return F.when(text.contains(_CUT), F.split(text, LINE_ENDS, -1)).otherwise(F.split(marked, _CUT, -1))
+    return F.replace(marked, F.lit(_CUT + "\n"), F.lit("\n"))
+
+
+def lines_of(text: Column, of=lambda marked: marked) -> Column:
+    """Lines and sentences, each with what ends it.  A mark that the text doesn't hold is put after each end, which is much
+    cheaper than a pattern; texts with the mark go by the pattern.  of changes the marked text before it is cut."""
+    return F.when(text.contains(_CUT), F.split(text, LINE_ENDS, -1)).otherwise(F.split(of(_marked(text)), _CUT, -1))
 
 
-def squeezed(line: Column) -> Column:
-    """Without the white space around it, and with one space for any inside it."""
-    plain = F.trim(F.replace(line, F.lit("\n"), F.lit(" ")))
-    odd = plain.contains("  ") | plain.contains("\t") | plain.contains("\r") | plain.contains("\x0b") | plain.contains("\x0c")
-    return F.when(odd, F.trim(F.regexp_replace(plain, r"\s+", " "))).otherwise(plain)
+def squeezed(line: Column, odd: Column) -> Column:
+    """Without the white space around it, and with one space for any inside it; odd lines may hold more than single spaces."""
+    return F.when(odd, F.trim(F.regexp_replace(line, r"\s+", " "))).otherwise(F.trim(line))
 
 
 def _upto(line: Column, n: Column | int) -> Column:
@@ -68,24 +69,31 @@ def _pair(a: Column, b: Column) -> Column:
 
 
 def parsed(rows: DataFrame) -> DataFrame:
-    """Row, __key, pos, kind, leaf, and the hashes (a, b) of the stretches of lines of ALONE tokens, for each line that isn't blank.
+    """Row, __key, pos, kind, leaf, and the hashes (a, b) of the stretches of lines of ALONE tokens, for each line.
 
     check is a second hash of a short line, so that nothing is dropped on 64 bits alone; longer ones have their stretches."""
-    lines = rows.select(*ROW, "__key", F.posexplode(lines_of(F.col("__text"))).alias("pos", "line")).withColumn("line", squeezed(F.col("line"))).where("line <> ''")
-    lines = lines.withColumn("line", F.when(F.col("line").rlike("[0-9]"), F.regexp_replace("line", FIELD, "<*>")).otherwise(F.col("line")))
+    text = F.col("__text")
+    # what holds for a whole text is asked once for all of its lines, before these are made
+    odd = text.contains(_CUT) | text.contains("  ") | text.contains("\t") | text.contains("\r") | text.contains("\x0b") | text.contains("\x0c") | text.contains("\n ") | text.contains(" \n")
+    cut = lines_of(text, lambda t: F.replace(t, F.lit("\n"), F.lit(" ")))
+    rows = rows.select(*ROW, "__key", odd.alias("odd"), text.rlike("[0-9]").alias("digits"), cut.alias("lines"))
+    lines = rows.select(*ROW, "__key", "odd", "digits", F.posexplode_outer("lines").alias("pos", "line"))  # not outer, Spark would cut texts again to filter them
+    lines = lines.withColumn("line", squeezed(F.col("line"), F.col("odd")))
+    lines = lines.withColumn("line", F.when(F.col("digits") & F.col("line").rlike("[0-9]"), F.regexp_replace("line", FIELD, "<*>")).otherwise(F.col("line")))
     n, line = F.col("n"), F.col("line")
     lines = lines.withColumn("n", F.octet_length(line) - F.octet_length(F.replace(line, F.lit(" "), F.lit(""))) + 1)
     ends = [F.expr(f"cast({DEPTH} + (n - {DEPTH}) * {k} div {PARTS} as int)") for k in range(PARTS + 1)]
-    stretch = [F.hash(_upto(_upto(line, ends[k + 1]), ends[k] - ends[k + 1])) for k in range(PARTS)]
+    stretch = [F.hash(_upto(_upto(line, ends[k + 1]) if k + 1 < PARTS else line, ends[k] - ends[k + 1])) for k in range(PARTS)]
     full = n >= ALONE
-    kind = F.when(full, FULL).when(F.length(line) >= LONG, WIDE).when(n >= LEAST, SHORT).otherwise(TINY).cast("byte")
+    kind = F.when(full, FULL).when(F.length(line) >= LONG, WIDE).when(n >= LEAST, SHORT).when(line != "", TINY).otherwise(BLANK).cast("byte")
     leaf = F.when(full, F.xxhash64(n, _upto(line, DEPTH))).otherwise(F.xxhash64(line))
     a, b = (F.when(full, _pair(*stretch[k : k + 2])) for k in (0, 2))
     return lines.select(*ROW, "__key", "pos", kind.alias("kind"), leaf.alias("leaf"), F.when(full, 0).otherwise(F.hash(line)).alias("check"), a.alias("a"), b.alias("b"))
 
 
 def _recurring(rows: DataFrame, *by: str) -> DataFrame:
-    """Groups that several documents share, with the owner; aggregated before its shuffle."""
+    """Groups that several documents share, with the owner; aggregated before its shuffle.  Written before it is joined, so that
+    the rows of a hot group can be split."""
     return rows.groupBy(*by).agg(F.min("__key").alias("owner"), F.max("__key").alias("last"), F.count("*").alias("lines")).where("owner < last").drop("last")
 
 
@@ -94,8 +102,10 @@ def _alike(met: DataFrame) -> DataFrame:
     a, b, high = F.col("a"), F.col("b"), F.lit(-1 - _LOW)
     masks = [(a.bitwiseAND(F.lit(_LOW)), b), (a.bitwiseAND(high), b), (a, b.bitwiseAND(F.lit(_LOW))), (a, b.bitwiseAND(high))]
     each = F.explode(F.array(*(F.struct(F.lit(i).alias("i"), x.alias("a"), y.alias("b")) for i, (x, y) in enumerate(masks))))
-    rows = met.where(F.col("kind") == FULL).select(*ROW, "__key", "pos", "leaf", each.alias("m")).select(*ROW, "__key", "pos", F.xxhash64("leaf", "m.i", "m.a", "m.b").alias("mask"), F.hash("m.b", "m.a", "leaf").alias("check"))
-    return rows.join(_recurring(rows, "mask", "check").drop("lines").hint("shuffle_hash"), ["mask", "check"]).where("__key > owner").select(*ROW, "pos")
+    rows = met.where(F.col("kind") == FULL).select(*ROW, "__key", "pos", "leaf", each.alias("m"))
+    rows = rows.select(*ROW, "__key", "pos", F.xxhash64("leaf", "m.i", "m.a", "m.b").alias("mask"), F.hash("m.b", "m.a", "leaf").alias("check"))
+    masks = durable(_recurring(rows, "mask", "check").drop("lines"), "masks")
+    return rows.join(masks.hint("shuffle_hash"), ["mask", "check"]).where("__key > owner").select(*ROW, "pos")
 
 
 def _common(met: DataFrame) -> DataFrame:
@@ -104,7 +114,8 @@ def _common(met: DataFrame) -> DataFrame:
     often = met.where((F.col("kind") <= SHORT) & (F.col("lines") >= many))
     # documents are counted, not lines: one row a document, aggregated before its shuffle
     held = often.groupBy("leaf", "check", "__key").agg(F.first("kind").alias("kind")).groupBy("leaf", "check").agg(F.count("*").alias("held"), F.min("__key").alias("first"), F.first("kind").alias("kind"))
-    return often.join(held.where(F.col("held") >= many).select("leaf", "check", "first").hint("shuffle_hash"), ["leaf", "check"]).where("__key > first").select(*ROW, "pos")
+    held = durable(held.where(F.col("held") >= many).select("leaf", "check", "first"), "common")
+    return often.join(held.hint("shuffle_hash"), ["leaf", "check"]).where("__key > first").select(*ROW, "pos")
 
 
 def _pairs(met: DataFrame) -> DataFrame:
@@ -113,23 +124,25 @@ def _pairs(met: DataFrame) -> DataFrame:
     n = F.greatest(F.size("x") - 1, F.lit(0))
     two = F.zip_with(F.slice("x", F.lit(1), n), F.slice("x", F.lit(2), n), lambda p, q: F.struct(p["pos"].alias("pos"), q["pos"].alias("next"), p["kind"].alias("kind"), q["kind"].alias("kind2"), p["leaf"].alias("leaf"), q["leaf"].alias("leaf2")))
     two = F.filter(two, lambda t: (t["next"] == t["pos"] + 1) & (F.least(t["kind"], t["kind2"]) <= SHORT))
-    return by_row.select(*ROW, "__key", F.explode(two).alias("t")).select(*ROW, "__key", "t.pos", "t.kind", "t.kind2", F.xxhash64("t.leaf", "t.leaf2").alias("pair"), F.hash("t.leaf2", "t.leaf").alias("check"))
+    return by_row.select(*ROW, "__key", F.explode_outer(two).alias("t")).where("t is not null").select(*ROW, "__key", "t.pos", "t.kind", "t.kind2", F.xxhash64("t.leaf", "t.leaf2").alias("pair"), F.hash("t.leaf2", "t.leaf").alias("check"))
 
 
 def _paired(pairs: DataFrame) -> DataFrame:
     """Short lines that recur together with the line before or after them."""
-    hits = pairs.join(_recurring(pairs, "pair", "check").drop("lines").hint("shuffle_hash"), ["pair", "check"]).where("__key > owner")
+    twice = durable(_recurring(pairs, "pair", "check").drop("lines"), "twice")
+    hits = pairs.join(twice.hint("shuffle_hash"), ["pair", "check"]).where("__key > owner")
     members = F.filter(F.array(F.when(F.col("kind") <= SHORT, F.col("pos")), F.when(F.col("kind2") <= SHORT, F.col("pos") + 1)), lambda p: p.isNotNull())
     return hits.select(*ROW, F.explode(members).alias("pos"))
 
 
 def dropped_lines(rows: DataFrame) -> DataFrame:
     """Row and the sorted positions of the lines that it loses, for rows that lose any."""
-    lines = durable(parsed(rows), "lines")
+    parse = durable(parsed(rows), "lines")
+    lines = parse.where(F.col("kind") > BLANK)
     leaves = durable(_recurring(lines, "leaf", "check"), "leaves")
     several = lines.join(bit_filter(leaves, "leaf"), same_word("leaf") & has_bit("leaf")).join(leaves.hint("shuffle_hash"), ["leaf", "check"])
     met = durable(several.select(*ROW, "__key", "pos", "kind", "leaf", "check", "a", "b", "owner", "lines"), "met")
-    release(lines)
+    release(parse)
     pairs = durable(_pairs(met), "pairs")
     wide = met.where((F.col("kind") == WIDE) & (F.col("__key") > F.col("owner"))).select(*ROW, "pos")
     hits = wide.unionByName(_alike(met)).unionByName(_common(met)).unionByName(_paired(pairs))
