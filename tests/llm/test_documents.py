@@ -64,6 +64,56 @@ def test_battery_tells_random_strings_from_words(spark):
     assert got["r"]["low"] > 0.01 and got["t"]["high"] < 0.01
 
 
+ALPHABETS = {"HEX": "0123456789ABCDEF", "base32": "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", "lower": "abcdefghijklmnopqrstuvwxyz0123456789", "alnum": "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789", "base64": "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"}
+
+
+def test_reported_runs_are_keys_and_not_text(spark):
+    """Of planted keys of each encoding nine in ten are reported, and of what is reported at most the stated share is text."""
+    import random
+
+    from framesift.llm.secrets import FALSE_DISCOVERY, scan
+
+    rng = random.Random(12)
+    english = "the of and to in is that it was for on are as with his they at be this from have or by one had not but what all were when we there can an your which their said if do will each about how up out them then she many some so these would other into has more her two like him see time could no make than first been its who now people my made over did down only way find use may water long little very after words called just where most know".split()
+    parts = ["user", "Profile", "Function", "Name", "With", "Args", "Handler", "request", "Builder", "Config", "Manager", "Service", "index", "Value", "Template", "Parser", "Response", "default", "internal", "Callback"]
+    prose = lambda: " ".join(rng.choice(english) for _ in range(150)) + ". "
+    data, keys, names = [], {}, {}
+    for i in range(1500):
+        head, tail = prose(), prose()
+        if i % 10 == 0:
+            kind = list(ALPHABETS)[i // 10 % 5]
+            body = "".join(rng.choice(ALPHABETS[kind]) for _ in range(rng.randint(44, 80)))
+            keys[i] = (len(head), len(head) + len(body), kind)
+        elif i % 10 < 3:
+            body = "".join(rng.choice(parts) for _ in range(rng.randint(3, 8))) + str(rng.randint(0, 99)) + rng.choice(parts)
+            names[i] = body
+        else:
+            body = ""
+        data.append((i, head + body + " " + tail))
+    out = {r["doc_id"]: r["spans"] for r in scan(spark.createDataFrame(data, "doc_id long, text string")).collect()}
+    reported = {(i, *map(int, s.split(":")[1:])) for i, spans in out.items() for s in spans.split(",") if s.startswith("random:")}
+    right = {(i, a, b) for i, (a, b, _) in keys.items()}
+    missed = [keys[i][2] for i, a, b in right - reported]
+    assert len(right & reported) >= 0.9 * len(right), missed
+    # the rate bounds the mean share; three deviations are allowed for one sample
+    expected = FALSE_DISCOVERY * len(reported)
+    assert len(reported - right) <= expected + 3 * expected**0.5, [(i, names.get(i)) for i, *_ in reported - right]
+
+
+def test_spans_of_many_matches(spark):
+    """Offsets take time in proportion to a text's matches, and those of later blocks are right too."""
+    import time
+
+    from framesift.llm.secrets import scan
+
+    texts = ["é token=abcdef" * n for n in (1, 127, 128, 129, 300, 100_000)]
+    began = time.time()
+    out = {r["doc_id"]: r for r in scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert time.time() - began < 60
+    for i, t in enumerate(texts):
+        assert out[i]["n_assign"] == len(base_spans(t)) and out[i]["base_sha256"] == hashlib.sha256(",".join(f"assign:{a}:{b}" for a, _, b in base_spans(t)).encode()).hexdigest()
+
+
 # ---------------------------------------------------------------- op2
 
 
@@ -229,11 +279,11 @@ def test_line_dedup_does_not_depend_on_the_splits(spark, documents, rows):
     scans = 0
     inner = line_templates.lines_of
 
-    def fewer_cores(text):
+    def fewer_cores(*text):
         nonlocal scans
         scans += 1
         spark.conf.set("spark.sql.files.maxPartitionBytes", "4k" if scans % 2 else "128m")
-        return inner(text)
+        return inner(*text)
 
     line_templates.lines_of = fewer_cores
     try:
