@@ -6,7 +6,8 @@ partition is packed on its own, without a shuffle: an id of a sequence is the pa
 a task that runs again gives the same rows.  At a partition's end the open windows are levelled: the emptiest is cut into
 pieces that fill the fullest, and the last is cut into powers of two, which need no padding.
 
-A null text is an empty one: the single id END.  Repeated rows are packed as documents of their own.
+A null text is an empty one: the single id END.  Texts of any length are read whole.  Repeated rows are packed as documents
+of their own.  Other columns are ignored, whatever their names; an empty table gives an empty one.
 """
 
 from __future__ import annotations
@@ -20,11 +21,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import lean
+
 WINDOW, END = 2048, 1
 #: Stands between words that are encoded together; one token.
 MARK = "\x01"
-#: Words whose ids a worker remembers.
-REMEMBERED = 1_200_000
+#: Words whose ids a task remembers, at most.
+REMEMBERED = 500_000
 _loaded: dict[str, WordIds] = {}
 
 
@@ -225,8 +228,9 @@ def pack(documents: DataFrame, tokenizer_path: str, window: int = WINDOW, with_i
                     yield out()
         for held in packer.close():
             put(held)
+        encoder.clear()
         if rows:
             yield out()
 
     schema = ", ".join(f"{c} long" for c in COLUMNS) + (", ids array<long>" if with_ids else "")
-    return documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, schema)
+    return documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(lean(run), schema)
