@@ -4,9 +4,11 @@ Texts are cut into pre-tokens (a run of word marks and the characters up to the
 vocabulary reaches.  The distinct pre-tokens of a batch that the worker has not met are held as one ragged array of
 symbols; in each round every sequence applies its lowest-rank pair at once, until none has one left.  The surviving
 symbols are counted, a character outside the vocabulary as its UTF-8 bytes.  Sequences above LONG symbols are merged with
-a heap instead, which keeps the work near-linear in very long words.
+a heap instead: a round merges one place of a sequence, so a word of a million characters would take a million rounds over
+all of its symbols.
 
-Null texts count as empty: 0 bytes, 0 tokens.  Repeated rows give repeated results; other columns are ignored.
+Null texts count as empty: 0 bytes, 0 tokens.  Repeated rows give repeated results; other columns are
+ignored, whatever their names; an empty table gives an empty one.
 """
 
 from __future__ import annotations
@@ -20,6 +22,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import lean
+
 MARK = "▁"
 LIMIT = 4096
 #: Symbols above which a sequence is merged with a heap; pre-tokens that a worker remembers.
@@ -175,5 +179,6 @@ def count_tokens(documents: DataFrame, model_path: str, limit: int = LIMIT) -> D
                 n = np.array(model.counts(texts), np.int64)
                 size = np.array([len(x.encode()) for x in texts], np.int64)
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(size), pa.array(n), pa.array(n > limit)], ["doc_id", "n_bytes", "n_tokens", "over_limit"])
+        model.known.clear()
 
-    return documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, n_bytes long, n_tokens long, over_limit boolean")
+    return documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(lean(run), "doc_id long, n_bytes long, n_tokens long, over_limit boolean")
