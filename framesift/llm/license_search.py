@@ -5,17 +5,21 @@ into k + 1 pieces, one of which any text within k edits holds exactly; an Aho-Co
 those seeds, and around them the regex library's bounded-error matching verifies the edits and gives the spans.
 
 Texts are normalised to their words (A-Z lower-cased) with one space between, so spans are in words.  Null and empty
-texts have no words and no labels.  Repeated rows give repeated results; other columns are ignored.
+texts have no words and no labels.  Texts of any length are read whole, in time in proportion to their length and matches.
+Repeated rows give repeated results; other columns are ignored, whatever their names; an empty table gives an empty one.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import lean
+
 # Phrases and their labels.
 PHRASES = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved": "reserved"}
 # Short notices, in normalised words, and their labels.
@@ -72,9 +76,11 @@ class NoticeSearch:
         for phrase, label in self.phrases:
             at = words.find(phrase)
             while at >= 0:
-                places.append(words.count(b" ", 0, at))
+                places.append(at)
                 labels.add(label)
                 at = words.find(phrase, at + 1)
+        if places:
+            places = np.searchsorted(np.flatnonzero(np.frombuffer(words, np.uint8) == 32), places).tolist()
         return places, labels
 
     def fuzzy(self, text: str) -> list[tuple[str, int, int, int, int]]:
@@ -100,8 +106,11 @@ class NoticeSearch:
                     windows.append([lo, hi])
             for lo, hi in windows:
                 for m in pattern.finditer(text, max(0, lo), min(len(text), hi)):
-                    a, b = m.span()
-                    found.append((label, text.count(" ", 0, a + 1) - 1 if text[a : a + 1] == " " else text.count(" ", 0, a) - 1, text.count(" ", 0, b - 1), sum(m.fuzzy_counts), k))
+                    found.append((label, *m.span(), sum(m.fuzzy_counts), k))
+        if found:  # from characters to words, with the spaces' places taken once
+            spaces = np.flatnonzero(np.frombuffer(text.encode("utf-32-le"), np.uint32) == 32)
+            starts, ends = (np.searchsorted(spaces, [s[i] + d for s in found]) for i, d in ((1, 1), (2, -1)))
+            found = [(s[0], int(a) - 1, int(b), s[3], s[4]) for s, a, b in zip(found, starts, ends, strict=True)]
         return found
 
 
@@ -113,7 +122,7 @@ def search(documents: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         finder = NoticeSearch()
-        for b in batches:
+        for b in (whole.slice(lo, 256) for whole in batches for lo in range(0, whole.num_rows, 256)):
             out: list[list] = [[] for _ in range(8)]
             for text in b.column(1).to_pylist():
                 words = normalise(text or "")
@@ -129,4 +138,4 @@ def search(documents: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c, k) for c, k in zip(out, kinds, strict=True))], ["doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score", "spans"])
 
     schema = "doc_id long, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double, spans string"
-    return documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, schema)
+    return documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(lean(run), schema)
