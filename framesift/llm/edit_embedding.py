@@ -9,7 +9,9 @@ compare at the coarser one; their likeness is the share of equal positions, corr
 
 Candidates for near copies come from bands of sampled bits, and are verified by their likeness.
 
-Null texts count as empty; an empty text's fingerprint is that of no characters and is like another empty one's only.
+Null texts count as empty; an empty text's fingerprint is that of no characters and is like another empty one's only.  Texts
+of any length are walked whole.  Repeated rows have equal fingerprints.  Other columns are ignored, whatever their
+names; an empty table gives an empty one.
 """
 
 from __future__ import annotations
@@ -22,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import durable, mix, release
+from .common import durable, lean, mix, release
 
 #: Sampled positions of a fingerprint, at most.
 MOST = 128
@@ -251,7 +253,7 @@ def fingerprint_edits(documents: DataFrame) -> DataFrame:
                 lo = hi
 
     schema = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
-    return _placed(documents).mapInArrow(run, schema)
+    return _placed(documents).mapInArrow(lean(run), schema)
 
 
 def near_links(marked: DataFrame, bands: int = 16, width: int = 8, least: float = 0.8) -> DataFrame:

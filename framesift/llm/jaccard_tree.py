@@ -15,7 +15,8 @@ Documents are sets of distinct five-word shingles; two link when 100 * |A and B|
    alone; the few pairs that they allow are then verified on the sets.
 
 Null and empty texts have n_shingles 0 and are alone.  Rows that repeat a doc_id are rows of their own; the component's
-id is the smallest non-null doc_id in it (null where all are null).  Other columns are ignored, whatever their names.
+id is the smallest non-null doc_id in it (null where all are null).  Texts of any length are read whole.  Other columns are
+ignored, whatever their names; an empty table gives an empty one.
 """
 
 from __future__ import annotations
@@ -25,10 +26,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, durable, mix, slices, text_buffers, windows, word_bounds, word_hashes
+from .common import components, durable, lean, mix, named_rows, slices, text_buffers, windows, word_bounds, word_hashes
 
 WIDTH, PERCENT = 5, 80
 #: Shingles (or words of bitmaps) in one piece of a block.
@@ -292,7 +293,7 @@ def _tree_join(rows: DataFrame, join) -> DataFrame:
     spread = cut.select("block", "node", "n", "comp", "array", "count", "mine", "pieces", other.alias("other"))
     piece = F.least("mine", "other") * F.col("pieces") + F.greatest("mine", "other")
     spread = spread.select("block", piece.cast("long").alias("piece"), "node", "n", "comp", "array", "count")
-    return spread.repartition("block", "piece").sortWithinPartitions("block", "piece").mapInArrow(lambda batches: _join_blocks(batches, join), "a long, b long")
+    return spread.repartition("block", "piece").sortWithinPartitions("block", "piece").mapInArrow(lean(lambda batches: _join_blocks(batches, join)), "a long, b long")
 
 
 def _maps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -314,7 +315,7 @@ def _only(texts: DataFrame, nodes: DataFrame, apply, schema: str) -> DataFrame:
     rows through: they are copies or unlinkable, so they cost time only.  Beyond the rows it is made for, a join picks them.
     """
     if nodes.count() > FILTER_BITS // 8:
-        return texts.join(nodes.select(F.col("node").alias("row")), "row", "left_semi").select("row", "doc_id", "text").mapInArrow(apply, schema)
+        return texts.join(nodes.select(F.col("node").alias("row")), "row", "left_semi").select("row", "doc_id", "text").mapInArrow(lean(apply), schema)
     words = nodes.select(F.pmod(F.xxhash64("node"), F.lit(FILTER_BITS)).alias("h")).select(F.shiftright("h", 6).alias("w"), F.expr("shiftleft(1L, cast(h & 63 as int))").alias("m"))
     filled = np.zeros(FILTER_BITS // 64, np.int64)
     for r in words.groupBy("w").agg(F.bit_or("m").alias("m")).toArrow().to_batches():  # FILTER_BITS / 64 rows at most
@@ -329,7 +330,7 @@ def _only(texts: DataFrame, nodes: DataFrame, apply, schema: str) -> DataFrame:
             if b.num_rows:
                 yield b
 
-    return texts.withColumn("h", F.pmod(F.xxhash64("row"), F.lit(FILTER_BITS))).mapInArrow(lambda batches: apply(picked(batches)), schema)
+    return texts.withColumn("h", F.pmod(F.xxhash64("row"), F.lit(FILTER_BITS))).mapInArrow(lean(lambda batches: apply(picked(batches))), schema)
 
 
 def _full(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -350,13 +351,27 @@ def _linkable(full: DataFrame) -> DataFrame:
     return lists.withColumn("free", free).where("free > 0").select("node", "n", F.array_sort("x.s").alias("items"), F.slice("x.s", F.lit(1), F.col("free")).alias("keys"))
 
 
-def classes(documents: DataFrame) -> tuple[DataFrame, DataFrame]:
+def numbered(documents: DataFrame) -> tuple[DataFrame, Column]:
+    """documents, and a number for each row that doesn't depend on how a scan is split.
+
+    It is a hash of the row's file and place.  With some 10^10 rows two may get the same one: the numbers are then drawn anew.
+    """
+    documents, file, place = named_rows(documents)
+    seed = 0
+    while True:
+        row = F.xxhash64(file, place, F.lit(seed))
+        if documents.select(row.alias("row")).groupBy("row").count().where("count > 1").isEmpty():
+            return documents, row
+        seed += 1
+
+
+def classes(documents: DataFrame, row: Column) -> tuple[DataFrame, DataFrame]:
     """(rows, roots): rows has row, doc_id, n, digest, node of each document; roots has node, root for nodes with links."""
-    texts = documents.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    described = durable(texts.mapInArrow(_describe, "row long, doc_id long, n long, digest binary"), "shingles")
+    texts = documents.select(row.alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    described = durable(texts.mapInArrow(lean(_describe), "row long, doc_id long, n long, digest binary"), "shingles")
     names = durable(described.where("n > 0").groupBy("digest").agg(F.min("row").alias("node"), F.first("n").alias("n")), "classes")
     posts = _only(texts, names.select("node"), _heads, "s long, node long").repartition("s").sortWithinPartitions("s")
-    counts = posts.mapInArrow(_shared, "node long, c long").groupBy("node").agg(F.sum("c").alias("c"))
+    counts = posts.mapInArrow(lean(_shared), "node long, c long").groupBy("node").agg(F.sum("c").alias("c"))
     least = F.when(F.col("n") > 4, F.expr(f"(n - (({PERCENT} * n + 99) div 100) + 1) div 4 + 1")).otherwise(1)
     nodes = durable(counts.join(names.select("node", "n"), "node").where(F.col("c") >= least).select("node"), "nodes")
     found = durable(_linkable(_only(texts, nodes, _full, "node long, n long, items array<long>")), "linkable")
@@ -371,7 +386,7 @@ def classes(documents: DataFrame) -> tuple[DataFrame, DataFrame]:
     mixed = keyed.groupBy("block").agg(F.count("*").alias("c"), F.sum(F.xxhash64("node").cast("decimal(38,0)")).alias("f"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi")
     blocks = mixed.groupBy("c", "f").agg(F.min("block").alias("block")).select("block")  # blocks of the same nodes once
     chosen = keyed.join(blocks, "block", "left_semi").select("block", "node")
-    maps = labelled.select("node", "n", "comp", "items").mapInArrow(_maps, "node long, n long, comp long, array array<long>, count long")
+    maps = labelled.select("node", "n", "comp", "items").mapInArrow(lean(_maps), "node long, n long, comp long, array array<long>, count long")
     pairs = _tree_join(chosen.join(maps, "node").select("block", "node", "n", "comp", "array", "count"), _possible).distinct()
     side = found.select("node", "n", "items")
     pairs = pairs.join(side.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("items").alias("ia")), "a").join(side.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("items").alias("ib")), "b")
@@ -382,9 +397,9 @@ def classes(documents: DataFrame) -> tuple[DataFrame, DataFrame]:
     return described.select("row", "doc_id", "n", "digest").join(names.select("digest", "node"), "digest", "left"), roots
 
 
-def link_components(documents: DataFrame) -> DataFrame:
+def link_components(documents: DataFrame, named: tuple[DataFrame, Column] | None = None) -> DataFrame:
     """row, doc_id, n_shingles, component_id and whether the row is its component's first, for each document."""
-    rows, roots = classes(documents)
+    rows, roots = classes(*(named or numbered(documents)))
     rows = rows.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node", "row"))
     rows = durable(rows.select("row", "doc_id", "n", "root"), "rows")
     # the smallest doc_id, then the smallest row; nulls last.  Written, so that the join's hot roots can be split.
@@ -394,10 +409,9 @@ def link_components(documents: DataFrame) -> DataFrame:
 
 
 def drop_near_copies(documents: DataFrame) -> DataFrame:
-    """documents with one row of each component (the smallest doc_id), all columns kept.
-
-    Rows are named by their place in the scan, so documents must be a plain read of stored files.
-    """
-    gone = link_components(documents).where("not is_first").select(F.col("row").alias("__row"))
-    numbered = documents.withColumn("__row", F.monotonically_increasing_id())
-    return numbered.join(gone, "__row", "left_anti").select(*(F.col(f"`{c}`") for c in documents.columns))
+    """documents with one row of each component (the smallest doc_id), all columns kept, whatever their names."""
+    columns = documents.columns
+    documents, row = numbered(documents)
+    gone = link_components(documents, (documents, row)).where("not is_first").select("row")
+    whole = documents.select(row.alias("row"), F.struct(*(F.col(f"`{c}`") for c in columns)).alias("doc"))
+    return whole.join(gone, "row", "left_anti").select(*(F.col(f"doc.`{c}`") for c in columns))
