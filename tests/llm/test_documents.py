@@ -362,6 +362,31 @@ def test_ngram_jaccard(documents, rows, empty, monkeypatch):
     monkeypatch.setattr(jaccard_tree, "BLOCK", 500)
     assert found(jaccard_tree.link_components(documents), "doc_id", "n_shingles", "component_id") == want
     assert jaccard_tree.link_components(empty).count() == 0
+    # beyond the rows that the bit filter is made for, a join picks them
+    monkeypatch.setattr(jaccard_tree, "FILTER_BITS", 64)
+    assert found(jaccard_tree.link_components(documents), "doc_id", "n_shingles", "component_id") == want
+
+
+def test_ngram_jaccard_does_not_depend_on_the_splits(spark, documents, rows):
+    """Rows are named by file and place, so cores lost between two scans change nothing."""
+    from framesift.llm import jaccard_tree
+
+    scans = 0
+    inner = jaccard_tree._only
+
+    def fewer_cores(*about):
+        nonlocal scans
+        scans += 1
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "4k" if scans % 2 else "128m")
+        return inner(*about)
+
+    jaccard_tree._only = fewer_cores
+    try:
+        assert found(jaccard_tree.link_components(documents), "doc_id", "n_shingles", "component_id") == brute_components(rows)[0]
+    finally:
+        jaccard_tree._only = inner
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert scans > 1
 
 
 def test_signature_tree_finds_every_component():
@@ -464,6 +489,53 @@ def test_license_search(documents, rows, empty):
     assert search(empty).count() == 0
 
 
+def test_fuzzy_search_against_brute_force():
+    """Every notice with 0 to k edits planted in prose is found; the words of every span are within its bound of its notice, but for
+    parts of words at its ends."""
+    import random
+
+    from framesift.llm.license_search import NOTICES, NoticeSearch, normalise
+
+    def distance(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            last, row[0] = row[0], i
+            for j, y in enumerate(b, 1):
+                last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+        return row[-1]
+
+    rng, finder = random.Random(6), NoticeSearch()
+    prose = lambda: " ".join("".join(rng.choice("bcdfgjkqvwxz") for _ in range(rng.randint(2, 8))) for _ in range(30))
+    planted = 0
+    for notice, label in NOTICES.items():
+        for edits in range(len(notice) // 12 + 1):
+            body = list(notice)
+            for at in sorted(rng.sample(range(1, len(body) - 1), edits), reverse=True):
+                kind = rng.randrange(3)
+                body[at : at + 1] = [] if kind == 0 else ["q"] if kind == 1 else [body[at], "q"]
+            text = normalise(f"{prose()} {''.join(body)} {prose()}").decode()
+            spans = finder.fuzzy(text)
+            # a letter that was a word takes a space with it when it goes
+            if distance(notice, normalise("".join(body)).decode().strip()) <= len(notice) // 12:
+                planted += 1
+                assert label in {s[0] for s in spans}, (notice, edits)
+            words = text.split()
+            for found_label, a, b, cost, k in spans:
+                assert cost <= k and any(x == found_label and distance(n, " ".join(words[max(0, a) : b])) <= k + 8 for n, x in NOTICES.items()), (notice, edits, a, b)
+    assert planted > 40 and finder.fuzzy(normalise(prose() * 20).decode()) == []
+
+
+def test_license_places_take_linear_time():
+    import time
+
+    from framesift.llm.license_search import NoticeSearch, normalise
+
+    began = time.time()
+    finder, words = NoticeSearch(), normalise("é cc by x " * 200_000)
+    places, _ = finder.base(words)
+    assert places == list(range(1, 800_000, 4)) and time.time() - began < 20
+
+
 # ---------------------------------------------------------------- op7
 
 
@@ -576,6 +648,40 @@ def test_mixture_margins_match_a_brute_force_rake(spark):
     assert abs((out.n_tokens * out.kept).sum() - total) < 4 * sigma
 
 
+def test_mixture_with_factors_kept_and_not(documents, monkeypatch):
+    from framesift.llm import mixture
+
+    few = found(mixture.mix_report(documents), "doc_id", "kept")
+    cell = lambda df: {(r["source"], r["lang"], r["topic"]): r["probability"] for r in df.where("n_tokens > 0").collect()}
+    p = cell(mixture.mix_report(documents))
+    monkeypatch.setattr(mixture, "FEW", 0)
+    other = mixture.mix_report(documents)
+    assert sum((few - found(other, "doc_id", "kept")).values()) <= 2
+    q = cell(other)
+    assert p.keys() == q.keys() and all(abs(p[k] - q[k]) < 0.01 for k in p)
+
+
+@pytest.mark.parametrize("few", [256, 0])
+def test_mixture_of_many_languages(spark, monkeypatch, few):
+    """A target for the smallest of 100 languages is met; nulls, empty strings and tabs are values of their own."""
+    from framesift.llm import mixture
+    from framesift.llm.mixture import mix_report
+
+    monkeypatch.setattr(mixture, "FEW", few)
+
+    data = [(i, "word " * 40, f"l{i % 100}", "s", 0) for i in range(3000)] + [(5000, "word " * 5, "rare", "s", 0)]
+    data = spark.createDataFrame(data, "doc_id long, text string, lang string, source string, n_chars long")
+    out = mix_report(data, targets={"lang": {"rare": 0.5, "l7": 0.5}}).toPandas().set_index("doc_id")
+    assert out.probability[5000] > 0.9 and out.probability[out.lang == "l7"].between(0.001, 0.9).all()
+    assert (out.probability[~out.lang.isin(["rare", "l7"])] == 0).all()
+    odd = [(i, "word " * 40, [None, "", "a\tb", "a\tc", "=", "null"][i % 6], "s", 0) for i in range(600)] + [(None, f"word {i} " * 40, "z", "s", 0) for i in range(300)]
+    out = mix_report(spark.createDataFrame(odd, "doc_id long, text string, lang string, source string, n_chars long"), targets={"lang": {None: 0.1, "": 0.2, "a\tb": 0.3, "a\tc": 0.2, "=": 0.1, "null": 0.1}}).toPandas()
+    p = out[out.doc_id.notna()].assign(lang=lambda d: d.lang.fillna("<none>")).groupby("lang").probability.first()
+    assert abs(p["a\tb"] / p[""] - 1.5) < 0.01 and abs(p["<none>"] / p["="] - 1) < 0.01 and abs(p["null"] / p[""] - 0.5) < 0.01
+    alone = mix_report(spark.createDataFrame(odd, "doc_id long, text string, lang string, source string, n_chars long"), targets={"lang": {"z": 0.2, "": 0.8}}).toPandas()
+    assert 0 < alone[alone.doc_id.isna()].kept.sum() < 300
+
+
 # ---------------------------------------------------------------- op10
 
 
