@@ -6,14 +6,11 @@ TOP candidates of an event take part, so a query is a bounded group.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .sequences import grouped_fold
-
 TOP = 20
-_SCHEMA = "query_id {}, event_index long, frame_id long, timestamp_ms long, score double, method string"
 
 
 def one_video(pools: DataFrame, fused: DataFrame) -> DataFrame:
@@ -27,69 +24,57 @@ def top(pools: DataFrame, n: int = TOP) -> DataFrame:
     return pools.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= n)
 
 
-def _events(rows: list[dict]) -> list[list[dict]]:
-    out: dict[int, list[dict]] = {}
-    for r in rows:
-        out.setdefault(r["event_index"], []).append(r)
-    n = max(out) + 1 if out else 0
-    return [out.get(i, []) for i in range(n)]
+def _candidates(pools: DataFrame) -> DataFrame:
+    """query_id and events: for each event, in order, its candidates by rank.  Queries that lack an event's candidates are left out."""
+    c = F.struct("rank", "frame_id", "timestamp_ms", "score")
+    by_event = top(pools).groupBy("query_id", "event_index").agg(F.array_sort(F.collect_list(c)).alias("c"))
+    out = by_event.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("event_index", "c"))).alias("e"), F.max("event_index").alias("last"))
+    return out.where(F.size("e") == F.col("last") + 1).select("query_id", F.transform("e", lambda x: x["c"]).alias("events"))
 
 
-def best_path(events: list[list[dict]], compat: bool = False) -> list[dict] | None:
-    """The sequence of candidates, one an event, of non-decreasing times and the highest sum; the first of equals.
+def best_path(events: Column, compat: bool = False) -> Column:
+    """The candidates, one an event, of non-decreasing times and the highest sum; the first of equals.  Null without any.
 
-    compat: a cell that nothing reaches starts anew with its own score, so the best end may trace back to no full path: None.
+    Paths grow by an event at a time: a candidate continues the best path that ends no later.  compat: a candidate that
+    continues none begins a path of its own; if that wins in the end, it is too short, and there is none.
     """
-    if not events or any(not e for e in events):
-        return None
-    cells: list[list[tuple[float, int]]] = [[(c["score"], -1) for c in events[0]]]
-    for k in range(1, len(events)):
-        row = []
-        for c in events[k]:
-            best, back = None, -2
-            for j, p in enumerate(events[k - 1]):
-                s, b = cells[-1][j]
-                if (b != -2 or compat) and p["timestamp_ms"] <= c["timestamp_ms"] and (best is None or s + c["score"] > best):
-                    best, back = s + c["score"], j
-            row.append((best, back) if best is not None else (c["score"], -2))
-        cells.append(row)
-    ends = [(s, -i) for i, (s, b) in enumerate(cells[-1]) if b != -2 or compat]
-    if not ends:
-        return None
-    i, path = -max(ends)[1], []
-    for k in range(len(events) - 1, -1, -1):
-        path.append(events[k][i])
-        back = cells[k][i][1]
-        if k and back == -2:
-            return None
-        i = back
-    return path[::-1]
-
-
-def greedy_path(events: list[list[dict]]) -> list[dict] | None:
-    """Each event's best candidate; one before its predecessor is replaced by the first candidate that is not (if any)."""
-    if not events or any(not e for e in events):
-        return None
-    path = [e[0] for e in events]
-    for k in range(1, len(path)):
-        if path[k]["timestamp_ms"] < path[k - 1]["timestamp_ms"]:
-            path[k] = next((c for c in events[k] if c["timestamp_ms"] >= path[k - 1]["timestamp_ms"]), path[k])
-    return path
+    start = lambda c: F.struct(c["score"].alias("sum"), c["timestamp_ms"].alias("t"), F.array(c).alias("path"))
 
+    def grown(paths: Column, event: Column) -> Column:
+        def continued(c: Column) -> Column:
+            before = F.transform(paths, lambda p, i: F.when(p["t"] <= c["timestamp_ms"], F.struct((p["sum"] + c["score"]).alias("sum"), (-i).alias("first"), F.concat(p["path"], F.array(c)).alias("path"))))
+            best = F.array_max(before)
+            own = start(c) if compat else F.lit(None)
+            return F.when(best.isNotNull(), F.struct(best["sum"].alias("sum"), c["timestamp_ms"].alias("t"), best["path"].alias("path"))).otherwise(own)
+
+        return F.filter(F.transform(event, continued), lambda p: p.isNotNull())
+
+    ends = F.aggregate(F.slice(events, F.lit(2), F.size(events)), F.transform(F.get(events, F.lit(0)), start), grown)
+    best = F.array_max(F.transform(ends, lambda p, i: F.struct(p["sum"].alias("sum"), (-i).alias("first"), p["path"].alias("path"))))
+    return F.when(F.size(best["path"]) == F.size(events), best["path"])
 
-def align(pools: DataFrame, compat: bool = False, method: str = "auto") -> DataFrame:
-    """The hypothesis of each query: by the best path, else greedily."""
 
-    def fold(rows):
-        events = _events(rows)
-        path, name = (best_path(events, compat), "dp") if method in ("auto", "dp") else (None, "")
-        if path is None and method in ("auto", "greedy"):
-            path, name = greedy_path(events), "greedy"
-        return [{"query_id": rows[0]["query_id"], "event_index": i, "frame_id": c["frame_id"], "timestamp_ms": c["timestamp_ms"], "score": c["score"], "method": name} for i, c in enumerate(path or [])]
+def greedy_path(events: Column) -> Column:
+    """Each event's best candidate, or, where that is before the event ahead, the first candidate that isn't (if any)."""
 
-    kind = pools.schema["query_id"].dataType.simpleString()
-    columns = ["query_id", "event_index", "rank", "frame_id", "timestamp_ms", "score"]
-    return grouped_fold(top(pools).select(*columns), ["query_id"], ["event_index", "rank"], fold, _SCHEMA.format(kind))
+    def grown(path: Column, event: Column) -> Column:
+        at, best = F.element_at(path, -1)["timestamp_ms"], F.get(event, F.lit(0))
+        later = F.get(F.filter(event, lambda c: c["timestamp_ms"] >= at), F.lit(0))
+        return F.concat(path, F.array(F.when(best["timestamp_ms"] >= at, best).otherwise(F.coalesce(later, best))))
+
+    return F.aggregate(F.slice(events, F.lit(2), F.size(events)), F.array(F.get(F.get(events, F.lit(0)), F.lit(0))), grown)
+
+
+def align(pools: DataFrame, compat: bool = False, method: str = "auto") -> DataFrame:
+    """The hypothesis of each query: by the best path, else greedily."""
+    found = _candidates(pools)
+    found = found.withColumn("dp", best_path(F.col("events"), compat) if method in ("auto", "dp") else F.lit(None))
+    if method in ("auto", "greedy"):
+        path, name = F.coalesce(F.col("dp"), greedy_path(F.col("events"))) if method == "auto" else greedy_path(F.col("events")), F.when(F.col("dp").isNotNull(), "dp").otherwise("greedy")
+    else:
+        path, name = F.col("dp"), F.lit("dp")
+    out = found.select("query_id", name.alias("method"), F.posexplode(path).alias("event_index", "c"))
+    return out.select("query_id", F.col("event_index").cast("long").alias("event_index"), F.col("c.frame_id").cast("long").alias("frame_id"), F.col("c.timestamp_ms").cast("long").alias("timestamp_ms"), F.col("c.score").cast("double").alias("score"), "method")
 
 
 def best_sum(pools: DataFrame, events: int) -> DataFrame:

@@ -17,6 +17,16 @@ NUMBER_WORDS = {"one": 1, "two": 2, "three": 3, "four": 4, "five": 5, "six": 6,
 RELATIONS = {"left of": "left_of", "right of": "right_of", "above": "above", "below": "below", "bên trái": "left_of", "bên phải": "right_of", "phía trên": "above", "phía dưới": "below"}
 
 
+# What names a region, in the order in which they are looked for.
+REGION_TERMS = {
+    "left": ("left", "bên trái", "trái"),
+    "right": ("right", "bên phải", "phải"),
+    "top": ("top", "phía trên", "trên"),
+    "bottom": ("bottom", "phía dưới", "dưới"),
+    "center": ("center", "centre", "middle", "ở giữa", "trung tâm"),
+}
+
+
 def truncate(detections: DataFrame, most: int = MOST_PER_FRAME) -> DataFrame:
     """The most confident detections of a frame, unknown confidence last, in the detector's order on ties."""
     w = Window.partitionBy("video_id", "frame_id").orderBy(F.col("confidence").desc_nulls_last(), "position")
@@ -76,7 +86,10 @@ class ObjectQuery:
 
 
 def parse_query(text: str, aliases: dict[str, str]) -> ObjectQuery:
-    """Labels in the order of their places, a count before a label (one or two digits, or a word), a region and a relation."""
+    """Labels in the order of their places, a count before a label (one or two digits, or a word), a region and a relation.
+
+    The region is a side or the centre, whatever the row or column: left is top_left, middle_left and bottom_left.
+    """
     low = re.sub(r"\s+", " ", text.lower().replace("_", " ")).strip()
     places = sorted((m.start(), -len(a), m.end(), c) for a, c in aliases.items() for m in re.finditer(rf"(?<!\w){re.escape(a)}s?(?!\w)", low))
     query, taken = ObjectQuery(), 0
@@ -92,15 +105,16 @@ def parse_query(text: str, aliases: dict[str, str]) -> ObjectQuery:
             n = int(m[1]) if re.fullmatch(r"\d{1,2}", m[1]) else NUMBER_WORDS.get(m[1])
             if n is not None:
                 query.counts[c] = n
-    y = next((v for v in S.REGIONS_Y if re.search(rf"\b{v}\b", low)), None)
-    x = next((v for v in S.REGIONS_X if re.search(rf"\b{v}\b", low)), None)
+    if not query.counts and query.labels:  # a number elsewhere counts the first label
+        words = [int(w) if re.fullmatch(r"\d{1,2}", w) else NUMBER_WORDS.get(w) for w in re.findall(r"\w+", low)]
+        if (n := next((w for w in words if w is not None), None)) is not None:
+            query.counts[query.labels[0]] = n
+    query.region = next((name for name, terms in REGION_TERMS.items() if any(t in low for t in terms)), None)
     for words, name in RELATIONS.items():
         k = low.find(words)
         if k >= 0 and (left := [c for _, e, c in at if e <= k]) and (right := [c for s, _, c in at if s >= k + len(words)]):
-            query.relation, x, y = (left[-1], name, right[0]), None, None
+            query.relation, query.region = (left[-1], name, right[0]), None  # its words name no region
             break
-    if x or y:
-        query.region = f"{y or 'middle'}_{x or 'center'}"
     return query
 
 
@@ -112,7 +126,8 @@ def frame_scores(detections: DataFrame, query: ObjectQuery, hard: bool = False)
     aggregates = [F.countDistinct(F.when(asked, F.col("canonical_label"))).alias("matched"), F.max(F.when(asked, F.coalesce("confidence", F.lit(0.0)))).alias("best")]
     aggregates += [F.count_if(F.col("canonical_label") == c).alias(f"n{i}") for i, c in enumerate(query.counts)]
     if query.region:
-        aggregates.append(F.bool_or(asked & (F.col("spatial_region") == query.region)).alias("in_region"))
+        first = F.col("canonical_label") == query.labels[0] if query.labels else F.lit(True)
+        aggregates.append(F.coalesce(F.bool_or(first & F.col("spatial_region").contains(query.region)), F.lit(False)).alias("in_region"))
     out = rows.groupBy("video_id", "frame_id").agg(*aggregates)
     best = F.coalesce("best", F.lit(0.0))
     score = (2.0 * F.col("matched") / len(query.labels) if query.labels else 0.25 * best) + 0.5 * best

@@ -1,7 +1,7 @@
 """Ordered operators over frames and intervals: shots, runs, gaps, merges, samples.
 
-What depends only on neighbours is a window expression.  What depends on the row last kept is a fold over one video's
-(or shot's) ordered rows: a pandas function over that group, whose size a single video bounds.
+What depends only on neighbours is a window expression.  What depends on the rows kept before is an aggregate over the ordered
+array of one video's (or shot's) rows, whose size a single video bounds, or a pandas function over that group.
 """
 
 from __future__ import annotations
@@ -89,57 +89,74 @@ def frame_quality(sharpness: Column, black: Column, blur: Column, face: Column |
     return weights[0] * F.log1p(sharpness) - weights[1] * black - weights[2] * blur + extra
 
 
+def _replaced(kept: Column, at: Column, row: Column) -> Column:
+    """kept with row in place at (from 1)."""
+    return F.transform(kept, lambda k, i: F.when(i + 1 == at, row).otherwise(k))
+
+
+def _in_order(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
+    """keys and rows: a group's rows as an array of structs, sorted by order.  A video or a shot bounds a group."""
+    others = [c for c in rows.columns if c not in order]
+    return rows.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(*order, *others))).alias("rows"))
+
+
 def perceptual_dedup(frames: DataFrame, bits: int = DEDUP_BITS, window: int = DEDUP_WINDOW) -> DataFrame:
     """frames (video_id, shot_id, frame_id, timestamp_ms, priority, quality, hash): of frames of a shot within window and
-    bits of one another, the one of higher (priority, quality) stays in the earlier's place."""
-
-    def fold(rows):
-        kept: list[dict] = []
-        for r in rows:
-            twin = None
-            for k in range(len(kept) - 1, -1, -1):
-                if r["timestamp_ms"] - kept[k]["timestamp_ms"] > window:
-                    break
-                if kept[k]["shot_id"] == r["shot_id"] and ((int(kept[k]["hash"]) ^ int(r["hash"])) & ((1 << 64) - 1)).bit_count() <= bits:
-                    twin = k
-                    break
-            if twin is None:
-                kept.append(r)
-            elif (r["priority"], r["quality"]) > (kept[twin]["priority"], kept[twin]["quality"]):
-                kept[twin] = r
-        return kept
+    bits of one another, the one of higher (priority, quality) stays in the earlier's place.
 
+    A frame is compared with the kept ones in the places after the last that lies more than window back, and with the
+    latest like one of these.
+    """
     columns = ["video_id", "shot_id", "frame_id", "timestamp_ms", "priority", "quality", "hash"]
-    schema = ", ".join(f"{c} {frames.schema[c].dataType.simpleString()}" for c in columns)
-    return grouped_fold(frames.select(*columns), ["video_id"], ["timestamp_ms", "frame_id"], fold, schema)
 
+    def step(kept: Column, r: Column) -> Column:
+        far = F.array_max(F.transform(kept, lambda k, i: F.when(r["timestamp_ms"] - k["timestamp_ms"] > window, i)))
+        like = lambda k: (k["shot_id"] == r["shot_id"]) & (F.bit_count(k["hash"].bitwiseXOR(r["hash"])) <= bits)
+        twin = F.array_max(F.transform(kept, lambda k, i: F.when((i > F.coalesce(far, F.lit(-1))) & like(k), i)))
+        held = F.get(kept, twin)
+        better = F.struct(r["priority"], r["quality"]) > F.struct(held["priority"], held["quality"])
+        return F.when(twin.isNull(), F.concat(kept, F.array(r))).when(better, _replaced(kept, twin + 1, r)).otherwise(kept)
 
-def fill_gaps(chosen: DataFrame, frames: DataFrame, shots: DataFrame, limit: int = MAX_GAP) -> DataFrame:
-    """(video_id, shot_id, frame_id, timestamp_ms, added): while the largest gap of a shot (its ends included) is above limit,
-    the unused frame inside the gap nearest to min(right - 1, left + limit) is added."""
-    both = chosen.select("video_id", "shot_id", "frame_id", "timestamp_ms", F.lit(True).alias("used")).unionByName(frames.select("video_id", "shot_id", "frame_id", "timestamp_ms").join(chosen.select("video_id", "frame_id"), ["video_id", "frame_id"], "left_anti").select("video_id", "shot_id", "frame_id", "timestamp_ms", F.lit(False).alias("used")))
-    both = both.join(shots.select("video_id", "shot_id", "start_ms", "end_ms"), ["video_id", "shot_id"])
+    rows = _in_order(frames.select(*columns[:-1], F.col("hash").cast("long").alias("hash")), ["video_id"], ["timestamp_ms", "frame_id"])
+    none = F.filter("rows", lambda r: F.lit(False))
+    out = rows.select(F.explode(F.aggregate("rows", none, step)).alias("r"))
+    return out.select(*(F.col(f"r.{c}") for c in columns))
 
-    def fold(rows):
-        used = sorted((r["timestamp_ms"], r["frame_id"], False) for r in rows if r["used"])
-        free = sorted((r["timestamp_ms"], r["frame_id"]) for r in rows if not r["used"])
-        shot = rows[0]
-        while True:
-            times = [shot["start_ms"], *(u[0] for u in used), shot["end_ms"]]
-            for gap, left, right in sorted(((b - a, a, b) for a, b in zip(times, times[1:], strict=False)), key=lambda g: (-g[0], g[1])):
-                inside = [f for f in free if left < f[0] < right] if gap > limit else []
-                if inside:
-                    goal = min(right - 1, left + limit)
-                    best = min(inside, key=lambda f: (abs(f[0] - goal), f))
-                    free.remove(best)
-                    used = sorted([*used, (*best, True)])
-                    break
-            else:
-                break
-        return [{"video_id": shot["video_id"], "shot_id": shot["shot_id"], "frame_id": f, "timestamp_ms": t, "added": a} for t, f, a in used]
 
-    kinds = {c: frames.schema[c].dataType.simpleString() for c in ("video_id", "shot_id")}
-    return grouped_fold(both, ["video_id", "shot_id"], ["timestamp_ms", "frame_id"], fold, f"video_id {kinds['video_id']}, shot_id {kinds['shot_id']}, frame_id long, timestamp_ms long, added boolean")
+def fill_gaps(chosen: DataFrame, frames: DataFrame, shots: DataFrame, limit: int = MAX_GAP, strict: bool = False) -> DataFrame:
+    """(video_id, shot_id, frame_id, timestamp_ms, added): as long as a gap of a shot (its ends included) is above limit, the
+    unused frame inside it nearest to min(right - 1, left + limit) is added.
+
+    Frames of different gaps don't meet, so each round fills all of a shot's gaps at once.  A gap without an unused frame
+    stays, or with strict is an error.
+    """
+    at = ["video_id", "shot_id"]
+    point = lambda df: df.groupBy(*at).agg(F.array_sort(F.collect_list(F.struct("timestamp_ms", "frame_id"))).alias("x"))
+    free = frames.select(*at, "frame_id", "timestamp_ms").join(chosen.select("video_id", "frame_id"), ["video_id", "frame_id"], "left_anti")
+    both = point(chosen).withColumnRenamed("x", "used").join(point(free).withColumnRenamed("x", "free"), at, "left").join(shots.select(*at, "start_ms", "end_ms"), at)
+
+    def gaps(times: Column) -> Column:
+        return F.filter(F.zip_with(F.slice(times, F.lit(1), F.size(times) - 1), F.slice(times, F.lit(2), F.size(times) - 1), lambda a, b: F.struct(a.alias("left"), b.alias("right"))), lambda g: g["right"] - g["left"] > limit)
+
+    def times(used: Column) -> Column:
+        return F.array_sort(F.concat(F.array("start_ms", "end_ms"), F.transform(used, lambda u: u["timestamp_ms"])))
+
+    def filled(used: Column, _: Column) -> Column:
+        def nearest(g: Column) -> Column:
+            goal = F.least(g["right"] - 1, g["left"] + limit)
+            inside = F.filter("free", lambda f: (f["timestamp_ms"] > g["left"]) & (f["timestamp_ms"] < g["right"]))
+            return F.array_min(F.transform(inside, lambda f: F.struct(F.abs(f["timestamp_ms"] - goal).alias("off"), f["timestamp_ms"].alias("timestamp_ms"), f["frame_id"].alias("frame_id"))))
+
+        found = F.filter(F.transform(gaps(times(used)), nearest), lambda f: f.isNotNull())
+        return F.concat(used, F.transform(found, lambda f: F.struct(f["timestamp_ms"].alias("timestamp_ms"), f["frame_id"].alias("frame_id"))))
+
+    # a round adds a frame at least, or there is none left to add
+    rounds = F.sequence(F.lit(0), F.coalesce(F.size("free"), F.lit(0)))
+    out = both.withColumn("free", F.coalesce("free", F.filter("used", lambda u: F.lit(False)))).withColumn("all", F.aggregate(rounds, F.col("used"), filled))
+    if strict:
+        out = out.withColumn("all", F.when(F.size(gaps(times(F.col("all")))) > 0, F.raise_error(F.concat(F.lit("no unused frame can fill a gap of shot "), F.col("shot_id").cast("string")))).otherwise(F.col("all")))
+    each = out.select(*at, "used", F.explode("all").alias("f"))
+    return each.select(*at, F.col("f.frame_id").cast("long").alias("frame_id"), F.col("f.timestamp_ms").cast("long").alias("timestamp_ms"), (~F.array_contains("used", F.col("f"))).alias("added"))
 
 
 # ---------------------------------------------------------------- speech
@@ -188,28 +205,30 @@ def speech_segments(spans: DataFrame, media: DataFrame, most: int = VAD_MAX, ove
 
 def dedup_segments(segments: DataFrame, look_back: int = 4) -> DataFrame:
     """segments (video_id, start_ms, end_ms, text, avg_logprob, n_words): one with the same text as one of the last kept ones
-    and half of the shorter in common, or a start within 500 ms, replaces it if likelier (or with more words), else goes.
-    Ids are numbered anew."""
-
-    def fold(rows):
-        kept: list[dict] = []
-        for r in rows:
-            for k in range(len(kept) - 1, max(-1, len(kept) - 1 - look_back), -1):
-                o = kept[k]
-                common = min(o["end_ms"], r["end_ms"]) - max(o["start_ms"], r["start_ms"])
-                shorter = max(1, min(o["end_ms"] - o["start_ms"], r["end_ms"] - r["start_ms"]))
-                if o["text"] == r["text"] and (common / shorter >= 0.5 or abs(o["start_ms"] - r["start_ms"]) <= 500):
-                    low = float("-inf")
-                    if (r["avg_logprob"] if r["avg_logprob"] is not None else low) > (o["avg_logprob"] if o["avg_logprob"] is not None else low) or r["n_words"] > o["n_words"]:
-                        kept[k] = r
-                    break
-            else:
-                kept.append(r)
-        kept.sort(key=lambda r: (r["start_ms"], r["end_ms"]))
-        return [{**r, "segment_id": f"asr:{r['video_id']}:{i:06d}"} for i, r in enumerate(kept)]
-
-    kind = segments.schema["video_id"].dataType.simpleString()
-    return grouped_fold(segments.select("video_id", "start_ms", "end_ms", "text", "avg_logprob", "n_words"), ["video_id"], ["start_ms", "end_ms"], fold, f"video_id {kind}, start_ms long, end_ms long, text string, avg_logprob double, n_words long, segment_id string")
+    and half of the shorter in common, or a start within 500 ms, replaces the oldest such if it is likelier (or has more
+    words), else goes.  text is the normalised text.  Ids are numbered anew.
+    """
+    columns = ["start_ms", "end_ms", "text", "avg_logprob", "n_words"]
+
+    def step(kept: Column, r: Column) -> Column:
+        def twin(k: Column, i: Column) -> Column:
+            common = F.least(k["end_ms"], r["end_ms"]) - F.greatest(k["start_ms"], r["start_ms"])
+            shorter = F.greatest(F.lit(1), F.least(k["end_ms"] - k["start_ms"], r["end_ms"] - r["start_ms"]))
+            near = (common / shorter >= 0.5) | (F.abs(k["start_ms"] - r["start_ms"]) <= 500)
+            return F.when((i >= F.size(kept) - look_back) & k["text"].eqNullSafe(r["text"]) & near, i)
+
+        at = F.array_min(F.transform(kept, twin))
+        held, low = F.get(kept, at), F.lit(-999.0)
+        better = (F.coalesce(r["avg_logprob"], low) > F.coalesce(held["avg_logprob"], low)) | (r["n_words"] > held["n_words"])
+        return F.when(at.isNull(), F.concat(kept, F.array(r))).when(better, _replaced(kept, at + 1, r)).otherwise(kept)
+
+    rows = segments.select("video_id", F.col("start_ms").cast("long"), F.col("end_ms").cast("long"), F.col("text").cast("string"), F.col("avg_logprob").cast("double"), F.col("n_words").cast("long"))
+    rows = _in_order(rows, ["video_id"], ["start_ms", "end_ms", "text"])
+    kept = F.aggregate("rows", F.filter("rows", lambda r: F.lit(False)), step)
+    # replaced ones may stand out of order
+    placed = F.array_sort(F.transform(kept, lambda k, i: F.struct(k["start_ms"].alias("start_ms"), k["end_ms"].alias("end_ms"), i.alias("i"), k.alias("row"))))
+    out = rows.select("video_id", F.posexplode(placed).alias("i", "p")).select("video_id", "i", F.col("p.row").alias("r"))
+    return out.select("video_id", *(F.col(f"r.{c}") for c in columns), F.concat(F.lit("asr:"), F.col("video_id").cast("string"), F.lit(":"), F.lpad(F.col("i").cast("string"), 6, "0")).alias("segment_id"))
 
 
 def offset_words(words: Column, offset: Column, start: Column, end: Column) -> Column:

@@ -311,12 +311,12 @@ def probabilities(spark, sf_dir):
     return read(spark, sf_dir, "customer").select("c_custkey", S.probability((F.col("c_acctbal") / 10000).cast("string")).alias("p"))
 
 
-@query("with b as (select l_orderkey, l_linenumber, l_partkey % 700 as a, l_suppkey % 500 as b, l_quantity as w from lineitem) select l_orderkey, l_linenumber, round(least(1, a / 640.0), 6) as x1, round(least(1, (a + w) / 640.0), 6) as x2 from b")
+@query("select l_orderkey, l_linenumber, least(1, (l_partkey % 700) / 640.0::double) as x1, least(1, (l_partkey % 700 + l_quantity::double) / 640.0::double) as x2, least(1, (l_suppkey % 500) / 480.0::double) as y1, least(1, (l_suppkey % 500 + l_quantity::double) / 480.0::double) as y2 from lineitem")
 def unit_boxes(spark, sf_dir):
-    """Boxes from pixels, clamped to the picture."""
-    a, w = (F.col("l_partkey") % 700).cast("double"), F.col("l_quantity")
-    l = read(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", S.box(a + w, F.lit(0.0), a, F.lit(1.0), F.lit(640.0), F.lit(480.0)).alias("b"))
-    return l.select("l_orderkey", "l_linenumber", F.round("b.x1", 6).alias("x1"), F.round("b.x2", 6).alias("x2"))
+    """Boxes from pixels, clamped to the picture, with corners out of order."""
+    a, b, w = (F.col("l_partkey") % 700).cast("double"), (F.col("l_suppkey") % 500).cast("double"), F.col("l_quantity").cast("double")
+    l = read(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", S.box(a + w, b, a, b + w, F.lit(640.0), F.lit(480.0)).alias("b"))
+    return l.select("l_orderkey", "l_linenumber", "b.x1", "b.x2", "b.y1", "b.y2")
 
 
 @query("select name, length(name) > 0 as has_json from (values " + ", ".join(f"('{n}')" for n in sorted(schemas.SCHEMAS)) + ") t(name)")

@@ -262,7 +262,10 @@ def adaptive_radius(spark, sf_dir):
     return events(spark, sf_dir).select("event_id", S.adaptive_radius(c, budget=7000).cast("long").alias("radius"))
 
 
-@query()
+@query(f"""with recursive {EVENTS}, o as (select video_id, timestamp_ms as t, value as c, row_number() over (partition by video_id order by timestamp_ms) as n from ev),
+r as (select video_id, n, t, c, 1 as g from o where n = 1
+union all select o.video_id, o.n, case when o.t - r.t < 3600000 and o.c <= r.c then r.t else o.t end, case when o.t - r.t < 3600000 and o.c <= r.c then r.c else o.c end, case when o.t - r.t < 3600000 then r.g else r.g + 1 end from r join o on o.video_id = r.video_id and o.n = r.n + 1)
+select video_id, max_by(t, n) as timestamp_ms, max_by(c, n) as confidence from r group by video_id, g""")
 def boundary_suppression(spark, sf_dir):
     b = events(spark, sf_dir).select("video_id", "timestamp_ms", F.col("value").alias("confidence"))
     return sequences.suppress_boundaries(b, 3600000)
@@ -282,19 +285,30 @@ def gap_filling(spark, sf_dir):
     return sequences.fill_gaps(first, f, s, 86400000)
 
 
-@query()
+@query(f"""with recursive {EVENTS}, o as (select video_id, {{'s': timestamp_ms, 'e': timestamp_ms + 3600000, 'p': -value}} as x, row_number() over (partition by video_id order by timestamp_ms, -value) as n from ev where event_type = 'click'),
+r as (select video_id, n, [x] as kept from o where n = 1
+union all select video_id, n, case when k is null then list_append(kept, x) when x.p > kept[k].p then list_transform(kept, lambda y, i: case when i = k then x else y end) else kept end
+from (select o.video_id, o.n, o.x, r.kept, list_min(list_filter(range(greatest(1, len(r.kept) - 3), len(r.kept) + 1), lambda i: (least(r.kept[i].e, o.x.e) - greatest(r.kept[i].s, o.x.s)) / 3600000.0 >= 0.5 or abs(r.kept[i].s - o.x.s) <= 500)) as k from r join o on o.video_id = r.video_id and o.n = r.n + 1)),
+f as (select video_id, unnest(max_by(kept, n)) as x from r group by video_id)
+select 'asr:' || cast(video_id as varchar) || ':' || lpad(cast(row_number() over (partition by video_id order by x.s, x.e) - 1 as varchar), 6, '0') as segment_id, x.s as start_ms, x.e as end_ms from f""")
 def segment_dedup(spark, sf_dir):
     e = events(spark, sf_dir).where("event_type = 'click'").select("video_id", F.col("timestamp_ms").alias("start_ms"), (F.col("timestamp_ms") + 3600000).alias("end_ms"), F.col("event_type").alias("text"), (-F.col("value")).alias("avg_logprob"), F.lit(3).cast("long").alias("n_words"))
     return sequences.dedup_segments(e).select("segment_id", "start_ms", "end_ms")
 
 
-@query()
+@query(f"""with recursive {SEGMENTS}, o as (select video_id, start_ms, end_ms, row_number() over (partition by video_id order by start_ms, end_ms) as n from sg),
+r as (select video_id, n, start_ms, end_ms, 1 as g, cast(0.5 as double) as c from o where n = 1
+union all select o.video_id, o.n, o.start_ms, case when o.start_ms <= r.end_ms + 1800000 then greatest(r.end_ms, o.end_ms) else o.end_ms end, case when o.start_ms <= r.end_ms + 1800000 then r.g else r.g + 1 end, case when o.start_ms <= r.end_ms + 1800000 then (r.c + 0.5) / 2 else 0.5 end from r join o on o.video_id = r.video_id and o.n = r.n + 1)
+select video_id, min(start_ms) as start_ms, max_by(end_ms, n) as end_ms, max_by(c, n) as confidence from r group by video_id, g""")
 def merged_confidence(spark, sf_dir):
     s = segments(spark, sf_dir).withColumn("confidence", F.lit(0.5))
     return sequences.merge_confidence(s, 1800000)
 
 
-@query()
+@query(f"""with recursive {FRAMES}, o as (select video_id, frame_id, timestamp_ms, row_number() over (partition by video_id order by timestamp_ms, frame_id) as n from fr),
+r as (select video_id, n, frame_id, timestamp_ms, timestamp_ms as last, true as taken from o where n = 1
+union all select o.video_id, o.n, o.frame_id, o.timestamp_ms, case when o.timestamp_ms - r.last >= 3600000 then o.timestamp_ms else r.last end, o.timestamp_ms - r.last >= 3600000 from r join o on o.video_id = r.video_id and o.n = r.n + 1)
+select video_id, frame_id, timestamp_ms from r where taken""")
 def decimated_frames(spark, sf_dir):
     return sequences.decimate(frames(spark, sf_dir), 1 / 3600)
 

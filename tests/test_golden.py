@@ -111,6 +111,26 @@ def test_segment_dedup(spark):
     assert [tuple(r) for r in got] == [("asr:V1:000000", 1200), ("asr:V1:000001", 2300)]
 
 
+def test_segment_dedup_takes_the_oldest_twin(spark):
+    s = spark.createDataFrame([("V", 0, 4000, "x", -1.0, 1), ("V", 2600, 8000, "x", -0.9, 1), ("V", 2700, 3700, "x", -0.1, 1)], "video_id string, start_ms long, end_ms long, text string, avg_logprob double, n_words long")
+    assert sorted(tuple(r) for r in sequences.dedup_segments(s).select("start_ms", "end_ms").collect()) == [(2600, 8000), (2700, 3700)]
+
+
+def test_gap_that_no_frame_can_fill(spark):
+    frames = spark.createDataFrame([("V", "s", 0, 0), ("V", "s", 1, 9000)], "video_id string, shot_id string, frame_id long, timestamp_ms long")
+    shot = spark.createDataFrame([("V", "s", 0, 10_000)], "video_id string, shot_id string, start_ms long, end_ms long")
+    assert sequences.fill_gaps(frames.where("frame_id = 0"), frames, shot, 4000).count() == 2
+    with pytest.raises(Exception, match="no unused frame"):
+        sequences.fill_gaps(frames.where("frame_id = 0"), frames, shot, 4000, strict=True).collect()
+
+
+def test_object_regions_and_counts():
+    aliases = {"dog": "dog", "car": "car"}
+    regions = {"dog at the left": "left", "dog ở giữa": "center", "dog bên phải": "right", "top dog": "top", "a dog": None}
+    assert {q: objects.parse_query(q, aliases).region for q in regions} == regions
+    assert objects.parse_query("dog, there are 3", aliases).counts == {"dog": 3}
+
+
 def test_boundaries_and_runs(spark):
     b = spark.createDataFrame([("V", 0, 0.5), ("V", 300, 0.9), ("V", 700, 0.4), ("V", 2000, 0.1)], "video_id string, timestamp_ms long, confidence double")
     assert [r[0] for r in sequences.suppress_boundaries(b, 500).orderBy("timestamp_ms").select("timestamp_ms").collect()] == [300, 2000]
@@ -187,15 +207,39 @@ def test_vectors(spark):
         vectors.checked(v, 2).collect()
 
 
-def test_alignment():
-    c = lambda f, t, s: {"frame_id": f, "timestamp_ms": t, "score": s}
-    assert alignment.best_path([[c(1, 900, 1.0)], [c(2, 100, 1.0)]]) is None
-    assert alignment.greedy_path([[c(1, 900, 1.0)], [c(2, 100, 1.0)]]) is not None
-    events = [[c(1, 0, 0.5), c(2, 500, 0.9)], [c(3, 100, 0.9), c(4, 600, 0.1)]]
-    assert [x["frame_id"] for x in alignment.best_path(events)] == [1, 3]
+def test_alignment(spark):
+    def path(events, compat=False, method="dp"):
+        rows = [("q", e, k, "V", f, t, s) for e, cs in enumerate(events) for k, (f, t, s) in enumerate(cs)]
+        pools = spark.createDataFrame(rows, "query_id string, event_index long, pos long, video_id string, frame_id long, timestamp_ms long, score double")
+        return [r["frame_id"] for r in alignment.align(pools, compat, method).orderBy("event_index").collect()]
+
+    back = [[(1, 900, 1.0)], [(2, 100, 1.0)]]
+    assert path(back) == [] and path(back, method="greedy") == [1, 2] and path(back, method="auto") == [1, 2]
+    events = [[(1, 0, 0.5), (2, 500, 0.9)], [(3, 100, 0.9), (4, 600, 0.1)]]
+    assert path(events) == [1, 3]
     # a restart that nothing reaches wins the end in the compatible mode
-    odd = [[c(1, 500, 0.1)], [c(2, 100, 5.0), c(3, 600, 0.1)]]
-    assert alignment.best_path(odd, compat=True) is None and [x["frame_id"] for x in alignment.best_path(odd)] == [1, 3]
+    odd = [[(1, 500, 0.1)], [(2, 100, 5.0), (3, 600, 0.1)]]
+    assert path(odd, compat=True) == [] and path(odd) == [1, 3]
+    # the first of equals, and the greedy repair by the first candidate that isn't before the event ahead
+    assert path([[(1, 0, 0.5), (2, 0, 0.5)], [(3, 9, 0.1), (4, 9, 0.1)]]) == [1, 3]
+    assert path([[(1, 500, 0.9)], [(2, 100, 0.9), (3, 700, 0.5), (4, 600, 0.4)]], method="greedy") == [1, 3]
+
+
+def test_best_path_against_brute_force(spark):
+    import itertools
+    import random
+
+    rng = random.Random(8)
+    rows, want = [], {}
+    for q in range(40):
+        events = [sorted(((round(rng.random(), 3), rng.randint(0, 20)) for _ in range(rng.randint(1, 5))), key=lambda c: -c[0]) for _ in range(rng.randint(1, 4))]
+        rows += [(q, e, k, "V", 100 * e + k, t, s) for e, cs in enumerate(events) for k, (s, t) in enumerate(cs)]
+        sums = [sum(c[0] for c in p) for p in itertools.product(*events) if all(a[1] <= b[1] for a, b in zip(p, p[1:], strict=False))]
+        if sums:
+            want[q] = round(max(sums), 6)
+    pools = spark.createDataFrame(rows, "query_id long, event_index long, pos long, video_id string, frame_id long, timestamp_ms long, score double")
+    got = {r["query_id"]: round(r["s"], 6) for r in alignment.align(pools, method="dp").groupBy("query_id").agg(F.sum("score").alias("s")).collect()}
+    assert got == want and len(want) > 20
 
 
 def test_text_search(spark):
