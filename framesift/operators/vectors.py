@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import functools
+import math
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -11,6 +14,8 @@ from . import fusion
 
 # Defaults of search and feedback.
 CANDIDATES, POOL, ALPHA = 200, 500, 0.75
+#: Query vectors that are broadcast at once.
+QUERY_BLOCK = 4096
 
 
 def checked(vectors: DataFrame, dim: int | None = None, tolerance: float = 1e-4) -> DataFrame:
@@ -36,14 +41,20 @@ def nearest(vectors: DataFrame, query, k: int, id_column: str = "vec_id") -> Dat
     return scored.orderBy(F.desc("similarity"), id_column).limit(k)
 
 
-def nearest_each(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
-    """For a bounded set of queries (query_id, q), the k nearest of each: a local top k in each scan task, then by query.
+def nearest_each(vectors: DataFrame, queries: DataFrame, k: int, block: int = QUERY_BLOCK) -> DataFrame:
+    """For a set of queries (query_id, q), the k nearest of each: a local top k in each scan task, then by query.
 
-    The queries are broadcast as a table; scoring stays in the scan, and only k rows a query and task are shuffled.
+    The queries are counted and go in blocks of about block rows, which bounds what is broadcast whatever their number;
+    scoring stays in the scan, and only k rows a query and task are shuffled.
     """
-    scored = vectors.join(F.broadcast(queries), F.lit(True)).select("query_id", "vec_id", S.dot(F.col("embedding"), F.col("q")).alias("similarity"))
+    n = max(1, math.ceil(queries.count() / block))
     w = Window.partitionBy("query_id").orderBy(F.desc("similarity"), "vec_id")
-    return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+
+    def top(part: DataFrame) -> DataFrame:
+        scored = vectors.join(F.broadcast(part), F.lit(True)).select("query_id", "vec_id", S.dot(F.col("embedding"), F.col("q")).alias("similarity"))
+        return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+
+    return functools.reduce(DataFrame.unionByName, (top(queries.where(F.pmod(F.xxhash64("query_id"), F.lit(n)) == i)) for i in range(n)))
 
 
 def multi_model(models: dict[str, DataFrame], queries: dict[str, list[float]], limit: int, candidates: int = CANDIDATES) -> tuple[DataFrame, bool]:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -9,7 +11,7 @@ from ..functions import scalars as S
 from ..functions import text as X
 from ..operators import evidence, quality, routing, state
 from ..sources import readers, schemas
-from .tables import EVENTS, SEGMENTS, events, frames, millis, query, read, segments
+from .tables import EVENTS, SEGMENTS, events, frames, millis, query, read, scratch, segments
 
 # ---------------------------------------------------------------- quality
 
@@ -191,10 +193,7 @@ def optional_filters(spark, sf_dir):
 @query("select count(*) as n, count(distinct doc_id) as n_ids from documents")
 def round_trip(spark, sf_dir):
     """Documents through every file format, back as many."""
-    import uuid
-
-    base = spark.conf.get("spark.checkpoint.dir", None) or f"file:/tmp/checkpoints/{uuid.uuid4().hex}"
-    path = f"{base.rstrip('/')}/round-{uuid.uuid4().hex}"
+    path = scratch(spark, "round")
     d = read(spark, sf_dir, "documents").select("doc_id", "lang", "source")
     d.write.json(f"{path}.jsonl")
     a = readers.table(spark, f"{path}.jsonl", d.schema)
@@ -205,10 +204,7 @@ def round_trip(spark, sf_dir):
 @query("select n_name, cast(n_nationkey as bigint) as k from nation")
 def json_payload(spark, sf_dir):
     """Records inside a JSON object."""
-    import uuid
-
-    base = spark.conf.get("spark.checkpoint.dir", None) or f"file:/tmp/checkpoints/{uuid.uuid4().hex}"
-    path = f"{base.rstrip('/')}/payload-{uuid.uuid4().hex}"
+    path = scratch(spark, "payload")
     n = read(spark, sf_dir, "nation").select("n_name", F.col("n_nationkey").cast("long").alias("k"))
     n.groupBy().agg(F.to_json(F.struct(F.collect_list(F.struct("n_name", "k")).alias("records"))).alias("value")).write.text(path)
     return readers.json_payload(spark, path, T.StructType.fromDDL("n_name string, k long"))
@@ -294,11 +290,10 @@ def branch_routing(spark, sf_dir):
     return read(spark, sf_dir, "conversations").select("conv_id", "turn", F.array_contains(b, "ocr").alias("ocr"), F.array_contains(b, "asr").alias("asr"))
 
 
-@query(r"select conv_id, turn, len(list_filter(list_transform(string_split_regex(text, '\(\d+\)|;|\n'), lambda x: trim(x)), lambda x: x <> '')) as n_events from conversations where not regexp_matches(text, '(?i)(sequence|event|order)')")
+@query(r"select conv_id, turn, len(list_filter(list_transform(string_split_regex(case when regexp_matches(text, '(?i)(sequence|events?|order|chuỗi|sự kiện|thứ tự)[^:]*:') then regexp_replace(text, '^[^:]*:', '') else text end, '\(\d+\)|;|\n'), lambda x: trim(x)), lambda x: x <> '')) as n_events from conversations")
 def event_split(spark, sf_dir):
     """Parts of a list of events."""
-    c = read(spark, sf_dir, "conversations").where(~F.col("text").rlike("(?i)(sequence|event|order)"))
-    return c.select("conv_id", "turn", F.size(routing.split_events(F.col("text"))).cast("long").alias("n_events"))
+    return read(spark, sf_dir, "conversations").select("conv_id", "turn", F.size(routing.split_events(F.col("text"))).cast("long").alias("n_events"))
 
 
 @query("select p_partkey, trim(regexp_replace(replace(lower(p_type), '_', ' '), '\\s+', ' ', 'g')) as label from part")
@@ -321,7 +316,9 @@ def unit_boxes(spark, sf_dir):
 
 @query("select name, length(name) > 0 as has_json from (values " + ", ".join(f"('{n}')" for n in sorted(schemas.SCHEMAS)) + ") t(name)")
 def schema_export(spark, sf_dir):
-    return spark.createDataFrame([(n, len(j) > 0) for n, j in schemas.exported().items()], "name string, has_json boolean")
+    """Schemas whose JSON, read back, is the schema again."""
+    same = [(n, T.StructType.fromJson(json.loads(j)) == T.StructType.fromDDL(schemas.SCHEMAS[n])) for n, j in schemas.exported().items()]
+    return spark.createDataFrame(same, "name string, has_json boolean")
 
 
 @query("select source, cast(null as varchar) as metadata_source, count(*) as n_documents from (select case when doc_id % 2 = 0 then 'ocr' else 'asr' end as source from documents) group by source")

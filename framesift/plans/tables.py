@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -27,6 +29,16 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path in the folder that all executors share; on one machine a temporary one will do."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise ValueError("spark.checkpoint.dir names no folder that all executors share")
+        base = f"file:{tempfile.gettempdir()}/framesift-checkpoints"
+    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
 def millis(ts: Column) -> Column:
     """Milliseconds of a zone-less time, whatever the session's zone."""
     return F.unix_millis(ts.cast("timestamp")) - F.unix_millis(F.expr("cast(timestamp_ntz'1970-01-01 00:00:00' as timestamp)"))
