@@ -22,9 +22,11 @@ _written: list[tuple[SparkSession, str]] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share (spark.checkpoint.dir); a temporary one only where that is unset, as in tests."""
+    """The folder all executors share (spark.checkpoint.dir); a temporary one only on one machine where that is unset, as in tests."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise ValueError("spark.checkpoint.dir names no folder that all executors share")
         base = getattr(shared_dir, "fallback", None) or tempfile.mkdtemp(prefix="framesift-")
         shared_dir.fallback = base
     return base.rstrip("/") + "/framesift"
