@@ -35,9 +35,13 @@ class Index:
     vocabulary: DataFrame
     weights: dict[str, float] = field(default_factory=dict)
     tokens: DataFrame | None = None
+    #: Parts of stored postings, which carry their field's length.
+    buckets: int | None = None
 
     def persisted(self) -> Index:
-        """The tables kept for several passes of a search; lost parts are made anew."""
+        """The tables kept for several passes of a search; lost parts are made anew.  A stored index is read as it is."""
+        if self.buckets:
+            return self
         for t in (self.postings, self.lengths):
             t.persist()
         self.tokens = None
@@ -63,6 +67,9 @@ def build(documents: DataFrame, fields: dict[str, object], weights: dict[str, fl
 def met_postings(index: Index, terms: DataFrame) -> DataFrame:
     """The postings of terms (field, term, ...), with the terms' other columns and the field's length.  Of an index that isn't stored, only the
     tokens that the terms meet are counted."""
+    if index.buckets:  # the terms' own parts are all that is read
+        part = F.pmod(F.xxhash64("field", "term"), F.lit(index.buckets)).cast("int")
+        return index.postings.join(F.broadcast(terms.withColumn("bucket", part)), ["bucket", "field", "term"]).drop("bucket")
     if index.tokens is None:
         return index.postings.join(terms, ["field", "term"]).join(index.lengths, ["doc_id", "field"])
     others = [c for c in terms.columns if c not in ("field", "term")]
@@ -127,11 +134,12 @@ def phrase_hits(index: Index, query: str) -> DataFrame:
     first = phrases.select(F.split("phrase", " ")[0].alias("term"), "phrase")
     near = F.broadcast(first.distinct())
     words = index.values.where(~F.col("field").endswith("char_ngrams"))
-    if index.tokens is None:
+    stored = "words" in index.values.columns
+    if index.tokens is None and not stored:
         met = index.postings.where(~F.col("field").endswith("char_ngrams")).join(near, "term").select("doc_id", "field", "phrase").distinct().join(words, ["doc_id", "field"])
     else:
         met = words.join(near.select("phrase"), F.lit(True))  # a query's own phrases, met in the scan
-    met = met.where(T.has_phrase(T.token_string(F.col("value")), F.col("phrase")))
+    met = met.where(T.has_phrase(F.col("words") if stored else T.token_string(F.col("value")), F.col("phrase")))
     return met.select("doc_id", "field", F.col("phrase").alias("term"), F.lit("exact_phrase").alias("mode"), (F.lit(PHRASE_BOOST) * weight(index)).alias("value"))
 
 

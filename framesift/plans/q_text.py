@@ -6,8 +6,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import text as T
-from ..operators import fusion, text_index
-from .tables import query, read
+from ..operators import fusion, index_store, text_index
+from .tables import query, read, session_folder
 
 # "the" and "and" are frequent, "reble" and "oned" less so
 ASKED = "the oned reble"
@@ -25,8 +25,9 @@ sc as (select m.doc_id, round(sum({_bm25('m.tf', 'd.df', 'st.n', 'l.length', 'st
 
 
 def _index(spark, sf_dir, fields=None, weights=None):
+    """The stored index of the documents; the first query of a session writes it."""
     docs = read(spark, sf_dir, "documents").withColumn("pos", F.col("doc_id"))
-    return text_index.build(docs, fields or {"text": F.col("text")}, weights)
+    return index_store.stored(docs, fields or {"text": F.col("text")}, session_folder(spark, "text-index"), weights)
 
 
 def _ranked(index, limit):
@@ -126,7 +127,7 @@ def text_search(spark, sf_dir):
     """The whole search: BM25, phrases, fuzzy terms and the n-gram gate, with what matched."""
     docs = read(spark, sf_dir, "documents").withColumn("pos", F.col("doc_id"))
     fields = {"text": F.col("text"), "text_no_diacritics": T.folded_search_text(F.col("text")), "text_char_ngrams": F.array_join(T.padded_grams(F.col("text")), T.GRAM_SEPARATOR), "origin": F.col("source")}
-    index = text_index.build(docs, fields, {"text": 2.0, "text_no_diacritics": 1.2, "origin": 0.5}).persisted()
+    index = index_store.stored(docs, fields, session_folder(spark, "text-index"), {"text": 2.0, "text_no_diacritics": 1.2, "origin": 0.5})
     hits = text_index.search(index, '"of the" onedx src3', 20)
     return hits.select("doc_id", F.round("score", 6).alias("score"), F.array_join("fields", ",").alias("fields"), F.array_join("modes", ",").alias("modes"), F.size("top").alias("n_contributions"))
 

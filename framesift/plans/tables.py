@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 from collections.abc import Callable
@@ -39,6 +41,19 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+_folders: dict[tuple[str, str], str] = {}
+
+
+def session_folder(spark: SparkSession, name: str) -> str:
+    """A folder that the queries of a session share."""
+    key = (spark.sparkContext.applicationId, name)
+    if key not in _folders:
+        _folders[key] = scratch(spark, name)
+        if _folders[key].startswith("file:/"):
+            atexit.register(shutil.rmtree, "/" + _folders[key].removeprefix("file:").lstrip("/"), ignore_errors=True)
+    return _folders[key]
+
+
 def millis(ts: Column) -> Column:
     """Milliseconds of a zone-less time, whatever the session's zone."""
     return F.unix_millis(ts.cast("timestamp")) - F.unix_millis(F.expr("cast(timestamp_ntz'1970-01-01 00:00:00' as timestamp)"))

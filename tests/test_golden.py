@@ -242,6 +242,29 @@ def test_best_path_against_brute_force(spark):
     assert got == want and len(want) > 20
 
 
+def test_stored_index(spark, tmp_path):
+    """A stored index gives what one built in memory gives, is read again while its state is the same, and made anew when it isn't."""
+    import os
+
+    from framesift.operators import index_store
+
+    docs = spark.createDataFrame([("ocr:exact", "ocr", "chương trình kinh tế", 0), ("asr:program", "asr", "chuong trinh thời sự", 1), ("meta:title", "metadata", "kinhte thành phố", 2), ("empty", "ocr", None, 3)], "doc_id string, source string, text string, pos long")
+    fields = {"text": F.col("text"), "text_no_diacritics": T.folded_search_text(F.col("text")), "text_char_ngrams": F.array_join(T.padded_grams(F.col("text")), T.GRAM_SEPARATOR)}
+    path = f"file:{tmp_path}/index"
+    kept, fresh = index_store.stored(docs, fields, path, {"text": 2.0}), text_index.build(docs, fields, {"text": 2.0})
+    plain = lambda df: sorted(map(str, df.collect()))
+    for query in ('"chương trình"', "chuong trinh", "chuoong trinh", "kinhte thanhphoo"):
+        assert plain(text_index.search(kept, query, 5)) == plain(text_index.search(fresh, query, 5))
+    assert plain(kept.vocabulary.select("field", "term", "df")) == plain(fresh.vocabulary.select("field", "term", "df"))
+    assert "bucket" in text_index.met_postings(kept, text_index._query_terms(spark, "trinh", ["text"], False))._jdf.queryExecution().toString()
+    index_store.stored(docs, fields, path)
+    assert len(os.listdir(tmp_path / "index")) == 1
+    index_store.stored(docs.where("pos < 2"), fields, path)
+    assert len(os.listdir(tmp_path / "index")) == 2
+    with pytest.raises(Exception):
+        index_store.load(spark, f"{path}/none")
+
+
 def test_text_search(spark):
     docs = spark.createDataFrame([("ocr:exact", "ocr", "chương trình kinh tế", 0), ("asr:program", "asr", "chuong trinh thời sự", 1), ("meta:title", "metadata", "kinhte thành phố", 2)], "doc_id string, source string, text string, pos long")
     fields = {"text": F.col("text"), "text_no_diacritics": T.folded_search_text(F.col("text")), "text_char_ngrams": F.array_join(T.padded_grams(F.col("text")), T.GRAM_SEPARATOR)}
