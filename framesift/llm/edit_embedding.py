@@ -20,8 +20,9 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import durable, lean, mix, release
@@ -187,6 +188,16 @@ def with_next(documents: DataFrame) -> DataFrame:
     return _placed(documents).mapInArrow(_pairs, "doc_id long, text string, next_text string")
 
 
+def _keys(spark: SparkSession, parts: int) -> list[int]:
+    """For each of parts partitions a number that Spark's repartition deals to it, so that each range has a task of its own."""
+    found: dict[int, int] = {}
+    size = 16 * parts
+    while len(found) < parts:
+        rows = spark.range(size).select(F.pmod(F.hash("id"), F.lit(parts)).alias("part"), "id").groupBy("part").agg(F.min("id").alias("id")).collect()
+        found, size = {r["part"]: r["id"] for r in rows}, 4 * size
+    return [found[i] for i in range(parts)]
+
+
 def _placed(documents: DataFrame) -> DataFrame:
     """Documents in ranges of falling doc_id, in their order, so that each one's next is behind it in its task.
 
@@ -196,13 +207,15 @@ def _placed(documents: DataFrame) -> DataFrame:
     spark = documents.sparkSession
     rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    cuts = sorted(set(documents.select(F.percentile_approx(F.col("doc_id").cast("long"), [i / parts for i in range(1, parts)], 10_000).alias("q")).first()["q"] or []), reverse=True) if parts > 1 else []
-    # range 0 holds the largest ids; nulls are in the last one
-    if cuts:
-        bucket = F.when(F.col("doc_id").isNull(), F.lit(len(cuts))).otherwise(F.size(F.filter(F.lit(np.array(cuts, dtype=np.int64)), lambda c: c > F.col("doc_id"))))
-    else:
-        bucket = F.lit(0)
-    rows = rows.withColumn("bucket", bucket.cast("int"))
+    cuts = sorted(set(documents.select(F.percentile_approx(F.col("doc_id").cast("long"), [i / parts for i in range(1, parts)], 10_000).alias("q")).first()["q"] or [])) if parts > 1 else []
+    # range 0 holds the largest ids; nulls are in the last one.  A row's cuts are found by bisection.
+    edges = np.array(cuts, np.int64)
+
+    @F.pandas_udf("int")
+    def range_of(ids: pd.Series) -> pd.Series:
+        return pd.Series((len(edges) - np.searchsorted(edges, ids.to_numpy(), "right")).astype(np.int32))
+
+    rows = rows.withColumn("bucket", F.when(F.col("doc_id").isNull(), F.lit(len(cuts))).otherwise(range_of(F.coalesce("doc_id", F.lit(0)))))
     heads = rows.groupBy("bucket").agg(F.max(F.struct(F.col("doc_id").isNotNull().alias("known"), "doc_id", "text")).alias("head")).select("bucket", "head.doc_id", "head.text")
     heads = durable(heads, "heads")
     there = [r["bucket"] for r in heads.select("bucket").orderBy("bucket").collect()]  # one for each range at most
@@ -210,7 +223,8 @@ def _placed(documents: DataFrame) -> DataFrame:
     goes = F.create_map(*[F.lit(x) for kv in before.items() for x in kv]) if before else None
     moved = heads.withColumn("bucket", goes[F.col("bucket")]) if before else heads
     both = rows.withColumn("extra", F.lit(False)).unionByName(moved.withColumn("extra", F.lit(True)))
-    return both.repartition(max(1, len(cuts) + 1), "bucket").sortWithinPartitions("bucket", "extra", F.col("doc_id").desc_nulls_last(), F.col("text").desc())
+    keys = F.lit(np.array(_keys(spark, len(cuts) + 1), np.int64))
+    return both.repartition(len(cuts) + 1, F.get(keys, "bucket")).sortWithinPartitions("bucket", "extra", F.col("doc_id").desc_nulls_last(), F.col("text").desc())
 
 
 def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
