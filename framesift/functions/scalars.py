@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import hashlib
+import json
+import math
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -158,6 +162,39 @@ def hamming(a: Column, b: Column) -> Column:
     return F.bit_count(a.bitwiseXOR(b))
 
 
+def _bits(flags: Column) -> Column:
+    """Flags as the bits of a number, the first the highest; at most 64."""
+    return F.aggregate(flags, F.lit(0).cast("long"), lambda n, b: F.shiftleft(n, 1).bitwiseOR(b.cast("long")))
+
+
+def dhash(gray: Column, width: int) -> Column:
+    """Difference hash of grey values, row by row with width values a row: whether each value exceeds the one to its left."""
+    here = F.transform(F.sequence(F.lit(0), F.size(gray) - 1), lambda i: F.struct(i.alias("i"), F.get(gray, i).alias("v"), F.get(gray, i - 1).alias("left")))
+    return _bits(F.transform(F.filter(here, lambda x: x["i"] % width > 0), lambda x: x["v"] > x["left"]))
+
+
+def phash(gray: Column, dimension: int = 32, size: int = 8) -> Column:
+    """Perceptual hash of dimension x dimension grey values: which of the size x size lowest cosine coefficients exceed the median of
+    those below the first row."""
+    scale = lambda k: (1 / dimension if k == 0 else 2 / dimension) ** 0.5
+    waves = [[scale(k) * math.cos(math.pi * (2 * i + 1) * k / (2 * dimension)) for i in range(dimension)] for k in range(size)]
+    table = F.array(*(F.array(*(F.lit(x) for x in w)) for w in waves))
+    rows = F.transform(F.sequence(F.lit(0), F.lit(dimension - 1)), lambda r: F.slice(gray, r * dimension + 1, F.lit(dimension)))
+    across = F.transform(rows, lambda r: F.transform(table, lambda w: dot(r, w)))  # dimension x size
+    down = lambda a: F.flatten(F.transform(table, lambda w: F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda c: dot(F.transform(a, lambda r: F.get(r, c)), w))))
+    low = let(across, down)
+    middle = lambda x: let(F.array_sort(F.slice(x, F.lit(size + 1), F.lit(size * (size - 1)))), lambda s: (F.get(s, F.lit(size * (size - 1) // 2 - 1)) + F.get(s, F.lit(size * (size - 1) // 2))) / 2)
+    return let(F.struct(low.alias("x"), middle(low).alias("m")), lambda s: _bits(F.transform(s["x"], lambda v: v > s["m"])))
+
+
+def fingerprint(settings: dict[str, object], *parts: str) -> str:
+    """SHA-256 of settings by their names, and of other fingerprints; a missing part is an error."""
+    if any(not p for p in parts):
+        raise ValueError("a fingerprint is missing")
+    text = json.dumps(settings, sort_keys=True, ensure_ascii=False, separators=(",", ":"), default=str)
+    return hashlib.sha256("\n".join([text, *parts]).encode()).hexdigest()
+
+
 def bhattacharyya(a: Column, b: Column) -> Column:
     """Distance of two histograms."""
     total = lambda h: F.aggregate(h, F.lit(0.0), lambda s, v: s + v)

@@ -73,6 +73,19 @@ def report(results: DataFrame, items: DataFrame, key: str = "video_id") -> DataF
     return n.join(r, key, "left").fillna(0, ["n_results", "n_failed"])
 
 
+def summary(rows: DataFrame, reports: DataFrame, label: str = "canonical_label", low: str = "below_threshold") -> DataFrame:
+    """One row over a modality's rows and its videos' reports (n_items, n_results, n_failed): counts, and rows by label."""
+    sums = reports.agg(F.count("*").alias("n_videos"), *(F.sum(c).alias(c) for c in ("n_items", "n_results", "n_failed")))
+    labels = rows.groupBy(label).agg(F.count("*").alias("n"), F.count_if(F.col(low)).alias("low"))
+    counts = labels.agg(F.sum("n").alias("n_rows"), F.coalesce(F.sum("low"), F.lit(0)).alias("n_below_threshold"), F.array_sort(F.collect_list(F.struct(F.col(label).alias("label"), "n"))).alias("x"))
+    return sums.join(counts, F.lit(True)).select("n_videos", "n_items", "n_results", "n_failed", F.coalesce("n_rows", F.lit(0)).alias("n_rows"), "n_below_threshold", F.map_from_entries("x").alias("label_counts"))
+
+
+def consolidated(rows: DataFrame, accepted: DataFrame | None = None) -> DataFrame:
+    """A modality's rows of all videos, or of those accepted (video_id)."""
+    return rows if accepted is None else rows.join(accepted.select("video_id").distinct(), "video_id", "left_semi")
+
+
 def vectors(rows: DataFrame, column: str, encoder: Callable[[list], list[list[float]]], out: str = "embedding") -> DataFrame:
     """rows with the vector that an encoder gives for a column's values, L2-normalised."""
     from ..functions.scalars import unit

@@ -61,6 +61,18 @@ def event_sequences(pools: DataFrame, compat: bool = False) -> DataFrame:
     return alignment.hypotheses(alignment.align(chosen, compat)).join(video, "query_id")
 
 
+def batch(queries: DataFrame, runners: dict[str, object]) -> dict[str, DataFrame]:
+    """The results by task of a table of queries (query_id, task, ...): each runner gets its task's queries as one table.
+    Queries of a task without a runner are skipped; task names go without regard to case."""
+    named = queries.withColumn("task", F.upper(F.trim("task")))
+    return {task: run(named.where(F.col("task") == task)) for task, run in runners.items()}
+
+
+def skipped(queries: DataFrame, tasks: list[str]) -> DataFrame:
+    """Queries whose task no runner takes."""
+    return queries.where(~F.coalesce(F.upper(F.trim("task")).isin(tasks), F.lit(False))).select("query_id", "task")
+
+
 def localised(hits: DataFrame, frames: DataFrame, media: DataFrame) -> DataFrame:
     """Hits of all sources as candidates on keyframes; those that can't be submitted are left out."""
     c = evidence.hits_to_candidates(hits, frames).where("submittable")

@@ -66,8 +66,8 @@ def json_payload(spark: SparkSession, path: str, record: T.StructType) -> DataFr
     return texts.select(F.explode(F.when(F.col("v").startswith("["), F.from_json("v", kind)).otherwise(inside)).alias("r")).select("r.*")
 
 
-def excel(spark: SparkSession, path: str) -> DataFrame:
-    """Rows of every sheet of a workbook (sheet, row, values): cells' strings, empty rows left out.
+def excel(spark: SparkSession, path: str, first: bool = False) -> DataFrame:
+    """Rows of every sheet of a workbook, or of the first in the workbook's order (sheet, row, values): cells' strings, empty rows left out.
 
     The file is read by Spark; its parts are XML in a ZIP, which one function call a file parses.
     """
@@ -84,6 +84,16 @@ def excel(spark: SparkSession, path: str) -> DataFrame:
         def tag(e):
             return e.tag.rsplit("}", 1)[-1]
 
+        def first_sheet(z, names, sheets):
+            """The part that the workbook's first sheet refers to; without a workbook the first by name."""
+            if not {"xl/workbook.xml", "xl/_rels/workbook.xml.rels"} <= set(names):
+                return sheets[:1]
+            listed = [e for e in ElementTree.fromstring(z.read("xl/workbook.xml")).iter() if tag(e) == "sheet"]
+            wanted = next((v for e in listed[:1] for k, v in e.attrib.items() if k.rsplit("}", 1)[-1] == "id"), None)
+            targets = {e.get("Id"): e.get("Target", "") for e in ElementTree.fromstring(z.read("xl/_rels/workbook.xml.rels"))}
+            target = targets.get(wanted, "").lstrip("/").removeprefix("xl/")
+            return [f"xl/{target}"] if f"xl/{target}" in names else sheets[:1]
+
         for pdf in batches:
             out = []
             for content in pdf["content"]:
@@ -92,7 +102,10 @@ def excel(spark: SparkSession, path: str) -> DataFrame:
                     shared = []
                     if "xl/sharedStrings.xml" in names:
                         shared = ["".join(t.text or "" for t in si.iter() if tag(t) == "t") for si in ElementTree.fromstring(z.read("xl/sharedStrings.xml")) if tag(si) == "si"]
-                    for name in sorted(n for n in names if re.fullmatch(r"xl/worksheets/sheet\d+\.xml", n)):
+                    sheets = sorted(n for n in names if re.fullmatch(r"xl/worksheets/sheet\d+\.xml", n))
+                    if first:
+                        sheets = first_sheet(z, names, sheets)
+                    for name in sheets:
                         header: dict[str, str] = {}
                         for row in (e for e in ElementTree.fromstring(z.read(name)).iter() if tag(e) == "row"):
                             cells = {}
@@ -111,6 +124,56 @@ def excel(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").load(path).select("content").mapInPandas(parse, schema)
 
 
+def embedding_shards(spark: SparkSession, path: str, ids: list[int] | None = None) -> DataFrame:
+    """Vectors of a sharded store; of given ids only the shards whose ranges hold them are read."""
+    shards = spark.read.parquet(f"{path}/shards")
+    if ids is None:
+        return shards.drop("shard")
+    ranges = spark.read.parquet(f"{path}/manifest").select("shard", "record_start", "record_end")
+    wanted = [r["shard"] for r in ranges.where(F.exists(F.array(*(F.lit(i) for i in ids)), lambda i: i.between(F.col("record_start"), F.col("record_end")))).collect()]  # ids at most
+    return shards.where(F.col("shard").isin(wanted) & F.col("vec_id").isin(ids)).drop("shard")
+
+
+def inspect_shards(spark: SparkSession, path: str) -> DataFrame:
+    """Shards whose rows differ from the manifest, with the reason."""
+    from .writers import manifest
+
+    found = manifest(spark.read.parquet(f"{path}/shards")).select("shard", F.struct("record_start", "record_end", "n", "digest").alias("found"))
+    said = spark.read.parquet(f"{path}/manifest").select("shard", F.struct("record_start", "record_end", "n", "digest").alias("said"))
+    both = found.join(said, "shard", "full")
+    reason = F.when(F.col("found").isNull(), "missing").when(F.col("said").isNull(), "not in the manifest").when(F.col("found.n") != F.col("said.n"), "number of rows").when(F.col("found") != F.col("said"), "content")
+    return both.select("shard", reason.alias("fault")).where("fault is not null")
+
+
+#: Limits of an archive that is unpacked: members, bytes of one, bytes of all, and bytes for each packed byte.
+ZIP_LIMITS = (100_000, 20 << 30, 200 << 30, 200)
+
+
+def safe_members(names_and_sizes: list[tuple[str, int, int, bool]], limits: tuple[int, int, int, int] = ZIP_LIMITS) -> None:
+    """Raises unless an archive's members (name, size, packed size, whether a link) keep to the limits and stay in their folder."""
+    members, one, every, ratio = limits
+    if len(names_and_sizes) > members or sum(size for _, size, _, _ in names_and_sizes) > every:
+        raise ValueError("the archive is too large")
+    for name, size, packed, link in names_and_sizes:
+        parts = name.replace("\\", "/").split("/")
+        if link or ".." in parts or name.startswith(("/", "\\")) or ":" in parts[0]:
+            raise ValueError(f"{name} leads out of the folder")
+        if size > one or size > ratio * max(packed, 1):
+            raise ValueError(f"{name} is too large")
+
+
+def unzip(archive: str, folder: str, limits: tuple[int, int, int, int] = ZIP_LIMITS) -> list[str]:
+    """Unpacks an archive on the driver, once all of its members are found safe."""
+    import stat
+    import zipfile
+
+    with zipfile.ZipFile(archive) as z:
+        infos = [i for i in z.infolist() if not i.is_dir()]
+        safe_members([(i.filename, i.file_size, i.compress_size, stat.S_ISLNK(i.external_attr >> 16)) for i in infos], limits)
+        z.extractall(folder, [i.filename for i in infos])
+        return [i.filename for i in infos]
+
+
 def manifest_entries(rows: DataFrame) -> DataFrame:
     """(filename, link) of a batch manifest whose header names are near enough."""
     norm = {c: "".join(ch for ch in c.lower() if ch.isalnum()) for c in rows.columns}

@@ -40,6 +40,41 @@ def embedding_map(df: DataFrame, path: str) -> None:
     df.select(*(F.col(f.name).cast(f.dataType) for f in wanted.fields)).write.mode("overwrite").parquet(path)
 
 
+#: The order in which each table's rows are written.
+ORDERS = {
+    "objects": ("video_id", "timestamp_ms", "frame_id", "detection_id"),
+    "ocr": ("video_id", "timestamp_ms", "frame_id", "ocr_id"),
+    "asr": ("video_id", "start_ms", "end_ms", "segment_id"),
+    "metadata": ("video_id", "source", "metadata_id"),
+    "frames": ("video_id", "timestamp_ms", "frame_id"),
+}
+
+
+def canonical(df: DataFrame, kind: str) -> DataFrame:
+    """A table's rows in their order, over all of its files."""
+    return df.orderBy(*(c for c in ORDERS[kind] if c in df.columns))
+
+
+def embedding_shards(df: DataFrame, path: str, rows_per_shard: int) -> DataFrame:
+    """Vectors (vec_id, embedding) in shards of ranges of ids, and their manifest: shard, record_start, record_end, n, digest."""
+    shard = F.floor(F.col("vec_id") / rows_per_shard).cast("long")
+    df.withColumn("shard", shard).repartition("shard").sortWithinPartitions("vec_id").write.mode("overwrite").partitionBy("shard").parquet(f"{path}/shards")
+    manifest(df.sparkSession.read.parquet(f"{path}/shards")).coalesce(1).write.mode("overwrite").parquet(f"{path}/manifest")
+    return df.sparkSession.read.parquet(f"{path}/manifest")
+
+
+def manifest(shards: DataFrame) -> DataFrame:
+    """shard, record_start, record_end, n and a digest that doesn't depend on the rows' order."""
+    row = F.xxhash64("vec_id", "embedding").cast("decimal(38,0)")
+    return shards.groupBy(F.col("shard").cast("long").alias("shard")).agg(F.min("vec_id").alias("record_start"), F.max("vec_id").alias("record_end"), F.count("*").alias("n"), F.sum(row).cast("string").alias("digest"))
+
+
+def commit(df: DataFrame, path: str, status: DataFrame, status_path: str) -> None:
+    """The data, then the status row that says it is there: a crash in between leaves data that no status names."""
+    df.write.mode("overwrite").parquet(path)
+    status.write.mode("append").parquet(status_path)
+
+
 def evidence_catalog(tables: dict[str, DataFrame], root: str) -> None:
     """The evidence tables, and the alias table of objects."""
     from ..operators.objects import alias_table
