@@ -215,7 +215,13 @@ def trake_dp(spark, sf_dir):
     return out.groupBy("query_id").agg(F.round(F.sum("score"), 6).alias("score"))
 
 
-@query()
+@query(f"""with {EVENTS}, p as (select video_id as q, case event_type when 'view' then 0 when 'click' then 1 else 2 end as k, event_id as f, timestamp_ms as t, value as s, row_number() over (partition by video_id, event_type order by value desc, event_id) as r from ev where event_type in ('view', 'click', 'purchase')),
+c as (select * from p where r <= 20), a as (select * from c where k = 0), b as (select * from c where k = 1), d as (select * from c where k = 2),
+x as (select a.q, [a.f, b.f, d.f] as fs, a.s + b.s + d.s as v, row_number() over (partition by a.q order by a.s + b.s + d.s desc, d.r, b.r, a.r) as n from a join b on a.q = b.q and a.t <= b.t join d on d.q = b.q and b.t <= d.t),
+g1 as (select a.q, a.f as f0, a.t as t0, a.s as s0, coalesce(min_by({{'f': b.f, 't': b.t, 's': b.s}}, b.r) filter (b.t >= a.t), min_by({{'f': b.f, 't': b.t, 's': b.s}}, b.r)) as y from a join b on a.q = b.q where a.r = 1 group by all),
+g2 as (select g1.q, f0, s0, y, coalesce(min_by({{'f': d.f, 's': d.s}}, d.r) filter (d.t >= y.t), min_by({{'f': d.f, 's': d.s}}, d.r)) as z from g1 join d on g1.q = d.q group by all),
+h as (select q, fs, v, 'dp' as method from x where n = 1 union all select q, [f0, y.f, z.f], s0 + y.s + z.s, 'greedy' from g2 where q not in (select q from x))
+select q as query_id, array_to_string(fs, ',') as frames, round(v, 6) as score, method, fs[1] < fs[2] and fs[2] < fs[3] as valid from h""")
 def trake_hypotheses(spark, sf_dir):
     """Full hypotheses, with the greedy way where there is no full path."""
     return alignment.hypotheses(alignment.align(_pools(spark, sf_dir))).select("query_id", F.array_join("frames", ",").alias("frames"), F.round("aggregate_score", 6).alias("score"), "method", "valid")

@@ -122,7 +122,13 @@ def near_in_time(spark, sf_dir):
     return temporal.near_in_time(r, o, 300000).groupBy("row_id").agg(F.count("*").alias("n"))
 
 
-@query()
+@query(f"""with {SHOTS}, md as (select video_id, max(timestamp_ms) as d from ev group by 1), s as (select segment_id, sg.video_id, start_ms, least(end_ms, d) as e from sg join md using (video_id) where start_ms <= d),
+n as (select segment_id, min_by(frame_id, {{'a': abs(timestamp_ms - (start_ms + e) // 2), 't': timestamp_ms, 'f': frame_id}}) as representative_frame_id,
+coalesce(max_by(frame_id, {{'t': timestamp_ms, 'f': frame_id}}) filter (timestamp_ms <= start_ms), min_by(frame_id, {{'t': timestamp_ms, 'f': frame_id}})) as before_frame_id,
+coalesce(min_by(frame_id, {{'t': timestamp_ms, 'f': frame_id}}) filter (timestamp_ms >= e), max_by(frame_id, {{'t': timestamp_ms, 'f': frame_id}})) as after_frame_id,
+count(*) filter (timestamp_ms between start_ms and e) as n_frames from s join fr using (video_id) group by 1),
+k as (select segment_id, count(shot_id) as n_shots from s left join sh on sh.video_id = s.video_id and start_timestamp_ms <= e and end_timestamp_ms >= start_ms group by 1)
+select segment_id, representative_frame_id, before_frame_id, after_frame_id, coalesce(n_frames, 0) as n_frames, n_shots from s left join n using (segment_id) join k using (segment_id)""")
 def segment_links(spark, sf_dir):
     """Link rows of all segments."""
     s = segments(spark, sf_dir).join(media(spark, sf_dir), "video_id").where("start_ms <= duration_ms").drop("duration_ms")
@@ -130,7 +136,9 @@ def segment_links(spark, sf_dir):
     return out.select("segment_id", "representative_frame_id", "before_frame_id", "after_frame_id", F.size("frames").alias("n_frames"), F.size("shots").alias("n_shots"))
 
 
-@query()
+@query(f"""with {SEGMENTS}, w as (select segment_id, video_id, i - 1 as i, start_ms + (i - 1) * 600000 as t from sg, unnest(range(1, (greatest(start_ms, end_ms) - start_ms) // 600000 + 2)) u(i)),
+n as (select segment_id, i, min_by(frame_id, {{'a': abs(timestamp_ms - t), 't': timestamp_ms, 'f': frame_id}}) as frame_id from w join fr using (video_id) group by 1, 2)
+select segment_id, frame_id, min(i) as position from n group by 1, 2""")
 def uniform_samples(spark, sf_dir):
     """A frame every ten minutes of each segment."""
     return temporal.uniform_samples(segments(spark, sf_dir), frames(spark, sf_dir), 600000).where("frame_id is not null")
@@ -142,7 +150,9 @@ def decode_probes(spark, sf_dir):
     return temporal.equal_probes(media(spark, sf_dir))
 
 
-@query()
+@query(f"""with {SEGMENTS}, md as (select video_id, max(timestamp_ms) as d from ev group by 1), s as (select segment_id, sg.video_id, start_ms, least(end_ms, d) as e from sg join md using (video_id) where start_ms <= d),
+n as (select fr.video_id, fr.frame_id, count(segment_id) as n from fr left join s on s.video_id = fr.video_id and timestamp_ms between start_ms and e group by 1, 2)
+select video_id, frame_id, lag(frame_id) over w as prev_frame_id, lead(frame_id) over w as next_frame_id, n as n_segments from fr join n using (video_id, frame_id) window w as (partition by video_id order by timestamp_ms, frame_id)""")
 def temporal_registry(spark, sf_dir):
     """Linked frames of the whole corpus."""
     s = segments(spark, sf_dir).join(media(spark, sf_dir), "video_id").where("start_ms <= duration_ms").drop("duration_ms")
