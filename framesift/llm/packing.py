@@ -26,7 +26,7 @@ from .common import lean
 WINDOW, END = 2048, 1
 #: Stands between words that are encoded together; one token.
 MARK = "\x01"
-#: Words whose ids a task remembers, at most.
+#: Words whose ids a worker remembers, some 80 MB at most; it keeps them for later tasks.
 REMEMBERED = 500_000
 _loaded: dict[str, WordIds] = {}
 
@@ -228,7 +228,6 @@ def pack(documents: DataFrame, tokenizer_path: str, window: int = WINDOW, with_i
                     yield out()
         for held in packer.close():
             put(held)
-        encoder.clear()
         if rows:
             yield out()
 
