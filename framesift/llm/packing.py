@@ -26,8 +26,8 @@ from .common import lean
 WINDOW, END = 2048, 1
 #: Stands between words that are encoded together; one token.
 MARK = "\x01"
-#: Words whose ids a worker remembers, some 80 MB at most; it keeps them for later tasks.
-REMEMBERED = 500_000
+#: Words whose ids a worker remembers, some 160 MB at most; it keeps them for later tasks.
+REMEMBERED = 1_000_000
 _loaded: dict[str, WordIds] = {}
 
 
