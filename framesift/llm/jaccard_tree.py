@@ -10,7 +10,9 @@ Documents are sets of distinct five-word shingles; two link when 100 * |A and B|
    members' bitmaps and the range of their sizes, and pairs of nodes are descended only while the most shingles that two
    members can share reach the threshold.  Node pairs within one component are left out.  Blocks are cut into pieces of
    at most BLOCK shingles, all pairs of pieces being joined, so no task holds an unbounded group.
-4. A first round with three keys a class, whose trees verify links on the sets, finds most components.  The second goes
+   A block of p pieces is first joined piece by piece, dealt anew DEALS times: random pieces of a large group of near
+   copies soon show it as one component, which needs no pair of pieces any more.
+4. The first rounds, with three keys a class, whose trees verify links on the sets, find most components.  The last goes
    over all keys, but expands only blocks whose members are not of one component already, and its trees hold bitmaps
    alone; the few pairs that they allow are then verified on the sets.
 
@@ -32,8 +34,8 @@ from pyspark.sql import functions as F
 from .common import components, durable, lean, mix, named_rows, slices, text_buffers, windows, word_bounds, word_hashes
 
 WIDTH, PERCENT = 5, 80
-#: Shingles (or words of bitmaps) in one piece of a block.
-BLOCK = 1_000_000
+#: Shingles (or words of bitmaps) in one piece of a block; times that the pieces of large blocks are dealt.
+BLOCK, DEALS = 200_000, 3
 #: Bits of the filter that names the rows of the second pass; it never grows, and a full one only lets more rows through.
 FILTER_BITS = 1 << 24
 FAN, LEAF = 8, 8
@@ -284,15 +286,19 @@ def _join_blocks(batches: Iterator[pa.RecordBatch], join) -> Iterator[pa.RecordB
     yield from flush()
 
 
-def _tree_join(rows: DataFrame, join) -> DataFrame:
+def _tree_join(rows: DataFrame, join, salt: int | None = None, least: int = 1) -> DataFrame:
     """rows: block, node, n, comp, array, count.  Blocks whose arrays are above BLOCK are cut into pieces, every pair of
-    which is joined."""
-    mass = rows.groupBy("block").agg(F.count("*").alias("members"), F.sum(F.size("array")).alias("mass")).where("members > 1").select("block", F.ceil(F.col("mass") / BLOCK).cast("int").alias("pieces"))
-    cut = rows.join(mass, "block").withColumn("mine", F.pmod(F.xxhash64("node", "block"), F.greatest("pieces", F.lit(1))).cast("int"))
-    other = F.explode(F.sequence(F.lit(0), F.greatest("pieces", F.lit(1)) - 1))
-    spread = cut.select("block", "node", "n", "comp", "array", "count", "mine", "pieces", other.alias("other"))
-    piece = F.least("mine", "other") * F.col("pieces") + F.greatest("mine", "other")
-    spread = spread.select("block", piece.cast("long").alias("piece"), "node", "n", "comp", "array", "count")
+    which is joined; with a salt, pieces that it deals anew are joined in themselves alone.  Blocks of one component are
+    left out, and those of fewer than least pieces."""
+    mass = rows.groupBy("block").agg(F.count("*").alias("members"), F.sum(F.size("array")).alias("mass"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("members > 1 and lo <> hi")
+    mass = mass.select("block", F.greatest(F.ceil(F.col("mass") / BLOCK), F.lit(1)).cast("int").alias("pieces")).where(F.col("pieces") >= least)
+    cut = rows.join(mass, "block").withColumn("mine", F.pmod(F.xxhash64("node", "block", F.lit(salt or 0)), F.col("pieces")).cast("int"))
+    if salt is None:
+        cut = cut.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)))
+        piece = F.least("mine", "other") * F.col("pieces") + F.greatest("mine", "other")
+    else:
+        piece = F.col("mine")
+    spread = cut.select("block", piece.cast("long").alias("piece"), "node", "n", "comp", "array", "count")
     return spread.repartition("block", "piece").sortWithinPartitions("block", "piece").mapInArrow(lean(lambda batches: _join_blocks(batches, join)), "a long, b long")
 
 
@@ -377,9 +383,16 @@ def classes(documents: DataFrame, row: Column) -> tuple[DataFrame, DataFrame]:
     found = durable(_linkable(_only(texts, nodes, _full, "node long, n long, items array<long>")), "linkable")
 
     one_more = F.array_min(F.transform("items", lambda x: F.xxhash64(x)))
-    first = found.select(F.explode(F.array_distinct(F.array(F.array_min("items"), F.array_max("items"), one_more))).alias("block"), "node", "n", F.col("node").alias("comp"), F.col("items").alias("array"), F.size("items").cast("long").alias("count"))
-    links = durable(_tree_join(first, _verified), "links")
-    roots = durable(components(links), "roots")
+    three = F.explode_outer(F.array_distinct(F.array(F.array_min("items"), F.array_max("items"), one_more)))
+    links = roots = None
+    for deal in range(DEALS):
+        named = found.withColumn("root", F.lit(None).cast("long")) if roots is None else found.join(roots, "node", "left")
+        first = named.select(three.alias("block"), "node", "n", F.coalesce("root", "node").alias("comp"), F.col("items").alias("array"), F.size("items").cast("long").alias("count"))
+        new = durable(_tree_join(first, _verified, salt=deal, least=1 if deal == 0 else 2), "links")
+        if deal and new.isEmpty():
+            break
+        links = new if links is None else links.unionByName(new)
+        roots = durable(components(links), "roots")
 
     labelled = found.join(roots, "node", "left").withColumn("comp", F.coalesce("root", "node"))
     keyed = labelled.select(F.explode("keys").alias("block"), "node", "comp")
