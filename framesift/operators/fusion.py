@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .sequences import grouped_fold
+from .sequences import in_order
 
 # Constants of fusion.
 RRF_K, DEDUP_MS, SOFT_WEIGHT, PER_VIDEO = 60, 1000, 0.5, 5
@@ -64,16 +64,11 @@ def cap_per_video(ranked: DataFrame, cap: int = PER_VIDEO, order=None, limit: in
 def suppress_near(ranked: DataFrame, window: int = DEDUP_MS) -> DataFrame:
     """ranked (query_id, video_id, frame_id, timestamp_ms, rank) without frames within window of a better one kept."""
 
-    def fold(rows):
-        kept: list[dict] = []
-        for r in rows:
-            if all(abs(r["timestamp_ms"] - o["timestamp_ms"]) > window for o in kept):
-                kept.append(r)
-        return kept
-
     columns = ["query_id", "video_id", "frame_id", "timestamp_ms", "rank"]
-    schema = ", ".join(f"{c} {ranked.schema[c].dataType.simpleString()}" for c in columns)
-    return grouped_fold(ranked.select(*columns), ["query_id", "video_id"], ["rank"], fold, schema)
+    far = lambda kept, r: F.forall(kept, lambda k: F.abs(k["timestamp_ms"] - r["timestamp_ms"]) > window)
+    rows = in_order(ranked.select(*columns), ["query_id", "video_id"], ["rank"])
+    kept = F.aggregate("rows", F.filter("rows", lambda r: F.lit(False)), lambda kept, r: F.when(far(kept, r), F.concat(kept, F.array(r))).otherwise(kept))
+    return rows.select("query_id", "video_id", F.explode(kept).alias("r")).select("query_id", "video_id", "r.frame_id", "r.timestamp_ms", "r.rank")
 
 
 def round_robin(ranked: DataFrame, limit: int) -> DataFrame:

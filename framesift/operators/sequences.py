@@ -94,7 +94,7 @@ def _replaced(kept: Column, at: Column, row: Column) -> Column:
     return F.transform(kept, lambda k, i: F.when(i + 1 == at, row).otherwise(k))
 
 
-def _in_order(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
+def in_order(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     """keys and rows: a group's rows as an array of structs, sorted by order.  A video or a shot bounds a group."""
     others = [c for c in rows.columns if c not in order]
     return rows.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(*order, *others))).alias("rows"))
@@ -117,7 +117,7 @@ def perceptual_dedup(frames: DataFrame, bits: int = DEDUP_BITS, window: int = DE
         better = F.struct(r["priority"], r["quality"]) > F.struct(held["priority"], held["quality"])
         return F.when(twin.isNull(), F.concat(kept, F.array(r))).when(better, _replaced(kept, twin + 1, r)).otherwise(kept)
 
-    rows = _in_order(frames.select(*columns[:-1], F.col("hash").cast("long").alias("hash")), ["video_id"], ["timestamp_ms", "frame_id"])
+    rows = in_order(frames.select(*columns[:-1], F.col("hash").cast("long").alias("hash")), ["video_id"], ["timestamp_ms", "frame_id"])
     none = F.filter("rows", lambda r: F.lit(False))
     out = rows.select(F.explode(F.aggregate("rows", none, step)).alias("r"))
     return out.select(*(F.col(f"r.{c}") for c in columns))
@@ -223,7 +223,7 @@ def dedup_segments(segments: DataFrame, look_back: int = 4) -> DataFrame:
         return F.when(at.isNull(), F.concat(kept, F.array(r))).when(better, _replaced(kept, at + 1, r)).otherwise(kept)
 
     rows = segments.select("video_id", F.col("start_ms").cast("long"), F.col("end_ms").cast("long"), F.col("text").cast("string"), F.col("avg_logprob").cast("double"), F.col("n_words").cast("long"))
-    rows = _in_order(rows, ["video_id"], ["start_ms", "end_ms", "text"])
+    rows = in_order(rows, ["video_id"], ["start_ms", "end_ms", "text"])
     kept = F.aggregate("rows", F.filter("rows", lambda r: F.lit(False)), step)
     # replaced ones may stand out of order
     placed = F.array_sort(F.transform(kept, lambda k, i: F.struct(k["start_ms"].alias("start_ms"), k["end_ms"].alias("end_ms"), i.alias("i"), k.alias("row"))))

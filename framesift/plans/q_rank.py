@@ -50,7 +50,12 @@ def round_robin(spark, sf_dir):
     return fusion.round_robin(r, 200).select("video_id", "frame_id", F.col("new_rank").cast("long").alias("new_rank"))
 
 
-@query()
+@query(f"""with recursive {EVENTS}, tp as (select *, row_number() over (partition by event_type order by value desc, event_id) as rank from ev),
+o as (select event_type as q, video_id, frame_id, timestamp_ms as t, rank, row_number() over (partition by event_type, video_id order by rank) as n from tp where rank <= 200),
+r as (select q, video_id, n, frame_id, rank, [t] as kept, true as ok from o where n = 1
+union all select o.q, o.video_id, o.n, o.frame_id, o.rank, case when len(list_filter(r.kept, lambda x: abs(x - o.t) <= 3600000)) = 0 then list_append(r.kept, o.t) else r.kept end, len(list_filter(r.kept, lambda x: abs(x - o.t) <= 3600000)) = 0 from r join o on o.q = r.q and o.video_id = r.video_id and o.n = r.n + 1),
+k as (select *, row_number() over (partition by q, video_id order by rank) as turn, min(rank) over (partition by q, video_id) as f from r where ok)
+select q as query_id, video_id, frame_id, new_rank from (select *, row_number() over (partition by q order by turn, f) as new_rank from k) where new_rank <= 50""")
 def diversified(spark, sf_dir):
     """Near frames suppressed, then one of each video in turn, for each branch."""
     r = _branches(spark, sf_dir).select(F.col("branch").alias("query_id"), "video_id", "frame_id", "timestamp_ms", "rank")
@@ -123,7 +128,11 @@ def vector_faults(spark, sf_dir):
     return vectors.faults(e, 64)
 
 
-@query()
+@query(f"""with d as (select vec_id, label, list_transform(embedding, lambda x: x::double) as v from embeddings),
+m as (select 'a' as model, vec_id, label, list_dot_product(v[1:32], (select v[1:32] from d where vec_id = 3)) as s from d union all select 'b', vec_id, label, list_dot_product(v[33:64], (select v[33:64] from d where vec_id = 3)) from d),
+r as (select *, row_number() over (partition by model order by s desc, vec_id) as rank from m),
+g as (select label as video_id, vec_id as frame_id, sum(1.0::double / (60 + rank)) as s from r where rank <= 100 group by all having count(*) = 2)
+select video_id, frame_id, round(s, 6) as rrf_score, row_number() over (order by s desc, video_id, frame_id) as rank from g""")
 def feedback_pool(spark, sf_dir):
     """Two models' first hundred hits as one pool."""
     e = read(spark, sf_dir, "embeddings").select("vec_id", F.col("label").alias("video_id"), F.col("vec_id").alias("frame_id"), "embedding")

@@ -316,7 +316,13 @@ def decimated_frames(spark, sf_dir):
     return sequences.decimate(frames(spark, sf_dir), 1 / 3600)
 
 
-@query()
+@query(f"""with {PROBES}, f as (select probe_id as request_id, t as c, fr.frame_id, timestamp_ms from pr join fr using (video_id) where timestamp_ms between t - 7200000 and t + 7200000),
+co as (select * from (select *, row_number() over (partition by request_id, floor(timestamp_ms * (1.0::double / 1800) / 1000) order by timestamp_ms, frame_id) as r from f) where r = 1),
+se as (select request_id, timestamp_ms as st from (select *, row_number() over (partition by request_id order by abs(timestamp_ms - c), timestamp_ms, frame_id) as k from co) where k <= 2),
+nr as (select distinct f.* from f join se using (request_id) where abs(timestamp_ms - st) <= 1800000),
+de as (select * from (select *, row_number() over (partition by request_id, floor(timestamp_ms * (1.0::double / 60) / 1000) order by timestamp_ms, frame_id) as r from nr) where r = 1),
+g as (select request_id, frame_id, timestamp_ms, c, min(s) as stage from (select request_id, frame_id, timestamp_ms, c, 'coarse' as s from co union all select request_id, frame_id, timestamp_ms, c, 'dense' from de) group by all)
+select request_id, frame_id, stage, rank from (select *, row_number() over (partition by request_id order by abs(timestamp_ms - c), timestamp_ms, frame_id) as rank from g) where rank <= 20""")
 def two_stage_samples(spark, sf_dir):
     r = probes(spark, sf_dir).select(F.col("probe_id").alias("request_id"), "video_id", F.col("t").alias("center_ms"), F.lit(7200000).alias("radius"))
     return sequences.two_stage_sample(frames(spark, sf_dir), r, 1 / 1800, 1 / 60, 1800000, budget=20).select("request_id", "frame_id", "stage", "rank")
