@@ -12,6 +12,16 @@ from pyspark.sql.window import Window
 from ..functions import scalars as S
 
 
+def versions(spark: SparkSession, path: str) -> list[int]:
+    """Numbers of the folders v=number under path whose write has ended."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not files.exists(folder):
+        return []
+    names = [f.getPath().getName() for f in files.listStatus(folder) if f.isDirectory()]
+    return [int(n[2:]) for n in names if n.startswith("v=") and n[2:].isdigit() and exists(spark, f"{path}/{n}/_SUCCESS")]
+
+
 def exists(spark: SparkSession, path: str) -> bool:
     hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
     return hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop)

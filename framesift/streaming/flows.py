@@ -26,14 +26,17 @@ def once(events: DataFrame, time: str, keys: list[str], late: str = "1 hour") ->
 
 
 def upsert_into(path: str, keys: list[str], order: list[str]):
-    """A foreachBatch function that keeps the latest row of each key in a Parquet table, one version a batch."""
+    """A foreachBatch function that keeps the latest row of each key in a Parquet table, one version a batch.
+
+    A batch builds on the last whole version before it, whatever numbers lie between; one that runs again gives the same version.
+    """
     from ..operators.state import latest
-    from ..sources.readers import exists
+    from ..sources.readers import versions
 
     def write(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        before = f"{path}/v={number - 1}"
-        rows = batch.unionByName(spark.read.parquet(before)) if number and exists(spark, before) else batch
+        before = [v for v in versions(spark, path) if v < number]
+        rows = batch.unionByName(spark.read.parquet(f"{path}/v={max(before)}")) if before else batch
         latest(rows, keys, order).write.mode("overwrite").parquet(f"{path}/v={number}")
 
     return write

@@ -120,6 +120,17 @@ def test_streaming_buckets_and_gaps(spark, tmp_path):
     assert all(r["n"] == 3 for r in spark.table("gaps").collect())
 
 
+def test_upsert_after_a_skipped_batch(spark, tmp_path):
+    from framesift.streaming import flows
+
+    write = flows.upsert_into(str(tmp_path / "t"), ["k"], ["n"])
+    table = lambda *rows: spark.createDataFrame(list(rows), "k string, n int")
+    write(table(("a", 1), ("b", 1)), 0)
+    write(table(("b", 2)), 4)
+    write(table(("b", 2)), 4)
+    assert sorted(tuple(r) for r in spark.read.parquet(str(tmp_path / "t" / "v=4")).collect()) == [("a", 1), ("b", 2)]
+
+
 def test_streaming_upsert_and_sessions(spark, tmp_path):
     rows = [[{"session_id": "s", "seq": 0, "kind": "start", "payload": None}, {"session_id": "s", "seq": 1, "kind": "refine", "payload": "x"}], [{"session_id": "s", "seq": 2, "kind": "refine", "payload": "y"}, {"session_id": "s", "seq": 3, "kind": "undo", "payload": None}]]
     s = _stream(spark, tmp_path, rows, "session_id string, seq long, kind string, payload string")
