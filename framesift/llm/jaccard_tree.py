@@ -10,8 +10,8 @@ Documents are sets of distinct five-word shingles; two link when 100 * |A and B|
    members' bitmaps and the range of their sizes, and pairs of nodes are descended only while the most shingles that two
    members can share reach the threshold.  Node pairs within one component are left out.  Blocks are cut into pieces of
    at most BLOCK shingles, all pairs of pieces being joined, so no task holds an unbounded group.
-   A block of p pieces is first joined piece by piece, dealt anew DEALS times: random pieces of a large group of near
-   copies soon show it as one component, which needs no pair of pieces any more.
+   A block of p pieces is first joined piece by piece, and dealt anew DEALS times in all: random pieces of a large group of
+   near copies hold members of all the components found before, so it becomes one, which needs no pair of pieces any more.
 4. The first rounds, with three keys a class, whose trees verify links on the sets, find most components.  The last goes
    over all keys, but expands only blocks whose members are not of one component already, and its trees hold bitmaps
    alone; the few pairs that they allow are then verified on the sets.
@@ -31,11 +31,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, durable, lean, mix, named_rows, slices, text_buffers, windows, word_bounds, word_hashes
+from .common import components, durable, lean, mix, named_rows, release, slices, text_buffers, windows, word_bounds, word_hashes
 
 WIDTH, PERCENT = 5, 80
 #: Shingles (or words of bitmaps) in one piece of a block; times that the pieces of large blocks are dealt.
-BLOCK, DEALS = 200_000, 3
+BLOCK, DEALS = 200_000, 2
 #: Bits of the filter that names the rows of the second pass; it never grows, and a full one only lets more rows through.
 FILTER_BITS = 1 << 24
 FAN, LEAF = 8, 8
@@ -391,8 +391,9 @@ def classes(documents: DataFrame, row: Column) -> tuple[DataFrame, DataFrame]:
         new = durable(_tree_join(first, _verified, salt=deal, least=1 if deal == 0 else 2), "links")
         if deal and new.isEmpty():
             break
-        links = new if links is None else links.unionByName(new)
+        links, before = new if links is None else links.unionByName(new), roots
         roots = durable(components(links), "roots")
+        release(before)
 
     labelled = found.join(roots, "node", "left").withColumn("comp", F.coalesce("root", "node"))
     keyed = labelled.select(F.explode("keys").alias("block"), "node", "comp")
