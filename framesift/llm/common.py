@@ -126,6 +126,19 @@ def lean(run: Callable) -> Callable:
     return task
 
 
+#: Rows of an Arrow batch: whole texts are in it, which the JVM holds outside its heap, and never gives back.
+BATCH_ROWS = 2500
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def mapped(df: DataFrame, run: Callable, schema) -> DataFrame:
+    """df.mapInArrow, in batches of BATCH_ROWS rows at most (a setting of the session, which this lowers) and lean."""
+    spark = df.sparkSession
+    if not 0 < int(spark.conf.get(_BATCH)) <= BATCH_ROWS:
+        spark.conf.set(_BATCH, BATCH_ROWS)
+    return df.mapInArrow(lean(run), schema)
+
+
 # ---------------------------------------------------------------- words of a batch of texts
 
 SPACE = np.zeros(256, dtype=bool)

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import durable, lean, mix, release
+from .common import durable, mapped, mix, release
 
 #: Sampled positions of a fingerprint, at most.
 MOST = 128
@@ -267,7 +267,7 @@ def fingerprint_edits(documents: DataFrame) -> DataFrame:
                 lo = hi
 
     schema = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
-    return _placed(documents).mapInArrow(lean(run), schema)
+    return _placed(documents).transform(mapped, run, schema)
 
 
 def near_links(marked: DataFrame, bands: int = 16, width: int = 8, least: float = 0.8) -> DataFrame:

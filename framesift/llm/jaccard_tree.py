@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, durable, lean, mix, named_rows, release, slices, text_buffers, windows, word_bounds, word_hashes
+from .common import components, durable, mapped, mix, named_rows, release, slices, text_buffers, windows, word_bounds, word_hashes
 
 WIDTH, PERCENT = 5, 80
 #: Shingles (or words of bitmaps) in one piece of a block; times that the pieces of large blocks are dealt.
@@ -299,7 +299,7 @@ def _tree_join(rows: DataFrame, join, salt: int | None = None, least: int = 1) -
     else:
         piece = F.col("mine")
     spread = cut.select("block", piece.cast("long").alias("piece"), "node", "n", "comp", "array", "count")
-    return spread.repartition("block", "piece").sortWithinPartitions("block", "piece").mapInArrow(lean(lambda batches: _join_blocks(batches, join)), "a long, b long")
+    return spread.repartition("block", "piece").sortWithinPartitions("block", "piece").transform(mapped, lambda batches: _join_blocks(batches, join), "a long, b long")
 
 
 def _maps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -321,7 +321,7 @@ def _only(texts: DataFrame, nodes: DataFrame, apply, schema: str) -> DataFrame:
     rows through: they are copies or unlinkable, so they cost time only.  Beyond the rows it is made for, a join picks them.
     """
     if nodes.count() > FILTER_BITS // 8:
-        return texts.join(nodes.select(F.col("node").alias("row")), "row", "left_semi").select("row", "doc_id", "text").mapInArrow(lean(apply), schema)
+        return texts.join(nodes.select(F.col("node").alias("row")), "row", "left_semi").select("row", "doc_id", "text").transform(mapped, apply, schema)
     words = nodes.select(F.pmod(F.xxhash64("node"), F.lit(FILTER_BITS)).alias("h")).select(F.shiftright("h", 6).alias("w"), F.expr("shiftleft(1L, cast(h & 63 as int))").alias("m"))
     filled = np.zeros(FILTER_BITS // 64, np.int64)
     for r in words.groupBy("w").agg(F.bit_or("m").alias("m")).toArrow().to_batches():  # FILTER_BITS / 64 rows at most
@@ -336,7 +336,7 @@ def _only(texts: DataFrame, nodes: DataFrame, apply, schema: str) -> DataFrame:
             if b.num_rows:
                 yield b
 
-    return texts.withColumn("h", F.pmod(F.xxhash64("row"), F.lit(FILTER_BITS))).mapInArrow(lean(lambda batches: apply(picked(batches))), schema)
+    return texts.withColumn("h", F.pmod(F.xxhash64("row"), F.lit(FILTER_BITS))).transform(mapped, lambda batches: apply(picked(batches)), schema)
 
 
 def _full(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -374,10 +374,10 @@ def numbered(documents: DataFrame) -> tuple[DataFrame, Column]:
 def classes(documents: DataFrame, row: Column) -> tuple[DataFrame, DataFrame]:
     """(rows, roots): rows has row, doc_id, n, digest, node of each document; roots has node, root for nodes with links."""
     texts = documents.select(row.alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    described = durable(texts.mapInArrow(lean(_describe), "row long, doc_id long, n long, digest binary"), "shingles")
+    described = durable(texts.transform(mapped, _describe, "row long, doc_id long, n long, digest binary"), "shingles")
     names = durable(described.where("n > 0").groupBy("digest").agg(F.min("row").alias("node"), F.first("n").alias("n")), "classes")
     posts = _only(texts, names.select("node"), _heads, "s long, node long").repartition("s").sortWithinPartitions("s")
-    counts = posts.mapInArrow(lean(_shared), "node long, c long").groupBy("node").agg(F.sum("c").alias("c"))
+    counts = posts.transform(mapped, _shared, "node long, c long").groupBy("node").agg(F.sum("c").alias("c"))
     least = F.when(F.col("n") > 4, F.expr(f"(n - (({PERCENT} * n + 99) div 100) + 1) div 4 + 1")).otherwise(1)
     nodes = durable(counts.join(names.select("node", "n"), "node").where(F.col("c") >= least).select("node"), "nodes")
     found = durable(_linkable(_only(texts, nodes, _full, "node long, n long, items array<long>")), "linkable")
@@ -400,7 +400,7 @@ def classes(documents: DataFrame, row: Column) -> tuple[DataFrame, DataFrame]:
     mixed = keyed.groupBy("block").agg(F.count("*").alias("c"), F.sum(F.xxhash64("node").cast("decimal(38,0)")).alias("f"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi")
     blocks = mixed.groupBy("c", "f").agg(F.min("block").alias("block")).select("block")  # blocks of the same nodes once
     chosen = keyed.join(blocks, "block", "left_semi").select("block", "node")
-    maps = labelled.select("node", "n", "comp", "items").mapInArrow(lean(_maps), "node long, n long, comp long, array array<long>, count long")
+    maps = labelled.select("node", "n", "comp", "items").transform(mapped, _maps, "node long, n long, comp long, array array<long>, count long")
     pairs = _tree_join(chosen.join(maps, "node").select("block", "node", "n", "comp", "array", "count"), _possible).distinct()
     side = found.select("node", "n", "items")
     pairs = pairs.join(side.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("items").alias("ia")), "a").join(side.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("items").alias("ib")), "b")

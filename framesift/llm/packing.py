@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import lean
+from .common import mapped
 
 WINDOW, END = 2048, 1
 #: Stands between words that are encoded together; one token.
@@ -232,4 +232,4 @@ def pack(documents: DataFrame, tokenizer_path: str, window: int = WINDOW, with_i
             yield out()
 
     schema = ", ".join(f"{c} long" for c in COLUMNS) + (", ids array<long>" if with_ids else "")
-    return documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(lean(run), schema)
+    return documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).transform(mapped, run, schema)

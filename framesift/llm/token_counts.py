@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import lean
+from .common import mapped
 
 MARK = "▁"
 LIMIT = 4096
@@ -181,4 +181,4 @@ def count_tokens(documents: DataFrame, model_path: str, limit: int = LIMIT) -> D
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(size), pa.array(n), pa.array(n > limit)], ["doc_id", "n_bytes", "n_tokens", "over_limit"])
         model.known.clear()
 
-    return documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(lean(run), "doc_id long, n_bytes long, n_tokens long, over_limit boolean")
+    return documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).transform(mapped, run, "doc_id long, n_bytes long, n_tokens long, over_limit boolean")

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bit_filter, durable, has_bit, lean, named_rows, release, same_word, shared_dir, temporary
+from .common import bit_filter, durable, has_bit, mapped, named_rows, release, same_word, shared_dir, temporary
 
 REVISIT_BYTES = 100
 FRAME_BYTES, BUNDLE_BYTES = 1 << 18, 1 << 26
@@ -188,7 +188,7 @@ def write_bundles(pages: DataFrame, folder: str) -> DataFrame:
             writer.close()
 
     schema = "page_id long, bundle string, frame long, frame_offset long, length long"
-    return durable(records(pages).mapInArrow(lean(run), schema), "warc-index")
+    return durable(records(pages).transform(mapped, run, schema), "warc-index")
 
 
 def read_records(index: DataFrame, folder: str) -> DataFrame:
@@ -216,7 +216,7 @@ def read_records(index: DataFrame, folder: str) -> DataFrame:
     # work behind it, so its partitions are not left to their size.
     parts = int(index.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     placed = index.repartition(parts, "bundle").sortWithinPartitions("bundle", "frame", "frame_offset").select("page_id", "bundle", "frame", "frame_offset", "length")
-    return placed.mapInArrow(lean(run), "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long")
+    return placed.transform(mapped, run, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long")
 
 
 def archive(pages: DataFrame, folder: str | None = None) -> DataFrame:
