@@ -1,7 +1,8 @@
 """Quality rules: an isolation forest on rule statistics, with its threshold calibrated from labelled rows.
 
-The forest is fitted on at most SAMPLE labelled rows (the smallest by a hash of doc_id); every row is scored.  A null
-or empty text has no words and fails the base rule (n_words < 20).  With no labelled rows only the base rule decides.
+The forest and its threshold are fitted on all labelled rows: trees are random cuts, which need no rows; the executors
+count the good rows of every leaf and of every score, and the driver holds counts of fixed size.  Every row is scored.  A
+null or empty text has no words and fails the base rule (n_words < 20).  With no labelled rows only the base rule decides.
 Texts of any length are read whole.  Repeated rows are scored alike; input columns pass through ``clean`` untouched,
 whatever their names; an empty table gives an empty one.
 """
@@ -14,12 +15,13 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from .common import mapped, slices, text_buffers, windows, word_bounds, word_hashes
+from .common import bit_filter, durable, has_bit, mapped, release, same_word, slices, text_buffers, windows, word_bounds, word_hashes
 
-#: Labelled rows that the forest and its threshold are fitted on, at most.
-SAMPLE = 4096
-TREES, SUBSAMPLE, DEPTH, KEEP_GOOD = 100, 256, 12, 0.995
+TREES, DEPTH, KEEP_GOOD = 100, 12, 0.995
+#: Ranges of scores within which sums run; their totals are all that the driver holds of the scores.
+_RANGES = 1 << 16
 MIN_WORDS, MAX_REPEAT = 20, 30
 #: Words of a window whose distinct words are counted.
 WINDOW = 200
@@ -30,6 +32,9 @@ _MARKS[list(b"!?")] = True
 _UPPER = np.zeros(256, bool)
 _UPPER[65:91] = True
 _BLANK = " \t\n\x0b\x0c\r"
+#: Of the forest, in order: roots of shares of symbols, characters a word, repeated lines, repeated words, capitals, marks and words
+#: that repeat the one before; mean and least share of distinct words.
+_FEATURES = ("symbols", "chars", "again", "repeat", "upper", "marks", "same", "distinct", "least")
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
 
@@ -105,36 +110,67 @@ def _covered(grams: np.ndarray, n: int) -> int:
     return int(np.count_nonzero(np.cumsum(edge)[:n] > 0))
 
 
-class Forest:
-    """Isolation forest: TREES random trees over subsamples of x, each an array of (feature, cut, left, right, path length).
+class Cuts:
+    """TREES trees of random cuts, DEPTH deep: feature and cut of each inner node, whose children are 2 i + 1 and 2 i + 2.
 
-    Cuts are drawn over the part of a feature's range (lo, hi) that a node covers, so that space without rows of x
-    is parted from them after a few cuts.
+    Cuts are drawn over the part of a feature's range (lo, hi) that a node covers, so that space without rows is parted
+    from them after a few cuts.
     """
 
-    def __init__(self, x: np.ndarray, lo: np.ndarray, hi: np.ndarray, seed: int = 7):
-        rng, self.trees = np.random.default_rng(seed), []
-        size = min(SUBSAMPLE, len(x))
-        depth = DEPTH
-        for _ in range(TREES):
-            nodes: list[list[float]] = []
-            self._grow(x[rng.choice(len(x), size, replace=False)], lo.copy(), hi.copy(), 0, depth, nodes, rng)
-            self.trees.append(np.array(nodes))
-        self.depth, self.norm = depth, depth + _average(size)
-
-    def _grow(self, x: np.ndarray, lo: np.ndarray, hi: np.ndarray, level: int, depth: int, nodes: list, rng: np.random.Generator) -> int:
-        me = len(nodes)
-        nodes.append([-1, 0.0, me, me, level + _average(len(x))])
-        spread = np.flatnonzero(hi > lo) if len(x) > 1 else []
-        if level < depth and len(spread):
-            f = int(rng.choice(spread))
-            cut = rng.uniform(lo[f], hi[f])
-            below, top, bottom = x[:, f] < cut, hi.copy(), lo.copy()
-            top[f] = bottom[f] = cut
-            left = self._grow(x[below], lo, top, level + 1, depth, nodes, rng)
-            right = self._grow(x[~below], bottom, hi, level + 1, depth, nodes, rng)
-            nodes[me][:4] = [f, cut, left, right]
-        return me
+    def __init__(self, lo: np.ndarray, hi: np.ndarray, seed: int = 7):
+        rng, spread = np.random.default_rng(seed), np.flatnonzero(hi > lo)
+        # rows that don't differ can't be parted
+        self.feature, self.cut = np.zeros((TREES, 2**DEPTH - 1), np.int8), np.full((TREES, 2**DEPTH - 1), np.inf)
+        for t in range(TREES if len(spread) else 0):
+            low, high = lo[None, :], hi[None, :]
+            for level in range(DEPTH):
+                node, first = np.arange(2**level), 2**level - 1
+                f = spread[rng.integers(len(spread), size=2**level)]
+                cut = rng.uniform(low[node, f], high[node, f])
+                self.feature[t, first : 2 * first + 1], self.cut[t, first : 2 * first + 1] = f, cut
+                low, high = np.repeat(low, 2, 0), np.repeat(high, 2, 0)
+                high[2 * node, f] = low[2 * node + 1, f] = cut
+
+    def leaves(self, x: np.ndarray) -> np.ndarray:
+        """Number of the leaf that each row of x falls in, in each tree (TREES x n)."""
+        out, row = np.zeros((TREES, len(x)), np.int64), np.arange(len(x))
+        for t in range(TREES):
+            at = np.zeros(len(x), np.int64)
+            for _ in range(DEPTH):
+                at = 2 * at + 1 + (x[row, self.feature[t, at]] >= self.cut[t, at])
+            out[t] = at - (2**DEPTH - 1)
+        return out
+
+    def count(self, x: np.ndarray) -> np.ndarray:
+        """Rows of x in each leaf (TREES x 2**DEPTH)."""
+        at = self.leaves(x) + (np.arange(TREES) * 2**DEPTH)[:, None]
+        return np.bincount(at.ravel(), minlength=TREES * 2**DEPTH).reshape(TREES, -1)
+
+
+class Forest:
+    """Isolation forest over all of x, or over rows whose numbers in the leaves of cuts are given: TREES trees, each an array
+    of (feature, cut, left, right, path length).  A node with one row or none is not parted further."""
+
+    def __init__(self, x: np.ndarray | None, lo: np.ndarray, hi: np.ndarray, counts: np.ndarray | None = None):
+        cuts, self.trees = Cuts(lo, hi), []
+        counts = cuts.count(x) if counts is None else counts
+        # rows of every node, the root first
+        levels = [counts]
+        for _ in range(DEPTH):
+            levels.insert(0, levels[0].reshape(TREES, -1, 2).sum(2))
+        rows, level = np.concatenate(levels, 1), np.repeat(np.arange(DEPTH + 1), 2 ** np.arange(DEPTH + 1))
+        length = level + _average(rows)
+        inner = (rows > 1) & (level < DEPTH)
+        for t in range(TREES):
+            parted = np.flatnonzero(inner[t])
+            # rows of a node are rows of the nodes above it, so those are parted too
+            kept = np.sort(np.concatenate([[0], 2 * parted + 1, 2 * parted + 2]))
+            at = np.searchsorted(kept, parted)
+            tree = np.stack([np.full(len(kept), -1.0), np.zeros(len(kept)), np.arange(len(kept)), np.arange(len(kept)), length[t, kept]], 1)
+            tree[at, 0], tree[at, 1] = cuts.feature[t, parted], cuts.cut[t, parted]
+            tree[at, 2], tree[at, 3] = np.searchsorted(kept, 2 * parted + 1), np.searchsorted(kept, 2 * parted + 2)
+            self.trees.append(tree)
+        self.depth, self.norm = DEPTH, DEPTH + float(_average(rows[:1, 0])[0])
 
     def score(self, x: np.ndarray) -> np.ndarray:
         """Anomaly score in (0, 1): 2 to the minus mean path length over the expected one."""
@@ -149,40 +185,97 @@ class Forest:
         return 2.0 ** (-total / len(self.trees) / self.norm)
 
 
-def _average(n: int) -> float:
-    return 0.0 if n < 2 else 2.0 * (np.log(n - 1) + 0.5772156649) - 2.0 * (n - 1) / n
+def _average(n: np.ndarray) -> np.ndarray:
+    """Mean length of a path that parts one of n rows from the others by random cuts."""
+    m = np.maximum(n, 2)
+    return np.where(n < 2, 0.0, 2.0 * (np.log(m - 1) + 0.5772156649) - 2.0 * (m - 1) / m)
 
 
-def fit(documents: DataFrame, labels: DataFrame) -> tuple[Forest | None, float]:
-    """The forest and the score above which a document is an anomaly: of the cuts that keep KEEP_GOOD of the good
-    rows at least, the one that parts good from poor rows best.  (None, 2.0) without labelled rows of both kinds."""
-    picked = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.min("quality").alias("quality")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE)
-    texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(picked), "doc_id").select("doc_id", "quality", "text")
+def _features(b: pa.RecordBatch) -> np.ndarray:
+    """The rows of a batch's column x."""
+    at = b.schema.get_field_index("x")
+    return b.column(at).flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, -1)
+
+
+def measured(documents: DataFrame, labels: DataFrame) -> DataFrame:
+    """doc_id, x (the features) and good of every labelled document that passes the base rule."""
+    known = labels.where("doc_id is not null and quality is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "quality").groupBy("doc_id").agg((F.min("quality") > 0).alias("good"))
+    texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("__hash", F.xxhash64("doc_id"))
+    # texts without a label needn't be measured, and texts aren't shuffled
+    texts = texts.join(bit_filter(known.select(F.xxhash64("doc_id").alias("__hash")), "__hash"), same_word("__hash")).where(has_bit("__hash"))
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in _cut(batches):
-            counts, features = statistics(b.column(2))
-            poor = _base_failed(counts)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([*map(int, b.column(1).to_pylist())], pa.int32()), pa.array(poor), pa.array(list(features), pa.list_(pa.float64()))], ["doc_id", "quality", "poor", "x"])
-
-    # of rows that repeat a doc_id the one with the smallest measures, whatever their order; SAMPLE rows at most
-    measured = texts.transform(mapped, measure, "doc_id long, quality int, poor boolean, x array<double>")
-    rows = [r["least"] for r in measured.groupBy("doc_id").agg(F.min(F.struct("doc_id", "poor", "x", "quality")).alias("least")).collect()]
-    rows = sorted((r for r in rows if not r["poor"]), key=lambda r: r["doc_id"])
-    good = np.array([r["quality"] > 0 for r in rows], bool)
-    if not good.any() or good.all():
+            counts, features = statistics(b.column(1))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(_base_failed(counts)), pa.array(list(features), pa.list_(pa.float64()))], ["doc_id", "poor", "x"])
+
+    # of rows that repeat a doc_id the one with the smallest measures, whatever their order
+    rows = texts.select("doc_id", "text").transform(mapped, measure, "doc_id long, poor boolean, x array<double>")
+    rows = rows.groupBy("doc_id").agg(F.min(F.struct("poor", "x")).alias("least"))
+    return rows.join(known, "doc_id").where("not least.poor").select("doc_id", "least.x", "good")
+
+
+def _counted(good: DataFrame, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+    """Rows of good in each leaf of the cuts."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cuts, total = Cuts(lo, hi), np.zeros((TREES, 2**DEPTH), np.int64)
+        for b in _cut(batches):
+            total += cuts.count(_features(b))
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total.ravel()[at])], ["leaf", "n"])
+
+    held = good.transform(mapped, count, "leaf long, n long").groupBy("leaf").agg(F.sum("n").alias("n")).toArrow()
+    out = np.zeros(TREES * 2**DEPTH, np.int64)
+    out[held["leaf"].to_numpy()] = held["n"].to_numpy()
+    return out.reshape(TREES, -1)
+
+
+def threshold(scores: DataFrame) -> float:
+    """Of the cuts that keep KEEP_GOOD of the good rows at least, the one that parts good from poor rows best, the highest of
+    equals.  Cuts lie halfway between neighbouring scores, and above all.
+
+    scores has score, good and poor: the numbers of rows with that score.  Sums run within ranges of scores, to which the totals
+    of those below are added.
+    """
+    ranged = scores.withColumn("part", F.floor(F.col("score") * _RANGES))
+    totals = sorted(tuple(r) for r in ranged.groupBy("part").agg(F.sum("good"), F.sum("poor")).collect())
+    below = np.cumsum([(0, 0), *((g, p) for _, g, p in totals)], 0)
+    good, poor = map(int, below[-1])
+    offsets = scores.sparkSession.createDataFrame([(part, int(g), int(p)) for (part, *_), (g, p) in zip(totals, below)], "part long, good_below long, poor_below long")
+    so_far = Window.partitionBy("part").orderBy("score").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    kept = ranged.select("part", "score", F.sum("good").over(so_far).alias("good"), F.sum("poor").over(so_far).alias("poor")).join(F.broadcast(offsets), "part")
+    kept = kept.select("score", (F.col("good") + F.col("good_below")).alias("good"), (F.col("poor") + F.col("poor_below")).alias("poor"))
+    # the difference of the shares kept, in whole numbers
+    gain = (F.col("good").cast("decimal(18,0)") * F.lit(poor) - F.col("poor").cast("decimal(18,0)") * F.lit(good)).cast("decimal(38,0)")
+    best = kept.where(F.col("good") / F.lit(good) >= KEEP_GOOD).agg(F.max(F.struct(gain.alias("gain"), "score")).alias("best")).first()["best"]["score"]
+    above = scores.where(F.col("score") > best).agg(F.min("score")).first()[0]
+    return best + 1e-6 if above is None else (best + above) / 2
+
+
+def fit(documents: DataFrame, labels: DataFrame) -> tuple[Forest | None, float]:
+    """The forest and the score above which a document is an anomaly, from all labelled rows.  (None, 2.0) without labelled
+    rows of both kinds."""
+    rows = durable(measured(documents, labels), "measured")
+    features = range(len(_FEATURES))
+    ends = rows.agg(F.count_if("good"), F.count_if(~F.col("good")), *(f(F.col("x")[i]) for f in (F.min, F.max) for i in features)).first()
+    if not ends[0] or not ends[1]:
+        release(rows)
         return None, 2.0
-    x = np.array([r["x"] for r in rows])
     # trees hold good rows; the space they part is that of all rows
-    forest = Forest(x[good], x.min(0), x.max(0))
-    score = forest.score(x)
-    # cuts halfway between neighbouring scores, and above all
-    known = np.unique(score)
-    cuts = np.append((known[1:] + known[:-1]) / 2, known[-1] + 1e-6)
-    kept_good = np.searchsorted(np.sort(score[good]), cuts, "right") / good.sum()
-    kept_poor = np.searchsorted(np.sort(score[~good]), cuts, "right") / (~good).sum()
-    gain = np.where(kept_good >= KEEP_GOOD, kept_good - kept_poor, -1.0)
-    return forest, float(cuts[len(gain) - 1 - int(np.argmax(gain[::-1]))])
+    lo, hi = (np.array(ends[2 + k * len(features) :][: len(features)]) for k in (0, 1))
+    forest = Forest(None, lo, hi, _counted(rows.where("good").select("x"), lo, hi))
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in _cut(batches):
+            yield pa.RecordBatch.from_arrays([pa.array(forest.score(_features(b))), b.column(1)], ["score", "good"])
+
+    scores = rows.select("x", "good").transform(mapped, score, "score double, good boolean")
+    scores = durable(scores.groupBy("score").agg(F.count_if("good").alias("good"), F.count_if(~F.col("good")).alias("poor")), "scores")
+    limit = threshold(scores)
+    release(rows)
+    release(scores)
+    return forest, limit
 
 
 def _cut(batches: Iterator[pa.RecordBatch], rows: int = 1000) -> Iterator[pa.RecordBatch]:

@@ -737,6 +737,37 @@ def test_forest_on_held_out_rows(spark):
     assert share[1] > 0.97 and share[0] < 0.3, share
 
 
+def test_forest_is_fitted_on_all_labelled_rows(spark):
+    """Every good row is counted in the trees, and every labelled row in the threshold, however many there are."""
+    import random
+
+    import pyarrow as pa
+
+    from framesift.llm.quality_forest import KEEP_GOOD, Forest, assess, statistics
+
+    rng = random.Random(8)
+    vocabulary = ["".join(rng.choice("abcdefghij") for _ in range(rng.randint(3, 9))) for _ in range(500)]
+    prose = lambda marks: " ".join(rng.choice(vocabulary) + ("%!" if rng.random() < marks else "") for _ in range(rng.randint(22, 40)))
+    # good rows that are rare, and poor rows like some good ones
+    good = [i % 8 > 0 for i in range(6000)]
+    texts = [prose(0.9 if i % 1500 == 7 else rng.choice([0, 0.05, 0.3]) if g else rng.choice([0.25, 0.5, 0.8])) for i, g in enumerate(good)]
+    documents = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(5)
+    labels = spark.createDataFrame([(i, int(g), 0) for i, g in enumerate(good)], "doc_id long, quality int, toxic int")
+
+    counts, x = statistics(pa.array(texts))
+    good = np.array(good)
+    assert (counts[:, 0] >= 20).all() and not counts[:, 4].any()
+    score = Forest(x[good], x.min(0), x.max(0)).score(x)
+    best = (-1.0, 0.0)
+    for s in np.unique(score):
+        kept = score <= s
+        if kept[good].mean() >= KEEP_GOOD:
+            best = max(best, (round(kept[good].mean() - kept[~good].mean(), 12), s))
+    out = {r["doc_id"]: r for r in assess(documents, labels).collect()}
+    assert np.allclose([out[i]["anomaly_score"] for i in range(len(texts))], score, atol=1e-12)
+    assert [out[i]["kept"] for i in range(len(texts))] == (score <= best[1]).tolist()
+
+
 def test_forest_reads_every_word():
     """What follows the first 200 words shows in the features and in the score."""
     import random
