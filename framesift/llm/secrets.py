@@ -5,8 +5,8 @@ that mixes character classes, infers its encoding, and measures how random it is
 and lower halves, and serial correlation, combined by Fisher's method.
 
 A run is judged against ordinary text.  The null hypothesis is that it is text; its distribution comes from the corpus
-itself: of every document, outside of such runs, a window of the text's characters is taken for each encoding, in
-bands of length by turns, and goes through the same battery.  A run's p value is the share of windows that look as random as it
+itself: for each encoding and band of length that runs have, every whole document, outside of such runs, is cut end to end into
+windows of its characters, which go through the same battery.  A run's p value is the share of windows that look as random as it
 does.  By the Benjamini-Hochberg rule, in each encoding and band on its own (short strings have less power and are not
 judged beside long ones), at most FALSE_DISCOVERY of the reported runs are text.  They are reported as kind random,
 if no base span overlaps them.
@@ -94,17 +94,32 @@ def _tail(z: Column) -> Column:
     return F.lit(1.0) / (F.lit(1.0) + F.exp(F.lit(1.5976) * z + F.lit(0.07056) * z * z * z))
 
 
-def _moments(codes: Column, half: Column) -> Column:
-    """In one pass over codes: their number, those above half, runs of those above and below, first, last, and sums of values, squares and
-    products of neighbours."""
-    names = ("last", "n", "ones", "runs", "first", "s1", "s2", "near")
+#: Any character of a run, whatever its encoding; those outside of an alphabet have the value 0, those in it their place from 1.
+_ANY = _UPPER + _LOWER + _DIGITS + "+/_=-"
 
-    def step(m: Column, x: Column) -> Column:
-        fresh, turned = m["n"] == 0, (x > half) != (m["last"] > half)
-        new = (x, m["n"] + 1, m["ones"] + F.when(x > half, 1.0).otherwise(0.0), m["runs"] + F.when(fresh | turned, 1.0).otherwise(0.0), F.when(fresh, x).otherwise(m["first"]), m["s1"] + x, m["s2"] + x * x, m["near"] + m["last"] * x)
-        return F.struct(*(v.alias(n) for v, n in zip(new, names, strict=True)))
 
-    return F.aggregate(codes, F.struct(*(F.lit(0.0).alias(n) for n in names)), step)
+def _by_encoding(encoding: Column, f) -> Column:
+    """f(alphabet) of the encoding's alphabet."""
+    return F.coalesce(*(F.when(encoding == n, f(a)) for n, (_, a) in ALPHABETS.items()))
+
+
+def _moments(core: Column, chars: Column, encoding: Column, alphabet: Column) -> Column:
+    """Of the values of core's characters (chars, one by one): sums of values, squares and products of neighbours, first and last, those in
+    the alphabet's upper half, runs of those in it and not, and the sum of the characters' squared counts."""
+
+    def counted(m: Column, c: Column) -> Column:
+        n, v = (F.length(core) - F.length(F.replace(core, c, F.lit("")))).cast("double"), F.position(c, alphabet).cast("double")
+        return _let(F.struct(n.alias("n"), v.alias("v")), lambda x: F.struct((m["squares"] + x["n"] * x["n"]).alias("squares"), (m["s1"] + x["n"] * x["v"]).alias("s1"), (m["s2"] + x["n"] * x["v"] * x["v"]).alias("s2")))
+
+    sums = F.aggregate(F.array_distinct(chars), F.struct(*(F.lit(0.0).alias(n) for n in ("squares", "s1", "s2"))), counted)
+    values = _by_encoding(encoding, lambda a: F.array(*(F.lit(float(a.find(chr(i)) + 1 if i else 0)) for i in range(128))))
+    codes = _let(values, lambda v: F.transform(chars, lambda c: F.get(v, F.ascii(c))))
+    near = lambda x: F.aggregate(x, F.struct(F.lit(0.0).alias("last"), F.lit(0.0).alias("near")), lambda m, v: F.struct(v.alias("last"), (m["near"] + m["last"] * v).alias("near")))
+    pairs = _let(codes, lambda x: F.struct(F.get(x, F.lit(0)).alias("first"), near(x).alias("m")))
+    upper = _by_encoding(encoding, lambda a: F.lit("".join("1" if a.find(c) + 1 > len(a) // 2 else "0" for c in _ANY)))
+    without = lambda bits, part: (F.length(bits) - F.length(F.replace(bits, F.lit(part), F.lit("")))).cast("double")
+    halves = _let(F.call_function("translate", core, F.lit(_ANY), upper), lambda bits: F.struct(without(bits, "1").alias("ones"), (1 + (without(bits, "01") + without(bits, "10")) / 2).alias("runs")))
+    return F.struct(sums.alias("sums"), pairs.alias("pairs"), halves.alias("halves"))
 
 
 def battery(runs: DataFrame) -> DataFrame:
@@ -114,32 +129,30 @@ def battery(runs: DataFrame) -> DataFrame:
         encoding = F.when(F.col("body").rlike(form), F.lit(name)).otherwise(encoding)
     df = runs if "encoding" in runs.columns else runs.withColumn("encoding", F.coalesce(encoding, F.lit("urlsafe")))
     core = F.when(F.col("encoding") == "hex", F.lower("body")).otherwise(F.rtrim("body", F.lit("=")))
-    alphabet = F.coalesce(*(F.when(F.col("encoding") == n, F.lit(a)) for n, (_, a) in ALPHABETS.items()))
+    alphabet = _by_encoding(F.col("encoding"), F.lit)
 
     def tests(run: Column) -> Column:
-        core, alphabet, k = run["core"], run["alphabet"], run["k"]
-        codes = F.transform(F.split(core, ""), lambda c: F.position(c, alphabet).cast("double"))
-        # the characters' counts, squared and summed
-        squares = F.aggregate(F.array_distinct(F.split(core, "")), F.lit(0.0), lambda a, c: a + F.pow((F.length(core) - F.length(F.replace(core, c, F.lit("")))).cast("double"), F.lit(2.0)))
-        return _let(F.struct(squares.alias("squares"), k.alias("k"), _moments(codes, F.floor(k / 2)).alias("m")), shares)
+        return _let(F.struct(run["k"].alias("k"), F.length(run["core"]).cast("double").alias("n"), _moments(run["core"], run["chars"], run["encoding"], run["alphabet"]).alias("m")), shares)
 
     def shares(x: Column) -> Column:
-        m, k = x["m"], x["k"]
-        n = F.greatest(m["n"], F.lit(2.0))
+        m, k, n = x["m"], x["k"], F.greatest(x["n"], F.lit(2.0))
+        squares, s1, s2 = (m["sums"][c] for c in ("squares", "s1", "s2"))
+        first, last, near = m["pairs"]["first"], m["pairs"]["m"]["last"], m["pairs"]["m"]["near"]
+        ones, runs = m["halves"]["ones"], m["halves"]["runs"]
         # chi-squared, by its exact mean and variance
-        uniform = _tail((k / n * x["squares"] - n - k + 1) / F.sqrt(2 * (k - 1) * (1 - 1 / n)))
+        uniform = _tail((k / n * squares - n - k + 1) / F.sqrt(2 * (k - 1) * (1 - 1 / n)))
         # runs of the two halves of the alphabet
-        mean = 2 * m["ones"] * (n - m["ones"]) / n + 1
+        mean = 2 * ones * (n - ones) / n + 1
         spread = F.sqrt(F.greatest(F.lit(1e-9), (mean - 1) * (mean - 2) / (n - 1)))
-        turns = F.least(F.lit(1.0), 2 * _tail(F.abs(m["runs"] - mean) / spread))
+        turns = F.least(F.lit(1.0), 2 * _tail(F.abs(runs - mean) / spread))
         # lag-one correlation of the characters' values
-        mu = m["s1"] / n
-        near = m["near"] - mu * (2 * m["s1"] - m["first"] - m["last"]) + (n - 1) * mu * mu
-        r = F.coalesce(F.try_divide(near, F.greatest(F.lit(0.0), m["s2"] - n * mu * mu)), F.lit(1.0))
+        mu = s1 / n
+        near = near - mu * (2 * s1 - first - last) + (n - 1) * mu * mu
+        r = F.coalesce(F.try_divide(near, F.greatest(F.lit(0.0), s2 - n * mu * mu)), F.lit(1.0))
         serial = F.least(F.lit(1.0), 2 * _tail(F.abs(r + 1 / n) * F.sqrt(n)))
         return F.struct(uniform.alias("p_uniform"), turns.alias("p_runs"), serial.alias("p_serial"))
 
-    whole = _let(F.struct(core.alias("core"), alphabet.alias("alphabet"), F.length(alphabet).cast("double").alias("k")), tests)
+    whole = _let(F.struct(core.alias("core"), F.split(core, "").alias("chars"), F.col("encoding").alias("encoding"), alphabet.alias("alphabet"), F.length(alphabet).cast("double").alias("k")), tests)
     # Fisher's method for three tests
     fisher = lambda p: F.struct(*(p[c].alias(c) for c in ("p_uniform", "p_runs", "p_serial")), _let(-2 * (F.log(p["p_uniform"]) + F.log(p["p_runs"]) + F.log(p["p_serial"])), lambda x: F.exp(-x / 2) * (1 + x / 2 + x * x / 8)).alias("p_random"))
     return df.withColumn("__p", _let(whole, fisher)).select(*df.columns, "__p.*")
@@ -153,32 +166,38 @@ def binned(runs: DataFrame) -> DataFrame:
     return runs.withColumn("band", band).withColumn("bin", F.least(F.lit(BINS), F.floor(-F.log10(F.greatest("p_random", F.lit(1e-300))) * STEPS)).cast("int"))
 
 
-#: Characters of a text, from a place that a hash gives, in which its windows lie.
-_PIECE = 2048
+#: Every encoding and band.
+CELLS = [(name, band) for name in ALPHABETS for band in range(len(BANDS))]
 
 
-def text_windows(texts: DataFrame) -> DataFrame:
-    """texts (doc_id, text): encoding and body of a window of each text's own characters for each encoding, in one of the bands.
+def text_windows(texts: DataFrame, cells: list[tuple[str, int]] = CELLS) -> DataFrame:
+    """texts (doc_id, text): encoding and body of windows of each text's own characters, for each (encoding, band) of cells.
 
-    Its band, length and place follow from a hash of the row; a text without so many characters of the alphabet has none.
+    A whole text's characters of the alphabet are cut end to end; the last window ends with the text and reaches back into the
+    one before, so that each character lies in one.  The length, within the band, follows from a hash of the row; a text
+    with fewer characters is one window, and one with too few for the band has none.
     Words are joined as in names, with a capital each where the alphabet has both cases, and two digits in the middle: the
     runs to be judged mix classes too.
     """
     row = F.xxhash64("doc_id", F.octet_length("text"))
-    at = (F.pmod(F.xxhash64("doc_id", "text"), F.greatest(F.lit(1), F.length("text") - _PIECE + 1)) + 1).cast("int")
-    plain = texts.select(row.alias("row"), F.substring("text", at, F.lit(_PIECE)).alias("text")).select("row", F.regexp_replace("text", CANDIDATE, "").alias("text"))
-    plain = plain.select("row", F.lower("text").alias("low"), F.upper("text").alias("up"), F.initcap("text").alias("both"))
-    folded = {"hex": "low", "base32": "up", "lower": "low"}
-    held = [F.regexp_replace(folded.get(name, "both"), f"[^{''.join('\\-' if c == '-' else c for c in alphabet)}]+", "") for name, (_, alphabet) in ALPHABETS.items()]
-    each = plain.select("row", F.posexplode_outer(F.array(*held)).alias("which", "core"))
+    plain = texts.select(row.alias("row"), F.regexp_replace("text", CANDIDATE, "").alias("text"))
+    folded = {"hex": F.lower("text"), "base32": F.upper("text"), "lower": F.lower("text")}
+    held = []
+    for name, (_, alphabet) in ALPHABETS.items():
+        if bands := [b for e, b in cells if e == name]:
+            core = F.regexp_replace(folded.get(name, F.initcap("text")), f"[^{''.join('\\-' if c == '-' else c for c in alphabet)}]+", "")
+            held.append(F.struct(F.lit(name).alias("encoding"), core.alias("core"), F.array(*map(F.lit, bands)).alias("bands")))
+    each = plain.select("row", F.inline(F.array(*held))).select("row", "encoding", "core", F.explode("bands").alias("band"))
     least, room = (F.array(*(F.lit(x) for x in v)) for v in (BANDS, [b - a for a, b in zip(BANDS, [*BANDS[1:], 2 * BANDS[-1]], strict=True)]))
-    draw = lambda salt, n: F.pmod(F.xxhash64("row", "which", F.lit(salt)), n).cast("int")
-    each = each.withColumn("band", draw(0, F.lit(len(BANDS)))).withColumn("size", F.get(least, "band") + draw(1, F.get(room, "band")))
-    sized = each.withColumn("spare", F.length("core") - F.col("size")).where("spare >= 0")
-    start, half = F.lit(1) + draw(2, F.col("spare") + 1), F.floor(F.col("size") / 2).cast("int")
-    digits = F.lpad((F.lit(2) + draw(3, F.lit(6))).cast("string"), 2, "7")
-    body = F.concat(F.substring("core", start, half), digits, F.substring("core", start + half, F.col("size") - half - 2))
-    return sized.select(F.get(F.array(*(F.lit(n) for n in ALPHABETS)), "which").alias("encoding"), body.alias("body"))
+    draw = lambda n, *salt: F.pmod(F.xxhash64("row", "encoding", "band", *salt), n).cast("int")
+    # without the two digits
+    each = each.withColumn("whole", F.length("core")).where(F.col("whole") >= F.get(least, "band") - 2)
+    each = each.withColumn("size", F.least(F.get(least, "band") + draw(F.get(room, "band")) - 2, F.col("whole")))
+    cut = F.regexp_extract_all("core", F.concat(F.lit(".{"), F.col("size").cast("string"), F.lit("}")), F.lit(0))
+    last = F.when(F.col("whole") % F.col("size") > 0, F.array(F.substring("core", F.col("whole") - F.col("size") + 1, F.col("size")))).otherwise(F.array().cast("array<string>"))
+    windows = each.select("row", "encoding", "band", "size", F.posexplode(F.concat(cut, last)).alias("at", "window"))
+    half, digits = F.floor((F.col("size") + 2) / 2).cast("int"), F.lpad((F.lit(2) + draw(F.lit(6), F.col("at"))).cast("string"), 2, "7")
+    return windows.select("encoding", F.concat(F.substring("window", F.lit(1), half), digits, F.substring("window", half + 1, F.col("size"))).alias("body"))
 
 
 def accepted_bins(runs: DataFrame, null: DataFrame, rate: float = FALSE_DISCOVERY) -> dict[tuple[str, int], int]:
@@ -220,7 +239,9 @@ def scan(documents: DataFrame) -> DataFrame:
     mixed = F.col("body").rlike("[0-9]") & F.col("body").rlike("[A-Za-z]") & (F.col("body").rlike("^(?:[0-9a-f]+|[0-9A-F]+|[A-Z2-7]+=*|[a-z0-9]+)$") | (F.col("body").rlike("[a-z]") & F.col("body").rlike("[A-Z]")))
     tested = battery(found.select("row", F.explode("runs").alias("s")).select("row", "s.start", "s.end", "s.body"))
     tested = durable(binned(tested.where(mixed)).select("row", "start", "end", "encoding", "band", "bin"), "tested")
-    limits = accepted_bins(tested, binned(battery(text_windows(texts))))
+    # other windows have no run to judge
+    cells = [tuple(r) for r in tested.select("encoding", "band").distinct().collect()]
+    limits = accepted_bins(tested, binned(battery(text_windows(texts, cells)))) if cells else {}
     limit = F.create_map(*(F.lit(x) for (e, b), last in limits.items() for x in (f"{e} {b}", last)))[F.concat_ws(" ", "encoding", "band")] if limits else F.lit(-1)
     random = tested.where((F.col("bin") <= limit)).select("row", "start", "end")
     random = _apart(random, found).groupBy("row").agg(F.collect_list(F.struct("start", F.lit(3).alias("rank"), "end")).alias("random"))

@@ -100,6 +100,39 @@ def test_reported_runs_are_keys_and_not_text(spark):
     assert len(reported - right) <= expected + 3 * expected**0.5, [(i, names.get(i)) for i, *_ in reported - right]
 
 
+def test_windows_cover_whole_texts(spark):
+    """For each encoding and band, every character of a text lies in a window."""
+    import random
+
+    from framesift.llm.secrets import ALPHABETS as encodings
+    from framesift.llm.secrets import BANDS, text_windows
+
+    rng = random.Random(5)
+    text = " ".join("".join(rng.choice("abcdef") for _ in range(rng.randint(2, 9))) for _ in range(4000)) + "."
+    texts = [(1, text), (2, "bead feed cafe dead beef"), (3, "bad cafe"), (4, "")]
+    kept = {}
+    for doc, t in texts:
+        words = t.rstrip(".").split()
+        name = "".join(w.capitalize() for w in words)
+        kept[doc] = {e: "".join(words) if e in ("hex", "lower") else "".join(words).upper() if e == "base32" else name for e in encodings}
+    for doc, t in texts:
+        at = {(e, b): [] for e in encodings for b in range(len(BANDS))}
+        for r in text_windows(spark.createDataFrame([(doc, t)], "doc_id long, text string")).collect():
+            half = len(r["body"]) // 2
+            assert r["body"][half : half + 2].isdigit()
+            band = max(k for k, least in enumerate(BANDS) if len(r["body"]) >= least)
+            part = r["body"][:half] + r["body"][half + 2 :]
+            start = kept[doc][r["encoding"]].index(part)
+            at[r["encoding"], band].append((start, start + len(part)))
+        for (e, b), spans in at.items():
+            whole = len(kept[doc][e])
+            reach = 0
+            for start, end in sorted(spans):
+                assert start <= reach
+                reach = end
+            assert reach == (whole if whole + 2 >= BANDS[b] else 0), (doc, e, b)
+
+
 def test_spans_of_many_matches(spark):
     """Offsets take time in proportion to a text's matches, and those of later blocks are right too."""
     import time
