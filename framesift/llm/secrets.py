@@ -6,7 +6,7 @@ and lower halves, and serial correlation, combined by Fisher's method.
 
 A run is judged against ordinary text.  The null hypothesis is that it is text; its distribution comes from the corpus
 itself: for each encoding and band of length that runs have, every whole document, outside of such runs, is cut end to end into
-windows of its characters, which go through the same battery.  A run's p value is the share of windows that look as random as it
+windows of its characters, which go through the same battery, as far as it takes to place them.  A run's p value is the share of windows that look as random as it
 does.  By the Benjamini-Hochberg rule, in each encoding and band on its own (short strings have less power and are not
 judged beside long ones), at most FALSE_DISCOVERY of the reported runs are text.  They are reported as kind random,
 if no base span overlaps them.
@@ -18,6 +18,8 @@ their names; an empty table gives an empty one.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -29,12 +31,15 @@ KINDS = ("assign", "access", "hex", "random")
 ASSIGN = r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ACCESS, HEX = "AKIA[A-Z0-9]{16,}", "[0-9a-f]{24,}"
 ASSIGN_LENGTH, RUN = 6, 20
-CANDIDATE = "[A-Za-z0-9+/_=-]{20,}"
+_ANY_OF = "[A-Za-z0-9+/_=-]"
+CANDIDATE = _ANY_OF + "{20,}"
 FALSE_DISCOVERY, STEPS = 0.05, 10
 #: Bands of length are from each of these to the next; the last has no end, and its windows are as long as twice its start at most.
 BANDS = (20, 28, 40, 64, 128)
 #: p values below 10 to the minus BINS / STEPS share a bin.
 BINS = 400
+#: One text in so many shows where a histogram may end; all are then counted.
+_SHOWN = 64
 
 _UPPER, _LOWER, _DIGITS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz", "0123456789"
 # Alphabets of the encodings, in the order of their values.
@@ -88,9 +93,12 @@ def _spans(text: Column, pattern: str, rank: int, keep=None) -> Column:
     return F.filter(spans, keep) if keep else spans
 
 
+def _clipped(z: Column) -> Column:
+    return F.greatest(F.lit(-6.0), F.least(F.lit(6.0), z))
+
+
 def _tail(z: Column) -> Column:
-    """Upper tail of the normal distribution (logistic approximation)."""
-    z = F.greatest(F.lit(-6.0), F.least(F.lit(6.0), z))
+    """Upper tail of the normal distribution (logistic approximation) at a clipped z."""
     return F.lit(1.0) / (F.lit(1.0) + F.exp(F.lit(1.5976) * z + F.lit(0.07056) * z * z * z))
 
 
@@ -103,67 +111,120 @@ def _by_encoding(encoding: Column, f) -> Column:
     return F.coalesce(*(F.when(encoding == n, f(a)) for n, (_, a) in ALPHABETS.items()))
 
 
-def _moments(core: Column, chars: Column, encoding: Column, alphabet: Column) -> Column:
-    """Of the values of core's characters (chars, one by one): sums of values, squares and products of neighbours, first and last, those in
-    the alphabet's upper half, runs of those in it and not, and the sum of the characters' squared counts."""
+def _size_of(encoding: Column) -> Column:
+    return _by_encoding(encoding, lambda a: F.lit(float(len(a))))
 
-    def counted(m: Column, c: Column) -> Column:
-        n, v = (F.length(core) - F.length(F.replace(core, c, F.lit("")))).cast("double"), F.position(c, alphabet).cast("double")
-        return _let(F.struct(n.alias("n"), v.alias("v")), lambda x: F.struct((m["squares"] + x["n"] * x["n"]).alias("squares"), (m["s1"] + x["n"] * x["v"]).alias("s1"), (m["s2"] + x["n"] * x["v"] * x["v"]).alias("s2")))
 
-    sums = F.aggregate(F.array_distinct(chars), F.struct(*(F.lit(0.0).alias(n) for n in ("squares", "s1", "s2"))), counted)
-    values = _by_encoding(encoding, lambda a: F.array(*(F.lit(float(a.find(chr(i)) + 1 if i else 0)) for i in range(128))))
-    codes = _let(values, lambda v: F.transform(chars, lambda c: F.get(v, F.ascii(c))))
-    near = lambda x: F.aggregate(x, F.struct(F.lit(0.0).alias("last"), F.lit(0.0).alias("near")), lambda m, v: F.struct(v.alias("last"), (m["near"] + m["last"] * v).alias("near")))
-    pairs = _let(codes, lambda x: F.struct(F.get(x, F.lit(0)).alias("first"), near(x).alias("m")))
+def _halves_of(core: Column, encoding: Column) -> Column:
+    """1 for each character in the alphabet's upper half, 0 for others."""
     upper = _by_encoding(encoding, lambda a: F.lit("".join("1" if a.find(c) + 1 > len(a) // 2 else "0" for c in _ANY)))
-    without = lambda bits, part: (F.length(bits) - F.length(F.replace(bits, F.lit(part), F.lit("")))).cast("double")
-    halves = _let(F.call_function("translate", core, F.lit(_ANY), upper), lambda bits: F.struct(without(bits, "1").alias("ones"), (1 + (without(bits, "01") + without(bits, "10")) / 2).alias("runs")))
-    return F.struct(sums.alias("sums"), pairs.alias("pairs"), halves.alias("halves"))
+    return F.call_function("translate", core, F.lit(_ANY), upper)
+
+
+def _squares(core: Column) -> Column:
+    """The sum of the characters' squared counts."""
+    size = F.octet_length(core)
+    counts = F.transform(F.array_distinct(F.split(core, "")), lambda c: (size - F.octet_length(F.replace(core, c, F.lit("")))).cast("long"))
+    return F.aggregate(counts, F.lit(0).cast("long"), lambda acc, n: acc + n * n).cast("double")
+
+
+def _codes(core: Column, encoding: Column) -> Column:
+    """The values of core's characters."""
+    values = _by_encoding(encoding, lambda a: F.array(*(F.lit(a.find(chr(i)) + 1 if i else 0).cast("long") for i in range(128))))
+    return _let(values, lambda v: F.transform(F.split(core, ""), lambda c: F.get(v, F.ascii(c))))
+
 
+def _sums(codes: Column) -> dict[str, Column]:
+    """Sums of products of neighbours, of values and of their squares; folds over single numbers, which cost much less than those over structs."""
+    zero, low = F.lit(0).cast("long"), F.lit(127).cast("long")
+    near = F.aggregate(codes, zero, lambda m, v: F.shiftleft(F.shiftright(m, 7) + m.bitwiseAND(low) * v, 7) + v)  # the last value in the low bits
+    s1, s2 = F.aggregate(codes, zero, lambda m, v: m + v), F.aggregate(codes, zero, lambda m, v: m + v * v)
+    return {"__near": F.shiftright(near, 7).cast("double"), "__s1": s1.cast("double"), "__s2": s2.cast("double")}
 
-def battery(runs: DataFrame) -> DataFrame:
-    """runs (with a column body) with encoding (inferred if they have none), p_uniform, p_runs, p_serial and p_random."""
+
+def _uniform(k: Column, n: Column, squares: Column) -> Column:
+    """z of chi-squared, by its exact mean and variance; squares is the sum of the characters' squared counts."""
+    return _clipped((k / n * squares - n - k + 1) / F.sqrt(2 * (k - 1) * (1 - 1 / n)))
+
+
+#: Characters that are counted first, the commonest of Latin text.  Others would prove the same of fewer windows.
+_COMMON = "eainrtsoludc"
+
+
+def battery(runs: DataFrame, enough: Column | None = None) -> DataFrame:
+    """runs (with a column body) with encoding (inferred if they have none), p_uniform, p_runs, p_serial and p_random.
+
+    Each test adds to Fisher's sum.  Where the first ones reach enough, the others are left out and p_random is null, as are p
+    values that weren't computed: p_uniform falls as the sum of squared counts grows, which is at least that of some
+    characters' counts and of one for each character besides; a p value is 1 at most.
+    """
     encoding = F.lit(None).cast("string")
     for name, (form, _) in reversed(ALPHABETS.items()):
         encoding = F.when(F.col("body").rlike(form), F.lit(name)).otherwise(encoding)
     df = runs if "encoding" in runs.columns else runs.withColumn("encoding", F.coalesce(encoding, F.lit("urlsafe")))
     core = F.when(F.col("encoding") == "hex", F.lower("body")).otherwise(F.rtrim("body", F.lit("=")))
-    alphabet = _by_encoding(F.col("encoding"), F.lit)
-
-    def tests(run: Column) -> Column:
-        return _let(F.struct(run["k"].alias("k"), F.length(run["core"]).cast("double").alias("n"), _moments(run["core"], run["chars"], run["encoding"], run["alphabet"]).alias("m")), shares)
-
-    def shares(x: Column) -> Column:
-        m, k, n = x["m"], x["k"], F.greatest(x["n"], F.lit(2.0))
-        squares, s1, s2 = (m["sums"][c] for c in ("squares", "s1", "s2"))
-        first, last, near = m["pairs"]["first"], m["pairs"]["m"]["last"], m["pairs"]["m"]["near"]
-        ones, runs = m["halves"]["ones"], m["halves"]["runs"]
-        # chi-squared, by its exact mean and variance
-        uniform = _tail((k / n * squares - n - k + 1) / F.sqrt(2 * (k - 1) * (1 - 1 / n)))
-        # runs of the two halves of the alphabet
-        mean = 2 * ones * (n - ones) / n + 1
-        spread = F.sqrt(F.greatest(F.lit(1e-9), (mean - 1) * (mean - 2) / (n - 1)))
-        turns = F.least(F.lit(1.0), 2 * _tail(F.abs(runs - mean) / spread))
-        # lag-one correlation of the characters' values
-        mu = s1 / n
-        near = near - mu * (2 * s1 - first - last) + (n - 1) * mu * mu
-        r = F.coalesce(F.try_divide(near, F.greatest(F.lit(0.0), s2 - n * mu * mu)), F.lit(1.0))
-        serial = F.least(F.lit(1.0), 2 * _tail(F.abs(r + 1 / n) * F.sqrt(n)))
-        return F.struct(uniform.alias("p_uniform"), turns.alias("p_runs"), serial.alias("p_serial"))
-
-    whole = _let(F.struct(core.alias("core"), F.split(core, "").alias("chars"), F.col("encoding").alias("encoding"), alphabet.alias("alphabet"), F.length(alphabet).cast("double").alias("k")), tests)
+    given, core, k, n, bits = df.columns, core.alias("__core"), F.col("__k"), F.greatest("__n", F.lit(2.0)), F.col("__bits")
+    # each step is a column of its own: what is named more than once would else be computed as often
+    df = df.select("*", core, _size_of(F.col("encoding")).alias("__k"), (F.lit(math.inf) if enough is None else enough).alias("__enough"))
+    df, core = df.withColumn("__n", F.length("__core").cast("double")), F.col("__core")
+    z, mean, ones, near, s1, s2 = (F.col(c) for c in ("__z", "__mean", "__ones", "__near", "__s1", "__s2"))
+    still = lambda reached: F.when(reached < F.col("__enough"), core)
+    without = lambda text, part: (F.octet_length(text) - F.octet_length(F.replace(text, part, F.lit("")))).cast("double")
+    if enough is not None:
+        cased = lambda c: F.when(F.col("encoding") == "base32", F.lit(c.upper())).otherwise(F.lit(c))
+        df = df.select("*", *(without(core, cased(c)).alias(f"__{i}") for i, c in enumerate(_COMMON)))
+        squares = sum((F.col(f"__{i}") * (F.col(f"__{i}") - 1) for i in range(len(_COMMON))), F.col("__n"))
+        df = df.withColumn("__z", _uniform(k, n, squares)).withColumn("__least", -2 * F.log(_tail(z))).withColumn("__core", still(F.col("__least")))
+    # runs of the two halves of the alphabet
+    df = df.withColumn("__bits", _halves_of(core, F.col("encoding")))
+    df = df.withColumns({"__ones": without(bits, F.lit("1")), "__runs": 1 + (without(bits, F.lit("01")) + without(bits, F.lit("10"))) / 2})
+    df = df.withColumn("__mean", 2 * ones * (n - ones) / n + 1)
+    df = df.withColumn("__z", _clipped(F.abs(F.col("__runs") - mean) / F.sqrt(F.greatest(F.lit(1e-9), (mean - 1) * (mean - 2) / (n - 1)))))
+    df = df.withColumn("p_runs", F.when(core.isNotNull(), F.least(F.lit(1.0), 2 * _tail(z))))
+    if enough is not None:
+        df = df.withColumn("__core", still(F.col("__least") - 2 * F.log("p_runs")))
+    # chi-squared
+    df = df.withColumn("__squares", _squares(core)).withColumn("__z", _uniform(k, n, F.col("__squares")))
+    df = df.withColumn("p_uniform", F.when(core.isNotNull(), _tail(z)))
+    if enough is not None:
+        df = df.withColumn("__core", still(-2 * (F.log("p_uniform") + F.log("p_runs"))))
+    # lag-one correlation of the characters' values
+    df = df.withColumn("__codes", _codes(core, F.col("encoding"))).withColumns({**_sums(F.col("__codes")), "__ends": F.get("__codes", F.lit(0)) + F.element_at("__codes", -1)})
+    df, mu = df.withColumn("__mean", s1 / n), mean
+    df = df.withColumns({"__near": near - mu * (2 * s1 - F.col("__ends")) + (n - 1) * mu * mu, "__spread": F.greatest(F.lit(0.0), s2 - n * mu * mu)})
+    df = df.withColumn("__r", F.coalesce(F.try_divide("__near", "__spread"), F.lit(1.0))).withColumn("__z", _clipped(F.abs(F.col("__r") + 1 / n) * F.sqrt(n)))
+    df = df.withColumn("p_serial", F.when(core.isNotNull(), F.least(F.lit(1.0), 2 * _tail(z))))
     # Fisher's method for three tests
-    fisher = lambda p: F.struct(*(p[c].alias(c) for c in ("p_uniform", "p_runs", "p_serial")), _let(-2 * (F.log(p["p_uniform"]) + F.log(p["p_runs"]) + F.log(p["p_serial"])), lambda x: F.exp(-x / 2) * (1 + x / 2 + x * x / 8)).alias("p_random"))
-    return df.withColumn("__p", _let(whole, fisher)).select(*df.columns, "__p.*")
+    df, x = df.withColumn("__x", -2 * (F.log("p_uniform") + F.log("p_runs") + F.log("p_serial"))), F.col("__x")
+    return df.select(*given, "p_uniform", "p_runs", "p_serial", (F.exp(-x / 2) * (1 + x / 2 + x * x / 8)).alias("p_random"))
 
 
-def binned(runs: DataFrame) -> DataFrame:
-    """tested runs with band (of the length of body) and bin: the less random a run looks, the higher."""
+def _band() -> Column:
     band = F.lit(0)
     for k, least in enumerate(BANDS[1:]):
         band = F.when(F.length("body") >= least, k + 1).otherwise(band)
-    return runs.withColumn("band", band).withColumn("bin", F.least(F.lit(BINS), F.floor(-F.log10(F.greatest("p_random", F.lit(1e-300))) * STEPS)).cast("int"))
+    return band
+
+
+def binned(runs: DataFrame) -> DataFrame:
+    """tested runs with band (of the length of body) and bin: the less random a run looks, the higher; BINS where p_random is null."""
+    return runs.withColumn("band", _band()).withColumn("bin", F.least(F.lit(BINS), F.floor(-F.log10(F.greatest(F.coalesce("p_random", F.lit(0.0)), F.lit(1e-300))) * STEPS)).cast("int"))
+
+
+def _least_sum(last: int) -> float:
+    """From this on, Fisher's sum of -2 log p gives a bin above last, whatever the rounding."""
+    lo, hi = 0.0, 2000.0
+    for _ in range(100):
+        x = (lo + hi) / 2
+        lo, hi = (x, hi) if (x / 2 - math.log(1 + x / 2 + x * x / 8)) / math.log(10) * STEPS < last + 1 else (lo, x)
+    return hi + 1e-6
+
+
+def binned_within(windows: DataFrame, last: dict[tuple[str, int], int]) -> DataFrame:
+    """windows (encoding, body) with band and bin: that of binned(battery(windows)) where it is last[encoding, band] at most, else
+    that or BINS."""
+    enough = F.coalesce(*(F.when((F.col("encoding") == e) & (_band() == b), F.lit(_least_sum(x))) for (e, b), x in last.items()))
+    return binned(battery(windows, enough))
 
 
 #: Every encoding and band.
@@ -180,7 +241,7 @@ def text_windows(texts: DataFrame, cells: list[tuple[str, int]] = CELLS) -> Data
     runs to be judged mix classes too.
     """
     row = F.xxhash64("doc_id", F.octet_length("text"))
-    plain = texts.select(row.alias("row"), F.regexp_replace("text", CANDIDATE, "").alias("text"))
+    plain = texts.select(row.alias("row"), F.regexp_replace("text", f"(?<!{_ANY_OF}){CANDIDATE}", "").alias("text"))
     folded = {"hex": F.lower("text"), "base32": F.upper("text"), "lower": F.lower("text")}
     held = []
     for name, (_, alphabet) in ALPHABETS.items():
@@ -200,30 +261,51 @@ def text_windows(texts: DataFrame, cells: list[tuple[str, int]] = CELLS) -> Data
     return windows.select("encoding", F.concat(F.substring("window", F.lit(1), half), digits, F.substring("window", half + 1, F.col("size"))).alias("body"))
 
 
-def accepted_bins(runs: DataFrame, null: DataFrame, rate: float = FALSE_DISCOVERY) -> dict[tuple[str, int], int]:
-    """For each (encoding, band), the last bin that the Benjamini-Hochberg rule accepts as not text (-1: none).
-
-    runs and null have encoding, band and bin; only two histograms of 30 cells and BINS + 1 bins at most leave the executors.
-    """
+def _histogram(rows: DataFrame) -> dict[tuple[str, int], dict[int, int]]:
+    """Rows by bin for each (encoding, band): 30 cells and BINS + 1 bins at most leave the executors."""
+    out: dict = {}
+    for r in rows.groupBy("encoding", "band", "bin").count().collect():
+        out.setdefault((r["encoding"], r["band"]), {})[r["bin"]] = r["count"]
+    return out
 
-    def histogram(rows: DataFrame) -> dict[tuple[str, int], dict[int, int]]:
-        out: dict = {}
-        for r in rows.groupBy("encoding", "band", "bin").count().collect():
-            out.setdefault((r["encoding"], r["band"]), {})[r["bin"]] = r["count"]
-        return out
 
-    text, out = histogram(null), {}
-    for cell, counts in histogram(runs).items():
+def accepted_bins(runs: dict, text: dict, rate: float = FALSE_DISCOVERY) -> dict[tuple[str, int], int]:
+    """For each (encoding, band), the last bin of its runs that the Benjamini-Hochberg rule accepts as not text (-1: none), of
+    histograms of the runs and the windows."""
+    out = {}
+    for cell, counts in runs.items():
         own = text.get(cell, {})
-        total, windows, found, passed = sum(counts.values()), sum(own.values()), 0, 0
+        total, windows = sum(counts.values()), sum(own.values())
         out[cell] = -1
-        for b in sorted({*counts, *own}):
-            found, passed = found + counts.get(b, 0), passed + own.get(b, 0)
+        for b in counts:
+            found, passed = (sum(n for x, n in h.items() if x <= b) for h in (counts, own))
             if (passed + 1) / (windows + 1) <= rate * found / total:
-                out[cell] = b
+                out[cell] = max(out[cell], b)
     return out
 
 
+def text_bins(texts: DataFrame, runs: dict, rate: float = FALSE_DISCOVERY) -> dict[tuple[str, int], dict[int, int]]:
+    """The histogram of all windows of texts for each cell of runs, exact up to the last bin that accepted_bins can accept.
+
+    No run has a bin above its cell's largest, and none is accepted where more than rate of the windows have passed.  Where that
+    is follows from the windows themselves: some of the texts only show where to look, and a cell in which too few windows
+    passed up to there is done again in full.
+    """
+    shown = _histogram(binned(battery(text_windows(texts.where(F.pmod(F.xxhash64("doc_id", F.octet_length("text")), F.lit(_SHOWN)) == 0), list(runs)))))
+    last = {}
+    for cell, counts in runs.items():
+        own, passed, last[cell] = shown.get(cell, {}), 0, max(counts)
+        for b in sorted(own):
+            passed += own[b]
+            if passed >= 1.5 * rate * sum(own.values()):
+                last[cell] = min(last[cell], b)
+                break
+    text = _histogram(binned_within(text_windows(texts, list(runs)), last))
+    passed = lambda cell: sum(n for b, n in text.get(cell, {}).items() if b <= last[cell])
+    again = [c for c, counts in runs.items() if last[c] < max(counts) and passed(c) + 1 <= rate * (sum(text.get(c, {}).values()) + 1)]
+    return {**text, **_histogram(binned(battery(text_windows(texts, again))))} if again else text
+
+
 def scan(documents: DataFrame) -> DataFrame:
     """doc_id, n_assign, n_access, n_hex, base_sha256, n_random, spans of each row of documents."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
@@ -240,8 +322,8 @@ def scan(documents: DataFrame) -> DataFrame:
     tested = battery(found.select("row", F.explode("runs").alias("s")).select("row", "s.start", "s.end", "s.body"))
     tested = durable(binned(tested.where(mixed)).select("row", "start", "end", "encoding", "band", "bin"), "tested")
     # other windows have no run to judge
-    cells = [tuple(r) for r in tested.select("encoding", "band").distinct().collect()]
-    limits = accepted_bins(tested, binned(battery(text_windows(texts, cells)))) if cells else {}
+    judged = _histogram(tested)
+    limits = accepted_bins(judged, text_bins(texts, judged)) if judged else {}
     limit = F.create_map(*(F.lit(x) for (e, b), last in limits.items() for x in (f"{e} {b}", last)))[F.concat_ws(" ", "encoding", "band")] if limits else F.lit(-1)
     random = tested.where((F.col("bin") <= limit)).select("row", "start", "end")
     random = _apart(random, found).groupBy("row").agg(F.collect_list(F.struct("start", F.lit(3).alias("rank"), "end")).alias("random"))

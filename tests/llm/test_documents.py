@@ -133,6 +133,46 @@ def test_windows_cover_whole_texts(spark):
             assert reach == (whole if whole + 2 >= BANDS[b] else 0), (doc, e, b)
 
 
+def test_window_bins_are_whole_up_to_what_can_be_accepted(spark):
+    """Tests that can't change what is accepted are left out, yet every window counts, and runs are accepted as by the whole battery."""
+    import random
+
+    from pyspark.sql import functions as F
+
+    from framesift.llm.secrets import _SHOWN, BINS, accepted_bins, battery, binned, binned_within, text_bins, text_windows
+
+    rng = random.Random(9)
+    words = ["".join(rng.choice("eeeaaadcbfnrst") for _ in range(rng.randint(2, 8))) for _ in range(300)]
+    ids = spark.range(4000).select("id", F.pmod(F.xxhash64("id", F.lit(2000)), F.lit(_SHOWN)).alias("part")).collect()
+    shown, others = [r["id"] for r in ids if not r["part"]], [r["id"] for r in ids if r["part"]]
+    plain = lambda: " ".join(rng.choice(words) for _ in range(600))[:2000].ljust(2000, "e")
+    noise = lambda: "".join(rng.choice("0123456789abcdef") + " " * (i % 7 == 6) for i in range(2000))[:2000]
+    runs = {("hex", 2): {1: 5, 20: 3, 60: 4, 140: 9}, ("alnum", 0): {0: 7, 4: 5, 30: 6}, ("base32", 4): {2: 1}}
+
+    def histogram(df):
+        out = {}
+        for r in df.groupBy("encoding", "band", "bin").count().collect():
+            out.setdefault((r["encoding"], r["band"]), {})[r["bin"]] = r["count"]
+        return out
+
+    # texts like those that show where to look, and texts unlike them, where it turns out that more must be counted
+    for first in (plain, noise):
+        texts = spark.createDataFrame([(i, first()) for i in shown[:6]] + [(i, plain()) for i in others[:120]], "doc_id long, text string").repartition(2).cache()
+        assert texts.where(F.pmod(F.xxhash64("doc_id", F.octet_length("text")), F.lit(_SHOWN)) == 0).count() == 6
+        windows = text_windows(texts, list(runs))
+        whole, got = histogram(binned(battery(windows))), text_bins(texts, runs)
+        for cell in runs:
+            assert sum(got[cell].values()) == sum(whole[cell].values())
+        assert accepted_bins(runs, got) == accepted_bins(runs, whole)
+        for last in (0, 10, 60, 85, 130):
+            part = histogram(binned_within(windows, {c: last for c in runs}))
+            for cell, counts in whole.items():
+                assert {b: n for b, n in part[cell].items() if b <= last} == {b: n for b, n in counts.items() if b <= last}
+                assert sum(part[cell].values()) == sum(counts.values())
+        if first is plain:
+            assert got["hex", 2].get(BINS, 0) > 0.5 * sum(whole["hex", 2].values())
+
+
 def test_spans_of_many_matches(spark):
     """Offsets take time in proportion to a text's matches, and those of later blocks are right too."""
     import time
