@@ -28,6 +28,8 @@ WINDOW, END = 2048, 1
 MARK = "\x01"
 #: Words whose ids a worker remembers, some 160 MB at most; it keeps them for later tasks.
 REMEMBERED = 1_000_000
+#: Words of a line that is encoded at once; the tokenizer takes longer a word for longer lines.
+LINE = 200
 _loaded: dict[str, WordIds] = {}
 
 
@@ -51,10 +53,10 @@ class WordIds:
         self.flat[0], self.size[1] = END, 1
 
     def _learn(self, words: list[str]) -> None:
-        """The words stand in a few long lines with a mark between, whose id parts the ids."""
+        """The words stand in lines of LINE words with a mark between, whose id parts the ids."""
         for lo in range(0, len(words), 100_000):
             part = words[lo : lo + 100_000]
-            lines = [part[i : i + 2000] for i in range(0, len(part), 2000)]
+            lines = [part[i : i + LINE] for i in range(0, len(part), LINE)]
             flat = np.concatenate([np.array(e.ids, np.uint32) for e in self.model.encode_batch_fast([f" {MARK} ".join([*x, ""]) for x in lines], add_special_tokens=False)])
             ends = np.flatnonzero(flat == self.mark)
             if len(ends) != len(part):  # a word holds the mark, or gives its id

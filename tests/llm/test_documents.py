@@ -222,6 +222,30 @@ def test_packing(documents, rows, empty):
     assert pack(empty, path).count() == 0
 
 
+def test_words_are_learned_in_short_lines():
+    """Lines of thousands of words cost the tokenizer more a word; ids are those of each word by itself."""
+    import public_tokenizers
+
+    from framesift.llm.packing import WordIds
+
+    class Watched:
+        def __init__(self, model):
+            self.model, self.longest = model, 0
+
+        def encode_batch_fast(self, lines, **options):
+            self.longest = max(self.longest, *(line.count(" ") for line in lines))
+            return self.model.encode_batch_fast(lines, **options)
+
+    ids = WordIds(public_tokenizers.path("word_bpe_49k.json"))
+    ids.model = Watched(ids.model)
+    words = [f"w{i}{chr(97 + i % 26)}é{'x' * (i % 5)}" for i in range(5000)]
+    flat, ends = ids.encode([" ".join(words), *words[:300]])
+    assert ids.model.longest <= 1000
+    alone = [ids.model.model.encode(w, add_special_tokens=False).ids for w in words]
+    assert flat.tolist() == [*(x for w in alone for x in w), 1, *(x for w in alone[:300] for x in [*w, 1])]
+    assert ends.tolist()[-1] == len(flat)
+
+
 def test_sum_of_squares_choice():
     from framesift.llm.packing import Packer
 
