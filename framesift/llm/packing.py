@@ -26,7 +26,7 @@ from .common import mapped
 WINDOW, END = 2048, 1
 #: Stands between words that are encoded together; one token.
 MARK = "\x01"
-#: Words whose ids a worker remembers, some 160 MB at most; it keeps them for later tasks.
+#: Words whose ids a worker remembers, some 160 MB at most; it keeps them for later tasks.  When there are more, those met again stay.
 REMEMBERED = 1_000_000
 #: Words of a line that is encoded at once; the tokenizer takes longer a word for longer lines.
 LINE = 200
@@ -51,6 +51,17 @@ class WordIds:
         self.known: dict[str, int] = {"": 0}
         self.at, self.size, self.flat, self.used, self.n = np.zeros(1 << 16, np.int32), np.zeros(1 << 16, np.int32), np.zeros(1 << 18, np.uint32), 1, 2
         self.flat[0], self.size[1] = END, 1
+        self.again = np.zeros(1 << 16, bool)  # words met after they were learned
+
+    def forget(self) -> None:
+        """Words that were met once go; those met again stay, if they leave half of the room."""
+        kept = [w for w, i in self.known.items() if i > 1 and self.again[i]]
+        old = np.fromiter(map(self.known.get, kept), np.int32, len(kept))
+        size, at, flat = self.size[old], self.at[old], self.flat
+        self.clear()
+        if 0 < len(kept) <= REMEMBERED // 2:
+            place = np.repeat(at - (np.cumsum(size) - size), size) + np.arange(size.sum())
+            self._put(kept, size, flat[place])
 
     def _learn(self, words: list[str]) -> None:
         """The words stand in lines of LINE words with a mark between, whose id parts the ids."""
@@ -64,15 +75,18 @@ class WordIds:
                 size, flat = np.array([len(x) for x in ids]), np.array([y for x in ids for y in x], np.uint32)
             else:
                 size, flat = np.diff(ends, prepend=-1) - 1, flat[flat != self.mark]
-            while self.n + len(part) > len(self.at):
-                self.at, self.size = np.concatenate([self.at, self.at]), np.concatenate([self.size, self.size])
-            while self.used + len(flat) > len(self.flat):
-                self.flat = np.concatenate([self.flat, self.flat])
-            self.flat[self.used : self.used + len(flat)] = flat
-            self.at[self.n : self.n + len(part)] = self.used + np.concatenate([[0], np.cumsum(size)[:-1]])
-            self.size[self.n : self.n + len(part)] = size
-            self.known.update(zip(part, range(self.n, self.n + len(part)), strict=True))
-            self.n, self.used = self.n + len(part), self.used + len(flat)
+            self._put(part, size, flat)
+
+    def _put(self, part: list[str], size: np.ndarray, flat: np.ndarray) -> None:
+        while self.n + len(part) > len(self.at):
+            self.at, self.size, self.again = (np.concatenate([x, x]) for x in (self.at, self.size, self.again))
+        while self.used + len(flat) > len(self.flat):
+            self.flat = np.concatenate([self.flat, self.flat])
+        self.flat[self.used : self.used + len(flat)] = flat
+        self.at[self.n : self.n + len(part)] = self.used + np.concatenate([[0], np.cumsum(size)[:-1]])
+        self.size[self.n : self.n + len(part)] = size
+        self.known.update(zip(part, range(self.n, self.n + len(part)), strict=True))
+        self.n, self.used = self.n + len(part), self.used + len(flat)
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All ids in one array, with END after each text, and each text's end in it."""
@@ -80,15 +94,23 @@ class WordIds:
             return self.flat[:0], np.zeros(0, np.int64)
         texts = [t.replace("\n", " ") for t in texts]
         words, counts = " ".join(texts).split(" "), [t.count(" ") + 1 for t in texts]
-        number = np.fromiter(map(self.known.get, words, repeat(-1)), np.int32, len(words))
+        look = lambda words: np.fromiter(map(self.known.get, words, repeat(-1)), np.int32, len(words))
+        number = look(words)
         if len(missing := np.flatnonzero(number < 0)):
-            new = {words[i] for i in missing.tolist()}
+            met = [words[i] for i in missing.tolist()]
+            new = set(met)
             if len(self.known) + len(new) > REMEMBERED:
-                self.clear()
-                new = {w for w in words if w}
-                missing = np.arange(len(words))
+                self.again[number[number >= 0]] = True
+                self.forget()
+                number = look(words)
+                missing = np.flatnonzero(number < 0)
+                met = [words[i] for i in missing.tolist()]
+                new = set(met)
+            self.again[number[number >= 0]] = True
             self._learn(list(new))
-            number[missing] = np.fromiter((self.known[words[i]] for i in missing.tolist()), np.int32, len(missing))
+            number[missing] = look(met)
+        else:
+            self.again[number] = True
         number = np.insert(number, np.cumsum(counts), 1)
         size = self.size[number]
         ends = np.cumsum(size, dtype=np.int32)

@@ -246,6 +246,28 @@ def test_words_are_learned_in_short_lines():
     assert ends.tolist()[-1] == len(flat)
 
 
+def test_words_met_again_are_not_learned_again(monkeypatch):
+    import public_tokenizers
+
+    from framesift.llm import packing
+
+    monkeypatch.setattr(packing, "REMEMBERED", 1000)
+    ids, learned = packing.WordIds(public_tokenizers.path("word_bpe_49k.json")), []
+    learn = ids._learn
+    monkeypatch.setattr(ids, "_learn", lambda words: (learned.extend(words), learn(words)))
+    common = [f"common{chr(97 + i % 26)}{i}" for i in range(200)]
+    for k in range(12):
+        words = [w for i in range(200) for w in (common[i], f"rare{k}x{i}", "")]
+        flat, ends = ids.encode([" ".join(words), ""])
+        alone = [x for w in words if w for x in ids.model.encode(w, add_special_tokens=False).ids]
+        assert flat.tolist() == [*alone, 1, 1] and ends.tolist() == [len(alone) + 1, len(alone) + 2]
+    assert len(ids.known) <= 1000
+    assert all(learned.count(w) == 1 for w in common)
+    # more words than there is room for
+    words = [f"many{i}" for i in range(3000)]
+    assert ids.encode([" ".join(words)])[0].tolist() == [*(x for w in words for x in ids.model.encode(w, add_special_tokens=False).ids), 1]
+
+
 def test_sum_of_squares_choice():
     from framesift.llm.packing import Packer
 
