@@ -22,12 +22,12 @@ keeps its bytes.  Other columns pass through, whatever their names.  Empty table
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import bit_filter, durable, has_bit, named_rows, release, same_word
 
-LEAST, ALONE, DEPTH, PARTS = 4, 8, 2, 4
+LEAST, ALONE, DEPTH, PARTS = 4, 8, 2, 4  # PARTS is in the code of parsed too
 #: Characters from which a line is no chance repeat, however few tokens it has; documents that show the same of a shorter line.
 LONG, MANY, COMMON = 40, 10, 100
 LINE_ENDS = r"(?<=\n)(?!\n)|(?<=[.!?] )(?!\n)"
@@ -38,19 +38,20 @@ _CUT = "\x01"
 _LAST = (1 << 63) - 1
 _LOW = (1 << 32) - 1
 ROW = ["__file", "__place"]
+HASHES = ("leaf", "check", "a", "b", "pair")
 
 
-def _marked(text: Column) -> Column:
-    marked = text
-    for end in (". ", "! ", "? ", "\n"):
-        marked = F.replace(marked, F.lit(end), F.lit(end + _CUT))
-    return F.replace(marked, F.lit(_CUT + "\n"), F.lit("\n"))
-
-
-def lines_of(text: Column, of=lambda marked: marked) -> Column:
+def lines_of(text: Column, newline: str = "\n") -> Column:
     """Lines and sentences, each with what ends it.  A mark that the text doesn't hold is put after each end, which is much
-    cheaper than a pattern; texts with the mark go by the pattern.  of changes the marked text before it is cut."""
-    return F.when(text.contains(_CUT), F.split(text, LINE_ENDS, -1)).otherwise(F.split(of(_marked(text)), _CUT, -1))
+    cheaper than a pattern; texts with the mark go by the pattern, and keep their newlines.  In others newline stands for each."""
+    marked = text
+    for end in (". ", "! ", "? "):  # a replacement costs some six times the test; an empty string is not looked for
+        marked = F.replace(marked, F.when(text.contains(end), F.lit(end)).otherwise(F.lit("")), F.lit(end + _CUT))
+    ended = F.replace(F.replace(marked, F.lit("\n"), F.lit("\n" + _CUT)), F.lit(_CUT + "\n"), F.lit("\n"))
+    ended = ended if newline == "\n" else F.replace(ended, F.lit("\n"), F.lit(newline))
+    blank = text.contains("\n\n") | text.contains(" \n")  # in other texts no end stands before a newline
+    marked = F.when(blank, ended).otherwise(F.replace(marked, F.lit("\n"), F.lit(newline + _CUT)))
+    return F.when(text.contains(_CUT), F.split(text, LINE_ENDS, -1)).otherwise(F.split(marked, _CUT, -1))
 
 
 def squeezed(line: Column, odd: Column) -> Column:
@@ -75,16 +76,17 @@ def parsed(rows: DataFrame) -> DataFrame:
     text = F.col("__text")
     # what holds for a whole text is asked once for all of its lines, before these are made
     odd = text.contains(_CUT) | text.contains("  ") | text.contains("\t") | text.contains("\r") | text.contains("\x0b") | text.contains("\x0c") | text.contains("\n ") | text.contains(" \n")
-    cut = lines_of(text, lambda t: F.replace(t, F.lit("\n"), F.lit(" ")))
-    rows = rows.select(*ROW, "__key", odd.alias("odd"), text.rlike("[0-9]").alias("digits"), cut.alias("lines"))
+    rows = rows.select(*ROW, "__key", odd.alias("odd"), text.rlike("[0-9]").alias("digits"), lines_of(text, " ").alias("lines"))
     lines = rows.select(*ROW, "__key", "odd", "digits", F.posexplode_outer("lines").alias("pos", "line"))  # not outer, Spark would cut texts again to filter them
     lines = lines.withColumn("line", squeezed(F.col("line"), F.col("odd")))
     lines = lines.withColumn("line", F.when(F.col("digits") & F.col("line").rlike("[0-9]"), F.regexp_replace("line", FIELD, "<*>")).otherwise(F.col("line")))
     n, line = F.col("n"), F.col("line")
     lines = lines.withColumn("n", F.octet_length(line) - F.octet_length(F.replace(line, F.lit(" "), F.lit(""))) + 1)
     ends = [F.expr(f"cast({DEPTH} + (n - {DEPTH}) * {k} div {PARTS} as int)") for k in range(PARTS + 1)]
-    stretch = [F.hash(_upto(_upto(line, ends[k + 1]) if k + 1 < PARTS else line, ends[k] - ends[k + 1])) for k in range(PARTS)]
     full = n >= ALONE
+    # each half is found once for its two stretches; the leading tokens may stay in the first, as they are the same in a leaf
+    lines = lines.withColumn("left", F.when(full, _upto(line, ends[2]))).withColumn("right", F.when(full, _upto(line, ends[2] - n)))
+    stretch = [F.hash(_upto(F.col(half), m)) for half, m in (("left", ends[1]), ("left", ends[1] - ends[2]), ("right", ends[3] - ends[2]), ("right", ends[3] - n))]
     kind = F.when(full, FULL).when(F.length(line) >= LONG, WIDE).when(n >= LEAST, SHORT).when(line != "", TINY).otherwise(BLANK).cast("byte")
     leaf = F.when(full, F.xxhash64(n, _upto(line, DEPTH))).otherwise(F.xxhash64(line))
     a, b = (F.when(full, _pair(*stretch[k : k + 2])) for k in (0, 2))
@@ -115,16 +117,17 @@ def _common(met: DataFrame) -> DataFrame:
     # documents are counted, not lines: one row a document, aggregated before its shuffle
     held = often.groupBy("leaf", "check", "__key").agg(F.first("kind").alias("kind")).groupBy("leaf", "check").agg(F.count("*").alias("held"), F.min("__key").alias("first"), F.first("kind").alias("kind"))
     held = durable(held.where(F.col("held") >= many).select("leaf", "check", "first"), "common")
+    # few lines are that common, so most of the others are not shuffled
+    often = often.join(bit_filter(held, "leaf"), same_word("leaf") & has_bit("leaf")).drop("__word", "__bits")
     return often.join(held.hint("shuffle_hash"), ["leaf", "check"]).where("__key > first").select(*ROW, "pos")
 
 
 def _pairs(met: DataFrame) -> DataFrame:
     """Row, __key, pos, kind, kind2, pair and check of neighbouring lines, one of them short."""
-    by_row = met.groupBy(*ROW, "__key").agg(F.array_sort(F.collect_list(F.struct("pos", "leaf", "kind"))).alias("x"))
-    n = F.greatest(F.size("x") - 1, F.lit(0))
-    two = F.zip_with(F.slice("x", F.lit(1), n), F.slice("x", F.lit(2), n), lambda p, q: F.struct(p["pos"].alias("pos"), q["pos"].alias("next"), p["kind"].alias("kind"), q["kind"].alias("kind2"), p["leaf"].alias("leaf"), q["leaf"].alias("leaf2")))
-    two = F.filter(two, lambda t: (t["next"] == t["pos"] + 1) & (F.least(t["kind"], t["kind2"]) <= SHORT))
-    return by_row.select(*ROW, "__key", F.explode_outer(two).alias("t")).where("t is not null").select(*ROW, "__key", "t.pos", "t.kind", "t.kind2", F.xxhash64("t.leaf", "t.leaf2").alias("pair"), F.hash("t.leaf2", "t.leaf").alias("check"))
+    after = Window.partitionBy(*reversed(ROW)).orderBy("pos")
+    two = met.select(*ROW, "__key", "pos", "kind", "leaf", *(F.lead(c).over(after).alias(f"{c}2") for c in ("pos", "kind", "leaf")))
+    two = two.where((F.col("pos2") == F.col("pos") + 1) & (F.least("kind", "kind2") <= SHORT))
+    return two.select(*ROW, "__key", "pos", "kind", "kind2", F.xxhash64("leaf", "leaf2").alias("pair"), F.hash("leaf2", "leaf").alias("check"))
 
 
 def _paired(pairs: DataFrame) -> DataFrame:
@@ -135,34 +138,41 @@ def _paired(pairs: DataFrame) -> DataFrame:
     return hits.select(*ROW, F.explode(members).alias("pos"))
 
 
+def _bits(hits: DataFrame) -> DataFrame:
+    """Row, __lost, how many of its lines are among hits, and __gone, a bit for each line up to the last of these, 64 in a number."""
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("pos").bitwiseAND(F.lit(63)))
+    words = hits.groupBy(*ROW, F.shiftright("pos", 6).alias("word")).agg(F.bit_or(bit).alias("bits"))
+    rows = words.groupBy(*ROW).agg(F.sum(F.bit_count("bits")).alias("__lost"), F.array_sort(F.collect_list(F.struct("word", "bits"))).alias("at"))
+    before = F.concat(F.array(F.lit(-1)), F.slice("at.word", F.lit(1), F.size("at") - 1))
+    gone = F.flatten(F.zip_with(before, "at", lambda p, q: F.concat(F.array_repeat(F.lit(0).cast("long"), q["word"] - p - 1), F.array(q["bits"]))))
+    return rows.select(*ROW, "__lost", gone.alias("__gone"))
+
+
 def dropped_lines(rows: DataFrame) -> DataFrame:
-    """Row and the sorted positions of the lines that it loses, for rows that lose any."""
-    parse = durable(parsed(rows), "lines")
+    """Row, __lost, how many lines it loses, and __gone, which ones as bits, for rows that lose any."""
+    parse = durable(parsed(rows), "lines", HASHES)
     lines = parse.where(F.col("kind") > BLANK)
     leaves = durable(_recurring(lines, "leaf", "check"), "leaves")
     several = lines.join(bit_filter(leaves, "leaf"), same_word("leaf") & has_bit("leaf")).join(leaves.hint("shuffle_hash"), ["leaf", "check"])
-    met = durable(several.select(*ROW, "__key", "pos", "kind", "leaf", "check", "a", "b", "owner", "lines"), "met")
+    met = durable(several.select(*ROW, "__key", "pos", "kind", "leaf", "check", "a", "b", "owner", "lines"), "met", HASHES)
     release(parse)
-    pairs = durable(_pairs(met), "pairs")
+    pairs = durable(_pairs(met), "pairs", HASHES)
     wide = met.where((F.col("kind") == WIDE) & (F.col("__key") > F.col("owner"))).select(*ROW, "pos")
     hits = wide.unionByName(_alike(met)).unionByName(_common(met)).unionByName(_paired(pairs))
-    hits = durable(hits.groupBy(*ROW).agg(F.array_sort(F.collect_set("pos")).alias("__hits")), "hits")
+    hits = durable(_bits(hits), "hits")
     for used in (leaves, met, pairs):
         release(used)
     return hits
 
 
-def rebuilt(text: Column, hits: Column) -> Column:
-    """The text without the lines at the sorted positions in hits."""
-    lines = lines_of(text)
-    before = F.concat(F.array(F.lit(-1)), F.slice(hits, F.lit(1), F.size(hits) - 1))
-    codes = F.rpad(F.array_join(F.zip_with(before, hits, lambda p, q: F.concat(F.repeat(F.lit("k"), q - p - 1), F.lit("d"))), ""), F.size(lines), F.lit("k"))
-    pairs = F.zip_with(lines, F.split(codes, ""), lambda line, code: F.struct(line.alias("line"), code.alias("code")))
-    return F.array_join(F.transform(F.filter(pairs, lambda p: p["code"] == "k"), lambda p: p["line"]), "")
+def rebuilt(text: Column, gone: Column) -> Column:
+    """The text without the lines whose bits are set in gone, a column as it was read: each line would compute an expression again."""
+    stays = lambda k: F.getbit(F.coalesce(F.get(gone, F.shiftright(k, 6)), F.lit(0).cast("long")), k.bitwiseAND(F.lit(63))) == 0
+    return F.array_join(F.filter(lines_of(text), lambda line, k: stays(k)), "")
 
 
 def marked(documents: DataFrame, carried: list[str]) -> DataFrame:
-    """The columns carried as struct doc, __hits (null without any) and __kept, the text that stays, of each row."""
+    """The columns carried as struct doc, __lost, how many lines went (null for none), and __kept, the text that stays, of each row."""
     documents, file, place = named_rows(documents)
     others = F.struct(F.lit(0).alias(""), *(F.col(f"`{c}`") for c in carried))
     rows = documents.select(file.alias("__file"), place.alias("__place"), F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)).alias("__key"), F.col("text").cast("string").alias("__text"), others.alias("doc"))
@@ -170,19 +180,19 @@ def marked(documents: DataFrame, carried: list[str]) -> DataFrame:
     # texts without a hit are not shuffled, but for those that the filter lets through
     own, name = F.col("__text"), F.xxhash64(*ROW)
     tested = rows.drop("__key").withColumn("__name", name).join(bit_filter(hits.select(name.alias("__name")), "__name"), same_word("__name"), "left")
-    apart = tested.where(~has_bit("__name")).select("doc", F.lit(None).cast("array<int>").alias("__hits"), own.alias("__kept"))
+    apart = tested.where(~has_bit("__name")).select("doc", F.lit(None).cast("long").alias("__lost"), own.alias("__kept"))
     met = tested.where(has_bit("__name")).select(*ROW, "doc", "__text").join(hits.hint("shuffle_hash"), ROW, "left")
-    return apart.unionByName(met.select("doc", "__hits", F.when(F.col("__hits").isNotNull(), rebuilt(own, F.col("__hits"))).otherwise(own).alias("__kept")))
+    return apart.unionByName(met.select("doc", "__lost", F.when(F.col("__lost").isNotNull(), rebuilt(own, F.col("__gone"))).otherwise(own).alias("__kept")))
 
 
 def report(documents: DataFrame) -> DataFrame:
     """doc_id, n_dropped and the text that stays, for each row of documents."""
-    return marked(documents, ["doc_id"]).select(F.col("doc.doc_id").cast("long").alias("doc_id"), F.coalesce(F.size("__hits"), F.lit(0)).cast("long").alias("n_dropped"), F.col("__kept").alias("text"))
+    return marked(documents, ["doc_id"]).select(F.col("doc.doc_id").cast("long").alias("doc_id"), F.coalesce("__lost", F.lit(0).cast("long")).alias("n_dropped"), F.col("__kept").alias("text"))
 
 
 def drop_lines(documents: DataFrame) -> DataFrame:
     """documents without their recurring lines; rows whose every word went are left out.  n_chars follows the text."""
-    lost = F.col("__hits").isNotNull()
+    lost = F.col("__lost").isNotNull()
     out = marked(documents, [c for c in documents.columns if c != "text"]).where(~lost | F.col("__kept").rlike(r"\S"))
     n_chars = F.when(lost, F.length("__kept").cast("long")).otherwise(F.col("doc.n_chars")) if "n_chars" in documents.columns else None
     return out.select(*(F.col("__kept").alias(c) if c == "text" else n_chars.alias(c) if c == "n_chars" else F.col(f"doc.`{c}`") for c in documents.columns))

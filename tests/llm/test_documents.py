@@ -420,6 +420,31 @@ def test_line_dedup_with_a_full_filter(documents, rows, monkeypatch):
     assert found(line_templates.report(documents), "doc_id", "text", "n_dropped") == brute_dedup(rows)
 
 
+def test_line_dedup_cuts_a_text_once(spark, tmp_path):
+    """A text is put together from one cutting of it, whatever ends its lines hold and wherever the lines stand that go."""
+    from pyspark.sql import functions as F
+
+    from framesift.llm.line_templates import lines_of, rebuilt, report
+
+    texts = ["", "\n", "a. b! c? d\ne", "a.\n\nb \n\n c. \n! \n\n", "a? b\n\n", ". . \n", "é! \n \n x\x01\n\ny. ", "no end"]
+    frame = spark.createDataFrame([(t,) for t in texts], "t string")
+    want = [re.split(r"(?<=\n)(?!\n)|(?<=[.!?] )(?!\n)", t) for t in texts]
+    got = frame.select("t", lines_of(F.col("t")).alias("x"), lines_of(F.col("t"), " ").alias("y")).collect()
+    assert {r["t"]: r["x"] for r in got} == dict(zip(texts, want, strict=True))
+    assert {r["t"]: r["y"] for r in got} == {t: x if "\x01" in t else [y.replace("\n", " ") for y in x] for t, x in zip(texts, want, strict=True)}
+    assert str(rebuilt(F.col("t"), F.col("gone"))).count("split(") == 2  # by the pattern or by the mark
+
+    own = lambda d, k: f"{chr(97 + d)}{'qwertzuiop'[k % 10]}{'x' * (k // 10)} {'lines ' * 4}that stay\n"
+    at = [0, 1, 62, 63, 64, 65, 127, 128, 191, 192, 639]
+    shared = {k: f"{'asdfghjkly'[k % 10] * (k % 7 + 3)}{'v' * (k // 10)} is a passage that several documents hold\n" for k in at}
+    docs = ["".join(shared[k] if k in shared and d in (0, 2) else own(d, k) for k in range(640)) for d in range(3)]
+    path = str(tmp_path / "d.parquet")
+    data = [*enumerate(docs), (3, shared[639]), (4, own(9, 700) * 70 + shared[639])]
+    spark.createDataFrame(data, "doc_id long, text string").repartition(2).write.parquet(path)
+    got = found(report(spark.read.parquet(path)), "doc_id", "text", "n_dropped")
+    assert got == brute_dedup(data) and {i: n for i, _, n in got} == {0: 0, 1: 0, 2: len(at), 3: 1, 4: 1}
+
+
 def test_line_dedup_of_short_lines(spark, tmp_path):
     """Short, tabbed and unspaced lines that recur go by length, by the documents that hold them, or with their neighbours."""
     from framesift.llm.line_templates import report
