@@ -60,12 +60,13 @@ def interval_join(left: DataFrame, right: DataFrame, left_span: tuple[str, str],
     """Rows of left with rows of right of the same key whose closed intervals overlap.
 
     Each interval goes to the time buckets it covers; of the buckets that two share, the first one keeps the pair.
-    Column names of the two sides must differ but for key.
+    Column names of the two sides must differ but for key.  Sides are merged and never broadcast: a plan's sizes don't count
+    the rows that the buckets add.
     """
     (a, b), (c, d) = left_span, right_span
     x = left.withColumn("__bucket", _buckets(F.col(a), F.col(b), width))
     y = right.withColumn("__bucket", _buckets(F.col(c), F.col(d), width))
-    met = x.join(y, [key, "__bucket"]).where((F.col(a) <= F.col(d)) & (F.col(c) <= F.col(b)) & (F.col("__bucket") == F.floor(F.greatest(a, c) / width))).drop("__bucket")
+    met = x.hint("merge").join(y.hint("merge"), [key, "__bucket"]).where((F.col(a) <= F.col(d)) & (F.col(c) <= F.col(b)) & (F.col("__bucket") == F.floor(F.greatest(a, c) / width))).drop("__bucket")
     if how == "inner":
         return met
     rest = left.join(met.select(*left.columns).distinct(), left.columns, "left_anti")
@@ -120,7 +121,7 @@ def context(segments: DataFrame, targets: DataFrame, radius: int) -> DataFrame:
     """Segments of the same video that overlap the interval of a target (segment_id, video_id, start_ms, end_ms) widened by
     radius, by start and end."""
     target = targets.select("video_id", F.col("segment_id").alias("target_id"), F.greatest(F.lit(0), F.col("start_ms") - radius).alias("__a"), (F.col("end_ms") + radius).alias("__b"))
-    return interval_join(segments, target, ("start_ms", "end_ms"), ("__a", "__b")).drop("__a", "__b").orderBy("target_id", "start_ms", "end_ms")
+    return interval_join(segments, target, ("start_ms", "end_ms"), ("__a", "__b"), width=max(BUCKET, radius)).drop("__a", "__b").orderBy("target_id", "start_ms", "end_ms")
 
 
 def segment_links(segments: DataFrame, frames: DataFrame, shots: DataFrame, media: DataFrame, width: int = BUCKET) -> DataFrame:
