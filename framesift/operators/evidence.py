@@ -10,7 +10,7 @@ from pyspark.sql.window import Window
 
 from ..functions import scalars as S
 from ..functions import text as T
-from .temporal import as_of, interval_join
+from .temporal import BUCKET, as_of, interval_join
 
 VQA_WINDOW, VQA_ANSWERS = 3000, 5
 
@@ -152,9 +152,10 @@ def metadata_anchor(media: DataFrame, ocr: DataFrame, spoken: DataFrame, frames:
 def evidence_pack(candidates: DataFrame, frames: DataFrame, evidence: DataFrame, window: int = VQA_WINDOW) -> DataFrame:
     """candidates (candidate_id, video_id, timestamp_ms) with the frames and the evidence (kind, text, video_id, start_ms, end_ms)
     within window ms, in order of time."""
-    c = candidates.select("candidate_id", "video_id", F.col("timestamp_ms").alias("__c"), F.greatest(F.lit(0), F.col("timestamp_ms") - window).alias("__a"), (F.col("timestamp_ms") + window).alias("__b"))
-    near = interval_join(c, frames.select("video_id", "frame_id", F.col("timestamp_ms").alias("__t")), ("__a", "__b"), ("__t", "__t")).groupBy("candidate_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("__t", "frame_id"))), lambda x: x["frame_id"]).alias("frames"))
-    said = interval_join(c, evidence.select("video_id", "kind", "text", F.col("start_ms").alias("__s"), F.col("end_ms").alias("__e")), ("__a", "__b"), ("__s", "__e"))
+    width = max(BUCKET, window)
+    c = candidates.select("candidate_id", "video_id", F.greatest(F.lit(0), F.col("timestamp_ms") - window).alias("__a"), (F.col("timestamp_ms") + window).alias("__b"))
+    near = interval_join(c, frames.select("video_id", "frame_id", F.col("timestamp_ms").alias("__t")), ("__a", "__b"), ("__t", "__t"), width=width).groupBy("candidate_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("__t", "frame_id"))), lambda x: x["frame_id"]).alias("frames"))
+    said = interval_join(c, evidence.select("video_id", "kind", "text", F.col("start_ms").alias("__s"), F.col("end_ms").alias("__e")), ("__a", "__b"), ("__s", "__e"), width=width)
     texts = lambda kind: F.transform(F.array_sort(F.collect_list(F.when(F.col("kind") == kind, F.struct("__s", "text")))), lambda x: x["text"]).alias(kind)
     return candidates.join(near, "candidate_id", "left").join(said.groupBy("candidate_id").agg(texts("ocr"), texts("asr"), texts("object")), "candidate_id", "left")
 
