@@ -5,8 +5,10 @@ from __future__ import annotations
 import functools
 import math
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 from pyspark.sql.window import Window
 
 from ..functions import scalars as S
@@ -45,18 +47,105 @@ def nearest_each(vectors: DataFrame, queries: DataFrame, k: int, block: int = QU
     """For a set of queries (query_id, q), the k nearest of each: a local top k in each scan task, then by query.
 
     The queries are counted and go in blocks of about block rows, which bounds what is broadcast whatever their number;
-    scoring stays in the scan, and only k rows a query and task are shuffled.
+    scoring stays in the scan, and only k rows a query and task are shuffled.  A task multiplies matrices; what may be among
+    the k nearest by that is scored again as S.dot does, in the order of the dimensions, so equal vectors tie.
     """
+    context = vectors.sparkSession.sparkContext
     n = max(1, math.ceil(queries.count() / block))
     w = Window.partitionBy("query_id").orderBy(F.desc("similarity"), "vec_id")
+    schema = StructType([StructField("query_id", queries.schema["query_id"].dataType), StructField("vec_id", vectors.schema["vec_id"].dataType), StructField("similarity", DoubleType())])
+    doubles = vectors.select("vec_id", F.col("embedding").cast("array<double>").alias("embedding"))
 
     def top(part: DataFrame) -> DataFrame:
-        scored = vectors.join(F.broadcast(part), F.lit(True)).select("query_id", "vec_id", S.dot(F.col("embedding"), F.col("q")).alias("similarity"))
+        asked = context.broadcast(part.select("query_id", F.col("q").cast("array<double>").alias("q")).toArrow())
+        scored = doubles.mapInArrow(functools.partial(_local_nearest, asked, k), schema)
         return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
     return functools.reduce(DataFrame.unionByName, (top(queries.where(F.pmod(F.xxhash64("query_id"), F.lit(n)) == i)) for i in range(n)))
 
 
+#: Queries and vectors of one matrix of products.
+TILE = (512, 4096)
+
+
+def _matrix(lists, dim: int):
+    """Rows of dim doubles, and which lists are that: not null, of this size, without nulls; the others are rows of 0."""
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    lists = lists.combine_chunks() if isinstance(lists, pa.ChunkedArray) else lists
+    good = np.asarray(pc.fill_null(pc.equal(pc.list_value_length(lists), dim), False))
+    own = lists.filter(pa.array(good)).flatten()
+    filled = np.zeros((len(lists), dim))
+    filled[good] = np.asarray(pc.fill_null(own, 0.0)).reshape(int(good.sum()), dim)
+    if own.null_count:
+        holes = np.zeros((len(lists), dim), bool)
+        holes[good] = np.asarray(own.is_null()).reshape(int(good.sum()), dim)
+        good &= ~holes.any(axis=1)
+    return filled, good
+
+
+def _local_nearest(asked, k: int, batches):
+    """Of a task's vectors, the k first of each query by similarity (nulls last, NaN first) and id."""
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    queries = asked.value
+    sizes = np.asarray(pc.fill_null(pc.list_value_length(queries["q"]), -1))
+    groups = [(dim, np.flatnonzero(sizes == dim), *_matrix(queries["q"].filter(pa.array(sizes == dim)), max(dim, 0))) for dim in np.unique(sizes)]
+    tiles = [(dim, rows[i : i + TILE[0]], q[i : i + TILE[0]], fine[i : i + TILE[0]]) for dim, rows, q, fine in groups for i in range(0, len(rows), TILE[0])]
+    best = [None] * len(tiles)
+    types = None
+    for batch in batches:
+        types = batch.schema.field("vec_id").type
+        for start in range(0, batch.num_rows, TILE[1]):
+            part = batch.slice(start, TILE[1])
+            ids = part.column("vec_id")
+            ids = np.array([*ids.to_pylist(), None], object)[:-1] if ids.null_count else ids.to_numpy(zero_copy_only=False)
+            known = {}
+            for at, (dim, _, q, fine) in enumerate(tiles):
+                if dim not in known:
+                    known[dim] = _matrix(part.column("embedding"), max(dim, 0))
+                new = _tile_nearest(*known[dim], ids, q, fine & (dim >= 0), k)
+                best[at] = new if best[at] is None else _first(*(np.concatenate(x) for x in zip(best[at], new, strict=True)), k)
+    for (_, rows, _, _), found in zip(tiles, best, strict=True):
+        if found is not None:
+            q, kind, score, ids = found
+            yield pa.RecordBatch.from_arrays([queries["query_id"].take(pa.array(rows[q])).combine_chunks(), pa.array(ids, type=types), pa.array(score, mask=kind == 0)], names=["query_id", "vec_id", "similarity"])
+
+
+def _tile_nearest(x, good, ids, q, fine, k: int):
+    with np.errstate(all="ignore"):
+        near = q @ x.T
+        near[np.isnan(near)] = np.inf
+        near[:, ~good], near[~fine] = -np.inf, -np.inf
+        # twice what rounding can make of two orders of a sum
+        slack = 4 * max(q.shape[1], 1) * np.finfo(float).eps * np.sqrt((q * q).sum(axis=1)) * np.sqrt((x * x).sum(axis=1).max(initial=0))
+        least = np.partition(near, near.shape[1] - k, axis=1)[:, near.shape[1] - k] if near.shape[1] > k else np.full(len(q), -np.inf)
+        least = np.where(np.isfinite(slack), least - slack, -np.inf)
+        at, of = np.nonzero(near >= least[:, None])
+        score = np.zeros(len(at))
+        for d in range(q.shape[1]):
+            score += x[of, d] * q[at, d]
+    kind = np.where(good[of] & fine[at], np.where(np.isnan(score), 2, 1), 0)
+    return _first(at, kind, np.where(kind == 1, score, np.where(kind == 2, np.nan, 0.0)), ids[of], k)
+
+
+def _first(q, kind, score, ids, k: int):
+    """The first k of each query: by kind, score and id."""
+    places = ids
+    if ids.dtype == object:  # strings, or with nulls, which come first
+        none = np.array([i is None for i in ids], bool)
+        places = np.full(len(ids), -1)
+        places[~none] = np.unique(ids[~none], return_inverse=True)[1]
+    order = np.lexsort((places, -np.nan_to_num(score, nan=0.0, posinf=np.inf, neginf=-np.inf), -kind, q))
+    sorted_q = q[order]
+    first = np.flatnonzero(np.r_[True, sorted_q[1:] != sorted_q[:-1]]) if len(order) else np.zeros(0, int)
+    rank = np.arange(len(order)) - np.repeat(first, np.diff(np.r_[first, len(order)]))
+    kept = order[rank < k]
+    return q[kept], kind[kept], score[kept], ids[kept]
+
+
 def multi_model(models: dict[str, DataFrame], queries: dict[str, list[float]], limit: int, candidates: int = CANDIDATES) -> tuple[DataFrame, bool]:
     """hits of each model that has vectors and a query of their size, fused by frame; and whether a model was left out.
 
