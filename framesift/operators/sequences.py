@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions.scalars import let
+
 # Defaults that change results.
 MIN_SHOT, MAX_GAP, RADIUS, STEP, GUARD, DEDUP_BITS, DEDUP_WINDOW = 500, 5000, 600, 200, 250, 8, 15000
 VAD_MAX, VAD_OVERLAP, VAD_GAP = 30000, 1000, 300
@@ -110,12 +112,17 @@ def perceptual_dedup(frames: DataFrame, bits: int = DEDUP_BITS, window: int = DE
     columns = ["video_id", "shot_id", "frame_id", "timestamp_ms", "priority", "quality", "hash"]
 
     def step(kept: Column, r: Column) -> Column:
-        far = F.array_max(F.transform(kept, lambda k, i: F.when(r["timestamp_ms"] - k["timestamp_ms"] > window, i)))
         like = lambda k: (k["shot_id"] == r["shot_id"]) & (F.bit_count(k["hash"].bitwiseXOR(r["hash"])) <= bits)
-        twin = F.array_max(F.transform(kept, lambda k, i: F.when((i > F.coalesce(far, F.lit(-1))) & like(k), i)))
-        held = F.get(kept, twin)
-        better = F.struct(r["priority"], r["quality"]) > F.struct(held["priority"], held["quality"])
-        return F.when(twin.isNull(), F.concat(kept, F.array(r))).when(better, _replaced(kept, twin + 1, r)).otherwise(kept)
+        far = F.array_max(F.transform(kept, lambda k, i: F.when(r["timestamp_ms"] - k["timestamp_ms"] > window, i)))
+        twin = lambda far: F.array_max(F.transform(kept, lambda k, i: F.when((i > far) & like(k), i)))
+
+        def placed(twin: Column) -> Column:
+            held = F.get(kept, twin)
+            better = F.struct(r["priority"], r["quality"]) > F.struct(held["priority"], held["quality"])
+            return F.when(twin.isNull(), F.concat(kept, F.array(r))).when(better, _replaced(kept, twin + 1, r)).otherwise(kept)
+
+        # both places are looked for once a frame, not once for each kept one
+        return let(let(F.coalesce(far, F.lit(-1)), twin), placed)
 
     rows = in_order(frames.select(*columns[:-1], F.col("hash").cast("long").alias("hash")), ["video_id"], ["timestamp_ms", "frame_id"])
     none = F.filter("rows", lambda r: F.lit(False))
